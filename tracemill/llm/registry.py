@@ -1,8 +1,9 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import simhash
+from tracemill.llm import packing, simhash
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
 }
 
