@@ -1,10 +1,13 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import packing, simhash
+from tracemill.llm import packing, simhash, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.SQL,
+}
