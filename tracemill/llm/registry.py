@@ -1,11 +1,12 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import packing, simhash, substring_dedup
+from tracemill.llm import packing, simhash, spotsigs, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op10_spotsigs": spotsigs.op10_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {
