@@ -100,9 +100,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, th, fp and component_id of every row of docs (columns doc_id and text).
+    """doc_id, th, fp, root and component_id of every row of docs (columns doc_id and text).
 
-    component_id is the least doc_id that a row reaches over links of at most
+    root, a fingerprint, names the group; component_id is the least doc_id that a row reaches over links of at most
     max_bits differing bits. Fingerprints are made distinct first, so copies never
     form pairs. Null, empty and blank texts have fingerprint 0, linked like any
     other. Rows that repeat a doc_id each get a row; a null doc_id counts as
@@ -115,8 +115,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(classes["fp"], "first", F.coalesce("root", classes["fp"]).alias("root"))
     rooted = materialise(rooted, "simhash-rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
-    named = materialise(rooted.join(least, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    named = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
