@@ -1,11 +1,12 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import cotraining, packing, quality_rules, simhash, spotsigs, substring_dedup
+from tracemill.llm import cotraining, html_text, packing, quality_rules, simhash, spotsigs, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_cotraining": cotraining.op3_cotraining,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_html_extraction": html_text.op5_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
     "op10_spotsigs": spotsigs.op10_spotsigs,
