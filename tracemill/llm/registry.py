@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import cotraining, html_text, packing, quality_rules, simhash, spotsigs, substring_dedup
+from tracemill.llm import cotraining, html_text, packing, quality_rules, simhash, spotsigs, substring_dedup, warc
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
@@ -9,9 +9,11 @@ QUERIES = {
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op9_warc": warc.op9_warc,
     "op10_spotsigs": spotsigs.op10_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
+    "op9_warc": warc.SQL,
 }
