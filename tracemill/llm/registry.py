@@ -1,19 +1,22 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import cotraining, html_text, packing, quality_rules, simhash, spotsigs, substring_dedup, warc
+from tracemill.llm import cotraining, html_text, packing, pieces, preferences, quality_rules, simhash, spotsigs, substring_dedup, warc
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_cotraining": cotraining.op3_cotraining,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_html_extraction": html_text.op5_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_preferences": preferences.op8_preferences,
     "op9_warc": warc.op9_warc,
     "op10_spotsigs": spotsigs.op10_spotsigs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
+    "op8_preferences": preferences.SQL,
     "op9_warc": warc.SQL,
 }
