@@ -40,10 +40,18 @@ BROAD = r"\b(build|lint|format|install|audit|typecheck)\b|(^|\s)--all\b|\s\.\s|\
 VERIFICATION_KINDS = {"test": "unit-test", "typecheck": "type-check", "lint": "lint", "format": "format-check", "build": "build", "security-scan": "security-scan"}
 
 
+#: A word boundary that knows ASCII words only; Java's takes letters of all scripts.
+BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 def redact(text: Column, emails: bool = False, custom: list[tuple[str, str]] = (), home: str | None = None, repo: str | None = None) -> Column:
     """text with secrets replaced by [REDACTED:<label>], detector after detector, then custom patterns, then folders."""
     rules = [(label, pattern) for _, label, pattern in DETECTORS] + ([EMAIL[1:]] if emails else []) + list(custom)
-    out = reduce(lambda t, r: F.regexp_replace(t, r[1], f"[REDACTED:{r[0]}]"), rules, text)
+    out = reduce(lambda t, r: F.regexp_replace(t, ascii_words(r[1]), f"[REDACTED:{r[0]}]"), rules, text)
     for path, mark in ((repo, "[REPO]"), (home, "[HOME]")):
         out = F.replace(out, F.lit(path), F.lit(mark)) if path else out
     return out
@@ -92,7 +100,7 @@ def command_columns(command: Column) -> dict[str, Column]:
         kind = kind.when(F.arrays_overlap(words, F.array(*map(F.lit, verbs.split()))), name)
     lowered = F.lower(command)
     norm = F.lower(F.regexp_replace(F.trim(redact(command)), r"\s+", " "))
-    return {"executable": executable, "family": family, "classification": kind.otherwise("other"), "scope": F.when(lowered.rlike(BROAD), "broad").otherwise("narrow"), "command_hash": F.sha2(F.concat(F.lit("cmd:"), norm), 256)}
+    return {"executable": executable, "family": family, "classification": kind.otherwise("other"), "scope": F.when(lowered.rlike(ascii_words(BROAD)), "broad").otherwise("narrow"), "command_hash": F.sha2(F.concat(F.lit("cmd:"), norm), 256)}
 
 
 def prompt_features(content: Column, sequence: Column) -> dict[str, Column]:
@@ -102,9 +110,9 @@ def prompt_features(content: Column, sequence: Column) -> dict[str, Column]:
     items = F.size(F.filter(lines, lambda x: x.rlike(r"^\s*([-*]|\d+[.)])\s+\S")))
     clauses = F.regexp_count(content, F.lit(CLAUSE))
     return {
-        "imperatives": imperatives, "file_refs": F.size(F.filter(F.regexp_extract_all(content, F.lit("(`[^`\\n]+`)"), F.lit(1)), lambda s: s.rlike("[./]"))), "vague": F.regexp_count(content, F.lit(VAGUE)),
-        "multi_task": (items >= 2) | (imperatives >= 2), "corrective": (sequence > 1) & content.rlike(CORRECTION), "criteria": content.rlike(ACCEPTANCE), "asks_verification": content.rlike(VERIFICATION), "scoped": content.rlike(SCOPE),
-        "reversal": content.rlike(REVERSAL), "complexity": F.least(F.lit(1.0), (imperatives + items + F.least(clauses, F.lit(4))) / 6.0), "new_task": sequence == 1, "length": F.length(content),
+        "imperatives": imperatives, "file_refs": F.size(F.filter(F.regexp_extract_all(content, F.lit("(`[^`\\n]+`)"), F.lit(1)), lambda s: s.rlike("[./]"))), "vague": F.regexp_count(content, F.lit(ascii_words(VAGUE))),
+        "multi_task": (items >= 2) | (imperatives >= 2), "corrective": (sequence > 1) & content.rlike(ascii_words(CORRECTION)), "criteria": content.rlike(ascii_words(ACCEPTANCE)), "asks_verification": content.rlike(ascii_words(VERIFICATION)), "scoped": content.rlike(ascii_words(SCOPE)),
+        "reversal": content.rlike(ascii_words(REVERSAL)), "complexity": F.least(F.lit(1.0), (imperatives + items + F.least(clauses, F.lit(4))) / 6.0), "new_task": sequence == 1, "length": F.length(content),
     }
 
 
@@ -132,7 +140,7 @@ def prompt_quality() -> dict[str, Column]:
 
 def task_class() -> Column:
     """Kind of task from prompt features."""
-    review, refactor = F.lower("content").rlike(r"\b(review|audit|inspect)\b"), F.lower("content").rlike(r"\b(refactor|clean ?up|restructure)\b")
+    review, refactor = F.lower("content").rlike(ascii_words(r"\b(review|audit|inspect)\b")), F.lower("content").rlike(ascii_words(r"\b(refactor|clean ?up|restructure)\b"))
     return F.when(F.col("corrective") | F.col("reversal"), "debug").when(review, "review").when(refactor, "refactor").when(F.col("imperatives") > 0, "implementation").otherwise("other")
 
 

@@ -268,7 +268,14 @@ _ZEROED = "z AS (SELECT " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in SNAPSH
 _RULES = " UNION ALL ".join(f"SELECT project_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, round(CAST({r.filled(r.confidence)} AS DOUBLE), 6) AS confidence, CAST({r.evidence} AS BIGINT) AS evidence FROM z WHERE {r.filled(r.trigger)}" for r in usable_rules(SNAPSHOT_COLUMNS))
 CANDIDATES = f"{_SNAPSHOT}, {_ZEROED}, candidates AS ({_RULES})"
 
+_WORDS = "string_split_regex(lower(command), '\\s+')"
+_CLASSES = " ".join(f"WHEN list_has_any({_WORDS}, {verbs.split()}) THEN '{name}'" for name, verbs in text.COMMAND_CLASSES)
+_COMMAND_REDACTED = _REDACTED.replace("regexp_replace(text,", "regexp_replace(command,", 1)
 ORACLE_SQL = {
+    "command_classes": f"""{with_tables("commands")}, t AS (SELECT *, regexp_replace(list_filter(string_split_regex(trim(command), '\\s+'), lambda x: x <> '' AND NOT regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*='))[1], '^.*/', '') AS executable FROM commands),
+  f AS (SELECT *, CASE executable WHEN 'npx' THEN 'npm' WHEN 'pnpx' THEN 'pnpm' ELSE executable END AS family FROM t)
+  SELECT command_id, executable, family, CASE WHEN family = 'git' THEN 'git' {_CLASSES} ELSE 'other' END AS classification, CASE WHEN regexp_matches(lower(command), {_Q(text.BROAD)}) THEN 'broad' ELSE 'narrow' END AS scope,
+  sha256('cmd:' || lower(regexp_replace(trim({_COMMAND_REDACTED}), '\\s+', ' ', 'g'))) AS command_hash FROM f""",
     "cost_by_model": f"{BY_MODEL} SELECT * REPLACE (round(usd::DOUBLE, 4) AS usd) FROM by_model",
     "cost_total": f"{BY_MODEL} SELECT round(sum(usd)::DOUBLE, 4) AS usd, CASE WHEN count(usd) > 0 THEN 'registry' ELSE 'unknown' END AS methodology, round(count(usd) / sum(requests), 9) AS confidence FROM by_model",
     "model_usage": f"{REQUESTS} SELECT model_id, count(DISTINCT session_id) AS sessions, count(*) AS requests, {', '.join(f'CAST({v} AS BIGINT) AS {k}_tokens' for k, v in TOKENS.items())} FROM model_requests GROUP BY 1",
