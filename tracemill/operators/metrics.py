@@ -109,4 +109,4 @@ def timeline(sources: dict[str, tuple[int, DataFrame]]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "rank", "id")))
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "rank", "id")).cast("long"))
