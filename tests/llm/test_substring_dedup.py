@@ -1,5 +1,7 @@
 """Repeated lines: which go, and where they were."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -8,18 +10,28 @@ from tracemill.llm import substring_dedup as sd
 L1, L2 = " ".join(f"a{i}" for i in range(12)), " ".join(f"Bé{i}" for i in range(10))
 
 
-def brute(rows, separator="\n", least=10):
+def brute(rows, separator="\n", least=10, least_sentence=8):
     """Texts and places, going through the documents in rank order."""
-    seen, out = set(), {}
+    norm = lambda x: " ".join(x.lower().split())
+    seen, said, out = set(), set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
         kept, gone, at = [], [], 0
         for line in t.split(separator):
-            norm = " ".join(line.lower().split())
-            if len(norm.split()) >= least and norm in seen:
+            again = len(line.split()) >= least and norm(line) in seen
+            seen.add(norm(line))
+            left, here = [], at
+            for sentence in re.split(r"(?<=[.!?]) ", line):
+                repeated = len(sentence.split()) >= least_sentence and norm(sentence) in said
+                said.add(norm(sentence))
+                if repeated and not again:
+                    gone.append((here, here + len(sentence)))
+                elif not again:
+                    left.append(sentence)
+                here += len(sentence) + 1
+            if again:
                 gone.append((at, at + len(line)))
-            else:
-                kept.append(line)
-                seen.add(norm)
+            elif left:
+                kept.append(" ".join(left))
             at += len(line) + len(separator)
         out[i] = (separator.join(kept), gone)
     return out
@@ -28,14 +40,14 @@ def brute(rows, separator="\n", least=10):
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
 def test_cuts_and_offsets(spark, unit):
     s = sd.SEPARATORS[unit]
-    rows = [(4, s.join([L1, "short line", L2])), (2, s.join(["short line", L2.upper() + "  ", L2])), (7, L1), (1, s.join(["ü", "", L1.replace(" ", "\t"), ""])), (9, s.join(f"{L1} {i % 900}" for i in range(2000)))]
+    rows = [(4, s.join([L1, "short line", L2])), (2, s.join(["short line", L2.upper() + "  ", L2])), (7, L1), (1, s.join(["ü", "", L1.replace(" ", "\t"), ""])), (9, s.join(f"{L1} {i % 900}" for i in range(2000))), (11, "Then " + L2 + ". " + L1 + "! " + L2 + " and more? Yes."), (12, "New start of it. " + L1 + "! A short end.")]
     df = spark.createDataFrame([(i, t, 3, "x") for i, t in rows], "doc_id long, text string, rank int, removed string")
     out = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in sd.dedup(df, unit).collect()}
     want = brute(rows, s)
     assert out == want
     for i, t in rows:
         for lo, hi in out[i][1]:
-            assert len(t[lo:hi].split()) >= 10
+            assert len(t[lo:hi].split()) >= 8
 
 
 def test_nulls_ties_and_empty_tables(spark):

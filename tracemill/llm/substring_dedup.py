@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,39 +14,54 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import materialise, small_batches, table, text_hash
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-#: Units of fewer words are left alone: short lines come again by chance in documents that share nothing.
-MIN_WORDS = 10
-
-
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(rank, th, nth, start, end, digest) of every unit of min_words words or more.
-
-    start and end are code points of the original text, nth the unit's number. A
-    unit is normalised to lower case, one space between words and none around;
-    words end at ASCII white space. digest has 128 bits. rank is doc_id, or the
-    largest long where that is null.
+#: Units of fewer words are left alone: short ones come again by chance in documents that share nothing.
+MIN_WORDS, MIN_SENTENCE_WORDS = 10, 8
+#: A space after an end mark parts sentences.
+SENTENCE = re.compile(r"(?<=[.!?]) ")
+UNIT = "rank long, th long, nth int, sub int, start long, end long, digest binary"
+WHOLE = -1
+
+
+def split_units(text: str, separator: str) -> Iterator[tuple[int, int, int, int, str]]:
+    """(nth, sub, start, end, content) of every unit with sub WHOLE, each followed by its sentences."""
+    start = 0
+    for nth, line in enumerate(text.split(separator)):
+        yield nth, WHOLE, start, start + len(line), line
+        at = start
+        for sub, sentence in enumerate(SENTENCE.split(line)):
+            yield nth, sub, at, at + len(sentence), sentence
+            at += len(sentence) + 1
+        start += len(line) + len(separator)
+
+
+def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS) -> DataFrame:
+    """(rank, th, nth, sub, start, end, digest) of every unit, and sentence in one, that has words enough.
+
+    start and end are code points of the original text, nth the unit's number,
+    sub the sentence's in it, or WHOLE. Both are normalised to lower case, one
+    space between words and none around; words end at ASCII white space. digest
+    has 128 bits, units and sentences apart. rank is doc_id, or the largest long
+    where that is null.
     """
     small_batches(docs.sparkSession)
     separator = SEPARATORS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in UNIT.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[tuple] = []
             for rank, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                start = 0
-                for nth, line in enumerate((text or "").split(separator)):
-                    end = start + len(line)
-                    words = line.lower().encode("utf-8", "surrogatepass").split()
-                    if len(words) >= min_words:
-                        digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                        for column, value in zip(out, (rank, th, nth, start, end, digest), strict=True):
-                            column.append(value)
-                    start = end + len(separator)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["rank", "th", "nth", "start", "end", "digest"])
+                for nth, sub, start, end, content in split_units(text or "", separator):
+                    words = content.lower().encode("utf-8", "surrogatepass").split()
+                    if len(words) >= (min_words if sub == WHOLE else min_sentence_words):
+                        person = b"unit" if sub == WHOLE else b"sentence"
+                        out.append((rank, th, nth, sub, start, end, hashlib.blake2b(b" ".join(words), digest_size=16, person=person).digest()))
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
     rows = docs.select(_rank(), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "rank long, th long, nth int, start long, end long, digest binary")
+    return rows.mapInArrow(run, UNIT)
 
 
 def _rank() -> F.Column:
@@ -52,40 +69,67 @@ def _rank() -> F.Column:
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """(rank, th, gone) for documents with units to remove; gone is in order of nth.
+    """(rank, th, gone) for documents with something to remove; gone is in order of place.
 
     The earliest occurrence of a digest, by rank, text hash and place, stays. Its
     place is an aggregate, made before the shuffle; the join has one row for a
     digest on one side, so that a very common unit's rows can be split.
     """
-    place = F.struct("rank", "th", "nth")
+    place = F.struct("rank", "th", "nth", "sub")
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     later = found.join(materialise(first, "dedup-first"), "digest").where(place != F.col("first"))
-    return later.groupBy("rank", "th").agg(F.array_sort(F.collect_set(F.struct("nth", "start", "end"))).alias("gone"))
-
-
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text cut, and removed: the cut units' places [start, end) in the original text.
+    return later.groupBy("rank", "th").agg(F.array_sort(F.collect_set(F.struct("nth", "sub", "start", "end"))).alias("gone"))
+
+
+def cut(text: str, gone: list[tuple[int, int]], separator: str) -> tuple[str, list[dict]]:
+    """text without the units and sentences in gone, and the places that were cut; a unit left with no sentence goes."""
+    out, places, lost = [], [], set(gone)
+    line: list[str] = []
+    whole = False
+    for nth, sub, start, end, content in split_units(text, separator):
+        if sub == WHOLE:
+            if line:
+                out.append(" ".join(line))
+            line, whole = [], (nth, WHOLE) in lost
+            if whole:
+                places.append({"start": start, "end": end})
+        elif not whole:
+            if (nth, sub) in lost:
+                places.append({"start": start, "end": end})
+            else:
+                line.append(content)
+    if line:
+        out.append(" ".join(line))
+    return separator.join(out), places
+
+
+def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS) -> DataFrame:
+    """docs with text cut, and removed: the cut places [start, end) in the original text.
 
     Of equal units over all documents, and within one, that of the least doc_id
-    (then text hash, then place) stays. The text that is left is the other units
-    in order. All rows and columns stay; a text of which all is cut is empty, a
-    null text null, with nothing removed. Rows that repeat both doc_id and text
-    are one document and are cut alike. A null doc_id ranks last. An empty table
-    gives no rows. A column of docs named removed is replaced.
+    (then text hash, then place) stays; the same for equal sentences in what is
+    left, so that a passage put into another line is found too. The text that is
+    left is the other units in order. All rows and columns stay; a text of which
+    all is cut is empty, a null text null, with nothing removed. Rows that repeat
+    both doc_id and text are one document and are cut alike. A null doc_id ranks
+    last. An empty table gives no rows. A column of docs named removed is
+    replaced.
     """
-    gone = materialise(repeats(materialise(units(docs, unit, min_words), "dedup-units")), "dedup-gone")
-    gone = gone.select(F.col("rank").alias("_rank"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    docs = docs.drop("removed")
+    found = materialise(units(docs, unit, min_words, min_sentence_words), "dedup-units")
+    gone = materialise(repeats(found), "dedup-gone")
+    gone = gone.select(F.col("rank").alias("_rank"), F.col("th").alias("_th"), F.transform("gone", lambda g: g["nth"]).alias("_nth"), F.transform("gone", lambda g: g["sub"]).alias("_sub"))
+    docs, separator = docs.drop("removed"), SEPARATORS[unit]
     keyed = docs.withColumns({"_r": _rank(), "_t": text_hash()})
     joined = keyed.join(gone, (F.col("_r") == F.col("_rank")) & (F.col("_t") == F.col("_th")), "left")
-    separator = SEPARATORS[unit]
-    parts = F.split("text", separator, -1)
-    numbers = F.transform("_gone", lambda g: g["nth"])
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(numbers, i)), separator)
-    places = F.coalesce(F.transform("_gone", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"))), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), places.alias("removed"))
+
+    @F.pandas_udf("struct<text: string, removed: array<struct<start: bigint, end: bigint>>>")
+    def trimmed(text: pd.Series, nth: pd.Series, sub: pd.Series) -> pd.DataFrame:
+        both = [(t, []) if n is None else cut(t, list(zip(n.tolist(), s.tolist())), separator) for t, n, s in zip(text, nth, sub)]
+        return pd.DataFrame({"text": [t for t, _ in both], "removed": [p for _, p in both]}, dtype=object)
+
+    small_batches(docs.sparkSession)
+    done = joined.withColumn("_cut", trimmed(F.col("text").cast("string"), "_nth", "_sub"))
+    return done.select(*(F.col("_cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("_cut.removed").alias("removed"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,19 +138,28 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
+_NORM = r"trim(regexp_replace(lower({}), '[\x20\x09-\x0D]+', ' ', 'g'))"
 SQL = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM documents
 ), placed AS (
-  SELECT doc_id, nth, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-    trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM lines
+  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, {_NORM.format("line")} AS norm FROM lines
 ), ranked AS (
-  SELECT *, len(string_split(norm, ' ')) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nth) > 1 AS gone FROM placed
-), cut AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS n_removed,
-    string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY nth) FILTER (gone) AS removed
-  FROM ranked GROUP BY doc_id
-)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.kept, '') END AS text, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.removed, '') AS removed
-FROM documents d LEFT JOIN cut c USING (doc_id)
+  SELECT *, len(string_split(norm, ' ')) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nth) > 1 AS gone, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM placed
+), sentences AS (
+  SELECT doc_id, nth, start, gone, unnest(parts) AS sentence, unnest(range(len(parts))) AS sub FROM ranked
+), sized AS (
+  SELECT *, start + coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id, nth ORDER BY sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins, {_NORM.format("sentence")} AS norm FROM sentences
+), judged AS (
+  SELECT *, len(string_split(norm, ' ')) >= {MIN_SENTENCE_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nth, sub) > 1 AS lost FROM sized
+), places AS (
+  SELECT doc_id, CAST(start AS BIGINT) AS lo, CAST(start + length(line) AS BIGINT) AS hi FROM ranked WHERE gone
+  UNION ALL SELECT doc_id, CAST(begins AS BIGINT), CAST(begins + length(sentence) AS BIGINT) FROM judged WHERE lost AND NOT gone
+), removed AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM places GROUP BY 1
+), kept_lines AS (
+  SELECT doc_id, nth, string_agg(sentence, ' ' ORDER BY sub) AS line FROM judged WHERE NOT lost AND NOT gone GROUP BY 1, 2
+), kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) AS kept FROM kept_lines GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.removed, '') AS removed
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
 """
