@@ -2,36 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
 
 
+def earliest_within(events: DataFrame, sessions: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
+    """event_id and the earliest session (started_at, session_id) with its keys that starts within window_ms of it.
+
+    That is the first start at or after the window's begin, if it is within. Time
+    is cut into buckets as long as window_ms: the first start is in the begin's own
+    bucket, found by one pass over the bucket in order of time, or is the least of
+    one of the next two. Rows are met in order or by equal keys, never in pairs.
+    """
+    start = F.struct("started_at", "session_id")
+    starts = sessions.select(*keys, F.floor(F.col("started_at") / window_ms).alias("bucket"), F.col("started_at").alias("at"), start.alias("start"), F.lit(None).cast("long").alias("event_id"))
+    begins = events.select(*keys, F.floor((F.col("ts") - window_ms) / window_ms).alias("bucket"), (F.col("ts") - window_ms).alias("at"), F.lit(None).cast(starts.schema["start"].dataType).alias("start"), "event_id")
+    # from the bucket's end backwards, the last start seen is the next one; starts come before begins at the same time
+    later = Window.partitionBy(*keys, "bucket").orderBy(F.desc("at"), F.col("start").desc_nulls_last())
+    own = starts.unionByName(begins).withColumn("next", F.last("start", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("event_id is not null")
+    least = starts.groupBy(*keys, "bucket").agg(F.min("start").alias("least"))
+    for step in (1, 2):
+        moved = least.select(*keys, (F.col("bucket") - step).alias("bucket"), F.col("least").alias(f"least_{step}"))
+        own = own.join(moved, [*keys, "bucket"], "left")
+    found = own.withColumn("first", F.coalesce("next", "least_1", "least_2"))
+    return found.where(F.col("first.started_at") <= F.col("at") + 2 * window_ms).select("event_id", "first.started_at", "first.session_id")
+
+
 def correlate(events: DataFrame, sessions: DataFrame, window_ms: int = HOUR_MS) -> DataFrame:
     """event_id, session_id and confidence of each event that any tier fits.
 
     Tiers: the stated session (1.0); the earliest session of the project that
     starts within window_ms (0.7); the project's latest-started session (0.4); the
-    earliest session of any project within window_ms (0.25). Interval joins go by
-    buckets of window_ms and their neighbours, after sessions are reduced to the
-    earliest for each start and key; nothing is compared with everything.
+    earliest session of any project within window_ms (0.25), which only events
+    that no other tier fits are looked up for.
     """
     s = sessions.select("session_id", "project_id", "started_at")
     e = events.select("event_id", "project_id", "source_session_id", "ts")
-    own = s.select(F.col("session_id").alias("source_session_id"), "session_id", "started_at")
-    exact = e.join(own, "source_session_id").select("event_id", F.lit(1).alias("tier"), "started_at", "session_id")
-    bucket = F.floor(F.col("ts") / window_ms)
-    near = e.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    starts = s.groupBy("project_id", "started_at").agg(F.min("session_id").alias("session_id")).withColumn("bucket", F.floor(F.col("started_at") / window_ms))
-    close = F.abs(F.col("ts") - F.col("started_at")) <= window_ms
-    project = near.join(starts, ["project_id", "bucket"]).where(close).select("event_id", F.lit(2).alias("tier"), "started_at", "session_id")
-    latest = s.groupBy("project_id").agg(F.max_by(F.struct("started_at", "session_id"), F.struct("started_at", "session_id")).alias("l"))
-    last = e.join(latest, "project_id").select("event_id", F.lit(3).alias("tier"), "l.started_at", "l.session_id")
-    # of any project: only the earliest start at or after the window's begin counts, so each bucket is reduced to its starts
-    anywhere = starts.groupBy("bucket", "started_at").agg(F.min("session_id").alias("session_id"))
-    any_near = near.join(anywhere, "bucket").where(close).select("event_id", F.lit(4).alias("tier"), "started_at", "session_id")
-    found = exact.unionByName(project).unionByName(last).unionByName(any_near)
+    stated = s.select(F.col("session_id").alias("source_session_id"), "session_id", "started_at")
+    exact = e.join(stated, "source_session_id").select("event_id", F.lit(1).alias("tier"), "started_at", "session_id")
+    placed = e.where("project_id is not null")
+    near = earliest_within(placed, s.where("project_id is not null"), ["project_id"], window_ms).select("event_id", F.lit(2).alias("tier"), "started_at", "session_id")
+    latest = s.groupBy("project_id").agg(F.max(F.struct("started_at", "session_id")).alias("l"))
+    last = placed.join(latest, "project_id").select("event_id", F.lit(3).alias("tier"), "l.started_at", "l.session_id")
+    rest = e.join(exact.select("event_id"), "event_id", "left_anti").join(last.select("event_id"), "event_id", "left_anti")
+    anywhere = earliest_within(rest, s, [], window_ms).select("event_id", F.lit(4).alias("tier"), "started_at", "session_id")
+    found = exact.unionByName(near).unionByName(last).unionByName(anywhere)
     best = found.groupBy("event_id").agg(F.min(F.struct("tier", "started_at", "session_id")).alias("b"))
     confidence = F.element_at(F.array(*map(F.lit, (1.0, 0.7, 0.4, 0.25))), F.col("b.tier"))
     return best.select("event_id", F.col("b.session_id").alias("session_id"), confidence.alias("confidence"))
