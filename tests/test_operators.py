@@ -18,6 +18,13 @@ def test_prices_take_the_longest_family_and_overrides(spark):
     assert got == {"a-b-2024": ("a-b", 3.0, "override"), "a-c": ("a", 1.0, "default"), "z": (None, 0.0, None), "a-b": ("a-b", 3.0, "override")}
 
 
+def test_tiers_and_dominant_models(spark):
+    entries = costs.catalogue(spark, [("a", 1, 1), ("a-b", 2, 2)]).unionByName(costs.catalogue(spark, [("a", 5, 5)], "override"))
+    requests = spark.createDataFrame([(1, "a-b-9"), (1, "z"), (2, "z"), (2, "z"), (2, "a-b")], "project_id int, model_id string")
+    assert {r["model_id"]: (r["capability"], r["cost_tier"]) for r in costs.tiers(requests, entries).collect()} == {"a-b-9": (5, 5), "z": (0, 0), "a-b": (2, 2)}
+    assert {r["project_id"]: (r["model_id"], r["requests"]) for r in costs.dominant_models(requests).collect()} == {1: ("a-b-9", 2), 2: ("z", 3)}
+
+
 def test_pairing_states(spark):
     rows = [(1, True), (2, True), (3, False), (4, False), (5, True)]
     df = spark.createDataFrame([("s", "c", t, t, u) for t, u in rows], "session_id string, call_id string, ts long, event_id long, is_use boolean")

@@ -64,3 +64,27 @@ def model_distribution(requests: DataFrame) -> DataFrame:
 
     n = requests.groupBy("project_id", "model_id").agg(F.count(F.lit(1)).alias("requests"))
     return n.withColumn("share", F.round(F.col("requests") / F.sum("requests").over(Window.partitionBy("project_id")), 4))
+
+
+#: Model families: (family or id pattern, capability tier, cost tier), each from 1 to 5.
+DEFAULT_CATALOGUE = [("north-large", 5, 5), ("north-small", 2, 1), ("delta-mid", 3, 3)]
+
+
+def catalogue(spark: SparkSession, rows: list[tuple] = DEFAULT_CATALOGUE, source: str = "default") -> DataFrame:
+    if len(rows) > MOST_PRICES:
+        raise ValueError(f"a catalogue has at most {MOST_PRICES} rows")
+    return spark.createDataFrame(rows, "pattern string, capability int, cost_tier int").withColumn("entry_source", F.lit(source))
+
+
+def tiers(models: DataFrame, entries: DataFrame) -> DataFrame:
+    """Capability and cost tier of each distinct model_id: an exact entry, else the longest pattern that its id begins with; 0 without one."""
+    best = F.struct((F.col("model_id") == F.col("pattern")).alias("exact"), (F.col("entry_source") == "override").alias("own"), F.length("pattern").alias("len"))
+    met = models.select("model_id").distinct().join(F.broadcast(entries), F.col("model_id").startswith(F.col("pattern")), "left")
+    found = met.groupBy("model_id").agg(F.max_by(F.struct("capability", "cost_tier"), best).alias("e"))
+    return found.select("model_id", F.coalesce("e.capability", F.lit(0)).alias("capability"), F.coalesce("e.cost_tier", F.lit(0)).alias("cost_tier"))
+
+
+def dominant_models(requests: DataFrame) -> DataFrame:
+    """The model with most requests of each project, the first by name of equals, and the project's requests."""
+    n = requests.groupBy("project_id", "model_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("project_id").agg(F.min_by("model_id", F.struct((-F.col("n")).alias("n"), "model_id")).alias("model_id"), F.sum("n").alias("requests"))

@@ -259,10 +259,12 @@ r AS (SELECT project_id, coalesce(max(n) FILTER (kind = 'read'), 0) AS repeated_
 t AS (SELECT project_id, max(size) AS max_output, round(count(*) FILTER (NOT success) / count(*), 6) AS failure_rate, count(*) FILTER (event_type = 'purchase') AS tests, count(*) FILTER (event_type = 'error') AS worst_tool_failures, round(count(*) FILTER (event_type = 'error') / nullif(count(*) FILTER (kind = 'verify'), 0), 6) AS worst_tool_rate FROM activity GROUP BY 1),
 k AS (SELECT project_id, coalesce(sum(input_tokens), 0) AS input_tokens, coalesce(sum(cache_read_tokens), 0) AS cache_read_tokens FROM model_requests GROUP BY 1),
 h AS (SELECT session_id % 10 AS project_id, count(*) AS prompt_count, count(*) FILTER (criteria) AS criteria_prompts, count(*) FILTER (asks_verification) AS verify_prompts, count(*) FILTER (multi_task) AS multi_prompts, sum(vague) AS vague_refs, count(*) FILTER (corrective) AS correction_prompts FROM g GROUP BY 1),
-snap AS (SELECT u.*, w.* EXCLUDE (project_id), r.* EXCLUDE (project_id), t.* EXCLUDE (project_id), k.* EXCLUDE (project_id), h.* EXCLUDE (project_id) FROM u LEFT JOIN w USING (project_id) LEFT JOIN r USING (project_id) LEFT JOIN t USING (project_id) LEFT JOIN k USING (project_id) LEFT JOIN h USING (project_id))"""
+dn AS (SELECT project_id, model_id, count(*) AS n FROM model_requests GROUP BY 1, 2), dm AS (SELECT project_id, arg_min(model_id, (-n, model_id)) AS model_id, sum(n) AS requests FROM dn GROUP BY 1),
+d AS (SELECT project_id, requests, CASE WHEN starts_with(model_id, 'north-large') THEN 5 WHEN starts_with(model_id, 'north-small') THEN 1 WHEN starts_with(model_id, 'delta-mid') THEN 3 ELSE 0 END AS dominant_cost_tier, CASE WHEN starts_with(model_id, 'north-large') THEN 5 WHEN starts_with(model_id, 'north-small') THEN 2 WHEN starts_with(model_id, 'delta-mid') THEN 3 ELSE 0 END AS dominant_capability FROM dm),
+snap AS (SELECT u.*, d.* EXCLUDE (project_id), w.* EXCLUDE (project_id), r.* EXCLUDE (project_id), t.* EXCLUDE (project_id), k.* EXCLUDE (project_id), h.* EXCLUDE (project_id) FROM u LEFT JOIN w USING (project_id) LEFT JOIN r USING (project_id) LEFT JOIN t USING (project_id) LEFT JOIN k USING (project_id) LEFT JOIN h USING (project_id) LEFT JOIN d USING (project_id))"""
 SNAPSHOT_COLUMNS = (
     "project_id sessions median_ms prompts_per_session tools_per_session compactions files_per_session read_write_ratio changed_unverified narrow_only ended_failed changed_after_verification corrective_prompts repeated_read_top repeated_command_top"
-    " repeated_failed_top repeated_search_top sum_repeated_reads sum_repeated_searches max_output failure_rate tests worst_tool_failures worst_tool_rate input_tokens cache_read_tokens prompt_count criteria_prompts verify_prompts multi_prompts vague_refs correction_prompts"
+    " repeated_failed_top repeated_search_top sum_repeated_reads sum_repeated_searches max_output failure_rate tests worst_tool_failures worst_tool_rate input_tokens cache_read_tokens prompt_count criteria_prompts verify_prompts multi_prompts vague_refs correction_prompts requests dominant_cost_tier dominant_capability"
 ).split()
 _ZEROED = "z AS (SELECT " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in SNAPSHOT_COLUMNS) + " FROM snap)"
 _RULES = " UNION ALL ".join(f"SELECT project_id, '{r.id}' AS rule_id, '{r.severity}' AS severity, round(CAST({r.filled(r.confidence)} AS DOUBLE), 6) AS confidence, CAST({r.evidence} AS BIGINT) AS evidence FROM z WHERE {r.filled(r.trigger)}" for r in usable_rules(SNAPSHOT_COLUMNS))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import metrics
+from tracemill.operators import costs, metrics
 from tracemill.sources import bindings
 
 
@@ -26,11 +26,14 @@ def project_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("size").alias("max_output"), F.round(F.count_if(~F.col("success")) / F.count(F.lit(1)), 6).alias("failure_rate"), F.count_if(F.col("event_type") == "purchase").alias("tests"), F.count_if(F.col("event_type") == "error").alias("worst_tool_failures"),
         F.round(F.count_if(F.col("event_type") == "error") / F.nullif(F.count_if(F.col("kind") == "verify"), F.lit(0)), 6).alias("worst_tool_rate"),
     )
-    tokens = metrics.token_totals(bindings.model_requests(spark, sf_dir)).where("project_id is not null").select("project_id", "input_tokens", "cache_read_tokens")
+    requests = bindings.model_requests(spark, sf_dir)
+    dominant = costs.dominant_models(requests)
+    models = dominant.join(costs.tiers(dominant, costs.catalogue(spark)), "model_id").select("project_id", "requests", F.col("cost_tier").alias("dominant_cost_tier"), F.col("capability").alias("dominant_capability"))
+    tokens = metrics.token_totals(requests).where("project_id is not null").select("project_id", "input_tokens", "cache_read_tokens")
     p = bindings.prompts(spark, sf_dir).withColumn("project_id", F.col("session_id") % 10)
     p = p.withColumns(text.prompt_features(F.col("content"), F.col("sequence")))
     said = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("prompt_count"), F.count_if("criteria").alias("criteria_prompts"), F.count_if("asks_verification").alias("verify_prompts"), F.count_if("multi_task").alias("multi_prompts"), F.sum("vague").cast("long").alias("vague_refs"), F.count_if("corrective").alias("correction_prompts"))
     out = usage
-    for part in (flow, repeats, totals, tokens, said):
+    for part in (flow, repeats, totals, tokens, said, models):
         out = out.join(part, "project_id", "left")
     return out.na.fill(0)
