@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -23,7 +25,7 @@ LARGE_SHARE = 1 / 3
 GROUPS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: Most words that a Python worker remembers; beyond that it starts afresh.
-WORDS_KEPT, CORES_KEPT, LONG_WORD = 400_000, 800_000, 64
+WORDS_KEPT, CORES_KEPT, LONG_WORD = 300_000, 500_000, 64
 
 
 def default_tokenizer() -> str:
@@ -43,6 +45,7 @@ class WordTokens:
     """
 
     def __init__(self, tokenizer_json: str):
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,7 +55,7 @@ class WordTokens:
         self.marks = {m: self._encode([m])[0] for m in ".,"}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _core(word: str) -> tuple[str, str]:
