@@ -26,6 +26,7 @@ GROUPS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: Most words that a Python worker remembers; beyond that it starts afresh.
 WORDS_KEPT, CORES_KEPT, LONG_WORD = 300_000, 500_000, 64
+RUN_BYTES = 1 << 19
 
 
 def default_tokenizer() -> str:
@@ -74,22 +75,33 @@ class WordTokens:
         return {w: self.cores[c] + (self.marks[m] if m else b"") for w, (c, m) in zip(unknown, parts, strict=True)}
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        for text in texts:
-            words = (text or b"").split()
-            unknown = [*set(words).difference(self.words)]
-            rare = {}
-            if unknown:
-                learnt = self._learn(unknown)
-                rare = {w: ids for w, ids in learnt.items() if len(w) > LONG_WORD}
-                self.words.update(learnt)
-            out = b"".join(map(self.words.__getitem__, words))
-            for w in rare:
-                del self.words[w]
-                self.cores.pop(self._core(w.decode("utf-8", "replace"))[0], None)
-            yield out
+        """Ids of each text, as little-endian unsigned 32-bit numbers; unknown words of some texts are learnt at once."""
+        for some in _runs(texts, RUN_BYTES):
+            if len(self.words) > WORDS_KEPT:
+                self.words = {}
+            split = [t.split() for t in some]
+            known = self.words
+            if unknown := [w for w in set().union(*split) if w not in known]:
+                known.update(self._learn(unknown))
+            for words in split:
+                yield b"".join(map(known.__getitem__, words))
+            for w in unknown:
+                if len(w) > LONG_WORD:
+                    del known[w]
+                    self.cores.pop(self._core(w.decode("utf-8", "replace"))[0], None)
+
+
+def _runs(texts: list[bytes | None], size: int) -> Iterator[list[bytes]]:
+    """texts in turn, as many at once as have about size bytes; null is empty."""
+    some, total = [], 0
+    for t in texts:
+        some.append(t or b"")
+        total += len(some[-1])
+        if total >= size:
+            yield some
+            some, total = [], 0
+    if some:
+        yield some
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
