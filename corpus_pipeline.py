@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has."""
-    return substring_dedup.dedup(docs).select(*docs.columns)
+    """Documents without the lines, sentences and passages that an earlier one has."""
+    return substring_dedup.dedup(docs, passage_words=substring_dedup.PASSAGE_WORDS).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

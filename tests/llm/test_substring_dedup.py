@@ -1,10 +1,12 @@
 """Repeated lines: which go, and where they were."""
 
+import random
 import re
 
 import duckdb
 import pytest
 
+import corpus_pipeline
 from tracemill.llm import substring_dedup as sd
 
 L1, L2 = " ".join(f"a{i}" for i in range(12)), " ".join(f"Bé{i}" for i in range(10))
@@ -63,3 +65,38 @@ def test_query_against_sql(spark, sf):
     got = {tuple(r) for r in sd.op2_substring_dedup(spark, sf).select("doc_id", "text", "n_removed", "removed").collect()}
     duckdb.execute(f"create or replace view documents as select * from '{sf}/documents.parquet'")
     assert got == set(duckdb.execute(sd.SQL).fetchall())
+
+
+def brute_runs(rows, least):
+    """For each text, whether each of its words lies in a run of least words that an earlier place has."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        words = t.lower().split()
+        gone = [False] * len(words)
+        for at in range(len(words) - least + 1):
+            where = first.setdefault(tuple(words[at : at + least]), (i, at))
+            if where[0] != i or at - where[1] >= least:
+                gone[at : at + least] = [True] * least
+        out[i] = gone
+    return out
+
+
+def test_passages_go_whole_wherever_they_lie(spark):
+    rnd = random.Random(5)
+    say = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    p, q = say(25) + " " + say(6) + ". " + say(22), say(60)
+    rows = [(1, f"{say(30)} {p} {say(9)}"), (2, f"{say(5)} {p.upper()} {say(3)}\n{say(2)}"), (3, f"{say(20)}\n\n{q}"), (4, f"{say(4)} {q[:200]}"), (5, q + "\n" + say(4)), (6, f"İ {say(7)}\n\n{q} {p}  {say(9)}"), (7, "a b c " * 60), (8, say(70_000) + " " + p + " " + say(3)), (9, say(49))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r for r in sd.dedup(df, passage_words=50).collect()}
+    for i, gone in brute_runs(rows, 50).items():
+        text = dict(rows)[i]
+        assert out[i]["text"].split() == [w for w, g in zip(text.split(), gone, strict=True) if not g], i
+        assert sum(len(text[x["start"] : x["end"]].split()) for x in out[i]["removed"]) == sum(gone)
+    assert p.split()[0].upper() not in out[2]["text"] and out[2]["text"].count("\n") == 1
+    assert sd.dedup(df.limit(0), passage_words=50).count() == 0
+
+
+def test_pipeline_stage_cuts_passages(spark, sf):
+    p = " ".join(f"p{i}" for i in range(55))
+    df = spark.createDataFrame([(1, f"one {p} end", "x"), (2, f"two {p} stop", "y")], "doc_id long, text string, source string")
+    assert sorted(map(tuple, corpus_pipeline.substring(spark, df, sf).collect())) == [(1, f"one {p} end", "x"), (2, "two stop", "y")]

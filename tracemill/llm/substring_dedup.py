@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,11 @@ SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 MIN_WORDS, MIN_SENTENCE_WORDS = 10, 8
 #: A space after an end mark parts sentences.
 SENTENCE = re.compile(r"(?<=[.!?]) ")
+SPACE = " \t\n\v\f\r"
+TEXT_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Runs of so many words are found wherever they lie; each has an anchor of so many words.
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 16
+BLOCK_WORDS, KNOWN_WORDS = 50_000, 200_000
 UNIT = "rank long, th long, nth int, sub int, start long, end long, digest binary"
 WHOLE = -1
 
@@ -81,6 +87,102 @@ def repeats(found: DataFrame) -> DataFrame:
     return later.groupBy("rank", "th").agg(F.array_sort(F.collect_set(F.struct("nth", "sub", "start", "end"))).alias("gone"))
 
 
+class _Hashes(dict):
+    """64 bits for each word, of a bounded number of words remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
+
+
+def anchors(text: str, least: int, known: _Hashes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of words: its first word's number, the words' hashes, and place and hash of the anchor of each run of least words.
+
+    A run's anchor is the group of ANCHOR_WORDS words in it with the least hash,
+    so that equal runs have equal anchors, whatever surrounds them.
+    """
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    runs, span = len(words) - least + 1, min(ANCHOR_WORDS, least)
+    for lo in range(0, runs, BLOCK_WORDS):
+        part = words[lo : min(runs, lo + BLOCK_WORDS) + least - 1]
+        hashes = np.fromiter(map(known.__getitem__, part), np.uint64, len(part))
+        groups = np.zeros(len(part) - span + 1, np.uint64)
+        for i in range(span):
+            groups = groups * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(groups) + i]
+        groups = (groups ^ (groups >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        at = np.lib.stride_tricks.sliding_window_view(groups, least - span + 1).argmin(axis=1) + np.arange(len(part) - least + 1)
+        yield lo, hashes, at, groups[at].view(np.int64)
+
+
+def passages(docs: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
+    """(rank, th, runs): numbers of the words at which a run of least words begins that an earlier place has.
+
+    Places are in order of rank, text hash and word; a run that overlaps the first
+    of its kind in the same text stays. Words are normalised as in units. Anchors
+    that come once are left out first, so that only runs around repeated anchors
+    are hashed (128 bits) and shuffled.
+    """
+    small_batches(docs.sparkSession)
+    keys = [("rank", pa.int64()), ("th", pa.int64())]
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        schema = pa.schema([*keys, ("anchor", pa.int64())])
+        for b in batches:
+            for i, text in enumerate(b.column(2)):
+                for _, _, at, found in anchors(text.as_py() or "", least, known):
+                    found = found[np.flatnonzero(np.diff(at, prepend=-1))]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(found)), pa.repeat(b.column(1)[i], len(found)), pa.array(found)], schema=schema)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        schema = pa.schema([*keys, ("word", pa.int32()), ("digest", pa.binary())])
+        for b in batches:
+            for i, text in enumerate(b.column(2)):
+                again = b.column(3)[i].values.to_numpy(zero_copy_only=False)
+                for lo, hashes, _, found in anchors(text.as_py(), least, known):
+                    data, at = memoryview(hashes.tobytes()), np.flatnonzero(np.isin(found, again))
+                    digests = [hashlib.blake2b(data[8 * x : 8 * (x + least)], digest_size=16).digest() for x in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(at)), pa.repeat(b.column(1)[i], len(at)), pa.array(at + lo, pa.int32()), pa.array(digests, pa.binary())], schema=schema)
+
+    rows = docs.select(_rank(), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+    all_anchors = materialise(rows.mapInArrow(anchored, "rank long, th long, anchor long"), "dedup-anchors")
+    more = all_anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = all_anchors.join(materialise(more, "dedup-repeated"), "anchor").groupBy("rank", "th").agg(F.collect_set("anchor").alias("again"))
+    near = rows.join(materialise(again, "dedup-again"), ["rank", "th"]).select("rank", "th", "text", "again")
+    found = materialise(near.mapInArrow(hashed, "rank long, th long, word int, digest binary"), "dedup-runs")
+    place = F.struct("rank", "th", "word")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    overlaps = (F.col("first.rank") == F.col("rank")) & (F.col("first.th") == F.col("th")) & (F.col("word") - F.col("first.word") < least)
+    later = found.join(materialise(first, "dedup-first-runs"), "digest").where(~overlaps)
+    return later.groupBy("rank", "th").agg(F.array_sort(F.collect_set("word")).alias("runs"))
+
+
+def cut_runs(text: str, places: list[dict], runs: list[int], least: int) -> tuple[str, list[dict]]:
+    """text without the places and the runs of least words that begin at the words numbered in runs, and what was cut, merged.
+
+    Of the white space around a cut the side with more line ends stays, neither at the text's ends.
+    """
+    words = [(m.start(), m.end()) for m in TEXT_WORD.finditer(text)]
+    spans: list[list[int]] = []
+    for lo, hi in sorted([(p["start"], p["end"]) for p in places] + [(words[r][0], words[r + least - 1][1]) for r in runs]):
+        if spans and (lo <= spans[-1][1] or not text[spans[-1][1] : lo].strip(SPACE)):
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    out, at = "", 0
+    for lo, hi in [*spans, [len(text), len(text)]]:
+        piece = text[at:lo]
+        if at:
+            body, left = piece.lstrip(SPACE), out.rstrip(SPACE)
+            gaps = (out[len(left) :], piece[: len(piece) - len(body)])
+            out, piece = left, (max(gaps, key=lambda g: g.count("\n")) if left and body else "") + body
+        out, at = out + piece, hi
+    return out, [{"start": lo, "end": hi} for lo, hi in spans]
+
+
 def cut(text: str, gone: list[tuple[int, int]], separator: str) -> tuple[str, list[dict]]:
     """text without the units and sentences in gone, and the places that were cut; a unit left with no sentence goes."""
     out, places, lost = [], [], set(gone)
@@ -103,7 +205,7 @@ def cut(text: str, gone: list[tuple[int, int]], separator: str) -> tuple[str, li
     return separator.join(out), places
 
 
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS, passage_words: int | None = None) -> DataFrame:
     """docs with text cut, and removed: the cut places [start, end) in the original text.
 
     Of equal units over all documents, and within one, that of the least doc_id
@@ -114,6 +216,9 @@ def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_s
     both doc_id and text are one document and are cut alike. A null doc_id ranks
     last. An empty table gives no rows. A column of docs named removed is
     replaced.
+
+    With passage_words, every run of so many words that an earlier place of the
+    original texts has goes as well, wherever lines and sentences end.
     """
     found = materialise(units(docs, unit, min_words, min_sentence_words), "dedup-units")
     gone = materialise(repeats(found), "dedup-gone")
@@ -121,14 +226,19 @@ def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_s
     docs, separator = docs.drop("removed"), SEPARATORS[unit]
     keyed = docs.withColumns({"_r": _rank(), "_t": text_hash()})
     joined = keyed.join(gone, (F.col("_r") == F.col("_rank")) & (F.col("_t") == F.col("_th")), "left")
+    runs = F.lit(None).cast("array<int>")
+    if passage_words:
+        more = materialise(passages(docs, passage_words), "dedup-passages").toDF("_prank", "_pth", "_runs")
+        joined, runs = joined.join(more, (F.col("_r") == F.col("_prank")) & (F.col("_t") == F.col("_pth")), "left"), F.col("_runs")
 
     @F.pandas_udf("struct<text: string, removed: array<struct<start: bigint, end: bigint>>>")
-    def trimmed(text: pd.Series, nth: pd.Series, sub: pd.Series) -> pd.DataFrame:
+    def trimmed(text: pd.Series, nth: pd.Series, sub: pd.Series, runs: pd.Series) -> pd.DataFrame:
         both = [(t, []) if n is None else cut(t, list(zip(n.tolist(), s.tolist())), separator) for t, n, s in zip(text, nth, sub)]
+        both = [b if r is None else cut_runs(t, b[1], r.tolist(), passage_words) for t, b, r in zip(text, both, runs)]
         return pd.DataFrame({"text": [t for t, _ in both], "removed": [p for _, p in both]}, dtype=object)
 
     small_batches(docs.sparkSession)
-    done = joined.withColumn("_cut", trimmed(F.col("text").cast("string"), "_nth", "_sub"))
+    done = joined.withColumn("_cut", trimmed(F.col("text").cast("string"), "_nth", "_sub", runs))
     return done.select(*(F.col("_cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("_cut.removed").alias("removed"))
 
 
