@@ -27,6 +27,23 @@ def test_layouts():
         assert ht.main_text(page) == want, page
 
 
+def test_class_words_do_not_take_articles():
+    blocks = [f"{P1} {i}." for i in range(4)]
+    want, long = "\n\n".join(blocks), f"<p>{P1} Nice, nice.</p>" * 9
+    body = "".join(f"<p>{b}</p>" for b in blocks)
+    for page in (
+        "<body><div id=page>" + "".join(f"<div class='elementor-widget'><p>{b}</p></div>" for b in blocks) + "</div>",
+        "<body><div class='page has-sidebar'><div id=text>" + "".join(f"<div>{b}</div>" for b in blocks) + "</div></div>",
+        "<body><div class='has-sidebar'><ul>" + "".join(f"<li>{b}</li>" for b in blocks) + "</ul></div>",
+        f"<body><article class='post category-legal'>{body}</article><div id=more>" + "".join(f"<p>More of it, {i}</p>" for i in range(90)) + "</div>",
+        f"<body><article><p>{blocks[0]}</p><div class='notice'><p>{blocks[1]}</p></div><p>{blocks[2]}</p><p>{blocks[3]}</p><div class='share'><a href=x>Share this, please</a></div></article>",
+        f"<body><form action=x><input name=v><div id=content>{body}</div></form>",
+        f"<body><div id=content>{body}</div><div class=comments>{long}</div>",
+        f"<body><article>{body}<div id=comments>{long}</div></article>",
+    ):
+        assert ht.main_text(page) == want, page
+
+
 def test_markup():
     page = f"<article><p>a\n <b>b</b>&nbsp;c&#233;&lt;br&gt; x<br>y</p><ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table><pre> k  l\n m</pre><p title='a>b'>5 < 6 & 7</p><p>{P1}</article>"
     assert ht.main_blocks(page) == ["a b cé<br> x y", "one", "two", "1 2", "3", "k l m", "5 < 6 & 7", P1]

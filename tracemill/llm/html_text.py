@@ -31,6 +31,10 @@ DROPPED_WORDS = frozenset(
     " sidebar sidenav aside widget widgets related recommended share sharing social menu nav navbar navigation topnav breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus replies respond"
     " login signin signup register search searchbox pagination pager toolbar legal copyright disclaimer skip".split()
 )
+#: Of these, what also names parts of articles: alone they don't take a block out of an article, if it reads as text.
+AMBIGUOUS_WORDS = frozenset("widget widgets legal notice notices share sharing related recommended copyright disclaimer register skip search header banner overlay social promotion modal toolbar".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+LEAST_BESIDE_COMMENTS = 200
 KEPT_TAGS = frozenset("html body main".split())
 GOOD_WORDS = frozenset("article content entry post story text body main page".split())
 WORDS = re.compile(r"[a-z]+")
@@ -113,10 +117,12 @@ def _marks(node: Node) -> tuple[set[str], dict[str, str]]:
 def prune(root: Node) -> None:
     """Take out what is never article: by tag, role, hiding, and words in class or id.
 
-    A container is not judged by its words if it holds over half of the page's
-    paragraph text, or the page's article.
+    Words don't count on an outermost article or main, on what holds one, or
+    where all nodes of a word together hold over half of the page's text outside
+    links; comments go however long they are, if an article is left without them.
+    A form with over half of the text stays.
     """
-    total, weight = _paragraph_text(root)
+    total, weight, marks, spared = _weights(root)
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
@@ -125,35 +131,79 @@ def prune(root: Node) -> None:
             if isinstance(child, str):
                 kept.append(child)
                 continue
-            within = inside or child.tag in ("article", "main")
-            words, attributes = _marks(child)
+            article = child.tag in ("article", "main")
+            if id(child) not in weight:  # below a tag that is dropped
+                continue
+            own, linked, holds, comments = weight[id(child)]
+            words, attributes = marks[id(child)]
+            form = child.tag == "form" or attributes.get("role", "").lower() == "form"
             bad = child.tag in DROPPED or (child.tag == "header" and not inside) or attributes.get("role", "").lower() in DROPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-            if not bad and child.tag not in KEPT_TAGS and words & DROPPED_WORDS and not ("header" in words and inside and not words & (DROPPED_WORDS - {"header"})):
-                bad = weight.get(id(child), (0, False))[0] * 2 <= total and not weight.get(id(child), (0, False))[1]
+            if form and own * 2 > total and "hidden" not in attributes:
+                bad = False
+            hits = words & DROPPED_WORDS - spared if child.tag not in KEPT_TAGS else frozenset()
+            if not bad and comments:
+                bad = True
+            elif not bad and hits and not ("header" in hits and inside and len(hits) == 1) and not (article and not inside):
+                reads = inside and hits <= AMBIGUOUS_WORDS and own >= LEAST_PARAGRAPH and own > linked
+                bad = not holds and own * 2 <= total and not reads
             if not bad:
                 kept.append(child)
-                todo.append((child, within))
+                todo.append((child, inside or article))
         node.children = kept
 
 
-def _paragraph_text(root: Node) -> tuple[int, dict[int, tuple[int, bool]]]:
-    """Length of the text in p elements: of all, and of each node, with whether it holds an article or main."""
-    order, todo = [], [root]
+def _weights(root: Node) -> tuple[int, dict[int, tuple[int, int, bool, bool]], dict[int, tuple[set[str], dict[str, str]]], set[str]]:
+    """The page's length of text outside links, and for each node: that length, its text in links, whether it holds an article or main, and whether it is comments that go.
+
+    Then each node's words and attributes, and the words that mark over half of
+    the text. Comments count for none of these lengths, if they go.
+    """
+    order, todo = [], [(root, False)]
+    marks: dict[int, tuple[set[str], dict[str, str]]] = {}
+    own: dict[int, list] = {}
     while todo:
-        node = todo.pop()
+        node, linked = todo.pop()
+        linked = linked or node.tag == "a"
         order.append(node)
-        if node.tag not in DROPPED:
-            todo.extend(c for c in node.children if not isinstance(c, str))
-    own: dict[int, list] = {id(n): [0, False] for n in order}
+        marks[id(node)] = _marks(node)
+        length = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag not in DROPPED or node.tag == "form" else 0
+        own[id(node)] = [0, length, False, False] if linked else [length, 0, False, False]
+        if node.tag not in DROPPED or node.tag == "form":
+            todo.extend((c, linked) for c in node.children if not isinstance(c, str))
+    titled: set[int] = set()
     for node in reversed(order):
         mine = own[id(node)]
-        if node.tag == "p" or node.parent and node.parent.tag == "p":
-            mine[0] += sum(len(c) for c in node.children if isinstance(c, str))
         if node.parent:
             up = own[id(node.parent)]
-            up[0] += mine[0]
-            up[1] = up[1] or mine[1] or (node.tag in ("article", "main") and mine[0] > 0)
-    return own[id(root)][0], {k: (v[0], v[1]) for k, v in own.items()}
+            up[0], up[1] = up[0] + mine[0], up[1] + mine[1]
+            up[2] = up[2] or mine[2] or (node.tag in ("article", "main") and mine[0] > 0 and not marks[id(node)][0] & COMMENT_WORDS)
+            if node.tag == "h1" or id(node) in titled:
+                titled.add(id(node.parent))
+    said, todo = [], [root]
+    while todo:
+        for child in todo.pop().children:
+            if not isinstance(child, str) and id(child) in own:
+                if child.tag not in KEPT_TAGS and marks[id(child)][0] & COMMENT_WORDS and not own[id(child)][2] and id(child) not in titled:
+                    said.append(child)
+                else:
+                    todo.append(child)
+    if said and (own[id(root)][2] or own[id(root)][0] - sum(own[id(c)][0] for c in said) >= LEAST_BESIDE_COMMENTS):
+        for child in said:
+            own[id(child)][3], node = True, child.parent
+            while node:
+                own[id(node)][0] -= own[id(child)][0]
+                node = node.parent
+    held: dict[str, int] = {}
+    todo = [(root, frozenset())]
+    while todo:
+        node, above = todo.pop()
+        here = (marks[id(node)][0] & DROPPED_WORDS) - above if node.tag not in KEPT_TAGS else set()
+        for word in here:
+            held[word] = held.get(word, 0) + own[id(node)][0]
+        if not own[id(node)][3]:
+            todo.extend((c, above | here) for c in node.children if not isinstance(c, str) and id(c) in own)
+    total = own[id(root)][0]
+    return total, {k: tuple(v) for k, v in own.items()}, marks, {w for w, n in held.items() if n * 2 > total}
 
 
 def score(root: Node) -> list[Node]:
