@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tracemill.operators import audit, correlation, costs, metrics, retention, rules
-from tracemill.plans import report
+from tracemill.plans import report, snapshot
 from tracemill.sources import otlp
 
 HOUR = 3_600_000
@@ -98,3 +98,16 @@ def test_settings_audit(spark):
 def test_export(spark, tmp_path):
     report.export({"a": spark.range(3), "b": spark.range(1)}, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "a")).count() == 3
+
+
+def test_all_rules_on_completed_snapshots(spark, sf):
+    have = snapshot.project_snapshots(spark, sf).where("project_id in (1, 2)").withColumns({"sessions": F.lit(4).cast("long"), "tests": F.lit(9).cast("long"), "files_per_session": F.lit(4.0), "changed_unverified": F.lit(2).cast("long")})
+    commands = spark.createDataFrame([(1, "npx vitest --all")] * 3 + [(1, "ls"), (2, "npm run build")], "project_id long, command string")
+    paths = spark.createDataFrame([(1, "/app/.env"), (1, "/app/a.py"), (2, "/app/b.py")], "project_id long, path string")
+    texts = spark.createDataFrame([(1, "mail to someone@example.com"), (2, "nothing")], "project_id long, text string")
+    settings = spark.createDataFrame([(1, True, 400, 0, 5, True, False)], "project_id long, full_local boolean, retention_days int, broad_exclusions int, exclusions int, beyond_loopback boolean, external_provider boolean")
+    full = snapshot.complete(have, commands, paths, texts, settings)
+    got = {(r["project_id"], r["rule_id"]): r["evidence"] for r in rules.evaluate(full, min_confidence=0.0).collect()}
+    seven = ("TOOLS-004", "VERIFY-006", "WORKFLOW-004", "SECURITY-001", "SECURITY-002", "CONFIG-001", "CONFIG-002")
+    assert [got.get((1, r)) for r in seven] == [3, 2, 9, 1, 1, 5, 5]
+    assert [got.get((2, r)) for r in seven] == [None, None, 9, None, None, None, None]

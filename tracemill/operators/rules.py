@@ -77,7 +77,8 @@ def evaluate(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[st
     """Candidates of all rules in one pass: project_id, rule_id, severity, confidence, evidence, fingerprint.
 
     overrides: by rule id, "enabled" and thresholds. Of rules with one id the last
-    counts. A rule whose columns the snapshots lack is left out.
+    counts. A rule whose columns the snapshots lack is an error; snapshot.complete
+    gives the columns of all.
     """
     overrides = overrides or {}
     chosen = [r for r in {r.id: r for r in rules}.values() if overrides.get(r.id, {}).get("enabled", True)]

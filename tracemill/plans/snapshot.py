@@ -37,3 +37,24 @@ def project_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in (flow, repeats, totals, tokens, said, models):
         out = out.join(part, "project_id", "left")
     return out.na.fill(0)
+
+
+SETTINGS = {"full_local": False, "retention_days": 0, "broad_exclusions": 0, "exclusions": 0, "beyond_loopback": False, "external_provider": False}
+
+
+def complete(snapshots: DataFrame, commands: DataFrame, paths: DataFrame, texts: DataFrame, settings: DataFrame) -> DataFrame:
+    """snapshots with the columns that the rest of rules.RULES read, so that all of them can be evaluated.
+
+    commands (project_id, command), paths (project_id, path) that were touched,
+    texts (project_id, text) that were captured, settings (project_id and the
+    columns of SETTINGS, one row for a project). What a project lacks is zero or
+    false.
+    """
+    ran = commands.select("project_id", *(c.alias(n) for n, c in text.command_columns(F.col("command")).items()))
+    ran = ran.groupBy("project_id").agg(F.count_if((F.col("classification") == "test") & (F.col("scope") == "broad")).alias("broad_tests"), F.count_if(F.col("classification") == "build").alias("builds"))
+    touched = paths.groupBy("project_id").agg(F.count_if(text.sensitive_kind(F.col("path")).isNotNull()).alias("sensitive_ops"))
+    found = texts.groupBy("project_id").agg(F.sum(F.size(text.markers(text.redact(F.col("text"), emails=True)))).cast("long").alias("secret_findings"))
+    out = snapshots
+    for part in (ran, touched, found, settings.select("project_id", *SETTINGS)):
+        out = out.join(part, "project_id", "left")
+    return out.na.fill({"broad_tests": 0, "builds": 0, "sensitive_ops": 0, "secret_findings": 0} | SETTINGS)
