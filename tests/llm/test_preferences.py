@@ -53,3 +53,12 @@ def test_query_against_sql(spark):
     got = sorted(map(tuple, pf.op8_preferences(spark, sf).select(*columns).collect()))
     duckdb.execute(f"create or replace view conversations as select * from '{sf}/conversations.parquet'")
     assert got == sorted(duckdb.execute(pf.SQL).fetchall())
+
+
+def test_null_turn_is_in_both_conversations(spark, tmp_path):
+    rows = [(c, t, "user", f"{c if t else 0} {t}") for c in (0, 1) for t in (None, 1, 2, 3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from tracemill.llm.preferences import op8_preferences
+
+    got = [r["part"] for r in op8_preferences(spark, str(tmp_path)).where("place is null or place < 0").collect()]
+    assert got == ["prompt", "prompt"]

@@ -72,8 +72,9 @@ def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation, chosen, against the one that leaves it after 1 to 4 turns for its neighbour's (ids 2k and 2k + 1)."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     cut = 1 + F.pmod("pair_id", F.lit(4))
-    start = turns.where(F.col("turn") < cut)
-    other = turns.withColumn("pair_id", F.col("pair_id") + 1 - 2 * F.pmod("pair_id", F.lit(2))).where(F.col("turn") >= cut)
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))  # a null turn is the first
+    start = turns.where(at < cut)
+    other = turns.withColumn("pair_id", F.col("pair_id") + 1 - 2 * F.pmod("pair_id", F.lit(2))).where(at >= cut)
     known = turns.select("pair_id").distinct()
     return format_pairs(turns, start.unionByName(other.join(known, "pair_id", "left_semi")))
 
