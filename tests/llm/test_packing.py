@@ -74,7 +74,7 @@ def check(rows, texts):
 
 
 def test_hard_texts(spark):
-    odd = ["", None, "  ", "Don't STOP,. we're <|endoftext|> é É é ΣΑΣ x y a\x1cb 12,5. İ", "w" * 9000, "a, " * 6000, "x.", "ﬁ ﬀ. Ǆ,"]
+    odd = ["", None, "  ", "Don't STOP,. we're <|endoftext|> é É é ΣΑΣ x y a\x1cb 12,5. İ", "w" * 9000, "a, " * 6000, "x.", "ﬁ ﬀ. Ǆ,", "İ, İ. a", "İ\u0327. e\u0301, E\u0301. \u0301x y\u00a0z \u00a0 \u2028 ŉ. ſ, K. ß! don't!! l'an's 's x's,", "a<|endoftext|>b <|startoftext|>, <|endoftext|>.", "\n\n \t\x0b\x0c\r"]
     texts = [*enumerate(odd), (0, ""), (3, odd[3]), (None, "null id")]
     df = spark.createDataFrame([(i, t, "clash", 5) for i, t in texts], "doc_id long, text string, length string, part int")
     check(packing.pack_documents(df).collect(), texts)

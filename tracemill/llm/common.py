@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], mb: int = 16, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batches that Spark hands to a Python worker, cut smaller: texts take several times their size while they are worked on."""
+    for b in batches:
+        step = max(1, min(rows, (mb << 20) * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     """Bound what a Python worker gets at once, in rows and in bytes: some texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

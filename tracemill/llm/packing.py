@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -13,20 +12,23 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, small_batches, table
+from tracemill.llm.common import materialise, sliced, table
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths above this share of the capacity are large.
 LARGE_SHARE = 1 / 3
 GROUPS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
-#: Most words that a Python worker remembers; beyond that it starts afresh.
-WORDS_KEPT, CORES_KEPT, LONG_WORD = 300_000, 500_000, 64
-RUN_BYTES = 1 << 19
+#: Words of one encoding call; its tokens are taken out before the next.
+WORDS_AT_ONCE, SLICE_MB = 20_000, 16
+#: Plain letters, and ASCII marks other than the apostrophe: the tokenizer folds case in a run of letters, and parts it from a run of marks.
+LETTERS, MARKS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]", r"[!-&(-/:-@\[-`{-~]"
+PLAIN = f"^(?P<head>{LETTERS}+)(?P<tail>{MARKS}*)$"
 
 
 def default_tokenizer() -> str:
@@ -39,69 +41,67 @@ class WordTokens:
     """Token ids of texts, word by word.
 
     The tokenizer drops white space and lets no token cross it, so the ids of a
-    text are those of its words in turn. Words come again and again; their ids,
-    as little-endian 32-bit bytes, are remembered in two bounded tables: whole
-    words, and what is left of them without capitals and a last stop or comma
-    (the tokenizer folds case and cuts there too).
+    text are those of its words in turn. Of many texts at once each distinct word
+    is encoded once, without case and marks where PLAIN fits; the ids of the
+    texts are then gathered by place. Nothing is kept from one call to the next.
     """
 
     def __init__(self, tokenizer_json: str):
-        assert sys.byteorder == "little" and array("I").itemsize == 4
+        assert sys.byteorder == "little"
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _core(word: str) -> tuple[str, str]:
-        core, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        return (core.lower(), mark) if core.isalpha() and max(core) < "ɐ" else (word, "")
-
-    def _learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
-        parts = [self._core(w.decode("utf-8", "replace")) for w in unknown]
-        new = list({c for c, _ in parts if c not in self.cores})
-        if len(self.cores) + len(new) > CORES_KEPT:
-            self.cores = {}
-            new = list({c for c, _ in parts})
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            self.cores.update(zip(some, self._encode(some), strict=True))
-        return {w: self.cores[c] + (self.marks[m] if m else b"") for w, (c, m) in zip(unknown, parts, strict=True)}
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers; unknown words of some texts are learnt at once."""
-        for some in _runs(texts, RUN_BYTES):
-            if len(self.words) > WORDS_KEPT:
-                self.words = {}
-            split = [t.split() for t in some]
-            known = self.words
-            if unknown := [w for w in set().union(*split) if w not in known]:
-                known.update(self._learn(unknown))
-            for words in split:
-                yield b"".join(map(known.__getitem__, words))
-            for w in unknown:
-                if len(w) > LONG_WORD:
-                    del known[w]
-                    self.cores.pop(self._core(w.decode("utf-8", "replace"))[0], None)
-
-
-def _runs(texts: list[bytes | None], size: int) -> Iterator[list[bytes]]:
-    """texts in turn, as many at once as have about size bytes; null is empty."""
-    some, total = [], 0
-    for t in texts:
-        some.append(t or b"")
-        total += len(some[-1])
-        if total >= size:
-            yield some
-            some, total = [], 0
-    if some:
-        yield some
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, and where those of each begin and how many they are.
+
+        A word of one run ends at its only token that ends a word, so that many
+        such words take one call; the others are encoded one by one.
+        """
+        one_run = pc.match_substring_regex(words, f"^({LETTERS}+|{MARKS}+)$").to_numpy(zero_copy_only=False)
+        order, runs = np.argsort(~one_run, kind="stable"), int(np.count_nonzero(one_run))
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words.take(pa.array(order[at : at + WORDS_AT_ONCE])).to_pylist()
+            plain = max(0, min(len(some), runs - at)) if self.ends.any() else 0
+            found = np.array(self.tokenizer.encode_batch_fast([some[:plain]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[found])
+            if len(last) != plain:
+                raise ValueError("the tokenizer doesn't end each word with one token that ends words")
+            rest = [e.ids for e in self.tokenizer.encode_batch_fast(some[plain:], add_special_tokens=False)]
+            ids += [found, np.array([i for e in rest for i in e], np.uint32)]
+            lengths += [np.diff(last, prepend=-1), np.array([len(e) for e in rest], np.int64)]
+        back, sizes = np.argsort(order), np.concatenate(lengths)
+        return np.concatenate(ids), (np.cumsum(sizes) - sizes)[back], sizes[back]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and where each text ends; null is empty."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary
+        plain = pc.extract_regex(known, PLAIN)
+        fits = plain.is_valid()
+        heads, tails = pc.if_else(fits, pc.utf8_lower(plain.field("head")), known), pc.if_else(fits, plain.field("tail"), "")
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        pool, starts, lengths = self._encode(parts.dictionary)
+        both = parts.indices.to_numpy().reshape(2, -1).T.ravel()
+        pool, lengths = _gather(pool, starts, lengths, both), lengths[both].reshape(-1, 2).sum(axis=1)
+        pool, lengths = np.append(pool, np.uint32(END_ID)), np.append(lengths, 1)
+        ends = split.offsets.to_numpy()[1:]
+        order = np.insert(words.indices.to_numpy(), ends, len(known))
+        return _gather(pool, np.cumsum(lengths) - lengths, lengths, order), np.cumsum(lengths[order])[ends + np.arange(len(ends))]
+
+
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of pool, one after the other in the given order."""
+    sizes = lengths[order]
+    return pool[np.repeat(starts[order] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -111,28 +111,27 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacit
     pack(), and hold once the result is written.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     with open(tokenizer_path or default_tokenizer(), encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
-    end, size = np.array([END_ID], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = _encoder(model), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b in batches:
+        for b in sliced(batches, SLICE_MB):
+            ids, ends = encoder.encode(b.column(1))
             rows: list[tuple] = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), size)):
-                    piece = ids[at : at + size]
-                    n = len(piece) // 4
-                    rows.append((doc_id, k, at // 4, n, zlib.crc32(piece), part, int(seen[n])))
+            first = 0
+            for doc_id, end in zip(b.column(0).to_pylist(), ends.tolist(), strict=True):
+                for k, at in enumerate(range(first, end, capacity)):
+                    n = min(capacity, end - at)
+                    rows.append((doc_id, k, at - first, n, zlib.crc32(ids[at : at + n]), part, int(seen[n])))
                     seen[n] += 1
+                first = end
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(run, PIECES)
 
 
 _ENCODERS: dict[int, WordTokens] = {}
@@ -304,7 +303,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     The driver sees one count for each length, at most capacity of them, and
     sends back the plan, whose size depends on the capacity alone. A piece's rank
     among those of its length is its number within its task plus the pieces that
-    earlier tasks have; only those counts are put in order.
+    earlier tasks have; only those counts are put in order. There are as many
+    counts as tasks times lengths, so they are joined by merging, not broadcast.
     """
     spark = pieces.sparkSession
     per_task = materialise(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
@@ -313,7 +313,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     rows = np.array(sorted(planned.rows), np.int64).reshape(-1, 5)
     starts = spark.sparkContext.broadcast((rows[:, 0] << 48 | rows[:, 1], rows))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(per_task.select("length", "part", before.alias("before")), ["length", "part"])
+    ranked = pieces.join(per_task.select("length", "part", before.alias("before")).hint("merge"), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
