@@ -10,10 +10,11 @@ from collections.abc import Collection, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, small_batches, table, text_hash
+from tracemill.llm.common import materialise, sliced, table, text_hash
 
 #: Common words of four languages; chains start at them.
 ANCHORS = frozenset(
@@ -24,8 +25,9 @@ ANCHORS = frozenset(
 )
 CHAIN = 2
 TOKEN = re.compile(r"\w+")
-#: Bytes of text that one range of neighbouring documents holds.
-RANGE_BYTES = 16 << 20
+#: Bytes of text that a range of neighbouring documents holds, as long as there are no more ranges than that; a task streams its range.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 4000
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, n_edited_signatures long"
 
 
 def signatures(text: str, anchors: Collection[str] = ANCHORS, chain: int = CHAIN) -> frozenset[int]:
@@ -77,10 +79,8 @@ def likeness(a: frozenset[int], b: frozenset[int], threshold: float = 0.0) -> fl
 
 def fingerprints(docs: DataFrame, anchors: Collection[str] = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """doc_id, fingerprint and the signatures (array of long) of every row; null counts as empty."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             sets = [signatures(t or "", anchors, chain) for t in b.column(1).to_pylist()]
             values = [np.sort(np.fromiter(s, np.uint64, len(s)).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fingerprint, sets), pa.string()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "signatures"])
@@ -88,75 +88,73 @@ def fingerprints(docs: DataFrame, anchors: Collection[str] = ANCHORS, chain: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, signatures array<long>")
 
 
-def with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Rows (bucket, guest, doc_id, th, text): within a bucket, in order, each row's next document follows it.
-
-    Documents are cut into ranges of doc_id. The first document of each range is
-    sent to the range before it too, as a guest that ends it, so that no task
-    needs to see more than its own range. The driver holds the ranges' bounds and
-    first ids, two numbers for range_bytes of text.
-    """
-    spark = docs.sparkSession
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, math.ceil(total / range_bytes))
-    cuts = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else None
-    bounds = np.unique(np.array(cuts or [], np.int64))
-
-    @F.pandas_udf("int")
-    def bucket_of(keys):
-        import pandas as pd
+def _compared(doc_id: int | None, text: str, mine: frozenset[int], after: str, theirs: frozenset[int], anchors: Collection[str], chain: int) -> tuple:
+    """A row of RESULT: a document against its edited text and the next document."""
+    half = len(text) // 2
+    edited = text[: len(text) - half] + after[:half]
+    changed = signatures(edited, anchors, chain)
+    return doc_id, len(text), hashlib.sha256(edited.encode("utf-8")).hexdigest(), fingerprint(mine), fingerprint(changed), likeness(mine, changed), likeness(mine, theirs), len(mine), len(changed)
 
-        return pd.Series(-np.searchsorted(bounds, keys.to_numpy(np.int64), side="left"), dtype="int32")
 
-    placed = rows.withColumn("bucket", bucket_of("key"))
-    # the first of a range: the largest doc_id, then the least text hash
-    heads = materialise(placed.groupBy("bucket").agg(F.max_by(F.struct("key", "th"), F.struct("key", -F.col("th").cast("decimal(20,0)"))).alias("head")), "spots-heads")
-    order = [(r["bucket"], r["head"]["key"], r["head"]["th"]) for r in heads.orderBy("bucket").collect()]
-    guests = [(key, th, order[i - 1][0]) for i, (_, key, th) in enumerate(order)]
-    ends = spark.createDataFrame(guests, "key long, th long, before int")
-    both = placed.join(F.broadcast(ends), ["key", "th"], "left")
-    sent = F.filter(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))), lambda x: x["bucket"].isNotNull())
-    dealt = both.select("key", "doc_id", "th", "text", F.explode(sent).alias("to")).select("to.bucket", "to.guest", "key", "doc_id", "th", "text")
-    return dealt.repartition(max(len(order), 1), "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "th").select("bucket", "guest", "doc_id", "th", "text")
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
 def edited_fingerprints(docs: DataFrame, anchors: Collection[str] = ANCHORS, chain: int = CHAIN, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Fingerprint of every document, and of its text with the last half replaced.
+    """Fingerprint of every document, and of its text with the last half replaced; the columns of RESULT.
 
     The last floor(n/2) of a text's n code points give way to the first as many
     of the next document (all, if it has fewer). The next document is that of the
-    next lower doc_id; the last is followed by the first. Columns: doc_id,
-    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, n_signatures, n_edited_signatures. A null text is empty. Rows of
-    one doc_id follow each other by text hash, and a null doc_id ranks lowest. A
-    table of one row is its own next document; an empty one gives no rows.
+    next lower doc_id; the last is followed by the first. A null text is empty.
+    Rows of one doc_id follow each other by text hash, and a null doc_id ranks
+    lowest. A table of one row is its own next document; an empty one gives no
+    rows. Other columns are ignored.
+
+    Documents are dealt once, into ranges of doc_id and text hash, so that rows
+    of one id are split too; only rows that repeat both stay together. A task
+    streams its range in order and hands its first and last document to a second
+    step, which compares each range's last with the next one's first: two
+    documents for a range, of which there are at most MOST_RANGES.
     """
-    small_batches(docs.sparkSession, 500)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
+    spark = docs.sparkSession
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(MOST_RANGES, max(1, math.ceil(total / range_bytes)))
+    order = [F.desc("key"), F.asc("th")]
+    dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    schema = f"{RESULT}, range_no int, edge string, text string"
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, blank = TaskContext.get().partitionId(), None, (None,) * 8
+        for b in sliced(batches):
             out: list[tuple] = []
-            for bucket, guest, doc_id, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                if last and last[0] == bucket and not last[1]:
-                    found = signatures(text, anchors, chain)
-                    _, _, own_id, own, mine = last
-                    half = len(own) // 2
-                    edited = own[: len(own) - half] + text[:half]
-                    changed = signatures(edited, anchors, chain)
-                    out.append((own_id, len(own), hashlib.sha256(edited.encode("utf-8")).hexdigest(), fingerprint(mine), fingerprint(changed), likeness(mine, changed), likeness(mine, found), len(mine), len(changed)))
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = signatures(text, anchors, chain)
+                if last:
+                    out.append((*_compared(*last, text, found, anchors, chain), here, None, None))
                 else:
-                    found = signatures(text, anchors, chain)
-                last = (bucket, guest, doc_id, text, found)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures", "n_edited_signatures"]
-            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, n_edited_signatures long"
-    return with_next(docs, range_bytes).mapInArrow(run, schema)
+                    out.append((doc_id, *blank, here, "first", text))
+                last = (doc_id, text, found)
+            yield _table(out, schema)
+        if last:
+            yield _table([(last[0], *blank, here, "last", last[1])], schema)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield _table([_compared(i, t, signatures(t, anchors, chain), a, signatures(a, anchors, chain), anchors, chain) for i, t, a in rows], RESULT)
+
+    found = materialise(dealt.mapInArrow(stream, schema), "spots-ranges")
+    firsts, lasts = (found.where(F.col("edge") == e) for e in ("first", "last"))
+    filled = sorted(r[0] for r in firsts.select("range_no").collect())
+    after = spark.createDataFrame(list(zip(filled, filled[1:] + filled[:1])), "range_no int, next_no int")
+    met = lasts.join(after, "range_no").join(firsts.select(F.col("range_no").alias("next_no"), F.col("text").alias("after")), "next_no")
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    return found.where("edge is null").select(*names).unionByName(met.select("doc_id", "text", "after").mapInArrow(across, RESULT))
 
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
