@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise
+from tracemill.llm.common import discard, materialise
 
 
 def _large_star(edges: DataFrame, label: str) -> DataFrame:
@@ -40,5 +40,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         size, total = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if size == 0 or (size, total) == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = (size, total)
-        now = materialise(_small_star(materialise(_large_star(now, label), label), label), label)
+        seen, before = (size, total), now
+        half = materialise(_large_star(now, label), label)
+        now = materialise(_small_star(half, label), label)
+        discard(before)
+        discard(half)

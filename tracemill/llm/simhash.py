@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, small_batches, table, text_hash
+from tracemill.llm.common import materialise, table, text_hash
 from tracemill.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -37,8 +37,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and th (hash of the text), a row for each row."""
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64) if len(b) else np.zeros(0, np.int64)
@@ -48,48 +46,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, th long, fp long")
 
 
-def _byte(fp: Column, position: int) -> Column:
-    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(255)
-
-
-def shared_bytes(a: Column, b: Column) -> Column:
-    """The tally: at how many of the eight positions two fingerprints hold the same byte."""
-    return sum(((_byte(a, i) == _byte(b, i)).cast("int") for i in range(8)), F.lit(0))
+#: The six pairs of the four blocks of two bytes, and the byte positions of each as a mask.
+SLOTS = [(i, j, 3 << 2 * i | 3 << 2 * j) for i, j in combinations(range(4), 2)]
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """The inverted index over byte positions: (slot, bytes, fp).
+    """The inverted index over byte positions: (positions, bytes, fp).
 
-    Two fingerprints that differ in two bits share six positional bytes or more.
-    The eight positions form four blocks of two; of any such pair at least two
-    blocks agree whole, so each of the six posting lists that a fingerprint is
-    entered in holds four positional bytes. A list of one positional byte would
-    hold every 256th fingerprint, and its pairs grow with the square of the input.
+    An entry holds the four bytes at the positions of one of SLOTS. A list of one
+    positional byte would hold every 256th fingerprint, and its pairs grow with
+    the square of the input.
     """
     blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    entries = [F.struct(F.lit(n).alias("slot"), F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]).alias("bytes")) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select(F.col("e.slot").alias("slot"), F.col("e.bytes").alias("bytes"), "fp")
+    entries = [F.struct(F.lit(mask).alias("positions"), F.shiftleft(blocks[i], 16).bitwiseOR(blocks[j]).alias("bytes")) for i, j, mask in SLOTS]
+    return fps.select("fp", F.explode(F.array(*entries)).alias("e")).select("e.positions", "e.bytes", "fp")
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Edges (a, b) that join every two of the distinct fingerprints within max_bits (at most 2) bits.
 
-    Posting lists of up to list_limit fingerprints give their pairs; a pair needs
-    the guaranteed 8 - max_bits equal positional bytes, then its bits are counted.
-    Longer lists give no pairs: each fingerprint of such a list is entered under
-    itself and its 64 one-bit neighbours. Two fingerprints meet under a common
-    value exactly if they differ in two bits or fewer, no value has over 65
-    fingerprints, and a link to the least of them keeps what they reach.
+    A bit that differs takes one block of two bytes out of what two fingerprints
+    share, so that 8 - 2 * max_bits positional bytes are shared at least, in
+    whole blocks. Posting lists of up to list_limit fingerprints give the pairs
+    that they hold; the positions of a pair's common entries are tallied, pairs
+    that reach the guaranteed number are kept, and their bits are counted.
+
+    Longer lists give no pairs, whatever the input's size: each fingerprint of
+    such a list is entered under itself and its 64 one-bit neighbours. Two
+    fingerprints meet under a common value exactly if they differ in two bits or
+    fewer, no value has over 65 fingerprints, and a link to the least of them
+    keeps what they reach. Both ways are exact, and a link is found by either.
     """
     if not 1 <= max_bits <= 2:
         raise ValueError("max_bits is 1 or 2")
     index = materialise(postings(fps), "simhash-postings")
-    sizes = materialise(index.groupBy("slot", "bytes").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")
-    sized = index.join(sizes, ["slot", "bytes"])
-    short = materialise(sized.where(F.col("size") <= list_limit).select("slot", "bytes", "fp"), "simhash-short")
+    sizes = materialise(index.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")
+    sized = index.join(sizes, ["positions", "bytes"])
+    short = materialise(sized.where(F.col("size") <= list_limit).select("positions", "bytes", "fp"), "simhash-short")
     left, right = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    pairs = left.join(right, ["slot", "bytes"]).where("a < b")
-    pairs = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+    common = left.join(right, ["positions", "bytes"]).where("a < b").groupBy("a", "b").agg(F.bit_or("positions").alias("shared"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    pairs = common.where(F.bit_count("shared") >= 8 - 2 * max_bits).where(near).select("a", "b")
     crowded = sized.where(F.col("size") > list_limit).select("fp").distinct()
     around = crowded.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("near"))
     if max_bits == 2:
