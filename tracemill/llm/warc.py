@@ -14,16 +14,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import fresh_path, materialise, small_batches, table
+from tracemill.llm.common import fresh_path, materialise, table
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 100
-#: Most records in an archive; an archive is read by one task.
-ARCHIVE_RECORDS = 2000
+#: An archive is read by one task: most records in it, and about how many bytes before compression.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 2000, 128 << 20
 #: Index entries that one task merges.
 RANGE_ENTRIES = 20_000
-#: Captures without a time of their own count one second for each page_id from here.
-EPOCH = 1_704_067_200
+#: Captures have no time of their own; they get a second of the year that begins here, by a hash of their page_id.
+EPOCH, YEAR_S = 1_704_067_200, 31_622_400
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "run string, seq long, url_key string, captured_at string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, length long"
 
@@ -58,7 +58,7 @@ def records(found: DataFrame) -> DataFrame:
     fields: list[tuple[str, Column]] = [
         ("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         ("WARC-Record-ID", record_id(F.col("page_id"), F.col("payload_digest"))),
-        ("WARC-Date", F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        ("WARC-Date", F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.lit(EPOCH) + F.pmod(F.xxhash64("page_id"), F.lit(YEAR_S))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
@@ -73,9 +73,15 @@ def records(found: DataFrame) -> DataFrame:
     return found.select(F.concat(lines, F.lit("\r\n\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT) -> None:
-    """Gzipped WARC files under path, a record for each row of pages (page_id, url, html)."""
-    records(captures(pages, least_revisit)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Gzipped WARC files under path, a record for each row of pages (page_id, url, html).
+
+    The mean size of a payload says how many records an archive holds, so that
+    archives of large pages have few.
+    """
+    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    most = max(1, min(ARCHIVE_RECORDS, int(archive_bytes / (mean + 1000))))
+    records(captures(pages, least_revisit)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
@@ -121,8 +127,6 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
     The payload's length and digest are those of the bytes read back, for a
     response; they have to agree with its header.
     """
-    small_batches(spark)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
