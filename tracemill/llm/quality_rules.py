@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import samples, textstats
 from tracemill.llm.boosting import Trees, fit
-from tracemill.llm.common import small_batches, table
+from tracemill.llm.common import materialise, sliced, table, text_hash
 
 #: Most labelled rows that the trees are fitted on.
 FIT_ROWS = 20_000
@@ -23,18 +24,28 @@ COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows: int = FIT_ROWS) -> Trees:
     """Trees that tell good documents (label 1) from bad, fitted on at most fit_rows labelled rows."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [textstats.statistics(t)[1] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "order"])
 
-    taken = samples.labelled(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, target, fit_rows)
-    got = taken.select("text", "y").mapInArrow(run, "x array<double>, y int").collect()
-    rows = np.array([r["x"] for r in got], np.float64).reshape(-1, len(textstats.FEATURES))
+    known = materialise(samples.labels(labels, target), "rules-labels")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", text_hash()).alias("order"))
+    taken = rows.join(samples.some(known, fit_rows), "doc_id").select("text", "y", "order").mapInArrow(run, "x array<double>, y int, order long")
+    got = samples.bounded(taken, fit_rows).collect()
+    found = np.array([r["x"] for r in got], np.float64).reshape(-1, len(textstats.FEATURES))
     monotone = np.array([-(f in FALLING) for f in textstats.FEATURES], np.int64)
-    return fit(rows, np.array([r["y"] for r in got], np.float64), monotone)
+    return fit(found, np.array([r["y"] for r in got], np.float64), monotone)
+
+
+def verdicts(texts: list[str | None], trees: Trees, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base statistics, whether the base rules fail, whether a text is kept, and its score."""
+    both = [textstats.statistics(t) for t in texts]
+    base = np.array([x for x, _ in both], np.int64).reshape(-1, 5)
+    score = trees.probability(np.array([f for _, f in both], np.float64).reshape(-1, len(textstats.FEATURES)))
+    failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT * base[:, 0])
+    return base, failed, ~failed & (score >= threshold), score
 
 
 def judge(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
@@ -46,17 +57,12 @@ def judge(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFr
     Repeated rows each get a row, a null doc_id stays null, other columns are
     ignored, an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(trees)
+    model = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [textstats.statistics(t) for t in b.column(1).to_pylist()]
-            base = np.array([x for x, _ in both], np.int64).reshape(-1, 5)
-            score = model.value.probability(np.array([f for _, f in both], np.float64).reshape(-1, len(textstats.FEATURES)))
-            failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT * base[:, 0])
-            columns = [b.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
+        for b in sliced(batches):
+            base, failed, kept, score = verdicts(b.column(1).to_pylist(), model.value, threshold)
+            columns = [b.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(kept), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *textstats.BASE, "base_failed", "kept", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
@@ -64,18 +70,11 @@ def judge(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFr
 
 def passes(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that judge() keeps."""
-    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("boolean")
-    def kept(texts):
-        import pandas as pd
-
-        both = [textstats.statistics(t) for t in texts]
-        base = np.array([x for x, _ in both], np.int64).reshape(-1, 5)
-        score = model.value.probability(np.array([f for _, f in both], np.float64).reshape(-1, len(textstats.FEATURES)))
-        failed = (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT * base[:, 0])
-        return pd.Series(~failed & (score >= threshold))
+    def kept(texts: pd.Series) -> pd.Series:
+        return pd.Series(verdicts(list(texts), model.value, threshold)[2])
 
     return docs.where(kept(F.col("text").cast("string")))
 

@@ -1,35 +1,31 @@
-"""Bounded samples of labelled and unlabelled documents, for fitting."""
+"""Bounded samples of labelled documents, for fitting."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import text_hash, unit_interval
+from tracemill.llm.common import unit_interval
 
 #: Of the bound, what is asked for: the number that a hash takes varies a little.
 AIM = 0.9
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
-    """At most bound rows of docs that have a label, with it as y (0 or 1).
+def labels(table: DataFrame, target: str) -> DataFrame:
+    """(doc_id, y): one label, 0 or 1, for each doc_id.
 
-    Labels are taken by a hash of their doc_id, so that only about bound of them
-    are broadcast to the documents. A doc_id with several labels gets the more
-    frequent one (1 in a tie); null labels and null ids are no labels.
+    A doc_id with several gets the more frequent one (1 in a tie); null labels
+    and null ids are no labels.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("y"))
-    total = known.count()
-    taken = known.where(unit_interval("_id") < AIM * bound / max(total, 1))
-    joined = docs.join(F.broadcast(taken), docs["doc_id"].cast("long") == taken["_id"]).drop("_id")
-    return joined.orderBy(F.xxhash64("doc_id", text_hash())).limit(bound)
-
-
-def unlabelled(docs: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
-    """At most bound rows of docs whose doc_id has no label."""
-    total = docs.count()
-    taken = docs.where(unit_interval("doc_id", text_hash()) < AIM * bound / max(total, 1))
-    known = labels.where(F.col(target).isNotNull()).select(F.col("doc_id").cast("long").alias("_id"))
-    free = taken.join(known, taken["doc_id"].cast("long") == known["_id"], "left_anti")
-    return free.orderBy(F.xxhash64("doc_id", text_hash())).limit(bound)
+    known = table.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull())
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(F.col(target).cast("double")) >= 0.5).cast("int").alias("y"))
+
+
+def some(known: DataFrame, bound: int) -> DataFrame:
+    """About bound labels of known, taken by a hash of their doc_id; few enough to be broadcast."""
+    return F.broadcast(known.where(unit_interval("doc_id") < AIM * bound / max(known.count(), 1)))
+
+
+def bounded(rows: DataFrame, bound: int) -> DataFrame:
+    """At most bound rows, those first by their column order: a doc_id may have any number of rows. Rows should be small."""
+    return rows.orderBy("order").limit(bound)
