@@ -107,3 +107,69 @@ def test_queries_return_every_row(spark, sf):
         assert r["base_failed"] == (n < 10 or 100 * repeat > 20 * n)
         assert not (r["base_failed"] and r["kept"])
     assert len(rows) == len(docs) == cotraining.op3_cotraining(spark, sf).count()
+
+
+def numpy_surest(text, metadata, handed):
+    """What cotraining.fit() asks Spark for, over arrays; handed gets every row that a view is surest of."""
+    order = np.arange(len(text), dtype=np.int64)
+
+    def surest(views, good, bad, taken):
+        free = np.array([i for i in order if i not in taken], np.int64)
+        p = views.scores(text[free], metadata[free])
+        out = {}
+        for v, label, at in cotraining.top(p, order[free], good, bad):
+            out[(v, label)] = (free[at], text[free[at]], metadata[free[at]])
+            handed.append((v, label, free[at]))
+        return out
+
+    return surest
+
+
+def two_views(n, labelled, seed=4):
+    """Rows of which both views tell the class: the text by two statistics, the metadata by source and length; labels for some."""
+    rnd = np.random.default_rng(seed)
+    y = (rnd.random(n) < 0.5).astype(float)
+    text = np.zeros((n, cotraining.STATISTICS + cotraining.WORD_BUCKETS))
+    text[:, 0] = y + rnd.normal(0, 0.6, n)
+    text[:, 1] = -y + rnd.normal(0, 0.6, n)
+    source = np.where(rnd.random(n) < 0.8, y, 1 - y) * 8 + rnd.integers(0, 8, n)
+    metadata = cotraining.metadata_features(source, np.zeros(n), 50 + 400 * y + rnd.normal(0, 180, n))
+    return text, metadata, y, rnd.random(labelled) < 0.5
+
+
+def test_both_views_hand_rows_over_and_gain():
+    k, gains, rounds = 120, [], 0
+    for seed in range(6):
+        text, metadata, y, held = two_views(4000, k, seed)
+        handed = []
+        alone, _ = cotraining.co_train(text[:k], metadata[:k], y[:k], held, numpy_surest(text[k:3000], metadata[k:3000], []), rounds=0)
+        views, log = cotraining.co_train(text[:k], metadata[:k], y[:k], held, numpy_surest(text[k:3000], metadata[k:3000], handed), handed=100)
+        given = [x for each in log for x in each]
+        assert {v for v, _ in given} == {0, 1} and {label for _, label in given} == {0, 1}
+        rounds = max(rounds, len(log))
+        right = lambda m, i: ((m.scores(text[3000:], metadata[3000:])[:, i] > 0.5) == (y[3000:] > 0.5)).mean()  # noqa: B023, E731
+        gains.append([right(views, i) - right(alone, i) for i in range(3)])
+    assert rounds > 1 and (np.mean(gains, axis=0) > 0).all(), gains
+
+
+def test_no_row_is_handed_over_twice_and_a_view_that_cannot_tell_hands_nothing():
+    text, metadata, y, held = two_views(3000, 1000)
+    metadata = np.random.default_rng(0).permutation(metadata)
+    handed = []
+    _, log = cotraining.co_train(text[:1000], metadata[:1000], y[:1000], held, numpy_surest(text[1000:], metadata[1000:], handed), handed=50)
+    assert log and all(v == 0 for each in log for v, _ in each)
+    taken = [i for v, _, rows in handed[: 4 * len(log)] if v == 0 for i in rows.tolist()]
+    assert len(taken) == len(set(taken))
+
+
+def test_columns_named_as_its_own_and_ids_at_both_ends(spark):
+    docs, some, _ = split(spark)
+    own = "y x order view label away size doc score kept text_score known".split()
+    ends = [(-(1 << 63), "a b"), ((1 << 63) - 1, "c d")]
+    df = docs.select("doc_id", "text", "source", "lang", "n_chars", *(F.lit(f"mine {c}").alias(c) for c in own if c != "size"), F.lit("mine size").alias("size"))
+    df = df.unionByName(spark.createDataFrame(ends, "doc_id long, text string"), allowMissingColumns=True)
+    for module in (cotraining, quality_rules):
+        model = module.train(df, some)
+        kept = module.passes(df, model)
+        assert kept.columns == df.columns and {r["y"] for r in kept.where("y is not null").collect()} == {"mine y"}
+    assert {-(1 << 63), (1 << 63) - 1} <= {r["doc_id"] for r in cotraining.score(df, cotraining.train(df, some)).collect()}
