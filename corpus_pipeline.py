@@ -29,16 +29,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     join with the chosen keys.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    key = F.struct(F.col("doc_id").isNull().alias("_void"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id"), F.col("th").alias("_th"))
+    key = F.struct(F.col("doc_id").isNull().alias("void"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("th"))
     chosen = materialise(found.groupBy("root").agg(F.min(key).alias("k")).select("k.*"), "pipeline-chosen")
-    keys = {"_void": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_th": text_hash()}
-    distinct = docs.withColumns(keys).dropDuplicates([*keys])
-    return distinct.join(chosen, [*keys], "left_semi").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("void"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_hash().alias("th"))
+    return keyed.dropDuplicates(["void", "id", "th"]).join(chosen, ["void", "id", "th"], "left_semi").select("row.*")
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines, sentences and passages that an earlier one has."""
-    return substring_dedup.dedup(docs, passage_words=substring_dedup.PASSAGE_WORDS).select(*docs.columns)
+    """Documents without the lines and passages that an earlier one has."""
+    return substring_dedup.dedup(docs, min_words=substring_dedup.LINE_WORDS, passage_words=substring_dedup.PASSAGE_WORDS).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

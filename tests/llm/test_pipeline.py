@@ -6,7 +6,7 @@ import corpus_pipeline
 from tests.llm.test_packing import check
 from tests.llm.test_simhash import groups, slow_fingerprint
 from tests.llm.test_substring_dedup import brute
-from tracemill.llm import cotraining, quality_rules, textstats
+from tracemill.llm import cotraining, quality_rules, substring_dedup, textstats
 
 SF = "/root/testdata/sf0.01"
 
@@ -42,7 +42,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
     order = sorted(kept[2])
     at = groups([slow_fingerprint(kept[2][i]["text"]) for i in order])
     assert {order[i] for i in at} == set(kept[3])
-    cut = brute([(i, kept[3][i]["text"]) for i in kept[3]])
+    cut = brute([(i, kept[3][i]["text"]) for i in kept[3]], least=substring_dedup.LINE_WORDS, run=substring_dedup.PASSAGE_WORDS)
     assert {i: r["text"] for i, r in kept[4].items()} == {i: t for i, (t, _) in cut.items()}
     check(docs.collect(), [(i, r["text"]) for i, r in kept[4].items()])
 

@@ -9,82 +9,85 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, small_batches, table, text_hash
+from tracemill.llm.common import materialise, sliced, table, text_hash
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-#: Units of fewer words are left alone: short ones come again by chance in documents that share nothing.
-MIN_WORDS, MIN_SENTENCE_WORDS = 10, 8
-#: A space after an end mark parts sentences.
-SENTENCE = re.compile(r"(?<=[.!?]) ")
+#: In production shorter lines stay: they come again by chance, or as set phrases, in documents that share nothing else.
+LINE_WORDS = 25
 SPACE = " \t\n\v\f\r"
 TEXT_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Runs of so many words are found wherever they lie; each has an anchor of so many words.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 16
 BLOCK_WORDS, KNOWN_WORDS = 50_000, 200_000
-UNIT = "rank long, th long, nth int, sub int, start long, end long, digest binary"
-WHOLE = -1
-
-
-def split_units(text: str, separator: str) -> Iterator[tuple[int, int, int, int, str]]:
-    """(nth, sub, start, end, content) of every unit with sub WHOLE, each followed by its sentences."""
-    start = 0
-    for nth, line in enumerate(text.split(separator)):
-        yield nth, WHOLE, start, start + len(line), line
-        at = start
-        for sub, sentence in enumerate(SENTENCE.split(line)):
-            yield nth, sub, at, at + len(sentence), sentence
-            at += len(sentence) + 1
-        start += len(line) + len(separator)
-
-
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS) -> DataFrame:
-    """(rank, th, nth, sub, start, end, digest) of every unit, and sentence in one, that has words enough.
-
-    start and end are code points of the original text, nth the unit's number,
-    sub the sentence's in it, or WHOLE. Both are normalised to lower case, one
-    space between words and none around; words end at ASCII white space. digest
-    has 128 bits, units and sentences apart. rank is doc_id, or the largest long
-    where that is null.
+UNIT = "rank long, th long, nth int, start long, end long, digest binary"
+
+
+def split_units(text: str, separator: str) -> Iterator[tuple[int, int, int, str]]:
+    """(nth, start, end, content) of every unit that has a word; the places leave out white space around the words."""
+    at = 0
+    for nth, unit in enumerate(text.split(separator)):
+        if body := unit.strip(SPACE):
+            start = at + unit.index(body[0]) if unit[0] in SPACE else at
+            yield nth, start, start + len(body), body
+        at += len(unit) + len(separator)
+
+
+def _words(text: str) -> list[bytes]:
+    """The words of a text, in lower case; they end at ASCII white space."""
+    return text.lower().encode("utf-8", "surrogatepass").split()
+
+
+def units(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
+    """The columns of UNIT for every unit of min_words words or more.
+
+    start and end are code points of the original text, nth is the unit's number.
+    A unit is normalised to lower case, one space between words and none around;
+    digest has 128 bits. rank is doc_id, or the largest long where that is null.
     """
-    small_batches(docs.sparkSession)
     separator = SEPARATORS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in UNIT.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for b in batches:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        for b in sliced(batches):
             out: list[tuple] = []
             for rank, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for nth, sub, start, end, content in split_units(text or "", separator):
-                    words = content.lower().encode("utf-8", "surrogatepass").split()
-                    if len(words) >= (min_words if sub == WHOLE else min_sentence_words):
-                        person = b"unit" if sub == WHOLE else b"sentence"
-                        out.append((rank, th, nth, sub, start, end, hashlib.blake2b(b" ".join(words), digest_size=16, person=person).digest()))
+                for nth, start, end, content in split_units(text or "", separator):
+                    words = _words(content)
+                    if len(words) >= min_words:
+                        out.append((rank, th, nth, start, end, hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    rows = docs.select(_rank(), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, UNIT)
+    return _rows(docs).mapInArrow(run, UNIT)
 
 
-def _rank() -> F.Column:
+def _rank() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank")
 
 
-def repeats(found: DataFrame) -> DataFrame:
-    """(rank, th, gone) for documents with something to remove; gone is in order of place.
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(_rank(), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
 
-    The earliest occurrence of a digest, by rank, text hash and place, stays. Its
-    place is an aggregate, made before the shuffle; the join has one row for a
-    digest on one side, so that a very common unit's rows can be split.
+
+def later(found: DataFrame, place: Column, label: str, keep: Column | None = None) -> DataFrame:
+    """Rows of found whose digest an earlier place has, but for those that keep holds for (it may name first).
+
+    The earliest place is an aggregate, made before the shuffle; the join has one
+    row for a digest on one side, so that a very common one's rows can be split.
     """
-    place = F.struct("rank", "th", "nth", "sub")
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    later = found.join(materialise(first, "dedup-first"), "digest").where(place != F.col("first"))
-    return later.groupBy("rank", "th").agg(F.array_sort(F.collect_set(F.struct("nth", "sub", "start", "end"))).alias("gone"))
+    return found.join(materialise(first, label), "digest").where((place != F.col("first")) if keep is None else ~keep)
+
+
+def repeats(found: DataFrame) -> DataFrame:
+    """(rank, th, gone): the places of the units to remove, for documents that have any; the earliest by rank, text hash and place stays."""
+    rows = later(found, F.struct("rank", "th", "nth"), "dedup-first")
+    return rows.groupBy("rank", "th").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
 
 
 class _Hashes(dict):
@@ -93,7 +96,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found
 
 
@@ -103,7 +106,7 @@ def anchors(text: str, least: int, known: _Hashes) -> Iterator[tuple[int, np.nda
     A run's anchor is the group of ANCHOR_WORDS words in it with the least hash,
     so that equal runs have equal anchors, whatever surrounds them.
     """
-    words = text.lower().encode("utf-8", "surrogatepass").split()
+    words = _words(text)
     runs, span = len(words) - least + 1, min(ANCHOR_WORDS, least)
     for lo in range(0, runs, BLOCK_WORDS):
         part = words[lo : min(runs, lo + BLOCK_WORDS) + least - 1]
@@ -122,52 +125,59 @@ def passages(docs: DataFrame, least: int = PASSAGE_WORDS) -> DataFrame:
     Places are in order of rank, text hash and word; a run that overlaps the first
     of its kind in the same text stays. Words are normalised as in units. Anchors
     that come once are left out first, so that only runs around repeated anchors
-    are hashed (128 bits) and shuffled.
+    are hashed (128 bits) and shuffled. Of documents with one text only the
+    earliest is searched; the runs of the others are null, which stands for all.
     """
-    small_batches(docs.sparkSession)
     keys = [("rank", pa.int64()), ("th", pa.int64())]
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        schema = pa.schema([*keys, ("anchor", pa.int64())])
-        for b in batches:
-            for i, text in enumerate(b.column(2)):
-                for _, _, at, found in anchors(text.as_py() or "", least, known):
-                    found = found[np.flatnonzero(np.diff(at, prepend=-1))]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(found)), pa.repeat(b.column(1)[i], len(found)), pa.array(found)], schema=schema)
+        known, schema = _Hashes(), pa.schema([*keys, ("anchor", pa.int64())])
+        for b in sliced(batches):
+            found, sizes = [np.zeros(0, np.int64)], []
+            for text in b.column(2).to_pylist():
+                each = [f[np.flatnonzero(np.diff(at, prepend=-1))] for _, _, at, f in anchors(text or "", least, known)]
+                found += each
+                sizes.append(sum(map(len, each)))
+            rank, th = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(th), pa.array(np.concatenate(found))], schema=schema)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        schema = pa.schema([*keys, ("word", pa.int32()), ("digest", pa.binary())])
-        for b in batches:
-            for i, text in enumerate(b.column(2)):
-                again = b.column(3)[i].values.to_numpy(zero_copy_only=False)
-                for lo, hashes, _, found in anchors(text.as_py(), least, known):
-                    data, at = memoryview(hashes.tobytes()), np.flatnonzero(np.isin(found, again))
-                    digests = [hashlib.blake2b(data[8 * x : 8 * (x + least)], digest_size=16).digest() for x in at.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(0)[i], len(at)), pa.repeat(b.column(1)[i], len(at)), pa.array(at + lo, pa.int32()), pa.array(digests, pa.binary())], schema=schema)
-
-    rows = docs.select(_rank(), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+        known, schema, digest = _Hashes(), pa.schema([*keys, ("word", pa.int32()), ("digest", pa.binary())]), xxhash.xxh3_128_digest
+        for b in sliced(batches, 4):
+            words, digests, sizes = [np.zeros(0, np.int64)], [], []
+            for text, again in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                before = len(digests)
+                for lo, hashes, _, found in anchors(text, least, known):
+                    data, at = memoryview(hashes.tobytes()), np.flatnonzero(np.isin(found, again.values.to_numpy()))
+                    digests += [digest(data[8 * x : 8 * (x + least)]) for x in at.tolist()]
+                    words.append(at + lo)
+                sizes.append(len(digests) - before)
+            rank, th = (np.repeat(b.column(i).to_numpy(), sizes) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(th), pa.array(np.concatenate(words), pa.int32()), pa.array(digests, pa.binary())], schema=schema)
+
+    rows, key = _rows(docs), ["rank", "th"]
+    whole = rows.select(*key, F.md5(F.col("text").cast("binary")).alias("digest")).where("digest is not null")
+    copies = materialise(later(whole, F.struct(*key), "dedup-texts").select(*key).distinct(), "dedup-copies")
     all_anchors = materialise(rows.mapInArrow(anchored, "rank long, th long, anchor long"), "dedup-anchors")
     more = all_anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    again = all_anchors.join(materialise(more, "dedup-repeated"), "anchor").groupBy("rank", "th").agg(F.collect_set("anchor").alias("again"))
-    near = rows.join(materialise(again, "dedup-again"), ["rank", "th"]).select("rank", "th", "text", "again")
+    again = all_anchors.join(materialise(more, "dedup-repeated"), "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("again"))
+    again = materialise(again.join(copies, key, "left_anti"), "dedup-again")
+    near = rows.join(again, key).select(*key, "text", "again")
     found = materialise(near.mapInArrow(hashed, "rank long, th long, word int, digest binary"), "dedup-runs")
-    place = F.struct("rank", "th", "word")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     overlaps = (F.col("first.rank") == F.col("rank")) & (F.col("first.th") == F.col("th")) & (F.col("word") - F.col("first.word") < least)
-    later = found.join(materialise(first, "dedup-first-runs"), "digest").where(~overlaps)
-    return later.groupBy("rank", "th").agg(F.array_sort(F.collect_set("word")).alias("runs"))
+    gone = later(found, F.struct("rank", "th", "word"), "dedup-first-runs", keep=overlaps)
+    return gone.groupBy(*key).agg(F.collect_set("word").alias("runs")).unionByName(copies.withColumn("runs", F.lit(None).cast("array<int>")))
 
 
-def cut_runs(text: str, places: list[dict], runs: list[int], least: int) -> tuple[str, list[dict]]:
-    """text without the places and the runs of least words that begin at the words numbered in runs, and what was cut, merged.
+def cut(text: str, places: list[tuple[int, int]], runs: list[int] | None, least: int) -> tuple[str, list[dict]]:
+    """text without the places and the runs of least words that begin at the words numbered in runs (null: at every word), and what was cut, merged.
 
     Of the white space around a cut the side with more line ends stays, neither at the text's ends.
     """
-    words = [(m.start(), m.end()) for m in TEXT_WORD.finditer(text)]
+    words = [(m.start(), m.end()) for m in TEXT_WORD.finditer(text)] if runs is None or runs else []
     spans: list[list[int]] = []
-    for lo, hi in sorted([(p["start"], p["end"]) for p in places] + [(words[r][0], words[r + least - 1][1]) for r in runs]):
+    runs = range(len(words) - least + 1) if runs is None else runs
+    for lo, hi in sorted([*places, *((words[r][0], words[r + least - 1][1]) for r in runs)]):
         if spans and (lo <= spans[-1][1] or not text[spans[-1][1] : lo].strip(SPACE)):
             spans[-1][1] = max(hi, spans[-1][1])
         else:
@@ -183,93 +193,77 @@ def cut_runs(text: str, places: list[dict], runs: list[int], least: int) -> tupl
     return out, [{"start": lo, "end": hi} for lo, hi in spans]
 
 
-def cut(text: str, gone: list[tuple[int, int]], separator: str) -> tuple[str, list[dict]]:
-    """text without the units and sentences in gone, and the places that were cut; a unit left with no sentence goes."""
-    out, places, lost = [], [], set(gone)
-    line: list[str] = []
-    whole = False
-    for nth, sub, start, end, content in split_units(text, separator):
-        if sub == WHOLE:
-            if line:
-                out.append(" ".join(line))
-            line, whole = [], (nth, WHOLE) in lost
-            if whole:
-                places.append({"start": start, "end": end})
-        elif not whole:
-            if (nth, sub) in lost:
-                places.append({"start": start, "end": end})
-            else:
-                line.append(content)
-    if line:
-        out.append(" ".join(line))
-    return separator.join(out), places
-
-
-def dedup(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS, passage_words: int | None = None) -> DataFrame:
-    """docs with text cut, and removed: the cut places [start, end) in the original text.
-
-    Of equal units over all documents, and within one, that of the least doc_id
-    (then text hash, then place) stays; the same for equal sentences in what is
-    left, so that a passage put into another line is found too. The text that is
-    left is the other units in order. All rows and columns stay; a text of which
-    all is cut is empty, a null text null, with nothing removed. Rows that repeat
-    both doc_id and text are one document and are cut alike. A null doc_id ranks
-    last. An empty table gives no rows. A column of docs named removed is
-    replaced.
+def dedup(docs: DataFrame, unit: str = "line", min_words: int = 1, passage_words: int | None = None) -> DataFrame:
+    """docs with text cut, and removed: the cut places [start, end) in the original text, in order.
+
+    Of equal units (lines or paragraphs) of min_words words or more over all
+    documents, and within one, that of the least doc_id (then text hash, then
+    place) stays. Places that only white space parts are one. All rows and
+    columns stay; a text of which all is cut is empty, a null text null, with
+    nothing removed. Rows that repeat both doc_id and text are one document and
+    are cut alike. A null doc_id ranks last. An empty table gives no rows. A
+    column of docs named removed is replaced; any other name may be there.
 
     With passage_words, every run of so many words that an earlier place of the
-    original texts has goes as well, wherever lines and sentences end.
+    original texts has goes as well, wherever lines end.
     """
-    found = materialise(units(docs, unit, min_words, min_sentence_words), "dedup-units")
-    gone = materialise(repeats(found), "dedup-gone")
-    gone = gone.select(F.col("rank").alias("_rank"), F.col("th").alias("_th"), F.transform("gone", lambda g: g["nth"]).alias("_nth"), F.transform("gone", lambda g: g["sub"]).alias("_sub"))
-    docs, separator = docs.drop("removed"), SEPARATORS[unit]
-    keyed = docs.withColumns({"_r": _rank(), "_t": text_hash()})
-    joined = keyed.join(gone, (F.col("_r") == F.col("_rank")) & (F.col("_t") == F.col("_th")), "left")
-    runs = F.lit(None).cast("array<int>")
+    rows = docs.drop("removed").select(F.struct("*").alias("row"), _rank(), text_hash().alias("th"))
+    inner = docs.select("doc_id", "text")
+    gone = materialise(repeats(materialise(units(inner, unit, min_words), "dedup-units")), "dedup-gone")
+    joined = rows.join(gone, ["rank", "th"], "left").withColumns({"hit": F.lit(False), "runs": F.lit(None).cast("array<int>")})
     if passage_words:
-        more = materialise(passages(docs, passage_words), "dedup-passages").toDF("_prank", "_pth", "_runs")
-        joined, runs = joined.join(more, (F.col("_r") == F.col("_prank")) & (F.col("_t") == F.col("_pth")), "left"), F.col("_runs")
+        more = materialise(passages(inner, passage_words).withColumn("hit", F.lit(True)), "dedup-passages")
+        joined = joined.drop("hit", "runs").join(more, ["rank", "th"], "left")
 
     @F.pandas_udf("struct<text: string, removed: array<struct<start: bigint, end: bigint>>>")
-    def trimmed(text: pd.Series, nth: pd.Series, sub: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        both = [(t, []) if n is None else cut(t, list(zip(n.tolist(), s.tolist())), separator) for t, n, s in zip(text, nth, sub)]
-        both = [b if r is None else cut_runs(t, b[1], r.tolist(), passage_words) for t, b, r in zip(text, both, runs)]
+    def trimmed(text: pd.Series, gone: pd.Series, hit: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        places = ([(x["start"], x["end"]) for x in g] if g is not None else [] for g in gone)
+        starts = (None if h and r is None else [] if r is None else r.tolist() for h, r in zip(hit == True, runs))  # noqa: E712
+        both = [(t, []) if t is None else cut(t, p, r, passage_words or 1) for t, p, r in zip(text, places, starts)]
         return pd.DataFrame({"text": [t for t, _ in both], "removed": [p for _, p in both]}, dtype=object)
 
-    small_batches(docs.sparkSession)
-    done = joined.withColumn("_cut", trimmed(F.col("text").cast("string"), "_nth", "_sub", runs))
-    return done.select(*(F.col("_cut.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.col("_cut.removed").alias("removed"))
+    done = joined.select("row", trimmed(F.col("row.text").cast("string"), "gone", "hit", "runs").alias("cut"))
+    return done.select(F.col("row").withField("text", F.col("cut.text")).alias("row"), F.col("cut.removed").alias("removed")).select("row.*", "removed")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=LINE_WORDS, passage_words=PASSAGE_WORDS)
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"])), ",")
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
-_NORM = r"trim(regexp_replace(lower({}), '[\x20\x09-\x0D]+', ' ', 'g'))"
 SQL = rf"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS nth FROM documents
+WITH split AS (
+  SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS parts FROM documents)
 ), placed AS (
-  SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, {_NORM.format("line")} AS norm FROM lines
-), ranked AS (
-  SELECT *, len(string_split(norm, ' ')) >= {MIN_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nth) > 1 AS gone, string_split(regexp_replace(line, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS parts FROM placed
-), sentences AS (
-  SELECT doc_id, nth, start, gone, unnest(parts) AS sentence, unnest(range(len(parts))) AS sub FROM ranked
-), sized AS (
-  SELECT *, start + coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id, nth ORDER BY sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins, {_NORM.format("sentence")} AS norm FROM sentences
-), judged AS (
-  SELECT *, len(string_split(norm, ' ')) >= {MIN_SENTENCE_WORDS} AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, nth, sub) > 1 AS lost FROM sized
-), places AS (
-  SELECT doc_id, CAST(start AS BIGINT) AS lo, CAST(start + length(line) AS BIGINT) AS hi FROM ranked WHERE gone
-  UNION ALL SELECT doc_id, CAST(begins AS BIGINT), CAST(begins + length(sentence) AS BIGINT) FROM judged WHERE lost AND NOT gone
+  SELECT *, part NOT SIMILAR TO '[\x20\x09-\x0D]+' AS word, sum(length(part)) OVER o - length(part) AS start, sum(len(string_split(part, chr(10))) - 1) OVER o AS line, lag(part) OVER o AS before, lead(part) OVER o AS after
+  FROM split WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+), words AS (
+  SELECT doc_id, lower(part) AS norm, part, start, start + length(part) AS stop, line, coalesce(before, '') AS before, coalesce(after, '') AS after, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM placed WHERE word
+), lines AS (
+  SELECT doc_id, line, count(*) AS size, string_agg(norm, ' ' ORDER BY n) AS norm FROM words GROUP BY 1, 2
+), gone_lines AS (
+  SELECT doc_id, line FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, line) AS nth FROM lines WHERE size >= {LINE_WORDS}) WHERE nth > 1
+), texts AS (
+  SELECT doc_id, list(norm ORDER BY n) AS ws FROM words GROUP BY 1
+), runs AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1 : i + {PASSAGE_WORDS}], ' ')) AS digest FROM (SELECT doc_id, ws, unnest(range(len(ws) - {PASSAGE_WORDS - 1})) AS i FROM texts WHERE len(ws) >= {PASSAGE_WORDS})
+), firsts AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(i) OVER w AS first_i FROM runs WINDOW w AS (PARTITION BY digest ORDER BY doc_id, i)
+), gone_runs AS (
+  SELECT doc_id, i AS n FROM firsts WHERE doc_id <> first_doc OR i - first_i >= {PASSAGE_WORDS}
+), marked AS (
+  SELECT w.*, g.doc_id IS NOT NULL OR coalesce(max(r.n) OVER (PARTITION BY w.doc_id ORDER BY w.n ROWS BETWEEN {PASSAGE_WORDS - 1} PRECEDING AND CURRENT ROW), -1) >= 0 AS gone, max(w.n) OVER (PARTITION BY w.doc_id) AS last
+  FROM words w LEFT JOIN gone_lines g USING (doc_id, line) LEFT JOIN gone_runs r ON w.doc_id = r.doc_id AND w.n = r.n
+), islands AS (
+  SELECT doc_id, min(start) AS lo, max(stop) AS hi FROM (SELECT *, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM marked WHERE gone) GROUP BY doc_id, island
 ), removed AS (
-  SELECT doc_id, count(*) AS n_removed, string_agg(lo || '-' || hi, ',' ORDER BY lo) AS removed FROM places GROUP BY 1
-), kept_lines AS (
-  SELECT doc_id, nth, string_agg(sentence, ' ' ORDER BY sub) AS line FROM judged WHERE NOT lost AND NOT gone GROUP BY 1, 2
-), kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) AS kept FROM kept_lines GROUP BY 1)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.removed, '') AS removed
-FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+  SELECT doc_id, count(*) AS n_removed, string_agg(CAST(lo AS BIGINT) || '-' || CAST(hi AS BIGINT), ',' ORDER BY lo) AS removed FROM islands GROUP BY 1
+), kept AS (
+  SELECT *, lag(n) OVER o AS before_n, lag(after) OVER o AS left_gap, lead(n) OVER o IS NULL AS final FROM marked WHERE NOT gone WINDOW o AS (PARTITION BY doc_id ORDER BY n)
+), joined AS (
+  SELECT doc_id, string_agg(CASE WHEN n = coalesce(before_n, -1) + 1 THEN before WHEN before_n IS NULL THEN '' WHEN len(string_split(before, chr(10))) > len(string_split(left_gap, chr(10))) THEN before ELSE left_gap END || part || CASE WHEN final AND n = last THEN after ELSE '' END, '' ORDER BY n) AS left_over FROM kept GROUP BY 1
+)
+SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN d.text ELSE coalesce(j.left_over, '') END AS text, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.removed, '') AS removed
+FROM documents d LEFT JOIN removed r USING (doc_id) LEFT JOIN joined j USING (doc_id)
 """
