@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import small_batches, table
+from tracemill.llm.common import sliced, table
 
 SPACE = "▁"
 #: What a character that no piece covers costs below the worst piece.
@@ -229,12 +229,11 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     vocabulary, whatever the input.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared, key = spark.sparkContext.broadcast(tables(model)), model or ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, key)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = [np.frombuffer(codec.encode(t), "<i4") for t in texts]
             same = [codec.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
@@ -249,12 +248,11 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids give a null text."""
     spark = encoded.sparkSession
-    small_batches(spark)
     shared, key = spark.sparkContext.broadcast(tables(model)), model or ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, key)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if i is None else codec.decode(i) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
