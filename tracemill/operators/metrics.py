@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import text
+from tracemill.operators.medians import attach
+
 REPEAT_THRESHOLD = 3
 DAY_MS = 86_400_000
 
 
-def usage(sessions: DataFrame) -> DataFrame:
-    """Sessions, active days, rates and durations. Rates take the active days, at least one, as the window."""
-    days = F.greatest(F.count_distinct(F.floor(F.col("started_at") / DAY_MS)), F.lit(1))
-    n = F.count(F.lit(1))
-    return sessions.rollup("project_id").agg(
-        n.alias("sessions"), days.alias("active_days"), F.round(n / days, 6).alias("per_day"), F.round(n / F.greatest(days / 7, F.lit(1 / 7)), 6).alias("per_week"), F.round(n / F.greatest(days / 30, F.lit(1 / 30)), 6).alias("per_month"),
-        F.median("duration_ms").alias("median_ms"), F.sum("duration_ms").alias("total_ms"), F.round(F.sum("prompts") / n, 6).alias("prompts_per_session"), F.round(F.sum("tool_calls") / n, 6).alias("tools_per_session"),
-        F.sum("compactions").alias("compactions"), F.count_if(F.col("completion") == "completed").alias("completed"), F.count_if(F.col("completion") == "failed").alias("failed"), F.count_if(F.col("completion") == "interrupted").alias("interrupted"),
+def usage(sessions: DataFrame, window_days: float | None = None) -> DataFrame:
+    """Sessions, active days, rates, durations, and how much of the durations is known, by project and over all.
+
+    Rates are over window_days, or the active days (one at least). Days are
+    summed up first, so that distinct days are counted over few rows.
+    """
+    total = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    when = lambda state: F.count_if(F.col("completion") == state).alias(state)
+    daily = sessions.groupBy("project_id", F.floor(F.col("started_at") / DAY_MS).alias("day")).agg(
+        F.count(F.lit(1)).alias("sessions"), F.count("duration_ms").alias("timed"), *map(total, ("duration_ms", "prompts", "tool_calls", "compactions")), when("completed"), when("failed"), when("interrupted"),
     )
+    n, days = F.sum("sessions"), F.greatest(F.count_distinct("day"), F.lit(1))
+    span = F.lit(float(window_days)) if window_days else days
+    out = daily.rollup("project_id").agg(
+        n.alias("sessions"), days.alias("active_days"), F.round(n / span, 6).alias("per_day"), F.round(n / F.greatest(span / 7, F.lit(1 / 7)), 6).alias("per_week"), F.round(n / F.greatest(span / 30, F.lit(1 / 30)), 6).alias("per_month"),
+        F.sum("duration_ms").alias("total_ms"), F.round(F.sum("duration_ms") / F.sum("timed"), 6).alias("mean_ms"), _coverage(F.sum("timed"), n).alias("duration_provenance"), F.round(F.sum("prompts") / n, 6).alias("prompts_per_session"), F.round(F.sum("tool_calls") / n, 6).alias("tools_per_session"),
+        F.sum("compactions").alias("compactions"), F.sum("completed").alias("completed"), F.sum("failed").alias("failed"), F.sum("interrupted").alias("interrupted"), (n - F.sum("completed") - F.sum("failed") - F.sum("interrupted")).alias("unknown"),
+    )
+    return attach(out, sessions, "project_id", median_ms="duration_ms")
+
+
+def _coverage(known: F.Column, all_of: F.Column) -> F.Column:
+    """What a figure rests on: exact if all rows have a value, inferred if some, unknown if none."""
+    return F.when(known == 0, "unknown").when(known < all_of, "inferred").otherwise("exact")
 
 
 def token_totals(requests: DataFrame) -> DataFrame:
@@ -58,13 +76,14 @@ def workflow(activity: DataFrame) -> DataFrame:
     """Verification and edit metrics, by project and over all."""
     s = session_workflow(activity)
     verified, wrote = F.col("verifications") > 0, F.col("writes") > 0
-    return s.rollup("project_id").agg(
+    out = s.rollup("project_id").agg(
         F.round(F.sum("written") / F.count(F.lit(1)), 6).alias("files_per_session"), F.round(F.sum("reads") / F.nullif(F.sum("writes"), F.lit(0)), 6).alias("read_write_ratio"), F.sum("verifications").alias("verification_runs"),
         F.count_if(wrote & ~verified).alias("changed_unverified"), F.count_if((F.col("written") >= 3) & (F.col("verify_kinds") <= 1)).alias("narrow_only"),
         F.count_if(verified & F.col("last_success") & (F.col("last_event") == "purchase")).alias("ended_verified"), F.count_if(verified & (~F.col("last_success") | (F.col("last_event") == "error"))).alias("ended_failed"),
-        F.count_if(verified & (F.col("last_write") > F.col("last_verify"))).alias("changed_after_verification"), F.median(F.col("first_write") - F.col("started_at")).alias("median_to_first_edit"),
-        F.median(F.when(verified, F.col("next_verify") - F.col("last_write"))).alias("median_edit_to_verification"), F.sum("corrective_prompts").alias("corrective_prompts"),
+        F.count_if(verified & (F.col("last_write") > F.col("last_verify"))).alias("changed_after_verification"), F.sum("corrective_prompts").alias("corrective_prompts"),
     )
+    gaps = s.select("project_id", (F.col("first_write") - F.col("started_at")).alias("to_edit"), F.when(verified, F.col("next_verify") - F.col("last_write")).alias("to_verify"))
+    return attach(out, gaps, "project_id", median_to_first_edit="to_edit", median_edit_to_verification="to_verify")
 
 
 def touched_between_reads(activity: DataFrame) -> DataFrame:
@@ -110,3 +129,36 @@ def timeline(sources: dict[str, tuple[int, DataFrame]]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("position", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "rank", "id")).cast("long"))
+
+
+#: Order of event tables at one time; prompts lie ten apart by their number.
+RANKS = {"prompt": 0, "model": 1, "tool": 2, "file": 3, "command": 4, "verification": 5, "compaction": 6}
+
+
+def session_timeline(prompts: DataFrame, requests: DataFrame, calls: DataFrame, files: DataFrame, commands: DataFrame, verifications: DataFrame, compactions: DataFrame) -> DataFrame:
+    """The seven tables of events in one: session_id, ts, kind, label, position; by time, then by table, prompts by their number."""
+    part = lambda df, kind, label, rank=None: df.select("session_id", "ts", F.lit(kind).alias("kind"), F.col(label).cast("string").alias("label"), (F.lit(RANKS[kind]) if rank is None else rank).cast("long").alias("rank"))
+    parts = [
+        part(prompts, "prompt", "content_hash", F.col("sequence") * 10), part(requests, "model", "message_id"), part(calls, "tool", "call_id"), part(files, "file", "id"), part(commands, "command", "id"), part(verifications, "verification", "id"), part(compactions, "compaction", "trigger"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = Window.partitionBy("session_id").orderBy("ts", "rank", "kind", "label")
+    return out.withColumn("position", F.row_number().over(order).cast("long")).drop("rank")
+
+
+def sensitive_access(files: DataFrame) -> DataFrame:
+    """Paths that hold secrets and were worked on (project_id, session_id, path, path_hash, operation): kind, operations, sessions, operations seen, by path."""
+    rows = files.withColumn("kind", text.sensitive_kind(F.col("path"))).where("kind is not null")
+    found = rows.groupBy("project_id", "path_hash").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("operations"), F.count_distinct("session_id").alias("sessions"), F.array_sort(F.collect_set("operation")).alias("operations_seen"))
+    return found.withColumn("kind", text.sensitive_kind(F.col("path"))).orderBy(F.desc("operations"), "path_hash")
+
+
+def secret_markers(texts: list[DataFrame]) -> DataFrame:
+    """Markers that redaction left in texts (session_id, text), all tables together: label, category, how many, in how many sessions."""
+    rows = texts[0].select("session_id", "text")
+    for t in texts[1:]:
+        rows = rows.unionByName(t.select("session_id", "text"))
+    found = rows.select("session_id", F.explode(text.markers(F.col("text"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("session_id").alias("sessions"))
+    return found.select("label", text.category(F.col("label")).alias("category"), "findings", "sessions").orderBy(F.desc("findings"), "label")
