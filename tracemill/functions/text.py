@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Patterns and word lists that results depend on.
@@ -40,6 +41,11 @@ BROAD = r"\b(build|lint|format|install|audit|typecheck)\b|(^|\s)--all\b|\s\.\s|\
 VERIFICATION_KINDS = {"test": "unit-test", "typecheck": "type-check", "lint": "lint", "format": "format-check", "build": "build", "security-scan": "security-scan"}
 
 
+#: Category of each detector's label; other labels (custom patterns) are secrets.
+CATEGORIES = {label: category for category, label, _ in [*DETECTORS, EMAIL]}
+#: What a text must hold for any detector to fit: as it is, and in lower case.
+LITERALS = ["PRIVATE KEY-----", *"eyJ AKIA AIza ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ xox _live_ _test_ sk-proj- sk-ant- ://".split()]
+LOWER_LITERALS = "authorization bearer aws_ azure_client_secret google_application_credentials gcp_ digitalocean_token password passwd pwd secret token api_key api-key apikey private_key private-key privatekey cookie".split()
 #: A word boundary that knows ASCII words only; Java's takes letters of all scripts.
 BOUNDARY = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
 
@@ -48,15 +54,86 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", BOUNDARY)
 
 
+def valid_patterns(custom: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The custom patterns (label, regex) that compile; others are left out."""
+    compiles = SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile
+    kept = []
+    for label, pattern in custom:
+        try:
+            compiles(pattern)
+        except IllegalArgumentException:
+            continue
+        kept.append((label, pattern))
+    return kept
+
+
+def may_hold_secret(text: Column, emails: bool = False) -> Column:
+    """False only for texts that no detector fits: a search for literals, much cheaper than the patterns."""
+    lowered = F.lower(text)
+    found = [text.contains(x) for x in LITERALS] + ([text.contains("@")] if emails else []) + [lowered.contains(x) for x in LOWER_LITERALS]
+    return reduce(lambda a, b: a | b, found)
+
+
+def _rules(emails: bool, custom: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    return [(label, pattern) for _, label, pattern in DETECTORS] + ([EMAIL[1:]] if emails else []) + valid_patterns(list(custom))
+
+
 def redact(text: Column, emails: bool = False, custom: list[tuple[str, str]] = (), home: str | None = None, repo: str | None = None) -> Column:
-    """text with secrets replaced by [REDACTED:<label>], detector after detector, then custom patterns, then folders."""
-    rules = [(label, pattern) for _, label, pattern in DETECTORS] + ([EMAIL[1:]] if emails else []) + list(custom)
-    out = reduce(lambda t, r: F.regexp_replace(t, ascii_words(r[1]), f"[REDACTED:{r[0]}]"), rules, text)
+    """text with secrets replaced by [REDACTED:<label>], detector after detector, then custom patterns, then folders.
+
+    Only texts that hold a literal of some detector go through the patterns.
+    Custom patterns that don't compile are skipped.
+    """
+    out = reduce(lambda t, r: F.regexp_replace(t, ascii_words(r[1]), f"[REDACTED:{r[0]}]"), _rules(emails, custom), text)
+    out = out if custom else F.when(may_hold_secret(text, emails), out).otherwise(text)
     for path, mark in ((repo, "[REPO]"), (home, "[HOME]")):
         out = F.replace(out, F.lit(path), F.lit(mark)) if path else out
     return out
 
 
+def redaction_counts(rows: DataFrame, column: str, emails: bool = False, custom: list[tuple[str, str]] = ()) -> DataFrame:
+    """rows with column redacted, and redactions: how many of each category, as map<category, count> without zeros.
+
+    A detector sees what those before it left. It works a step at a time, so that
+    each pattern is matched twice, not once for every step after it.
+    """
+    counts: dict[str, list[str]] = {}
+    for n, (label, pattern) in enumerate(_rules(emails, custom)):
+        rows = rows.withColumn(f"_found_{n}", F.regexp_count(F.col(column), F.lit(ascii_words(pattern)))).withColumn(column, F.regexp_replace(column, ascii_words(pattern), f"[REDACTED:{label}]"))
+        counts.setdefault(CATEGORIES.get(label, "secret"), []).append(f"_found_{n}")
+    each = F.array(*(F.struct(F.lit(c).alias("key"), reduce(lambda a, b: a + b, map(F.col, names)).cast("long").alias("value")) for c, names in counts.items()))
+    return rows.withColumn("redactions", F.map_from_entries(F.filter(each, lambda e: e["value"] > 0))).drop(*(c for names in counts.values() for c in names))
+
+
+def category(label: Column) -> Column:
+    """Category of a marker's label."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))[label], F.lit("secret"))
+
+
+def secret_hash(value: Column) -> Column:
+    """Hash that tells whether two secrets are the same one, and nothing else."""
+    return F.sha2(F.concat(F.lit("secret:"), value), 256)
+
+
+def folder_of(path: Column) -> Column:
+    """Name of a project's transcript folder: its path with - for /."""
+    return F.replace(path, F.lit("/"), F.lit("-"))
+
+
+def path_of_folder(folder: Column) -> Column:
+    """The path that a transcript folder stands for, as far as it can be told: every - is a /."""
+    return F.replace(folder, F.lit("-"), F.lit("/"))
+
+
+def confidence_band(confidence: Column) -> Column:
+    return F.when(confidence >= 0.8, "high").when(confidence >= 0.5, "moderate").otherwise("low")
+
+
+def threshold(value: Column, default: float) -> Column:
+    """A threshold given as number or text; the default where it is neither."""
+    return F.coalesce(value.try_cast("double"), F.lit(float(default)))
+
+
 def markers(text: Column) -> Column:
     """Labels of the redaction markers in a text."""
     return F.regexp_extract_all(text, F.lit(r"\[REDACTED:([a-z0-9-]+)\]"), F.lit(1))
@@ -69,21 +146,29 @@ def clean_path(path: Column) -> Column:
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(parts, "/"))
 
 
-def redact_path(path: Column, home: str, repo: str) -> tuple[Column, Column]:
+def redact_path(path: Column, home: str, repo: str | None = None) -> tuple[Column, Column]:
     """Shown path, and hash of the cleaned one."""
     full = clean_path(path)
-    inside = lambda root: (full == root) | full.startswith(root + "/")
-    shown = F.when(inside(repo), F.concat(F.lit("[REPO]"), F.substr(full, F.lit(len(repo) + 1)))).when(inside(home), F.concat(F.lit("[HOME]"), F.substr(full, F.lit(len(home) + 1)))).otherwise(full)
+    shown = full
+    for root, mark in ((home, "[HOME]"), (repo, "[REPO]")):
+        if root:
+            shown = F.when((full == root) | full.startswith(root + "/"), F.concat(F.lit(mark), F.substr(full, F.lit(len(root) + 1)))).otherwise(shown)
     return shown, F.sha2(F.concat(F.lit("path:"), full), 256)
 
 
+#: Kinds of paths that hold secrets, the first that fits counts.
+SENSITIVE_PATHS = [
+    ("env-file", r"(?i)(^|/)\.env(\.|$)"), ("private-key", r"(?i)\.pem$|\.key$|id_rsa|id_ed25519|id_ecdsa"), ("ssh-directory", r"(?i)/\.ssh/"), ("cloud-credential", r"(?i)/\.aws/credentials|/\.aws/config|/\.gcp/|credentials\.json"),
+    ("secret-directory", r"(?i)/\.gnupg/|/\.config/gh/|\.netrc|\.npmrc|\.pypirc"), ("credential-file", r"(?i)credentials|secret\.|secrets\.|token\.|\.p12$|\.pfx$"),
+]
+
+
 def sensitive_kind(path: Column) -> Column:
     """Kind of a path that holds secrets, the first that fits; null for others."""
-    p = F.lower(path)
-    return (
-        F.when(p.rlike(r"(^|/)\.env($|[./])"), "env-file").when(p.rlike(r"\.(pem|key|p12|pfx)$|(^|/)id_(rsa|dsa|ecdsa|ed25519)$"), "private-key").when(p.rlike(r"(^|/)\.ssh(/|$)"), "ssh-directory")
-        .when(p.rlike(r"(^|/)\.(aws|azure|gcloud|kube)(/|$)"), "cloud-credential").when(p.rlike(r"(^|/)secrets?(/|$)"), "secret-directory").when(p.rlike(r"(^|/)(credentials?|\.netrc|\.npmrc|\.pypirc)(\.[a-z]+)?$"), "credential-file")
-    )
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(SENSITIVE_PATHS):
+        kind = F.when(path.rlike(pattern), name).otherwise(kind)
+    return kind
 
 
 def tokens(command: Column) -> Column:
@@ -138,10 +223,17 @@ def prompt_quality() -> dict[str, Column]:
     return scores | {"overall": overall}
 
 
+#: Words that make a task a review or a refactoring.
+REVIEW, REFACTOR = r"(?i)review|audit|inspect|check|look at|read through", r"(?i)refactor|clean up|restructure|rename|move"
+
+
 def task_class() -> Column:
-    """Kind of task from prompt features."""
-    review, refactor = F.lower("content").rlike(ascii_words(r"\b(review|audit|inspect)\b")), F.lower("content").rlike(ascii_words(r"\b(refactor|clean ?up|restructure)\b"))
-    return F.when(F.col("corrective") | F.col("reversal"), "debug").when(review, "review").when(refactor, "refactor").when(F.col("imperatives") > 0, "implementation").otherwise("other")
+    """Kind of task from prompt features and the column content."""
+    return F.when(F.col("corrective") | F.col("reversal"), "debug").when(F.col("content").rlike(REVIEW), "review").when(F.col("content").rlike(REFACTOR), "refactor").when(F.col("imperatives") > 0, "implementation").otherwise("other")
+
+
+def task_confidence(task: Column) -> Column:
+    return F.when(task == "other", 0.2).otherwise(0.6)
 
 
 def template_key(content: Column) -> Column:

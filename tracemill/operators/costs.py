@@ -34,10 +34,16 @@ def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def with_cost(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """requests with cost_micro (tokens x USD for a million, decimal; null without a price) and its provenance."""
+    """requests with cost_micro (decimal) and cost_provenance: reported_usd where a request states a number, else tokens x USD for a million, null without a price."""
     priced = requests.join(resolve_prices(requests, prices), "model_id", "left")
     parts = [F.coalesce(F.col(f"{r}_tokens"), F.lit(0)).cast("decimal(19,0)") * F.col(r) for r in RATES]
-    return priced.withColumn("cost_micro", sum(parts[1:], parts[0]).cast("decimal(38,4)")).withColumn("cost_provenance", F.when(F.col("cost_micro").isNull(), "unknown").otherwise("registry"))
+    said = F.lit(None).cast("decimal(38,4)")
+    if "reported_usd" in requests.columns:
+        finite = F.col("reported_usd").isNotNull() & ~F.isnan("reported_usd") & (F.abs("reported_usd") < float("inf"))
+        said = F.when(finite, (F.col("reported_usd").cast("decimal(20,6)") * 1_000_000).cast("decimal(38,4)"))
+    rows = priced.withColumns({"said_micro": said, "list_micro": sum(parts[1:], parts[0]).cast("decimal(38,4)")})
+    rows = rows.withColumn("cost_provenance", F.when(F.col("said_micro").isNotNull(), "reported").when(F.col("list_micro").isNotNull(), "registry").otherwise("unknown"))
+    return rows.withColumn("cost_micro", F.coalesce("said_micro", "list_micro")).drop("said_micro", "list_micro")
 
 
 def model_usage(requests: DataFrame) -> DataFrame:
@@ -46,10 +52,10 @@ def model_usage(requests: DataFrame) -> DataFrame:
 
 
 def cost_by_model(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """Requests, costed requests and USD of each model; null where nothing has a price."""
+    """Requests, costed requests and USD of each model; null where nothing has a price. The provenance is the strongest: reported, registry, unknown."""
     costed = with_cost(requests, prices)
     usd = (F.sum("cost_micro") / F.lit(1_000_000)).cast("decimal(30,6)")
-    return costed.groupBy("model_id").agg(F.count(F.lit(1)).alias("requests"), F.count("cost_micro").alias("costed"), usd.alias("usd"), F.max("cost_provenance").alias("provenance")).orderBy(F.desc_nulls_last("usd"), "model_id")
+    return costed.groupBy("model_id").agg(F.count(F.lit(1)).alias("requests"), F.count("cost_micro").alias("costed"), usd.alias("usd"), F.min_by("cost_provenance", F.element_at(F.create_map(F.lit("reported"), F.lit(0), F.lit("registry"), F.lit(1), F.lit("unknown"), F.lit(2)), F.col("cost_provenance"))).alias("provenance")).orderBy(F.desc_nulls_last("usd"), "model_id")
 
 
 def cost_total(requests: DataFrame, prices: DataFrame) -> DataFrame:

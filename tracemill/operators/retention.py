@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
+#: Tables that only point at sessions: their rows go with a correlated session, or by their own time.
+LIVE = ("hook_events", "telemetry_events")
 
 
 def expired(sessions: DataFrame, now_ms: int, days: int) -> DataFrame:
@@ -17,14 +19,35 @@ def expired(sessions: DataFrame, now_ms: int, days: int) -> DataFrame:
 
 
 def without(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Tables (each with session_id) without the rows of those sessions; rows of no session stay."""
-    return {name: df.join(gone.select("session_id").distinct(), "session_id", "left_anti") for name, df in tables.items()}
+    """Tables without the rows of those sessions: by session_id, in LIVE by correlated_session_id; rows of no session stay."""
+    ids = gone.select("session_id").distinct()
+    key = lambda name: "correlated_session_id" if name in LIVE else "session_id"
+    return {name: df.join(ids.withColumnRenamed("session_id", key(name)), key(name), "left_anti") if key(name) in df.columns else df for name, df in tables.items()}
+
+
+def prune(tables: dict[str, DataFrame], now_ms: int, days: int) -> dict[str, DataFrame]:
+    """Tables after retention: expired sessions with all that hangs on them, and live events older than the cutoff."""
+    if days <= 0:
+        return tables
+    out = without(tables, expired(tables["sessions"], now_ms, days))
+    return {name: df.where(F.col("ts").isNull() | (F.col("ts") >= now_ms - days * DAY_MS)) if name in LIVE else df for name, df in out.items()}
 
 
 def of_project(sessions: DataFrame, project_id: int) -> DataFrame:
     return sessions.where(F.col("project_id") == project_id).select("session_id")
 
 
+def purge_project(tables: dict[str, DataFrame], project_id: int) -> dict[str, DataFrame]:
+    """Tables without a project: its row, its sessions and all that hangs on them, its recommendations."""
+    out = without(tables, of_project(tables["sessions"], project_id))
+    return {name: df.where(~F.col("project_id").eqNullSafe(F.lit(project_id))) if name in ("projects", "sessions", "recommendations") else df for name, df in out.items()}
+
+
+def purge_all(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables, empty."""
+    return {name: df.limit(0) for name, df in tables.items()}
+
+
 def summary(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table before and after, and how many went."""
     count = lambda ts: _stack({k: df.agg(F.count(F.lit(1)).alias("n")) for k, df in ts.items()})
