@@ -64,11 +64,38 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VERBS = ["npm run build", "npx vitest", "/usr/bin/git commit -m", "CI=1 pnpm lint .", "tsc --noEmit", "prettier --all", "npm audit", "yarn add", "node server start", "ls -la", "pytest test", "make compile"]
+FOLDERS = ["/app/.env", "/home/u/.ssh", "/srv/.gnupg", "/app/src", "/home/u/.aws/credentials", "/app/server.pem", "/app/secrets.d", "/home/u/.npmrc"]
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shell commands made up from the part table."""
-    verbs = ["npm run build", "npx vitest", "/usr/bin/git commit -m", "CI=1 pnpm lint .", "tsc --noEmit", "prettier --all", "npm audit", "yarn add", "node server start", "ls -la", "pytest test", "make compile"]
-    verb = F.element_at(F.array(*map(F.lit, verbs)), (F.col("p_partkey") % len(verbs) + 1).cast("int"))
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("command_id"), F.concat_ws(" ", verb, F.translate("p_name", " ", "_")).alias("command"), (F.col("p_size") % 3 != 0).alias("success"), (F.col("p_partkey") % 97).alias("session_id"))
+    verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("p_partkey") % len(VERBS) + 1).cast("int"))
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("command_id"), F.concat_ws(" ", verb, F.translate("p_name", " ", "_")).alias("command"), (F.col("p_size") % 3 != 0).alias("success"), (F.col("p_partkey") % 97).alias("session_id"), (F.col("p_partkey") % 10).alias("project_id"), F.col("p_partkey").alias("ts"),
+    )
+
+
+def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were worked on: pages' paths under folders, some of which hold secrets."""
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("page_id") % len(FOLDERS) + 1).cast("int"))
+    inner = F.concat(folder, F.lit("/../"), F.regexp_extract(folder, "([^/]+)$", 1), F.lit("/./"), F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), "/$", ""))
+    operation = F.element_at(F.array(F.lit("read"), F.lit("edit"), F.lit("write")), (F.col("page_id") % 3 + 1).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 10).alias("project_id"), (F.col("page_id") % 50).alias("session_id"), operation.alias("operation"), F.when(F.col("page_id") % 5 == 0, folder).otherwise(inner).alias("path"))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What prompts and tool inputs hold: the documents."""
+    return _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("project_id"), (F.col("doc_id") % 200).alias("session_id"), "text")
+
+
+def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration for each project, from its customers."""
+    n = F.count(F.lit(1))
+    of = _table(spark, sf_dir, "customer").groupBy((F.col("c_custkey") % 10).alias("project_id")).agg(n.alias("n"), F.sum("c_nationkey").alias("k"))
+    pick = lambda c, *values: F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
+    names = F.transform(F.sequence(F.lit(1), (F.col("k") % 7 + 1).cast("int")), lambda i: F.when(i == 3, F.lit("*/tmp")).otherwise(F.concat(F.lit("/work/p"), i.cast("string"))))
+    return of.select("project_id", pick(F.col("k"), "metadata-only", "redacted-content", "full-local").alias("mode"), (F.col("k") % 600).alias("retention_days"), names.alias("excluded"), pick(F.col("k"), "127.0.0.1", "localhost", "0.0.0.0", "10.0.0.7").alias("host"), (F.col("k") % 2 == 0).alias("analysis"), pick(F.col("k"), "none", "openai-compatible", "local-model").alias("provider"))
 
 
 DUCKDB = {
@@ -85,7 +112,11 @@ DUCKDB = {
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
     "prompts": """prompts AS (SELECT conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS sequence, text AS content,
   1704067200000 + conv_id * 3600000 + turn * 1000 AS ts FROM conversations WHERE role = 'user')""",
-    "commands": """commands AS (SELECT p_partkey AS command_id, ['npm run build', 'npx vitest', '/usr/bin/git commit -m', 'CI=1 pnpm lint .', 'tsc --noEmit', 'prettier --all', 'npm audit', 'yarn add', 'node server start', 'ls -la', 'pytest test', 'make compile'][p_partkey % 12 + 1] || ' ' || replace(p_name, ' ', '_') AS command, p_size % 3 <> 0 AS success, p_partkey % 97 AS session_id FROM part)""",
+    "commands": f"""commands AS (SELECT p_partkey AS command_id, {VERBS}[p_partkey % 12 + 1] || ' ' || replace(p_name, ' ', '_') AS command, p_size % 3 <> 0 AS success, p_partkey % 97 AS session_id, p_partkey % 10 AS project_id, p_partkey AS ts FROM part)""",
+    "touched": f"""folders AS (SELECT page_id, url, {FOLDERS}[page_id % 8 + 1] AS folder FROM pages), touched AS (SELECT page_id, page_id % 10 AS project_id, page_id % 50 AS session_id, ['read', 'edit', 'write'][page_id % 3 + 1] AS operation,
+  CASE WHEN page_id % 5 = 0 THEN folder ELSE rtrim(folder || '/' || regexp_replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/$', ''), '/') END AS path FROM folders)""",
+    "settings": """customers AS (SELECT c_custkey % 10 AS project_id, sum(c_nationkey)::BIGINT AS k FROM customer GROUP BY 1), settings AS (SELECT project_id, k % 3 = 2 AS full_local, k % 600 AS retention_days, CASE WHEN k % 7 + 1 >= 3 THEN 1 ELSE 0 END AS broad_exclusions, k % 7 + 1 AS exclusions, k % 4 >= 2 AS beyond_loopback,
+  k % 2 = 0 AND k % 3 >= 1 AS external_provider FROM customers)""",
 }
 
 

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 OWN = "tracemill.own.checkpoint.dir"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new place in spark.checkpoint.dir; in a folder of our own only where Spark runs on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(OWN, None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(OWN, named)
     return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written and read back: what several steps read is made once."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

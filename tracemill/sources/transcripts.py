@@ -9,23 +9,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions import text
+
 KINDS = ("summary", "user", "assistant", "system")
 TOKENS = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
 FILE_OPERATIONS = {"Read": "read", "Write": "write", "Edit": "edit", "MultiEdit": "edit", "NotebookEdit": "edit", "Grep": "search", "Glob": "list"}
 IMPORT_VERSION = 1
+HEAD_BYTES, SIGNATURE_CHARS = 65_536, 120
+#: How a file's project and session are told from its path.
+LAYOUT = r"/projects/([^/]+)/([^/]+)\.jsonl$"
+
+
+def discover(spark: SparkSession, root: str, extra: list[str] = (), excluded: list[str] = (), layout: str = LAYOUT, glob: str = "*.jsonl") -> DataFrame:
+    """Files (uri, project, session_id, size, mtime) below root and extra that the layout fits, but for projects below an excluded path."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load([root, *extra])
+    uri = F.col("_metadata.file_path")
+    files = found.select(uri.alias("uri"), F.regexp_extract(uri, layout, 1).alias("project"), F.regexp_extract(uri, layout, 2).alias("session_id"), F.col("_metadata.file_size").alias("size"), F.unix_millis("_metadata.file_modification_time").alias("mtime"))
+    path = text.path_of_folder(F.col("project"))
+    for prefix in excluded:
+        files = files.where(~((path == prefix) | path.startswith(prefix.rstrip("/") + "/")))
+    return files.where("session_id <> ''")
+
+
+def read_lines(spark: SparkSession, root: str, extra: list[str] = (), layout: str = LAYOUT, glob: str = "*.jsonl") -> DataFrame:
+    """(uri, session_id, line_no, offset, value) of every line that isn't blank, the unended last one too.
 
+    Files are read by Spark's own splits, not whole: lines are put in order by
+    the place of their split in the file and their place in it, within the file.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text([root, *extra])
+    lines = read.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    order = Window.partitionBy("uri").orderBy("block", "row")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumns({"line_no": F.row_number().over(order), "offset": F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))})
+    return placed.where(F.trim("value") != "").select("uri", F.regexp_extract("uri", layout, 2).alias("session_id"), "line_no", "offset", "value")
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(session_id, line_no, offset, value) of all *.jsonl below root: every line that isn't blank, the unended last one too."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    lines = files.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl$", 1).alias("session_id"), F.posexplode(F.split("value", "\n", -1)).alias("line_no", "value"))
-    before = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0)))
-    return placed.where(F.trim("value") != "").select("session_id", (F.col("line_no") + 1).alias("line_no"), "offset", "value")
+
+def head_hashes(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """files with head_hash: of the first HEAD_BYTES bytes, put together from the lines (blank ones left out) that begin there."""
+    head = lines.where(F.col("offset") < HEAD_BYTES).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("head"))
+    joined = F.concat_ws("\n", F.transform("head", lambda r: r["value"])).cast("binary")
+    return files.join(head.select("uri", F.sha2(F.substring(joined, 1, HEAD_BYTES), 256).alias("head_hash")), "uri", "left")
 
 
 def import_decisions(files: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
-    """What to do with each file (uri, size, mtime, head_hash), given what the last scan saw: action and reason."""
+    """What to do with each file (uri, size, mtime, head_hash), given what the last scan saw: action and reason. A dry run stops here."""
     s = state.select("uri", *(F.col(c).alias(f"old_{c}") for c in ("size", "mtime", "head_hash", "import_version")))
     seen = F.col("old_size").isNotNull()
     reason = (
@@ -54,80 +82,162 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def diagnostics(parsed: DataFrame) -> DataFrame:
-    return parsed.where("level is not null").select("session_id", "line_no", "level", "note")
+    """Lines with something wrong: malformed, no record, unknown kind, nothing to take a time from, a result without its use."""
+    wrong = parsed.where("level is not null").select("session_id", "line_no", "level", "note")
+    placed = _timed(parsed)
+    untimed = placed.where("ts is null").select("session_id", "line_no", F.lit("warn").alias("level"), F.when(_missing_time(), "no timestamp yet").otherwise("invalid timestamp").alias("note"))
+    orphans = tool_calls(place(parsed)).where("state = 'orphan'").select("session_id", "line_no", F.lit("warn").alias("level"), F.lit("result without a use").alias("note"))
+    return wrong.unionByName(untimed).unionByName(orphans)
 
 
-def place(parsed: DataFrame) -> DataFrame:
-    """Records in time: a missing timestamp is the last valid one before it, an invalid one drops the record."""
+def _missing_time() -> Column:
+    return F.col("raw_ts").isNull() | (F.col("raw_ts") == "")
+
+
+def _timed(parsed: DataFrame) -> DataFrame:
     got = F.unix_millis(F.expr("try_to_timestamp(raw_ts)"))
     before = F.last(got, ignorenulls=True).over(Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    missing = F.col("raw_ts").isNull() | (F.col("raw_ts") == "")
-    return parsed.where(F.coalesce("level", F.lit("info")) == "info").withColumn("ts", F.when(missing, before).otherwise(got)).where("ts is not null")
+    return parsed.where(F.coalesce("level", F.lit("info")) == "info").withColumn("ts", F.when(_missing_time(), before).otherwise(got))
+
+
+def place(parsed: DataFrame) -> DataFrame:
+    """Records in time, with the number of prompts so far: a missing timestamp is the last valid one before it, an invalid one drops the record."""
+    placed = _timed(parsed).where("ts is not null").withColumn("said", prompt_text())
+    so_far = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("prompt_seq", F.sum(F.col("said").isNotNull().cast("int")).over(so_far))
+
+
+def within(rows: DataFrame, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """Rows whose ts lies in the range, both ends included."""
+    rows = rows if since_ms is None else rows.where(F.col("ts") >= since_ms)
+    return rows if until_ms is None else rows.where(F.col("ts") <= until_ms)
 
 
 def blocks(placed: DataFrame) -> DataFrame:
-    """Content blocks: (session_id, line_no, ts, kind, pos, type, block)."""
-    arrays = placed.where("schema_of_variant(content) like 'ARRAY%'").select("session_id", "line_no", "ts", "kind", F.expr("try_cast(content as array<variant>)").alias("items"))
-    each = arrays.select("session_id", "line_no", "ts", "kind", F.posexplode("items").alias("pos", "block"))
-    return each.withColumn("type", _get("$.type", of="block"))
+    """Content blocks: (session_id, line_no, ts, kind, sidechain, prompt_seq, pos, type, block)."""
+    keep = ["session_id", "line_no", "ts", "kind", "sidechain", "prompt_seq"]
+    arrays = placed.where("schema_of_variant(content) like 'ARRAY%'").select(*keep, F.expr("try_cast(content as array<variant>)").alias("items"))
+    return arrays.select(*keep, F.posexplode("items").alias("pos", "block")).withColumn("type", _get("$.type", of="block"))
 
 
-def prompts(placed: DataFrame) -> DataFrame:
-    """User prompts in order: string content as it is; else the text blocks, unless the record answers a tool."""
-    user = placed.where("kind = 'user'")
+def prompt_text() -> Column:
+    """What a user's record says: string content as it is; else the text blocks, unless the record answers a tool; null if nothing."""
     items = F.expr("try_cast(content as array<variant>)")
     kind = lambda b: F.try_variant_get(b, "$.type", "string")
     words = F.trim(F.array_join(F.transform(F.filter(items, lambda b: kind(b) == "text"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit(""))), "\n"))
     answer = F.exists(items, lambda b: F.coalesce(kind(b) == "tool_result", F.lit(False)))
     isarray = F.expr("schema_of_variant(content) like 'ARRAY%'")
     said = F.when(isarray, F.when(~answer & (words != ""), words)).when(F.expr("schema_of_variant(content) = 'STRING'"), F.expr("try_cast(content as string)"))
-    found = user.withColumn("text", said).where("text is not null")
-    order = Window.partitionBy("session_id").orderBy("line_no")
-    return found.select("session_id", F.row_number().over(order).alias("sequence"), "ts", F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.length("text").alias("character_count"), F.ceil(F.length("text") / 4).alias("approximate_tokens"))
+    return F.when(F.col("kind") == "user", said)
+
+
+def prompts(placed: DataFrame) -> DataFrame:
+    """User prompts, numbered within their session."""
+    found = placed.where("said is not null").withColumn("content", F.col("said"))
+    return found.select("session_id", F.col("prompt_seq").alias("sequence"), "ts", "content", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("character_count"), F.ceil(F.length("content") / 4).alias("approximate_tokens"))
 
 
 def model_requests(placed: DataFrame) -> DataFrame:
-    """One row for each message id: the first line's time, the largest counts; a missing model is the session's last."""
+    """One row for each message id: the first line's time and prompt, the largest counts; a missing model is the session's last."""
     a = placed.where("kind = 'assistant'").withColumn("message_id", F.coalesce("message_id", F.concat(F.lit("noid-"), "line_no")))
     last = a.groupBy("session_id").agg(F.max_by(F.col("model"), F.when(F.col("model").isNotNull(), F.col("line_no"))).alias("last_model"))
-    rows = a.groupBy("session_id", "message_id").agg(F.min_by("ts", "line_no").alias("ts"), F.min_by("model", "line_no").alias("model"), *(F.max(t).alias(t) for t in TOKENS))
-    return rows.join(last, "session_id").select("session_id", "message_id", "ts", F.coalesce("model", "last_model").alias("model_id"), *TOKENS)
+    rows = a.groupBy("session_id", "message_id").agg(F.min_by("ts", "line_no").alias("ts"), F.min_by("prompt_seq", "line_no").alias("prompt_seq"), F.min_by("model", "line_no").alias("model"), *(F.max(t).alias(t) for t in TOKENS))
+    return rows.join(last, "session_id").select("session_id", "message_id", "ts", prompt_id(), F.coalesce("model", "last_model").alias("model_id"), *TOKENS)
+
+
+def prompt_id() -> Column:
+    """Key of the prompt that a row came after, null before the first."""
+    return F.when(F.col("prompt_seq") > 0, F.concat_ws(":", "session_id", F.lit("p"), "prompt_seq")).alias("prompt_id")
 
 
 def tool_calls(placed: DataFrame) -> DataFrame:
-    """Tool uses with their results: state matched, overwritten, partial or orphan; success, sizes, duration."""
+    """Tool uses with their results: state matched, overwritten, partial or orphan; success, sizes, duration, and what a call was on."""
     b = blocks(placed)
-    use = b.where("kind = 'assistant' and type = 'tool_use'").select("session_id", "line_no", "pos", "ts", F.lit(True).alias("is_use"), _get("$.id", of="block").alias("call_id"), F.coalesce(_get("$.name", of="block"), F.lit("unknown")).alias("tool"), F.expr("try_variant_get(block, '$.input', 'variant')").alias("input"), F.lit(None).cast("boolean").alias("error"), F.lit(None).cast("long").alias("out_bytes"))
-    text = F.expr("try_variant_get(block, '$.content', 'variant')")
-    size = F.when(F.schema_of_variant(text) == "STRING", F.octet_length(text.cast("string")))
-    result = b.where("kind = 'user' and type = 'tool_result'").select("session_id", "line_no", "pos", "ts", F.lit(False).alias("is_use"), _get("$.tool_use_id", of="block").alias("call_id"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("variant").alias("input"), F.coalesce(_get("$.is_error", "boolean", "block"), _get("$.isError", "boolean", "block"), F.lit(False)).alias("error"), size.cast("long").alias("out_bytes"))
+    keep = ["session_id", "line_no", "pos", "ts", "sidechain", "prompt_seq"]
+    null = lambda kind: F.lit(None).cast(kind)
+    use = b.where("kind = 'assistant' and type = 'tool_use'").select(*keep, F.lit(True).alias("is_use"), _get("$.id", of="block").alias("call_id"), F.coalesce(_get("$.name", of="block"), F.lit("unknown")).alias("tool"), F.expr("try_variant_get(block, '$.input', 'variant')").alias("input"), null("boolean").alias("error"), null("long").alias("out_bytes"), null("string").alias("out_text"))
+    body = F.expr("try_variant_get(block, '$.content', 'variant')")
+    isstring = F.schema_of_variant(body) == "STRING"
+    strings = F.transform(F.filter(F.expr("try_cast(try_variant_get(block, '$.content', 'variant') as array<variant>)"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.octet_length(F.try_variant_get(x, "$", "string")))
+    size = F.when(isstring, F.octet_length(body.cast("string"))).otherwise(F.aggregate(strings, F.lit(0), lambda n, x: n + x))
+    error = F.coalesce(_get("$.is_error", "boolean", "block"), _get("$.isError", "boolean", "block"), F.lit(False))
+    result = b.where("kind = 'user' and type = 'tool_result'").select(*keep, F.lit(False).alias("is_use"), _get("$.tool_use_id", of="block").alias("call_id"), null("string").alias("tool"), null("variant").alias("input"), error.alias("error"), size.cast("long").alias("out_bytes"), F.when(isstring, body.cast("string")).alias("out_text"))
     w = Window.partitionBy("session_id", "call_id").orderBy("line_no", "pos")
     rows = use.unionByName(result).where("call_id is not null")
-    ahead = {c: F.lead(c).over(w) for c in ("is_use", "error", "out_bytes", "ts")}
+    ahead = {c: F.lead(c).over(w) for c in ("is_use", "error", "out_bytes", "out_text", "ts")}
     rows = rows.withColumns({f"next_{c}": x for c, x in ahead.items()} | {"before": F.lag("is_use").over(w)})
     state = F.when(F.col("is_use"), F.when(F.col("next_is_use").isNull(), "partial").when(F.col("next_is_use"), "overwritten").otherwise("matched")).when(~F.coalesce(F.col("before"), F.lit(False)), "orphan")
     rows = rows.withColumn("state", state).where("state is not null")
     path = F.coalesce(_get("$.file_path", of="input"), _get("$.notebook_path", of="input"))
     operation = F.create_map(*(F.lit(x) for kv in FILE_OPERATIONS.items() for x in kv))[F.col("tool")]
     matched = F.col("state") == "matched"
+    success = F.when(matched, ~F.col("next_error")).when(F.col("state") == "orphan", None).otherwise(False)
     return rows.select(
-        "session_id", "call_id", "ts", "tool", "state", F.when(matched, ~F.col("next_error")).when(F.col("state") == "orphan", None).otherwise(False).alias("success"), F.octet_length(F.to_json("input")).alias("input_bytes"),
-        F.when(matched, F.col("next_out_bytes")).alias("output_bytes"), F.when(matched, F.col("next_ts") - F.col("ts")).alias("duration_ms"), operation.alias("operation"), F.when(operation.isNotNull(), path).alias("path"), F.when(F.col("tool") == "Bash", _get("$.command", of="input")).alias("command"),
+        "session_id", "line_no", "call_id", "ts", prompt_id(), F.when(F.col("sidechain"), "subagent").alias("attribution"), "tool", "state", success.alias("success"), F.when(~success, F.when(matched, "error").otherwise("unknown")).alias("failure_type"),
+        F.octet_length(F.to_json("input")).cast("long").alias("input_bytes"), F.when(matched, F.col("next_out_bytes")).alias("output_bytes"), F.when(matched, F.col("next_ts") - F.col("ts")).alias("duration_ms"), operation.alias("operation"), F.when(operation.isNotNull(), path).alias("path"),
+        F.when(operation.isNotNull(), F.octet_length(_get("$.content", of="input"))).cast("long").alias("content_bytes"), F.when(F.col("tool") == "Bash", _get("$.command", of="input")).alias("command"), F.when(matched & F.col("next_error"), failure_signature(F.col("next_out_text"))).alias("failure_signature"),
     )
 
 
+def failure_signature(output: Column) -> Column:
+    """The first line of an error's output that isn't blank, cut to SIGNATURE_CHARS."""
+    return F.substring(F.get(F.filter(F.split(output, "\n"), lambda x: F.trim(x) != ""), F.lit(0)), 1, SIGNATURE_CHARS)
+
+
+def file_activity(calls: DataFrame, home: str, repo: str | None = None) -> DataFrame:
+    """The calls that worked on files: operation, shown path, its hash, success, bytes of content."""
+    shown, hashed = text.redact_path(F.col("path"), home, repo)
+    rows = calls.where("operation is not null and path is not null and state <> 'orphan'")
+    return rows.select(F.concat("call_id", F.lit(":file")).alias("id"), "session_id", "call_id", "ts", "operation", shown.alias("path"), hashed.alias("path_hash"), "success", "content_bytes")
+
+
+def command_runs(calls: DataFrame) -> DataFrame:
+    """Shell commands: classes, scope and hash, success, size of the output, what a failure said, and the commit that is named."""
+    rows = calls.where("command is not null and state <> 'orphan'").withColumns(text.command_columns(F.col("command")))
+    commit = F.nullif(F.regexp_extract("command", r"(?:^|[^0-9A-Za-z_])([0-9a-f]{40})(?:$|[^0-9A-Za-z_])", 1), F.lit(""))
+    return rows.select(F.concat("call_id", F.lit(":cmd")).alias("id"), "session_id", "call_id", "ts", "executable", "family", text.redact(F.col("command")).alias("command"), "command_hash", "classification", "scope", "success", "output_bytes", "failure_signature", commit.alias("commit_id"))
+
+
+def verification_runs(commands: DataFrame) -> DataFrame:
+    """The commands that check something, by kind."""
+    kind = F.create_map(*(F.lit(x) for kv in text.VERIFICATION_KINDS.items() for x in kv))[F.col("classification")]
+    return commands.withColumn("kind", kind).where("kind is not null").select(F.concat("call_id", F.lit(":verify")).alias("id"), "session_id", "call_id", "ts", "kind", "success")
+
+
+def compactions(placed: DataFrame) -> DataFrame:
+    return placed.where((F.col("kind") == "system") & F.col("subtype").rlike("(?i)compact")).select("session_id", "line_no", "ts", F.col("subtype").alias("trigger"))
+
+
 def sessions(parsed: DataFrame) -> DataFrame:
-    """Start, end, duration and completion of every session that has a placed record."""
+    """Start, end, duration, completion, counts and completeness of every session that has a placed record.
+
+    Completeness flags: tail-missing without an explicit end, metrics-missing if
+    no request states its tokens, prompts-missing; complete where there are none.
+    """
     placed = place(parsed)
+    calls, requests = tool_calls(placed).where("state <> 'orphan'"), model_requests(placed)
     real = F.col("kind") != "summary"
-    open_uses = tool_calls(placed).where("state = 'partial'").select("session_id").distinct().withColumn("unanswered", F.lit(True))
     last_stop = F.max_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("line_no")))
-    s = placed.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), last_stop.alias("stop"), F.count_if(real).alias("records"), F.min_by("cwd", F.when(real & F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"), F.min_by("sidechain", F.when(real, F.col("line_no"))).alias("sidechain"), F.count_if((F.col("kind") == "system") & F.col("subtype").rlike("(?i)compact")).alias("compactions"))
-    s = s.join(open_uses, "session_id", "left")
-    done = F.when(F.col("stop") == "end_turn", "completed").when(F.col("unanswered") | (F.col("records") > 0), "interrupted").otherwise("unknown")
-    return s.select("session_id", "started_at", "ended_at", (F.col("ended_at") - F.col("started_at")).alias("duration_ms"), done.alias("completion"), F.when(F.col("sidechain"), "subagent").otherwise("unknown").alias("entry_point"), "cwd", "compactions")
+    s = placed.groupBy("session_id").agg(
+        F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), last_stop.alias("stop"), F.count_if(real).alias("records"), F.min_by("cwd", F.when(real & F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"), F.min_by("sidechain", F.when(real, F.col("line_no"))).alias("sidechain"),
+        F.count_if((F.col("kind") == "system") & F.col("subtype").rlike("(?i)compact")).alias("compactions"), F.count("said").alias("prompts"),
+    )
+    used = calls.groupBy("session_id").agg(F.count_if(F.col("state") != "overwritten").alias("tool_calls"), F.count_if(F.col("state") == "partial").alias("open_calls"), F.count("attribution").alias("subagent_calls"))
+    asked = requests.groupBy("session_id").agg(F.count(F.lit(1)).alias("model_requests"), F.count(F.coalesce(*TOKENS)).alias("measured"))
+    s = s.join(used, "session_id", "left").join(asked, "session_id", "left").na.fill(0, ["tool_calls", "open_calls", "subagent_calls", "model_requests", "measured"])
+    done = F.when(F.col("stop") == "end_turn", "completed").when((F.col("open_calls") > 0) | (F.col("records") > 0), "interrupted").otherwise("unknown")
+    flags = F.array_compact(F.array(F.when(~F.coalesce(F.col("stop") == "end_turn", F.lit(False)), "tail-missing"), F.when((F.col("model_requests") > 0) & (F.col("measured") == 0), "metrics-missing"), F.when(F.col("prompts") == 0, "prompts-missing")))
+    return s.select(
+        "session_id", "started_at", "ended_at", (F.col("ended_at") - F.col("started_at")).alias("duration_ms"), done.alias("completion"), F.when(F.col("sidechain"), "subagent").otherwise("unknown").alias("entry_point"), "cwd",
+        "prompts", "model_requests", "tool_calls", "compactions", "subagent_calls", F.when(F.size(flags) == 0, F.array(F.lit("complete"))).otherwise(flags).alias("completeness"),
+    )
 
 
 def load(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
     """Rows of existing, and those of incoming whose key is new: loading twice changes nothing."""
     return existing.unionByName(incoming.dropDuplicates(key).join(existing.select(*key), key, "left_anti"))
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of incoming, and those of existing that it has no row for."""
+    return incoming.unionByName(existing.join(incoming.select(*key), key, "left_anti"))

@@ -1,51 +1,154 @@
-"""Hook events as a stream: deduplicated by payload hash into a table."""
+"""Hook events: envelopes parsed, stripped, redacted, and stored once for each payload, as a stream."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.functions import text
 
-def payload_hash(*cols: str) -> F.Column:
-    """Hash of what an event says; when it was received is no part of it."""
-    return F.sha2(F.to_json(F.struct(*sorted(cols))), 256)
+# The events that are known, the fields that hold content, and how much of a malformed payload is kept.
+KNOWN_EVENTS = (
+    "SessionStart UserPromptSubmit PreToolUse PermissionRequest PermissionDenied PostToolUse PostToolUseFailure PostToolBatch SubagentStart SubagentStop TaskCreated TaskCompleted Stop StopFailure"
+    " TeammateIdle InstructionsLoaded ConfigChange CwdChanged FileChanged Notification MessageDisplay PreCompact PostCompact SessionEnd"
+).split()
+CONTENT_FIELDS = ("prompt", "tool_input", "tool_response", "message", "last_assistant_message")
+MALFORMED_CHARS = 4096
+FIELDS = {"source_session_id": "session_id", "prompt_id": "prompt_id", "transcript_path": "transcript_path", "cwd": "cwd", "permission_mode": "permission_mode", "tool_name": "tool_name", "prompt": "prompt", "agent_id": "agent_id", "agent_type": "agent_type"}
+MODES = ("metadata-only", "redacted-content", "full-local")
+HOME = "/home/u"
+#: Stored rows lie in folders by the first digits of their payload hash, so that a batch reads only those of its own.
+PREFIX = 2
+
+
+def parse(events: DataFrame, body: str = "body") -> DataFrame:
+    """events with their payload parsed: payload (variant), hook_event_name, known, the columns of FIELDS, diagnostic.
+
+    What isn't a JSON object becomes an event called unknown that holds the first
+    MALFORMED_CHARS characters; an event of another name keeps it. Fields of
+    another type than text count as absent.
+    """
+    parsed = F.expr(f"try_parse_json({body})")
+    isobject = F.coalesce(F.schema_of_variant(parsed).like("OBJECT%"), F.lit(False))
+    opaque = F.parse_json(F.to_json(F.struct(F.substring(body, 1, MALFORMED_CHARS).alias("_malformed"), F.lit("unknown").alias("hook_event_name"))))
+    out = events.withColumn("payload", F.when(isobject, parsed).otherwise(opaque))
+    said = lambda path: F.expr(f"case when schema_of_variant(try_variant_get(payload, '$.{path}', 'variant')) = 'STRING' then try_variant_get(payload, '$.{path}', 'string') end")
+    name = said("hook_event_name")
+    broken = F.when(parsed.isNull(), "hook payload is not valid JSON").when(~isobject, "hook payload is not a JSON object")
+    out = out.withColumns({"hook_event_name": F.coalesce(name, F.lit("unknown")), "diagnostic": broken} | {c: said(p) for c, p in FIELDS.items()})
+    known = F.col("hook_event_name").isin(KNOWN_EVENTS)
+    unnamed = F.when(name.isNull(), "missing hook_event_name").when(~known, F.concat(F.lit('unknown hook event "'), name, F.lit('"')))
+    return out.withColumns({"known": known, "diagnostic": F.coalesce("diagnostic", unnamed)})
+
+
+def stable_json(payload: Column, mode: str = "redacted-content") -> Column:
+    """A payload as JSON with keys in order; metadata-only states how long content is instead of it."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    fields = payload.cast("map<string, variant>")
+    length = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.concat(F.lit('"[metadata-only: '), F.length(F.try_variant_get(v, "$", "string")).cast("string"), F.lit(' chars]"'))).otherwise(F.lit('"[metadata-only]"'))
+    shown = lambda k: F.when(k.isin(*CONTENT_FIELDS) & F.lit(mode == "metadata-only"), length(fields[k])).otherwise(F.coalesce(F.to_json(fields[k]), F.lit("null")))
+    key = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(key(k), F.lit(":"), shown(k))), ","), F.lit("}"))
+
+
+def redact(parsed: DataFrame, mode: str = "redacted-content", home: str = HOME, emails: bool = False) -> DataFrame:
+    """parsed() events ready to be stored: payload_json without secrets and folders, payload_hash, cwd_path and cwd_hash; what holds content otherwise is dropped.
+
+    The hash is over the redacted payload, so that when an event was received is
+    no part of it. Text that is no JSON after redaction is kept within {redacted}.
+    """
+    clean = text.redact(stable_json(F.col("payload"), mode), emails, home=home)
+    shown, hashed = text.redact_path(F.col("cwd"), home)
+    kept = parsed.withColumn("redacted", clean).withColumns({"payload_hash": F.sha2("redacted", 256), "cwd_path": shown, "cwd_hash": hashed})
+    valid = F.when(F.expr("try_parse_json(redacted)").isNotNull(), F.col("redacted")).otherwise(F.to_json(F.struct("redacted")))
+    return kept.withColumn("payload_json", valid).drop("payload", "redacted", "prompt", "transcript_path", "cwd")
+
+
+def stored(spark: SparkSession, table_path: str, hashes: DataFrame | None = None) -> DataFrame | None:
+    """The table, or what of it may hold the hashes; nothing if it isn't there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    table = spark.read.parquet(table_path)
+    if hashes is not None:
+        prefixes = [r[0] for r in hashes.select(_prefix()).distinct().collect()]  # 256 at most
+        table = table.where(F.col("prefix").isin(prefixes))
+    return table
+
+
+def _prefix() -> Column:
+    return F.concat(F.lit("h"), F.substring("payload_hash", 1, PREFIX))
+
+
+def insert_new(batch: DataFrame, table_path: str) -> None:
+    """Append the rows of batch whose payload_hash the table lacks, one for each; a batch that runs again adds nothing."""
+    spark = batch.sparkSession
+    fresh = batch.dropDuplicates(["payload_hash"])
+    if (known := stored(spark, table_path, fresh)) is not None:
+        fresh = fresh.join(known.select("payload_hash"), "payload_hash", "left_anti")
+    fresh.withColumn("prefix", _prefix()).write.mode("append").partitionBy("prefix").parquet(table_path)
 
 
 def ingest(stream: DataFrame, table_path: str, checkpoint: str) -> None:
-    """Run what is there of stream (columns received_at, payload_hash, ...) into a Parquet table, once for each hash.
+    """Run what is there of stream (columns payload_hash, ...) into a Parquet table, once for each hash.
 
     There is no state but the table: the anti join with it leaves out what was
     stored, a batch that runs again included, however late it or its copy is.
     """
-    spark = stream.sparkSession
-
-    def store(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(["payload_hash"])
-        try:
-            known = spark.read.parquet(table_path).select("payload_hash")
-        except Exception as missing:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        else:
-            fresh = fresh.join(known, "payload_hash", "left_anti")
-        fresh.write.mode("append").parquet(table_path)
-
-    stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of hooks, every tenth delivered twice."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = events.withColumn("copy", F.explode(copies)).withColumn("received_at", F.col("ts").cast("timestamp"))
-    return rows.select("event_id", "user_id", "event_type", "received_at", payload_hash("event_id", "user_id", "event_type", "props").alias("payload_hash"))
-
-
-def hooks_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored events of each kind after the replay: copies count once."""
-    from tracemill.sources.scratch import fresh_path
-
-    table = fresh_path(spark, "hooks")
-    ingest(replay(spark, sf_dir), table, fresh_path(spark, "hooks-checkpoint"))
-    return spark.read.parquet(table).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("payload_hash").alias("payloads"))
+    stream.writeStream.foreachBatch(lambda batch, _: insert_new(batch, table_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def spooled(lines: DataFrame) -> DataFrame:
+    """Events of spool envelopes (column value, JSON): body, received_at and delivery. Envelopes of another version or without a payload, and what isn't JSON, give nothing."""
+    v = lines.withColumn("v", F.expr("try_parse_json(value)"))
+    get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
+    body = F.to_json(get("payload", "variant"))
+    return v.where((get("v", "int") == 1) & (body != "null")).select(*[c for c in lines.columns if c != "value"], body.alias("body"), get("receivedAt", "string").alias("received_at"), F.lit("spool").alias("delivery"))
+
+
+def read_spool(spark: SparkSession, path: str, stream: bool = False, glob: str = "[!.]*.json*") -> DataFrame:
+    """Lines of the files below path whose name the pattern fits (by default *.json, but for those that begin with a dot), with their file."""
+    reader = spark.readStream if stream else spark.read
+    options = {"pathGlobFilter": glob, "recursiveFileLookup": "true"}
+    return reader.format("text").options(**options).load(path).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def backlog(spark: SparkSession, path: str, drained: DataFrame, glob: str = "[!.]*.json*") -> DataFrame:
+    """Files of the spool that no drained event names: how many are pending."""
+    files = read_spool(spark, path, glob=glob).select("file").distinct()
+    return files.join(drained.select("file").distinct(), "file", "left_anti").agg(F.count(F.lit(1)).alias("pending"))
+
+
+def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode: str = "redacted-content") -> None:
+    """The spool into the table, in order of receipt within a batch; the checkpoint tells which files are done, so that a failed batch is tried again."""
+    events = redact(parse(spooled(read_spool(spark, path, stream=True))), mode)
+    ingest(events, table_path, checkpoint)
+
+
+def counters(received: DataFrame, valid: DataFrame, table: DataFrame) -> DataFrame:
+    """Deliveries received, inserted, deduplicated and skipped."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
+    out = n(received, "received").join(n(valid, "valid"), "one").join(n(table, "inserted"), "one")
+    return out.select("received", "inserted", (F.col("valid") - F.col("inserted")).alias("deduplicated"), (F.col("received") - F.col("valid")).alias("skipped"))
+
+
+def recent(table: DataFrame, most: int = 50) -> DataFrame:
+    """The events received last, 200 at most (a top-k)."""
+    return table.orderBy(F.desc("received_at"), "payload_hash").limit(min(200, max(1, most)))
+
+
+def by_kind(table: DataFrame) -> DataFrame:
+    return table.groupBy("hook_event_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+def live_status(hooks: DataFrame, telemetry: DataFrame, pending: DataFrame) -> DataFrame:
+    """Stored events and the spool's backlog, in one row."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
+    return n(hooks, "hook_events").join(n(telemetry, "telemetry_events"), "one").join(pending.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def analyse_affected(batch: DataFrame, sessions: DataFrame, keys: str = "project_id") -> DataFrame:
+    """Sessions of the scopes that a batch of correlated events touches: what has to be analysed again."""
+    touched = sessions.join(batch.select("session_id").distinct(), "session_id", "left_semi").select(keys).distinct()
+    return sessions.join(touched, keys, "left_semi")
