@@ -28,12 +28,34 @@ def test_redaction_keeps_plain_text_and_takes_custom_rules(spark):
     assert one(spark, text.markers(text.redact(F.col("t"))), t="password=abcdef, cookie=abcdef") == ["password", "cookie"]
 
 
+def test_custom_patterns_that_do_not_compile_are_skipped(spark):
+    assert one(spark, text.redact(F.col("t"), custom=[("bad", "("), ("good", "x+")]), t="axxb") == "a[REDACTED:good]b"
+
+
+def test_counts_by_category(spark):
+    df = spark.createDataFrame([("AKIA" + "A1" * 8 + " ghp_" + "a" * 24 + " password=abcdef token=abcdef",), ("plain",), (None,)], "t string")
+    got = [(r["t"], r["redactions"]) for r in text.redaction_counts(df, "t").collect()]
+    assert got[0][1] == {"cloud-credential": 1, "api-key": 1, "password": 2} and got[1] == ("plain", {}) and got[2][0] is None
+
+
+def test_guard_never_hides_a_secret(spark):
+    for _, _, pattern in [*text.DETECTORS, text.EMAIL]:
+        assert pattern
+    secrets = ["eyJabcdefgh1.eyJabcdefgh2.abcdefgh3", "Bearer: " + "a" * 20, "api-key: abcdef", "PRIVATE_KEY=abcdef", "GCP_API_KEY=abcdefgh", "set-cookie = abcdef", "amqps://h", "refreshtoken=abcdef"]
+    df = spark.createDataFrame([(x,) for x in secrets], "t string")
+    full = text.redact(F.col("t"), custom=[("never", r"\A\z\w")])
+    assert all(r[0] == r[1] for r in df.select(full, text.redact(F.col("t"))).collect())
+
+
 def test_paths(spark):
     shown, _ = text.redact_path(F.col("p"), "/home/u", "/home/u/r")
     cases = {"/home/u/r/./a/../b": "[REPO]/b", "/home/u/x": "[HOME]/x", "/home/user2/x": "/home/user2/x", "/../etc//x": "/etc/x", "/home/u/r": "[REPO]"}
     for p, want in cases.items():
         assert one(spark, shown, p=p) == want
-    kinds = {"/a/.env": "env-file", "/a/.env.local": "env-file", "/k/id_rsa": "private-key", "/u/.ssh/config": "ssh-directory", "/u/.aws/x": "cloud-credential", "/a/secrets/x": "secret-directory", "/u/.npmrc": "credential-file", "/a/environment": None}
+    kinds = {
+        "/a/.env": "env-file", "[REPO]/.ENV.local": "env-file", "/k/id_rsa": "private-key", "/k/x.pem": "private-key", "/u/.ssh/config": "ssh-directory", "/u/.ssh": None, "/u/.aws/credentials": "cloud-credential", "/u/.aws/x": None, "/a/credentials.json": "cloud-credential",
+        "/u/.npmrc": "secret-directory", "/u/.netrc": "secret-directory", "/u/.config/gh/hosts": "secret-directory", "/u/.gnupg/ring": "secret-directory", "/a/secrets.yaml": "credential-file", "/a/my-credentials": "credential-file", "/a/x.p12": "credential-file", "/a/secrets/x": None, "/a/environment": None,
+    }
     for p, want in kinds.items():
         assert one(spark, text.sensitive_kind(F.col("p")), p=p) == want
 

@@ -1,8 +1,50 @@
-"""Hook events in two batches."""
+"""Hook events: parsing, modes, and two batches."""
+
+import hashlib
+import json
 
 from tracemill.streaming import hooks
 
 
+def stored(spark, raw, mode="redacted-content"):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "id int, body string")
+    return [r for r in hooks.redact(hooks.parse(df), mode).orderBy("id").collect()]
+
+
+def test_envelopes_of_any_kind(spark):
+    full = {"hook_event_name": "PreToolUse", "session_id": "s", "cwd": "/home/u/a/../b", "tool_name": "Bash", "tool_input": {"z": 1, "command": "curl -H 'Authorization: Bearer " + "a" * 20 + "'"}, "new": [1, None]}
+    rows = stored(spark, [json.dumps(full), json.dumps({"hook_event_name": "Later", "session_id": 7}), "{broken password=abcdef", "[1]", "null", json.dumps({"session_id": "x"}), None, "é" * 5000])
+    assert [(r["hook_event_name"], r["known"]) for r in rows] == [("PreToolUse", True), ("Later", False), *[("unknown", False)] * 6]
+    assert [r["diagnostic"] for r in rows] == [None, 'unknown hook event "Later"', "hook payload is not valid JSON", "hook payload is not a JSON object", "hook payload is not a JSON object", "missing hook_event_name", "hook payload is not valid JSON", "hook payload is not valid JSON"]
+    assert rows[0]["cwd_path"] == "[HOME]/b" and rows[1]["source_session_id"] is None
+    kept = json.loads(rows[0]["payload_json"])
+    assert "Bearer" not in rows[0]["payload_json"] and list(kept) == sorted(kept) and kept["tool_input"]["z"] == 1
+    assert "[REDACTED:password]" in rows[2]["payload_json"] and len(json.loads(rows[7]["payload_json"])["_malformed"]) == 4096
+
+
+def test_order_of_keys_and_time_of_receipt_do_not_count(spark):
+    a, b = stored(spark, ['{"a": 1, "b": {"d": 2, "c": [3]}}', '{"b":{"c":[3],"d":2},"a":1}'])
+    assert a["payload_hash"] == b["payload_hash"] == hashlib.sha256(b'{"a":1,"b":{"c":[3],"d":2}}').hexdigest()
+
+
+def test_metadata_mode_states_lengths(spark):
+    (row,) = stored(spark, [json.dumps({"prompt": "hé llo", "tool_input": {"x": 1}, "message": None, "other": "kept"})], "metadata-only")
+    assert json.loads(row["payload_json"]) == {"message": "[metadata-only]", "other": "kept", "prompt": "[metadata-only: 6 chars]", "tool_input": "[metadata-only]"}
+
+
+def test_spool_skips_what_is_no_envelope(spark, tmp_path):
+    lines = ['{"v":1,"receivedAt":"b","payload":{"x":1}}', '{"v":2,"payload":{}}', '{"v":1}', "{", '{"v":1,"receivedAt":"a","payload":{"x":2}}']
+    for i, x in enumerate(lines):
+        (tmp_path / f"{i}.json").write_text(x)
+    (tmp_path / ".5.json.tmp").write_text(lines[0])
+    got = hooks.spooled(hooks.read_spool(spark, str(tmp_path)))
+    assert sorted((r["received_at"], r["body"], r["delivery"]) for r in got.collect()) == [("a", '{"x":2}', "spool"), ("b", '{"x":1}', "spool")]
+    assert hooks.backlog(spark, str(tmp_path), got).first()[0] == 3
+    for _ in range(2):
+        hooks.drain(spark, str(tmp_path), f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+        assert spark.read.parquet(f"{tmp_path}/table").count() == 2
+
+
 def test_a_late_first_delivery_is_stored(spark, tmp_path):
     schema = "received_at timestamp, payload_hash string"
     for batch in ([("2026-01-01 10:00:00", "a"), ("2026-01-01 10:00:01", "a")], [("2026-01-01 12:00:00", "b")], [("2026-01-01 08:00:00", "late"), ("2026-01-01 07:00:00", "a")]):

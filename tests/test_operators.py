@@ -1,10 +1,12 @@
 """Operators on small made-up tables."""
 
 import json
+import random
+import statistics
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import audit, correlation, costs, metrics, retention, rules
+from tracemill.operators import audit, baselines, correlation, costs, medians, metrics, retention, rules
 from tracemill.plans import report, snapshot
 from tracemill.sources import otlp
 
@@ -43,28 +45,94 @@ def test_rules_fire_and_stay_silent(spark):
     chosen = [r for r in rules.RULES if r.id in ("TOOLS-001", "SECURITY-002")]
     got = {r["rule_id"]: r["confidence"] for r in rules.evaluate(loud, chosen).collect()}
     assert got == {"TOOLS-001": 0.9, "SECURITY-002": 0.9}
-    assert rules.evaluate(loud, chosen, {"TOOLS-001": {"min": 6}, "SECURITY-002": {"enabled": False}}).count() == 0
+    off = {"TOOLS-001": {"min": 6}, "SECURITY-002": {"enabled": False}}
+    assert rules.evaluate(loud, chosen, off).count() == 0
+    assert [tuple(r) for r in rules.skipped(loud, chosen, off).collect()] == [("SECURITY-002", "disabled")]
     assert rules.evaluate(loud.withColumn("repeated_read_top", F.lit(2)), chosen[:1]).count() == 0
     assert len({r.id for r in rules.RULES}) == 34
+    left_out = {r["rule_id"]: r["why"] for r in rules.skipped(loud).collect()}
+    assert len(left_out) == 32 and rules.evaluate(loud).count() == 2
+    broken = rules.Rule("TOOLS-009", "low", "repeated_read_top ===", "1", "repeated_read_top", "none")
+    assert rules.evaluate(loud, [*chosen, broken]).count() == 2 and rules.skipped(loud, [broken]).count() == 1
 
 
-def test_every_rule_can_be_evaluated(spark):
-    import re
+def everything(spark, value):
+    names = "sessions median_ms prompts_per_session tools_per_session compactions files_per_session read_write_ratio changed_unverified narrow_only ended_failed changed_after_verification corrective_prompts repeated_read_top repeated_command_top repeated_failed_top repeated_search_top sum_repeated_reads sum_repeated_searches max_output failure_rate tests builds broad_tests worst_tool_failures worst_tool_rate input_tokens cache_read_tokens prompt_count criteria_prompts verify_prompts multi_prompts vague_refs correction_prompts requests dominant_cost_tier dominant_capability sensitive_ops secret_findings retention_days broad_exclusions exclusions"
+    return spark.range(1).select(F.lit(1).alias("project_id"), *(F.lit(value).alias(n) for n in names.split()), *(F.lit(bool(value)).alias(n) for n in snapshot.FLAGS))
+
 
-    words = set("least greatest nullif and or not cast as bigint double".split())
-    names = sorted({w for r in rules.RULES for w in re.findall(r"(?<!:)\b[a-z_]+\b", rules.rule_columns(r))} - words)
-    flags = {"full_local", "beyond_loopback", "external_provider"}
+def test_every_rule_can_be_evaluated(spark):
     for value in (0, 10):
-        df = spark.range(1).select(F.lit(1).alias("project_id"), *(F.lit(bool(value)).alias(n) if n in flags else F.lit(value).alias(n) for n in names))
+        df = everything(spark, value)
+        assert rules.skipped(df).count() == 0
         found = rules.evaluate(df, min_confidence=0.0).count()
         assert found > 20 if value else found < 20
 
 
+def test_configuration_rules_count_their_reasons(spark):
+    of = lambda **k: {r["rule_id"]: (r["severity"], r["confidence"]) for r in rules.evaluate(everything(spark, 0).withColumns({n: F.lit(v) for n, v in k.items()}), min_confidence=0.0).where("category = 'configuration'").collect()}
+    assert of() == {}
+    assert of(retention_days=366) == {"CONFIG-001": ("medium", 0.6)} and of(retention_days=365) == {}
+    assert of(full_local=True, exclusions=5) == {"CONFIG-001": ("high", 0.75)} and of(full_local=True, exclusions=5, retention_days=400) == {"CONFIG-001": ("high", 0.8)}
+    assert of(beyond_loopback=True) == {"CONFIG-002": ("high", 0.7)} and of(beyond_loopback=True, external_provider=True) == {"CONFIG-002": ("high", 0.85)}
+
+
+def test_fingerprints_follow_the_evidence(spark):
+    rule = [r for r in rules.RULES if r.id == "VERIFY-001"]
+    mark = lambda unverified, sessions: rules.evaluate(everything(spark, 0).withColumns({"changed_unverified": F.lit(unverified), "sessions": F.lit(sessions)}), rule, min_confidence=0.0).first()["fingerprint"]
+    assert mark(2, 5) == mark(2, 5) and len({mark(2, 5), mark(2, 6), mark(3, 5)}) == 3
+
+
+def test_score_has_every_term(spark):
+    day = 86_400_000
+    row = (1, "R", "high", 0.8, [("occurrences", 4.0)], 0.5, 10 * day, ["a", "b", "a"], "do", True)
+    schema = "project_id int, rule_id string, severity string, confidence double, evidence array<struct<label:string,value:double>>, impact_confidence double, updated_at long, references array<string>, remedy string, automatic boolean"
+    score = lambda r, dismissed=(): rules.rank(spark.createDataFrame([r], schema), 12 * day, spark.createDataFrame([(x,) for x in dismissed], "rule_id string")).first()["score"]
+    assert score(row) == 24 + 20 + 7.5 + 7 + 4 + 6 + 7
+    assert score(row, ["R"]) == score(row) - 6
+    assert score((1, "R", "info", 0.0, [("count", 40.0)], None, -day, None, None, None)) == 6 + 10
+    assert score((1, "R", "low", 1.0, [], None, 12 * day, list("abcdefg"), "do", False)) == 12 + 25 + 10 + 10 + 2
+
+
 def test_merge_actions(spark):
-    stored = spark.createDataFrame([("f1", "R1", 1, "active", 0), ("f2", "R1", 2, "dismissed", 0), ("f3", "R2", 1, "active", 0), ("f4", "R3", 1, "active", 0)], "fingerprint string, rule_id string, project_id int, status string, updated_at int")
+    stored = spark.createDataFrame([("f1", "R1", 1, "active", 0, 0), ("f2", "R1", 2, "dismissed", 0, 0), ("f3", "R2", 1, "active", 0, 0), ("f4", "R3", 1, "active", 0, 0)], "fingerprint string, rule_id string, project_id int, status string, created_at int, updated_at int")
     new = spark.createDataFrame([("f1", "R1", 1), ("f2", "R1", 2), ("f5", "R2", 1)], "fingerprint string, rule_id string, project_id int")
-    got = {r["fingerprint"]: (r["action"], r["status"], r["updated_at"]) for r in rules.merge(stored, new, 9).collect()}
-    assert got == {"f1": ("touched", "active", 9), "f2": ("retained", "dismissed", 0), "f3": ("superseded", "superseded", 9), "f4": ("retained", "active", 0), "f5": ("inserted", "active", 9)}
+    merged = rules.merge(stored, new, 9)
+    got = {r["fingerprint"]: (r["action"], r["status"], r["updated_at"], r["created_at"]) for r in merged.collect()}
+    assert got == {"f1": ("touched", "active", 9, 0), "f2": ("retained", "dismissed", 0, 0), "f3": ("superseded", "superseded", 9, 0), "f4": ("retained", "active", 0, 0), "f5": ("inserted", "active", 9, 9)}
+    assert tuple(rules.outcome(merged).first()) == (1, 1, 1, 1)
+    assert {r["fingerprint"] for r in rules.reported(merged, new).collect()} == {"f1", "f5"}
+
+
+def test_status_changes_that_fit(spark):
+    stored = spark.createDataFrame([(f, s, 0) for f, s in (("a", "active"), ("b", "dismissed"), ("c", "resolved"), ("d", "superseded"), ("e", "active"))], "fingerprint string, status string, updated_at int")
+    changes = spark.createDataFrame([("a", "dismiss", 1), ("a", "resolve", 2), ("b", "restore", 3), ("c", "reopen", 4), ("d", "restore", 5), ("e", "restore", 6)], "fingerprint string, change string, at int")
+    got = {r["fingerprint"]: (r["status"], r["updated_at"]) for r in rules.change_status(stored, changes).collect()}
+    assert got == {"a": ("resolved", 2), "b": ("active", 3), "c": ("active", 4), "d": ("superseded", 0), "e": ("active", 0)}
+
+
+def test_medians_are_exact(spark):
+    rnd = random.Random(1)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1.0, 2.5, 1e9, -3.0, rnd.random(), None])) for _ in range(3000)] + [("one", 4.0), ("same", 7.0), ("same", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    groups = {k: sorted(x for j, x in rows if j == k and x is not None) for k in {k for k, _ in rows}}
+    assert {r["k"]: (r["median"], r["n"]) for r in medians.medians(df, ["k"], "x").collect()} == {k: (statistics.median(v), len(v)) for k, v in groups.items() if v}
+    assert {r["k"]: r["median"] for r in medians.medians(df, ["k"], "x", upper=True).collect()} == {k: statistics.median_high(v) for k, v in groups.items() if v}
+
+
+def test_baselines_and_comparison(spark):
+    base = {d: 0.0 for d in baselines.DIMENSIONS}
+    values = [(1, 100.0, 0.0), (1, 200.0, 0.0), (1, 300.0, 3.0), (2, 1000.0, 0.0)]
+    rows = [{"project_id": p, "session_id": f"s{i}", "started_at": i, **base, "duration_ms": d, "corrective_turns": c, "read_write_ratio": None} for i, (p, d, c) in enumerate(values)]
+    points = spark.createDataFrame(rows, "project_id int, session_id string, started_at long, " + ", ".join(f"{d} double" for d in baselines.DIMENSIONS))
+    found = baselines.baselines(points, most=2)
+    got = {(r["scope"], r["scope_key"]): (r["median"], r["mad"], r["n"], r["provenance"]) for r in found.where("dimension = 'duration_ms'").collect()}
+    assert got == {("personal", None): (250.0, 100.0, 4, "inferred"), ("project", 1): (200.0, 100.0, 3, "inferred"), ("project", 2): (1000.0, 0.0, 1, "reported"), ("recent", None): (650.0, 350.0, 2, "inferred")}
+    assert found.where("dimension = 'read_write_ratio'").count() == 0
+    c = {(r["session_id"], r["scope"], r["dimension"]): r for r in baselines.compare(points, found).collect()}
+    assert (c["s2", "personal", "corrective_turns"]["ratio"], c["s2", "personal", "corrective_turns"]["direction"]) == (float("inf"), "typical")
+    assert c["s3", "personal", "duration_ms"]["score"] == 7.5 and c["s3", "personal", "duration_ms"]["direction"] == "higher" and c["s3", "personal", "duration_ms"]["ratio"] == 4.0
+    assert c["s0", "personal", "corrective_turns"]["ratio"] == 0.0 and ("s0", "project", "duration_ms") in c and len([k for k in c if k[0] == "s0" and k[2] == "duration_ms"]) == 3
 
 
 def test_retention(spark):
@@ -76,6 +144,20 @@ def test_retention(spark):
     assert retention.summary({"child": child}, after).first()["gone"] == 1
 
 
+def test_purges_reach_what_only_points_at_sessions(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "sessions": make([("a", 1, 5, None), ("b", 2, 50, 90)], "session_id string, project_id int, started_at long, ended_at long"), "prompts": make([("a",), ("b",)], "session_id string"), "projects": make([(1,), (2,)], "project_id int"),
+        "hook_events": make([("a", 99), (None, 5), (None, 99)], "correlated_session_id string, ts long"),
+    }
+    rows = lambda after: {k: df.count() for k, df in after.items()}
+    now = 2 * retention.DAY_MS + 60
+    assert rows(retention.prune(tables, now, 2)) == {"sessions": 1, "prompts": 1, "projects": 2, "hook_events": 1}
+    assert rows(retention.prune(tables, now, 0)) == rows(tables)
+    assert rows(retention.purge_project(tables, 1)) == {"sessions": 1, "prompts": 1, "projects": 1, "hook_events": 2}
+    assert set(rows(retention.purge_all(tables)).values()) == {0}
+
+
 def test_otlp(spark):
     body = {"resourceSpans": [{"resource": {"attributes": [{"key": "session_id", "value": {"intValue": "7"}}]}, "scopeSpans": [{"spans": [{"name": "run", "startTimeUnixNano": "1999999"}, "x"]}]}]}
     df = spark.createDataFrame([(1, json.dumps(body)), (2, "{broken"), (3, "{}")], "body_id int, body string")
@@ -83,31 +165,44 @@ def test_otlp(spark):
     assert [(r["body_id"], r["name"], r["ts"], r["session_id"]) for r in got] == [(1, "run", 1, "7")]
 
 
+def found_in(findings):
+    return {(r["slug"], r["subject"]) for r in findings.collect()}
+
+
 def test_settings_audit(spark):
     body = {
-        "hooks": {"PreToolUse": [{"hooks": [{"command": "x"}, {"command": "x", "timeout": 20_000}]}]},
-        "permissions": {"allow": ["Bash(*)", "Read(/a/.env)", "Bash(sudo x", "Read(/b/.env)"], "deny": ["Read(/b/.env)"]},
+        "hooks": {"PreToolUse": [{"hooks": [{"command": "x"}, {"command": "x", "timeout": 20_000}]}], "Stop": "no list"},
+        "permissions": {"allow": ["Bash( * )", "Read(/a/.env)", "Bash(sudo x", "Bash(:(){ :|:& };:)", "Bash(chmod 755 /)", "Bash(wget *)", "Read(/b/id_rsa)", 7], "deny": ["Read(/b/id_rsa)"], "defaultMode": "bypassPermissions"},
+        "mcpServers": {"a": {"command": "~/x", "env": {"GH-TOKEN": "1", "PATH": "2"}}, "b": {}}, "enabledPlugins": {"p": True, "q": "yes"},
     }
-    df = spark.createDataFrame([(1, json.dumps(body)), (2, None)], "project_id int, body string")
-    assert {r["check"] for r in audit.hook_findings(audit.settings_hooks(df)).collect()} == {"duplicate hook", "no timeout", "long timeout", "broad matcher"}
+    df = spark.createDataFrame([(1, "project", "s.json", json.dumps(body)), (2, "user", "s.json", None), (3, "user", "s.json", "[1]")], "project_id int, scope string, path string, body string")
+    assert {s for s, _ in found_in(audit.hook_findings(audit.settings_hooks(df)))} == {"duplicate-hook", "no-timeout", "slow-hook", "broad-matcher"}
     allowed = audit.settings_permissions(df)
-    assert {(r["rule"], r["check"]) for r in audit.permission_findings(allowed).collect()} == {("Bash(*)", "whole shell allowed"), ("Bash(sudo x", "unbalanced rule"), ("Bash(sudo x", "dangerous command allowed"), ("Read(/b/.env)", "several effects")}
-    assert [r["path"] for r in audit.uncovered_secrets(allowed).collect()] == ["/a/.env"]
+    assert found_in(audit.permission_findings(allowed)) == {
+        ("bypass-mode", "bypassPermissions"), ("wildcard-allow", "Bash( * )"), ("dangerous-shell", "Bash(sudo x"), ("dangerous-shell", "Bash(chmod 755 /)"), ("network-allow", "Bash(wget *)"), ("never-matches", "Bash(sudo x"),
+        ("scope-conflict", "Read(/b/id_rsa)"), ("sensitive-not-denied", ".env"),
+    }
+    assert found_in(audit.server_findings(audit.servers(df))) == {("untrusted-command", "a"), ("env-secret-names", "a"), ("misconfigured", "b")}
+    assert {(r["plugin"], r["enabled"]) for r in audit.settings_plugins(df).collect()} == {("p", True), ("q", False)}
 
 
-def test_export(spark, tmp_path):
-    report.export({"a": spark.range(3), "b": spark.range(1)}, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "a")).count() == 3
+def test_frontmatter_and_entries(spark):
+    bodies = ["---\nname: a\ndescription: 'Generate it'\ntools: [Read, \"Bash\"]\nname: b\n---\nname: no", "---\nname: open", "name: none", "---\r\nname : c\r\ndescription:\r\n---", None]
+    df = spark.createDataFrame([(1, "user", f"f{i}", b) for i, b in enumerate(bodies)], "project_id int, scope string, path string, body string")
+    got = {r["path"]: (r["valid"], r["name"], r["description"], r["tools"]) for r in audit.entries(df).collect()}
+    assert got == {"f0": (True, "b", "Generate it", ["Read", "Bash"]), "f1": (False, "open", "", []), "f2": (False, "", "", []), "f3": (False, "c", "", []), "f4": (False, "", "", [])}
+    commands = spark.createDataFrame([(1, "x")], "project_id int, name string").limit(0)
+    assert ("missing-validation", "f0") in found_in(audit.skill_findings(audit.entries(df), commands))
+    lines = audit.instructions(df.withColumn("body", F.lit("---\na: b\n---\n\n  First line \nsecond"))).first()
+    assert lines["first_line"] == "First line" and lines["lines"] == 6
+
+
+def test_configuration_flags(spark):
+    df = spark.createDataFrame([(1, "full-local", 400, ["*x", "ab", "/long/path", " "], "0.0.0.0", True, "local-model"), (2, "redacted-content", 30, [], "::1", True, "none")], "project_id int, mode string, retention_days int, excluded array<string>, host string, analysis boolean, provider string")
+    assert [tuple(r) for r in audit.configuration(df).orderBy("project_id").collect()] == [(1, True, 400, 2, 4, True, True), (2, False, 30, 0, 0, False, False)]
 
 
-def test_all_rules_on_completed_snapshots(spark, sf):
-    have = snapshot.project_snapshots(spark, sf).where("project_id in (1, 2)").withColumns({"sessions": F.lit(4).cast("long"), "tests": F.lit(9).cast("long"), "files_per_session": F.lit(4.0), "changed_unverified": F.lit(2).cast("long")})
-    commands = spark.createDataFrame([(1, "npx vitest --all")] * 3 + [(1, "ls"), (2, "npm run build")], "project_id long, command string")
-    paths = spark.createDataFrame([(1, "/app/.env"), (1, "/app/a.py"), (2, "/app/b.py")], "project_id long, path string")
-    texts = spark.createDataFrame([(1, "mail to someone@example.com"), (2, "nothing")], "project_id long, text string")
-    settings = spark.createDataFrame([(1, True, 400, 0, 5, True, False)], "project_id long, full_local boolean, retention_days int, broad_exclusions int, exclusions int, beyond_loopback boolean, external_provider boolean")
-    full = snapshot.complete(have, commands, paths, texts, settings)
-    got = {(r["project_id"], r["rule_id"]): r["evidence"] for r in rules.evaluate(full, min_confidence=0.0).collect()}
-    seven = ("TOOLS-004", "VERIFY-006", "WORKFLOW-004", "SECURITY-001", "SECURITY-002", "CONFIG-001", "CONFIG-002")
-    assert [got.get((1, r)) for r in seven] == [3, 2, 9, 1, 1, 5, 5]
-    assert [got.get((2, r)) for r in seven] == [None, None, 9, None, None, None, None]
+def test_export(spark, tmp_path):
+    got = report.export({"a": spark.range(3), "b": spark.range(1)}, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "a")).count() == 3
+    assert {r["table"]: r["rows"] for r in got.collect()} == {"a": 3, "b": 1}

@@ -5,9 +5,8 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tracemill.plans import more_queries, queries
+from tracemill.plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES, ORACLE_SQL = queries.QUERIES | more_queries.QUERIES, queries.ORACLE_SQL | more_queries.ORACLE_SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

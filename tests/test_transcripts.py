@@ -2,6 +2,7 @@
 
 import json
 
+from tracemill.sources import load
 from tracemill.sources import transcripts as tr
 
 T = "2024-03-01T10:00:%02dZ"
@@ -39,7 +40,7 @@ def test_scenarios(spark, tmp_path):
     })
     parsed = tr.parse(tr.read_lines(spark, root))
     placed = tr.place(parsed)
-    assert {(r["session_id"], r["line_no"], r["level"]) for r in tr.diagnostics(parsed).collect()} == {("full", 9, "error"), ("full", 10, "warn"), ("full", 11, "info")}
+    assert {(r["session_id"], r["line_no"], r["level"]) for r in tr.diagnostics(parsed).collect()} == {("full", 7, "warn"), ("full", 9, "error"), ("full", 10, "warn"), ("full", 11, "info"), ("full", 13, "warn")}
     said = sorted((r["session_id"], r["sequence"], r["content"]) for r in tr.prompts(placed).collect())
     assert said == [("cut", 1, ""), ("full", 1, "fix it"), ("full", 2, "next \ntask")]
     requests = {(r["session_id"], r["message_id"]): r for r in tr.model_requests(placed).collect()}
@@ -53,6 +54,14 @@ def test_scenarios(spark, tmp_path):
     s = {r["session_id"]: r for r in tr.sessions(parsed).collect()}
     assert {k: r["completion"] for k, r in s.items()} == {"full": "completed", "cut": "interrupted", "only": "unknown"}
     assert s["full"]["duration_ms"] == 10_000 and s["full"]["cwd"] == "/repo" and s["full"]["compactions"] == 1
+    assert {k: r["completeness"] for k, r in s.items()} == {"full": ["complete"], "cut": ["tail-missing", "metrics-missing"], "only": ["tail-missing", "prompts-missing"]}
+    assert s["cut"]["entry_point"] == "unknown" and s["cut"]["subagent_calls"] == 1 and s["full"]["prompts"] == 2
+    call = {r["call_id"]: r for r in tr.tool_calls(placed).where("session_id = 'full' and state = 'matched'").collect()}
+    assert call["t2"]["failure_signature"] == "boom" and call["t2"]["failure_type"] == "error" and call["t1"]["prompt_id"] == "full:p:1"
+    ran = tr.command_runs(tr.tool_calls(placed)).first()
+    assert (ran["classification"], ran["success"], ran["commit_id"]) == ("test", False, None)
+    assert [r["kind"] for r in tr.verification_runs(tr.command_runs(tr.tool_calls(placed))).collect()] == ["unit-test"]
+    assert {(r["operation"], r["path"]) for r in tr.file_activity(tr.tool_calls(placed), "/home", "/repo").collect()} == {("read", "[REPO]/a"), ("edit", "[REPO]/b"), ("edit", "[REPO]/c")}
 
 
 def test_import_decisions_and_idempotent_load(spark):
@@ -61,3 +70,35 @@ def test_import_decisions_and_idempotent_load(spark):
     assert {r["uri"]: r["action"] for r in tr.import_decisions(files, state).collect()} == {"a": "import", "b": "skip", "c": "delete and import", "d": "delete and import", "e": "append"}
     once = tr.load(files.limit(2), files, ["uri"])
     assert tr.load(once, files, ["uri"]).count() == once.count() == 5
+
+
+def test_lines_of_files_that_spark_splits(spark, tmp_path):
+    lines = [f'{{"type": "user", "n": {i}, "pad": "{"é" * (i % 90)}"}}' + ("\r" if i % 7 == 0 else "") for i in range(3000)]
+    root = write(tmp_path, {"big": [*lines[:10], "", "  ", *lines[10:]]})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = tr.read_lines(spark, root).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["value"] for r in got] == lines and got[10]["line_no"] == 13
+    raw = (tmp_path / "projects" / "x" / "big.jsonl").read_bytes()
+    assert all(raw[r["offset"] :].startswith(r["value"].encode()) for r in got)
+
+
+def test_scan_loads_what_changed(spark, tmp_path):
+    said = lambda *texts: [line("user", i, {"content": t}) for i, t in enumerate(texts)]
+    root, store = write(tmp_path, {"a": said("one"), "b": said("x", "y")}), str(tmp_path / "store")
+    (tmp_path / "projects" / "-home-secret").mkdir()
+    (tmp_path / "projects" / "-home-secret" / "c.jsonl").write_text("\n".join(said("hidden")))
+    run = lambda **k: {r["session_id"]: (r["reason"], r["action"]) for r in load.scan(spark, root, store, excluded=["/home/secret"], **k).collect()}
+    prompts = lambda: sorted((r["session_id"], r["content"]) for r in load.read(spark, store)["prompts"].collect())
+    assert run() == {"a": ("first import", "import"), "b": ("first import", "import")}
+    assert run() == {"a": ("unchanged", "skip"), "b": ("unchanged", "skip")} and prompts() == [("a", "one"), ("b", "x"), ("b", "y")]
+    write(tmp_path, {"a": said("one", "two"), "b": said("z")})
+    assert run() == {"a": ("head changed", "delete and import"), "b": ("shrank", "delete and import")}  # the head is all of so small a file
+    assert prompts() == [("a", "one"), ("a", "two"), ("b", "z")]
+    assert {r["session_id"]: r["prompts"] for r in load.read(spark, store)["sessions"].collect()} == {"a": 2, "b": 1}
+    assert run(force=True)["a"] == ("forced", "delete and import") and len(prompts()) == 3
+    assert run(force=True, mode="metadata-only")["a"][0] == "forced" and {c for _, c in prompts()} == {None}
+    run(force=True, now_ms=10**13, retention_days=1)
+    assert load.read(spark, store)["sessions"].count() == 0 and prompts() == []

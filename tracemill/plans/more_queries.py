@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import audit, coaching, metrics, retention
+from tracemill.operators import coaching, metrics, retention
 from tracemill.plans import queries as base
-from tracemill.plans import report, snapshot
+from tracemill.plans import report
 from tracemill.sources import bindings, otlp, transcripts
 
 TABLES = "customer documents events lineitem orders pages part".split()
@@ -30,7 +30,7 @@ def outcome_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_advice(spark: SparkSession, d: str) -> DataFrame:
     p = base.prompt_rows(spark, d)
-    return p.select("session_id", F.col("sequence").cast("long").alias("sequence"), F.array_join(coaching.missing_components(), ",").alias("missing"), F.array_join(coaching.strengths(), ",").alias("strengths"), text.task_class().alias("task"))
+    return p.select("session_id", F.col("sequence").cast("long").alias("sequence"), F.array_join(coaching.missing_components(), ",").alias("missing"), F.array_join(coaching.strengths(), ",").alias("strengths"), text.task_class().alias("task"), text.task_confidence(text.task_class()).alias("task_confidence"))
 
 
 def recent_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -41,18 +41,6 @@ def findings_by_category(spark: SparkSession, d: str) -> DataFrame:
     return coaching.by_category(base.rule_candidates(spark, d))
 
 
-def _instructions(spark: SparkSession, d: str) -> DataFrame:
-    return audit.instruction_facts(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("scope"), "text"))
-
-
-def instruction_audit(spark: SparkSession, d: str) -> DataFrame:
-    return audit.instruction_findings(_instructions(spark, d))
-
-
-def audit_summary(spark: SparkSession, d: str) -> DataFrame:
-    return audit.summary(instruction_audit(spark, d))
-
-
 def retention_summary(spark: SparkSession, d: str) -> DataFrame:
     a = bindings.activity(spark, d)
     tables = {"activity": a, "sessions": bindings.sessions(a)}
@@ -79,42 +67,25 @@ QUERIES = {
     "prompt_advice": prompt_advice,
     "recent_quality": recent_quality,
     "findings_by_category": findings_by_category,
-    "instruction_audit": instruction_audit,
-    "audit_summary": audit_summary,
     "retention_summary": retention_summary,
     "status_counts": status_counts,
-    "markdown_report": lambda s, d: report.markdown(snapshot.project_snapshots(s, d)),
-    "json_report": lambda s, d: report.as_json(snapshot.project_snapshots(s, d)),
     "transcript_prompts": transcript_prompts,
 }
 
-_SECTION_SQL = " || ".join(
-    ["'# Project ' || CAST(project_id AS VARCHAR)"] + [x for title, names in report.SECTIONS.items() for x in (f"chr(10) || chr(10) || '## {title}'", *(f"chr(10) || '- {n}: ' || CAST(CAST({n} AS BIGINT) AS VARCHAR)" for n in names))]
-)
-_JSON_SQL = " || ',' || ".join("'\"" + title.lower() + "\":{' || " + " || ',' || ".join(f"'\"{n}\":' || CAST(CAST({n} AS BIGINT) AS VARCHAR)" for n in names) + " || '}'" for title, names in report.SECTIONS.items())
 _LISTED = lambda pairs: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in pairs) + "], lambda x: x IS NOT NULL), ',')"
-_MISSING = [("target", "file_refs = 0"), ("acceptance criteria", "NOT criteria"), ("verification", "NOT asks_verification"), ("scope", "NOT scoped")]
-_STRENGTHS = [("imperative", "imperatives > 0"), ("target", "file_refs > 0"), ("acceptance criteria", "criteria"), ("verification", "asks_verification"), ("scope", "scoped"), ("single objective", "length > 0 AND NOT multi_task")]
-_WITHOUT_MAIL = base._REDACTED.removeprefix('regexp_replace(').removesuffix(f", {base._Q(text.EMAIL[2])}, '[REDACTED:email]', 'g')")
-_FACTS = f"""WITH r AS (SELECT doc_id, source AS scope, coalesce(text, '') AS text FROM documents), q AS (SELECT doc_id, {_WITHOUT_MAIL} AS redacted FROM r),
-i AS (SELECT doc_id, scope, octet_length(encode(text)) AS bytes, len(string_split(text, chr(10))) AS lines, text, regexp_matches(lower(text), '\\b(build|test|verify)\\b') AS states_checks, regexp_matches(redacted, '\\[REDACTED:[a-z0-9-]+\\]') AS sensitive, count(*) OVER (PARTITION BY text) AS copies FROM r JOIN q USING (doc_id)),
-c AS (SELECT doc_id, scope, 'large' AS "check", 'medium' AS severity FROM i WHERE bytes >= 65536 OR lines >= 600 UNION ALL SELECT doc_id, scope, 'duplicate', 'low' FROM i WHERE copies > 1
-UNION ALL SELECT doc_id, scope, 'no verification steps', 'medium' FROM i WHERE NOT states_checks UNION ALL SELECT doc_id, scope, 'sensitive content', 'critical' FROM i WHERE sensitive)"""
+_MISSING = [("objective", "imperatives = 0 AND length > 0"), ("target", "file_refs = 0 AND length > 0"), ("acceptanceCriteria", "NOT criteria"), ("verificationRequest", "NOT asks_verification"), ("scopeBoundary", "NOT scoped"), ("taskSplit", "multi_task")]
+_STRENGTHS = [("begins with what to do", "imperatives > 0"), ("names its target", "file_refs > 0"), ("says when it is done", "criteria"), ("asks for a check", "asks_verification"), ("bounds its scope", "scoped"), ("has one aim", "length > 0 AND NOT multi_task")]
+_TASK = f"CASE WHEN corrective OR reversal THEN 'debug' WHEN regexp_matches(content, '{text.REVIEW}') THEN 'review' WHEN regexp_matches(content, '{text.REFACTOR}') THEN 'refactor' WHEN imperatives > 0 THEN 'implementation' ELSE 'other' END"
 
 ORACLE_SQL = {
     "otlp_records": f"{base.ACTIVITY} SELECT event_id AS body_id, 'log' AS kind, CASE WHEN event_type = 'view' THEN 'log' ELSE event_type END AS name, ts, session_id FROM activity",
     "outcome_evidence": f"{base.FEATURES} SELECT session_id, CAST(sequence AS BIGINT) AS sequence, coalesce(count(*) FILTER (corrective) OVER w, 0) AS later_corrections, coalesce(count(*) FILTER (reversal) OVER w, 0) AS later_reversals FROM f WINDOW w AS (PARTITION BY session_id ORDER BY sequence ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)",
-    "prompt_advice": f"""{base.FEATURES} SELECT session_id, CAST(sequence AS BIGINT) AS sequence, {_LISTED(_MISSING)} AS missing, {_LISTED(_STRENGTHS)} AS strengths,
-  CASE WHEN corrective OR reversal THEN 'debug' WHEN regexp_matches(lower(content), '\\b(review|audit|inspect)\\b') THEN 'review' WHEN regexp_matches(lower(content), '\\b(refactor|clean ?up|restructure)\\b') THEN 'refactor' WHEN imperatives > 0 THEN 'implementation' ELSE 'other' END AS task FROM f""",
+    "prompt_advice": f"{base.FEATURES} SELECT session_id, CAST(sequence AS BIGINT) AS sequence, {_LISTED(_MISSING)} AS missing, {_LISTED(_STRENGTHS)} AS strengths, {_TASK} AS task, CASE WHEN {_TASK} = 'other' THEN 0.2::DOUBLE ELSE 0.6::DOUBLE END AS task_confidence FROM f",
     "recent_quality": f"""{base.QUALITY}, o AS (SELECT q.*, {base._R2("(clarity + specificity + verifiability + scope_boundedness + focus) / 5")} AS overall, ts FROM q JOIN (SELECT session_id AS s, CAST(sequence AS BIGINT) AS n, ts FROM prompts) ON s = session_id AND n = sequence ORDER BY ts DESC, session_id, sequence LIMIT 100)
   SELECT round(CAST(sum(CAST(round(overall * 100) AS BIGINT)) AS BIGINT) / count(*) / 100, 6) AS mean_overall, count(*) AS prompts FROM o""",
-    "findings_by_category": f"{base.CANDIDATES} SELECT lower(string_split(rule_id, '-')[1]) AS category, severity, count(*) AS findings FROM candidates GROUP BY 1, 2",
-    "instruction_audit": f"{_FACTS} SELECT * FROM c",
-    "audit_summary": f"{_FACTS} SELECT scope, severity, count(*) AS findings FROM c GROUP BY 1, 2",
+    "findings_by_category": f"{base.CANDIDATES} SELECT category, severity, count(*) AS findings FROM candidates GROUP BY 1, 2",
     "retention_summary": f"""{base.SESSIONS}, k AS (SELECT session_id FROM sessions WHERE NOT ended_at < 1704067200000 + 10 * 86400000::BIGINT), t AS (SELECT 'activity' AS "table", count(*) AS before, count(*) FILTER (session_id IN (SELECT session_id FROM k)) AS after FROM activity UNION ALL SELECT 'sessions', count(*), count(*) FILTER (session_id IN (SELECT session_id FROM k)) FROM sessions) SELECT *, before - after AS gone FROM t""",
     "status_counts": " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS rows FROM {t}""" for t in TABLES),
-    "markdown_report": f"{base._SNAPSHOT}, {base._ZEROED} SELECT project_id, {_SECTION_SQL} AS report FROM z",
-    "json_report": f"""{base._SNAPSHOT}, {base._ZEROED} SELECT project_id, '{{' || {_JSON_SQL} || ',"cost_disclaimer":"{report.DISCLAIMER}"}}' AS report FROM z""",
     "transcript_prompts": """WITH t AS (SELECT conv_id, turn, role, text, CASE WHEN turn % 3 <> 1 THEN 1704067200000 + (conv_id % 60) * 60000 + (turn % 60) * 1000 END AS got FROM conversations),
   p AS (SELECT *, coalesce(got, last_value(got IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS ts FROM t)
   SELECT conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence, ts, sha256(text) AS content_hash, length(text) AS character_count, CAST(ceil(length(text) / 4) AS BIGINT) AS approximate_tokens FROM p WHERE role = 'user' AND ts IS NOT NULL""",

@@ -1,60 +1,68 @@
-"""One row of metrics for each project and one over all: what rules and reports read."""
+"""One row of metrics for each project: what rules and reports read."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
-from tracemill.operators import costs, metrics
+from tracemill.operators import audit, costs, metrics
 from tracemill.sources import bindings
+from tracemill.sources.scratch import written
+
+#: Columns that are flags; the others are numbers.
+FLAGS = ("full_local", "beyond_loopback", "external_provider")
+
+
+def repeats(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """How often each project's most repeated thing occurs, most failed one fails, and all that occur three times or more."""
+    n = rows.groupBy("project_id", key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("failed"))
+    often = F.when(F.col("n") >= metrics.REPEAT_THRESHOLD, F.col("n")).otherwise(0)
+    return n.groupBy("project_id").agg(F.max("n").alias(f"repeated_{name}_top"), F.max("failed").alias(f"failed_{name}_top"), F.sum(often).alias(f"sum_repeated_{name}"))
+
+
+def tools(activity: DataFrame) -> DataFrame:
+    """Largest output, failure rate, and the tool with most failures, by project."""
+    each = activity.groupBy("project_id", "kind").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failures"), F.max("size").alias("largest"))
+    worst = F.max(F.struct("failures", (F.col("failures") / F.col("calls")).alias("rate")))
+    return each.groupBy("project_id").agg(F.max("largest").alias("max_output"), F.round(F.sum("failures") / F.sum("calls"), 6).alias("failure_rate"), worst["failures"].alias("worst_tool_failures"), F.round(worst["rate"], 6).alias("worst_tool_rate"))
+
+
+def commands(ran: DataFrame) -> DataFrame:
+    """Tests, builds and broad tests, by project, of commands with their classes."""
+    test = F.col("classification") == "test"
+    return ran.groupBy("project_id").agg(F.count_if(test).alias("tests"), F.count_if(F.col("classification") == "build").alias("builds"), F.count_if(test & (F.col("scope") == "broad")).alias("broad_tests"))
 
 
 def project_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshot of the bound tables, by project; a project without rows in a table has zeros there."""
-    a = bindings.activity(spark, sf_dir)
-    keys = ["project_id"]
-    usage = metrics.usage(bindings.sessions(a)).where("project_id is not null").select("project_id", "sessions", "median_ms", "prompts_per_session", "tools_per_session", "compactions")
-    flow = metrics.workflow(a).where("project_id is not null").drop("verification_runs", "ended_verified", "median_to_first_edit", "median_edit_to_verification")
-    per_path = a.groupBy("project_id", "kind", "path_hash").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("failed"))
-    top = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
-    repeats = per_path.groupBy(*keys).agg(
-        top("read", "n").alias("repeated_read_top"), top("verify", "n").alias("repeated_command_top"), top("verify", "failed").alias("repeated_failed_top"), top("prompt", "n").alias("repeated_search_top"),
-        F.sum(F.when((F.col("kind") == "read") & (F.col("n") >= 3), F.col("n")).otherwise(0)).alias("sum_repeated_reads"), F.sum(F.when((F.col("kind") == "prompt") & (F.col("n") >= 3), F.col("n")).otherwise(0)).alias("sum_repeated_searches"),
-    )
-    totals = a.groupBy(*keys).agg(
-        F.max("size").alias("max_output"), F.round(F.count_if(~F.col("success")) / F.count(F.lit(1)), 6).alias("failure_rate"), F.count_if(F.col("event_type") == "purchase").alias("tests"), F.count_if(F.col("event_type") == "error").alias("worst_tool_failures"),
-        F.round(F.count_if(F.col("event_type") == "error") / F.nullif(F.count_if(F.col("kind") == "verify"), F.lit(0)), 6).alias("worst_tool_rate"),
-    )
+    """Snapshot of the bound tables, by project; a project without rows in a table has zeros there.
+
+    What several metrics read is derived once.
+    """
+    a = written(bindings.activity(spark, sf_dir), "activity")
+    usage = metrics.usage(bindings.sessions(a)).where("project_id is not null").select("project_id", "sessions", "median_ms", "prompts_per_session", "tools_per_session", "compactions", "completed", "failed", "interrupted")
+    flow = metrics.workflow(a).where("project_id is not null").drop("verification_runs", "median_to_first_edit", "median_edit_to_verification")
+    ran = bindings.commands(spark, sf_dir)
+    ran = ran.withColumns(text.command_columns(F.col("command")))
+    reads, searches, again = (repeats(rows, key, name) for rows, key, name in ((a.where("kind = 'read'"), "path_hash", "reads"), (a.where("kind = 'prompt'"), "path_hash", "searches"), (ran, "command_hash", "commands")))
+    repeated = [reads.select("project_id", F.col("repeated_reads_top").alias("repeated_read_top"), "sum_repeated_reads"), searches.select("project_id", F.col("repeated_searches_top").alias("repeated_search_top"), "sum_repeated_searches"), again.select("project_id", F.col("repeated_commands_top").alias("repeated_command_top"), F.col("failed_commands_top").alias("repeated_failed_top"))]
     requests = bindings.model_requests(spark, sf_dir)
-    dominant = costs.dominant_models(requests)
+    dominant = written(costs.dominant_models(requests), "dominant")
     models = dominant.join(costs.tiers(dominant, costs.catalogue(spark)), "model_id").select("project_id", "requests", F.col("cost_tier").alias("dominant_cost_tier"), F.col("capability").alias("dominant_capability"))
     tokens = metrics.token_totals(requests).where("project_id is not null").select("project_id", "input_tokens", "cache_read_tokens")
     p = bindings.prompts(spark, sf_dir).withColumn("project_id", F.col("session_id") % 10)
     p = p.withColumns(text.prompt_features(F.col("content"), F.col("sequence")))
-    said = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("prompt_count"), F.count_if("criteria").alias("criteria_prompts"), F.count_if("asks_verification").alias("verify_prompts"), F.count_if("multi_task").alias("multi_prompts"), F.sum("vague").cast("long").alias("vague_refs"), F.count_if("corrective").alias("correction_prompts"))
-    out = usage
-    for part in (flow, repeats, totals, tokens, said, models):
-        out = out.join(part, "project_id", "left")
-    return out.na.fill(0)
-
+    said = p.groupBy("project_id").agg(F.count(F.lit(1)).alias("prompt_count"), F.count_if("criteria").alias("criteria_prompts"), F.count_if("asks_verification").alias("verify_prompts"), F.count_if("multi_task").alias("multi_prompts"), F.sum("vague").cast("long").alias("vague_refs"), F.count_if("corrective").alias("correction_prompts"))
+    paths = metrics.sensitive_access(bindings.touched(spark, sf_dir).withColumns({"path_hash": F.sha2(F.concat(F.lit("path:"), text.clean_path(F.col("path"))), 256), "path": text.clean_path(F.col("path"))}))
+    paths = paths.groupBy("project_id").agg(F.max("operations").alias("sensitive_ops"))
+    found = bindings.texts(spark, sf_dir).groupBy("project_id").agg(F.sum(F.size(text.markers(text.redact(F.col("text"), emails=True)))).cast("long").alias("secret_findings"))
+    parts = [flow, *repeated, tools(a), commands(ran), tokens, said, models, paths, found, audit.configuration(bindings.settings(spark, sf_dir))]
+    out = reduce(lambda left, right: left.join(right, "project_id", "left"), parts, usage)
+    return out.na.fill(0).na.fill(False)
 
-SETTINGS = {"full_local": False, "retention_days": 0, "broad_exclusions": 0, "exclusions": 0, "beyond_loopback": False, "external_provider": False}
 
-
-def complete(snapshots: DataFrame, commands: DataFrame, paths: DataFrame, texts: DataFrame, settings: DataFrame) -> DataFrame:
-    """snapshots with the columns that the rest of rules.RULES read, so that all of them can be evaluated.
-
-    commands (project_id, command), paths (project_id, path) that were touched,
-    texts (project_id, text) that were captured, settings (project_id and the
-    columns of SETTINGS, one row for a project). What a project lacks is zero or
-    false.
-    """
-    ran = commands.select("project_id", *(c.alias(n) for n, c in text.command_columns(F.col("command")).items()))
-    ran = ran.groupBy("project_id").agg(F.count_if((F.col("classification") == "test") & (F.col("scope") == "broad")).alias("broad_tests"), F.count_if(F.col("classification") == "build").alias("builds"))
-    touched = paths.groupBy("project_id").agg(F.count_if(text.sensitive_kind(F.col("path")).isNotNull()).alias("sensitive_ops"))
-    found = texts.groupBy("project_id").agg(F.sum(F.size(text.markers(text.redact(F.col("text"), emails=True)))).cast("long").alias("secret_findings"))
-    out = snapshots
-    for part in (ran, touched, found, settings.select("project_id", *SETTINGS)):
-        out = out.join(part, "project_id", "left")
-    return out.na.fill({"broad_tests": 0, "builds": 0, "sensitive_ops": 0, "secret_findings": 0} | SETTINGS)
+def scoped(snapshots: DataFrame, scopes: DataFrame) -> DataFrame:
+    """A row for each of scopes (project_id), with zeros where the snapshots have none: an empty window is a row of zeros."""
+    return scopes.select("project_id").distinct().join(snapshots, "project_id", "left").na.fill(0).na.fill(False)
