@@ -44,6 +44,23 @@ def test_class_words_do_not_take_articles():
         assert ht.main_text(page) == want, page
 
 
+def test_nothing_else_is_dropped_or_added():
+    body = f"<p>{P1}</p><p>{P3}</p>"
+    want = f"{P1}\n\n{P3}"
+    for page, text in (
+        (f"<article>{body}<section class='legal notes'><p>{P1} It is law.</p></section></article>", f"{want}\n\n{P1} It is law."),
+        (f"<body><div id=content>{body}<p class='share'>{P1} We share it.</p></div>", f"{want}\n\n{P1} We share it."),
+        (f"<article>{body}<div class='text-ad-free'><p>{P3} No adverts.</p></div></article>", f"{want}\n\n{P3} No adverts."),
+        (f"<body><div class=outer>Loose text, beside the best container, of some length. <div id=text>{body}</div><b>And more</b> loose text, behind it, <i>is</i> kept.</div>", f"Loose text, beside the best container, of some length.\n\n{want}\n\nAnd more loose text, behind it, is kept."),
+        (f"<article><p>foo<img src=x>bar, {P1}</p></article>", f"foobar, {P1}"),
+        ("<body><ul>" + "".join(f"<li><a href='/{i}'>Link number {i}, to somewhere else</a></li>" for i in range(20)) + "</ul>", ""),
+        (f"<article>{body}</article><label for=q>Search for what, please?</label>", want),
+        (f"<article><p>See <a href=/x/>this</a> and, well, {P1}</p><div/>{P3}</article>", f"See this and, well, {P1}\n\n{P3}"),
+        (f"<body><div id=content><a name=top/>{body}</div>", want),
+    ):
+        assert ht.main_text(page) == text, page
+
+
 def test_markup():
     page = f"<article><p>a\n <b>b</b>&nbsp;c&#233;&lt;br&gt; x<br>y</p><ul><li>one<li>two</ul><table><tr><td>1<td>2<tr><td>3</table><pre> k  l\n m</pre><p title='a>b'>5 < 6 & 7</p><p>{P1}</article>"
     assert ht.main_blocks(page) == ["a b cé<br> x y", "one", "two", "1 2", "3", "k l m", "5 < 6 & 7", P1]

@@ -23,7 +23,7 @@ CLOSES = {t: (frozenset(c.split()), frozenset(s.split())) for t, c, s in (
     ("tbody", "thead tbody tfoot tr td th", "table"), ("tfoot", "thead tbody tfoot tr td th", "table"), ("option", "option", "select"),
 )}
 #: Never part of an article.
-DROPPED = frozenset("head script style template noscript svg math iframe object embed canvas audio video textarea title xmp noembed noframes nav aside footer form button select input dialog menu".split())
+DROPPED = frozenset("head script style template noscript svg math iframe object embed canvas audio video textarea title xmp noembed noframes nav aside footer form button select input dialog menu label legend".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 #: Words in a class or id that mark what isn't part of an article.
 DROPPED_WORDS = frozenset(
@@ -33,13 +33,17 @@ DROPPED_WORDS = frozenset(
 )
 #: Of these, what also names parts of articles: alone they don't take a block out of an article, if it reads as text.
 AMBIGUOUS_WORDS = frozenset("widget widgets legal notice notices share sharing related recommended copyright disclaimer register skip search header banner overlay social promotion modal toolbar".split())
+#: Blocks of text: a word that is ambiguous doesn't take one, wherever it is, if it reads as text.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 LEAST_BESIDE_COMMENTS = 200
 KEPT_TAGS = frozenset("html body main".split())
 GOOD_WORDS = frozenset("article content entry post story text body main page".split())
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-LEAST_PARAGRAPH, SIBLING_SHARE, BONUS = 25, 0.2, 25.0
+#: Names that say a thing is not there.
+WITHOUT = re.compile(r"\b(?:[a-z]+[-_ ]?free|no[-_][a-z]+)\b")
+LEAST_PARAGRAPH, SIBLING_SHARE, BONUS, MOST_LINKS = 25, 0.2, 25.0, 0.5
 
 
 class Node:
@@ -83,13 +87,19 @@ def parse(page: str) -> Node:
             close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
             child.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID:
             here = child
     return root
 
 
 def _room(here: Node, tag: str) -> Node:
     """The node that an opening tag goes in, when what it closes is closed."""
+    if tag == "a":
+        node = here
+        while node.parent and node.tag not in BLOCK and node.tag != "a":
+            node = node.parent
+        if node.tag == "a":
+            here = node.parent
     if tag in BLOCK:
         node = here
         while node.parent and node.tag not in BLOCK and node.tag not in ("td", "th"):
@@ -108,9 +118,13 @@ def _room(here: Node, tag: str) -> Node:
     return here
 
 
+def _is_link(node: Node) -> bool:
+    return node.tag == "a" and "href" in node.attributes.lower()
+
+
 def _marks(node: Node) -> tuple[set[str], dict[str, str]]:
     attributes = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(node.attributes)} if node.attributes.strip() else {}
-    named = CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()
+    named = WITHOUT.sub(" ", CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower())
     return set(WORDS.findall(named)), attributes
 
 
@@ -144,7 +158,7 @@ def prune(root: Node) -> None:
             if not bad and comments:
                 bad = True
             elif not bad and hits and not ("header" in hits and inside and len(hits) == 1) and not (article and not inside):
-                reads = inside and hits <= AMBIGUOUS_WORDS and own >= LEAST_PARAGRAPH and own > linked
+                reads = (inside or child.tag in PARAGRAPHS) and hits <= AMBIGUOUS_WORDS and own >= LEAST_PARAGRAPH and own > linked
                 bad = not holds and own * 2 <= total and not reads
             if not bad:
                 kept.append(child)
@@ -163,7 +177,7 @@ def _weights(root: Node) -> tuple[int, dict[int, tuple[int, int, bool, bool]], d
     own: dict[int, list] = {}
     while todo:
         node, linked = todo.pop()
-        linked = linked or node.tag == "a"
+        linked = linked or _is_link(node)
         order.append(node)
         marks[id(node)] = _marks(node)
         length = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) if node.tag not in DROPPED or node.tag == "form" else 0
@@ -232,7 +246,7 @@ def score(root: Node) -> list[Node]:
                     length, commas = length + own[id(c)][0], commas + own[id(c)][1]
         own[id(node)] = [length, commas]
         node.length += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-        if node.tag == "a":
+        if _is_link(node):
             node.links = node.length
     for node in order:
         length, commas = own[id(node)]
@@ -253,8 +267,8 @@ def main_blocks(page: str) -> list[str]:
     root = parse(page)
     prune(root)
     scored = score(root)
-    if not scored:
-        return blocks(root)
+    if not scored:  # short text, or a list of links
+        return blocks(root) if root.links <= MOST_LINKS * root.length else []
     best = max(scored, key=lambda n: n.points)
     node = best
     while node.parent:  # an article is one, whichever of its parts has most points
@@ -266,17 +280,33 @@ def main_blocks(page: str) -> list[str]:
         return blocks(best)
     out: list[str] = []
     limit = max(10.0, SIBLING_SHARE * best.points)
-    for child in best.parent.children:
+    for child in _with_loose_text(best.parent):
         if child is best:
             out += blocks(child)
-        elif not isinstance(child, str) and child.tag in BLOCK and child.length:
+        elif (child.tag in BLOCK or child.tag == "#text") and child.length:
             density = child.links / child.length
-            paragraph = child.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") and density < 0.25 and best.tag not in ("article", "main", "body", "html")
+            paragraph = child.tag in ("#text", "p", "pre", "blockquote", "h1", "h2", "h3") and density < 0.25 and best.tag not in ("article", "main", "body", "html")
             if paragraph or child.points >= limit and density < 0.5 and (best.tag not in ("article", "main") or child.tag in ("article", "section")):
                 out += blocks(child)
     return out
 
 
+def _with_loose_text(parent: Node) -> Iterator[Node]:
+    """The blocks of a node, and what stands between them: texts and inline elements that follow each other are one."""
+    loose = Node("#text", "", parent)
+    for child in [*parent.children, None]:
+        if child is None or not isinstance(child, str) and child.tag in BLOCK:
+            if len(" ".join("".join(blocks(loose)).split())) >= LEAST_PARAGRAPH:
+                yield loose
+            loose = Node("#text", "", parent)
+            if child is not None:
+                yield child
+        else:
+            loose.children.append(child)
+            loose.length += len(" ".join(child.split())) if isinstance(child, str) else child.length
+            loose.links += 0 if isinstance(child, str) else child.links
+
+
 def blocks(top: Node) -> list[str]:
     """Texts of all blocks below, in page order; white space is one space, references are decoded."""
     out: list[str] = []
@@ -299,7 +329,7 @@ def blocks(top: Node) -> list[str]:
             todo.append(None)
             todo.extend(reversed(node.children))
         else:
-            if node.tag in ("br", "td", "th", "img"):
+            if node.tag in ("br", "td", "th"):
                 line.append(" ")
             if node.tag in ("td", "th"):
                 todo.append(" ")
