@@ -62,3 +62,23 @@ def test_null_turn_is_in_both_conversations(spark, tmp_path):
 
     got = [r["part"] for r in op8_preferences(spark, str(tmp_path)).where("place is null or place < 0").collect()]
     assert got == ["prompt", "prompt"]
+
+
+def test_a_row_for_each_pair(spark):
+    sides = [[(1, 0, "user", "q"), (1, 1, "assistant", t), (1, 2, "user", "then"), (1, 3, "assistant", "é" + t)] for t in ("yes", "no")]
+    big = [[(2, 0, "user", "q"), (2, 1, "assistant", t * 300)] for t in "ab"]
+    left, right = (spark.createDataFrame([(*r, "x") for r in sides[k] + big[k]], SCHEMA) for k in (0, 1))
+    rows = {r["pair_id"]: r for r in pf.paired_rows(pf.format_pairs(left, right), most_chars=500).collect()}
+    assert rows[1]["prompt"] == "<|im_start|>user\nq<|im_end|>\n" and rows[1]["whole"]
+    for part, answer in (("chosen", "yes"), ("rejected", "no")):
+        assert [rows[1][part][x["start"] : x["end"]] for x in rows[1][f"{part}_train"]] == [f"{answer}<|im_end|>\n", f"é{answer}<|im_end|>\n"]
+    assert (rows[2]["whole"], rows[2]["chosen"], rows[2]["chosen_train"]) == (False, None, None)
+    assert pf.paired_rows(pf.format_pairs(left.limit(0), right.limit(0))).count() == 0
+
+
+def test_pairs_against_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    columns = ["pair_id", "prompt", "chosen", "rejected", "chosen_train", "rejected_train", "whole"]
+    got = sorted(map(tuple, pf.preference_pairs(spark, sf).select(*columns).collect()))
+    duckdb.execute(f"create or replace view conversations as select * from '{sf}/conversations.parquet'")
+    assert got == sorted(duckdb.execute(pf.PAIRS_SQL).fetchall())

@@ -57,12 +57,6 @@ def sliced(batches: Iterator[pa.RecordBatch], mb: int = 16, rows: int = 10_000)
             yield b.slice(at, step)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Bound what a Python worker gets at once, in rows and in bytes: some texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
-
-
 def text_hash(col: str = "text"):
     """Tells apart rows that repeat an id; null texts hash to the seed."""
     return F.xxhash64(F.col(col))

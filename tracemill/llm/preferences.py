@@ -11,6 +11,8 @@ from tracemill.llm.common import materialise, table
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
 FIRST = -(1 << 63)
+#: Most code points of a pair that is put into one row.
+MOST_CHARS = 1 << 20
 
 
 def _turns(side: DataFrame) -> DataFrame:
@@ -68,17 +70,49 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, trained_role: str = TRA
     )
 
 
-def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paired_rows(segments: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """One row for each pair of format_pairs(): the prompt, both completions, and the code points of each that are trained on.
+
+    Columns: pair_id, prompt, chosen, rejected, chosen_train, rejected_train,
+    whole. The texts are the rendered turns in order of place (then role and
+    text), joined; a part without turns is empty. A pair whose parts have over
+    most_chars code points together doesn't fit a row: whole is false, its texts
+    are null, and its turns are in the segments alone. Sizes are summed up before
+    any text is gathered. Repeated turns are all there.
+    """
+    sizes = segments.groupBy("pair_id").agg((F.sum(F.char_length("rendered")) <= most_chars).alias("whole"))
+    fits = segments.join(materialise(sizes, "preference-sizes"), "pair_id")
+    turn = F.struct("place", "role", "rendered", "train_start", "train_end")
+    of = lambda part: F.array_sort(F.collect_list(F.when(F.col("whole") & (F.col("part") == part), turn)))
+    parts = fits.groupBy("pair_id", "whole").agg(*(of(p).alias(p) for p in ("prompt", "chosen", "rejected")))
+    text = lambda p: F.when(F.col("whole"), F.array_join(F.transform(p, lambda t: t["rendered"]), "")).alias(p)
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"))
+    step = lambda a, t: F.struct((a["at"] + F.char_length(t["rendered"])).alias("at"), F.when(t["train_end"] > 0, F.concat(a["spans"], F.array(F.struct((a["at"] + t["train_start"]).alias("start"), (a["at"] + t["train_end"]).alias("end"))))).otherwise(a["spans"]).alias("spans"))
+    spans = lambda p: F.when(F.col("whole"), F.aggregate(p, start, step)["spans"]).alias(f"{p}_train")
+    return parts.select("pair_id", text("prompt"), text("chosen"), text("rejected"), spans("chosen"), spans("rejected"), "whole")
+
+
+def made_up_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation, chosen, against the one that leaves it after 1 to 4 turns for its neighbour's (ids 2k and 2k + 1)."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     cut = 1 + F.pmod("pair_id", F.lit(4))
-    at = F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 63)))  # a null turn is the first
+    at = F.coalesce(F.col("turn").cast("long"), F.lit(FIRST))  # a null turn is the first
     start = turns.where(at < cut)
     other = turns.withColumn("pair_id", F.col("pair_id") + 1 - 2 * F.pmod("pair_id", F.lit(2))).where(at >= cut)
     known = turns.select("pair_id").distinct()
     return format_pairs(turns, start.unionByName(other.join(known, "pair_id", "left_semi")))
 
 
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return made_up_pairs(spark, sf_dir)
+
+
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, a row for each."""
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return paired_rows(made_up_pairs(spark, sf_dir)).select("pair_id", "prompt", "chosen", "rejected", spans("chosen_train"), spans("rejected_train"), "whole")
+
+
 SQL = """
 WITH c AS (SELECT conv_id AS pair_id, turn AS place, role, text FROM conversations),
 o AS (SELECT pair_id + 1 - 2 * (pair_id % 2) AS pair_id, place, role, text FROM c),
@@ -92,3 +126,11 @@ SELECT pair_id, part, place, role, '<|im_start|>' || role || chr(10) || text ||
   CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 24 + length(role) + length(text) ELSE 0 END AS train_end
 FROM p
 """
+#: Turns are put one after the other; a turn's spans move by what stands before it.
+PAIRS_SQL = f"""
+WITH s AS ({SQL}), t AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY place, role, rendered ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT pair_id, coalesce(string_agg(rendered, '' ORDER BY place, role, rendered) FILTER (part = 'prompt'), '') AS prompt, coalesce(string_agg(rendered, '' ORDER BY place, role, rendered) FILTER (part = 'chosen'), '') AS chosen, coalesce(string_agg(rendered, '' ORDER BY place, role, rendered) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(CAST(before + train_start AS BIGINT) || '-' || CAST(before + train_end AS BIGINT), ',' ORDER BY before) FILTER (part = 'chosen' AND train_end > 0), '') AS chosen_train,
+  coalesce(string_agg(CAST(before + train_start AS BIGINT) || '-' || CAST(before + train_end AS BIGINT), ',' ORDER BY before) FILTER (part = 'rejected' AND train_end > 0), '') AS rejected_train, sum(length(rendered)) <= {MOST_CHARS} AS whole
+FROM t GROUP BY 1
+"""

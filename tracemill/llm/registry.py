@@ -13,10 +13,12 @@ QUERIES = {
     "op8_preferences": preferences.op8_preferences,
     "op9_warc": warc.op9_warc,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "preference_pairs": preferences.preference_pairs,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op8_preferences": preferences.SQL,
     "op9_warc": warc.SQL,
+    "preference_pairs": preferences.PAIRS_SQL,
 }
