@@ -2,7 +2,7 @@
 
 import json
 
-from tracemill.sources import load
+from tracemill.sources import adapters, load
 from tracemill.sources import transcripts as tr
 
 T = "2024-03-01T10:00:%02dZ"
@@ -102,3 +102,14 @@ def test_scan_loads_what_changed(spark, tmp_path):
     assert run(force=True, mode="metadata-only")["a"][0] == "forced" and {c for _, c in prompts()} == {None}
     run(force=True, now_ms=10**13, retention_days=1)
     assert load.read(spark, store)["sessions"].count() == 0 and prompts() == []
+
+
+def test_adapters_and_ranges(spark, tmp_path):
+    root = write(tmp_path, {"a": [line("user", 1, {"content": "x"}), "{bad", line("user", 5, {"content": "y"})]})
+    source = adapters.Transcripts()
+    assert [r["session_id"] for r in source.discover(spark, root).collect()] == ["a"] and source.validate(spark, root).count() == 1
+    done = adapters.scan_all(spark, [(source, root)], str(tmp_path / "stores"))
+    assert [(r["source_id"], r["diagnostics"]) for r in done.collect()] == [("transcripts", 1)]
+    said = tr.prompts(tr.place(tr.parse(tr.read_lines(spark, root))))
+    first, last = sorted(r["ts"] for r in said.collect())
+    assert [tr.within(said, *ends).count() for ends in ((first, last), (first + 1, None), (None, last - 1), (first + 1, last - 1))] == [2, 1, 1, 0]

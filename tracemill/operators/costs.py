@@ -20,6 +20,13 @@ def price_list(spark: SparkSession, rows: list[tuple] = DEFAULT_PRICES, source:
     return df.select("family", *(F.col(r).cast(PRICE).alias(r) for r in RATES), F.lit(source).alias("price_source"))
 
 
+def _bounded(entries: DataFrame) -> DataFrame:
+    """entries, to be broadcast: a union of lists may have more rows than each."""
+    if entries.limit(MOST_PRICES + 1).count() > MOST_PRICES:
+        raise ValueError(f"a list of prices or models has at most {MOST_PRICES} rows")
+    return F.broadcast(entries)
+
+
 def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Price of each distinct model_id: an exact entry, else the longest family that its id begins with; overrides win where equal.
 
@@ -29,7 +36,7 @@ def resolve_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
     known = models.select("model_id").distinct()
     fits = F.col("model_id").startswith(F.col("family"))
     best = F.struct((F.col("model_id") == F.col("family")).alias("exact"), F.length("family").alias("len"), (F.col("price_source") == "override").alias("own"))
-    met = known.join(F.broadcast(prices), fits, "left")
+    met = known.join(_bounded(prices), fits, "left")
     return met.groupBy("model_id").agg(F.max_by(F.struct("family", *RATES, "price_source"), best).alias("p")).select("model_id", "p.*")
 
 
@@ -85,7 +92,7 @@ def catalogue(spark: SparkSession, rows: list[tuple] = DEFAULT_CATALOGUE, source
 def tiers(models: DataFrame, entries: DataFrame) -> DataFrame:
     """Capability and cost tier of each distinct model_id: an exact entry, else the longest pattern that its id begins with; 0 without one."""
     best = F.struct((F.col("model_id") == F.col("pattern")).alias("exact"), (F.col("entry_source") == "override").alias("own"), F.length("pattern").alias("len"))
-    met = models.select("model_id").distinct().join(F.broadcast(entries), F.col("model_id").startswith(F.col("pattern")), "left")
+    met = models.select("model_id").distinct().join(_bounded(entries), F.col("model_id").startswith(F.col("pattern")), "left")
     found = met.groupBy("model_id").agg(F.max_by(F.struct("capability", "cost_tier"), best).alias("e"))
     return found.select("model_id", F.coalesce("e.capability", F.lit(0)).alias("capability"), F.coalesce("e.cost_tier", F.lit(0)).alias("cost_tier"))
 

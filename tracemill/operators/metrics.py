@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators.medians import attach
+from tracemill.sources.scratch import written
 
 REPEAT_THRESHOLD = 3
 DAY_MS = 86_400_000
@@ -73,8 +74,8 @@ def session_workflow(activity: DataFrame) -> DataFrame:
 
 
 def workflow(activity: DataFrame) -> DataFrame:
-    """Verification and edit metrics, by project and over all."""
-    s = session_workflow(activity)
+    """Verification and edit metrics, by project and over all; what they need of each session is made once."""
+    s = written(session_workflow(activity), "session-workflow")
     verified, wrote = F.col("verifications") > 0, F.col("writes") > 0
     out = s.rollup("project_id").agg(
         F.round(F.sum("written") / F.count(F.lit(1)), 6).alias("files_per_session"), F.round(F.sum("reads") / F.nullif(F.sum("writes"), F.lit(0)), 6).alias("read_write_ratio"), F.sum("verifications").alias("verification_runs"),

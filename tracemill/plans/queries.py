@@ -134,7 +134,7 @@ def correlated(spark: SparkSession, d: str) -> DataFrame:
     a = bindings.activity(spark, d)
     stated = F.when(F.col("event_id") % 4 == 0, F.col("session_id"))
     project = F.when(F.col("event_id") % 4 < 3, F.col("project_id"))
-    return correlation.correlate(a.select("event_id", project.alias("project_id"), stated.alias("source_session_id"), "ts"), bindings.sessions(a))
+    return correlation.correlate(a.select("event_id", project.alias("project_id"), stated.alias("source_session_id"), "ts"), written(bindings.sessions(a), "sessions"))
 
 
 def session_points(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +174,7 @@ def relative_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str, min_confidence: float = rules.MIN_CONFIDENCE) -> DataFrame:
-    return rules.evaluate(written(snapshot.project_snapshots(spark, d), "snapshots"), min_confidence=min_confidence)
+    return rules.evaluate(snapshot.shared(spark, d), min_confidence=min_confidence)
 
 
 def rule_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -203,7 +203,7 @@ def recommendations_by_project(spark: SparkSession, d: str) -> DataFrame:
 
 def _merged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A run of all rules onto what a run with other numbers left, a third of it dismissed; and the run's candidates."""
-    have = written(snapshot.project_snapshots(spark, d), "snapshots")
+    have = snapshot.shared(spark, d)
     old = rules.evaluate(have.withColumn("ended_failed", F.col("ended_failed") + F.col("project_id") % 2))
     stored = old.select("fingerprint", "rule_id", "project_id", F.when(F.col("project_id") % 3 == 0, "dismissed").otherwise("active").alias("status"), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("updated_at"))
     found = rules.evaluate(have)
@@ -276,7 +276,7 @@ def expired_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "cost_by_model": cost_by_model, "cost_total": cost_total, "model_usage": lambda s, d: costs.model_usage(_requests(s, d)), "model_distribution": lambda s, d: costs.model_distribution(_requests(s, d)), "token_totals": lambda s, d: metrics.token_totals(_requests(s, d)),
-    "usage": lambda s, d: metrics.usage(bindings.sessions(bindings.activity(s, d))), "tool_usage": lambda s, d: metrics.tool_usage(bindings.activity(s, d)), "repeated_reads": repeated_reads, "repeated_failures": repeated_failures, "workflow": lambda s, d: metrics.workflow(bindings.activity(s, d)),
+    "usage": lambda s, d: metrics.usage(written(bindings.sessions(bindings.activity(s, d)), "sessions")), "tool_usage": lambda s, d: metrics.tool_usage(bindings.activity(s, d)), "repeated_reads": repeated_reads, "repeated_failures": repeated_failures, "workflow": lambda s, d: metrics.workflow(bindings.activity(s, d)),
     "touched_between_reads": lambda s, d: metrics.touched_between_reads(bindings.activity(s, d)), "code_changed_after": lambda s, d: metrics.code_changed_after(bindings.activity(s, d)), "carried_timestamps": carried, "paired_calls": paired_calls, "timeline": timeline,
     "prompt_features": prompt_features, "prompt_quality": prompt_quality, "prompt_metrics": prompt_metrics, "prompt_templates": prompt_templates, "redaction": redaction, "secret_findings": secret_findings, "sensitive_paths": sensitive_paths, "sensitive_access": sensitive_access, "secret_markers": secret_markers,
     "command_classes": command_classes, "correlated_events": correlated, "baseline_points": baseline_points, "session_baselines": session_baselines, "session_comparison": session_comparison, "baseline_models": baseline_models, "relative_durations": relative_durations,

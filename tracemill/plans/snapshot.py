@@ -63,6 +63,17 @@ def project_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.na.fill(0).na.fill(False)
 
 
+_made: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project_snapshots(), written, and made once for a session of Spark: rules, reports and lists all read it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made[key] = written(project_snapshots(spark, sf_dir), "snapshots")
+    return _made[key]
+
+
 def scoped(snapshots: DataFrame, scopes: DataFrame) -> DataFrame:
     """A row for each of scopes (project_id), with zeros where the snapshots have none: an empty window is a row of zeros."""
     return scopes.select("project_id").distinct().join(snapshots, "project_id", "left").na.fill(0).na.fill(False)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions import formats, text
+from tracemill.functions import formats, provenance, text
 from tracemill.operators import coaching, costs, metrics, retention, rules, summaries
+from tracemill.plans import hook_queries, report, snapshot
 from tracemill.plans import queries as base
-from tracemill.plans import report, snapshot
 from tracemill.sources import bindings
+from tracemill.sources.bindings import with_tables
 from tracemill.sources.scratch import fresh_path, written
+from tracemill.streaming import hooks
 
 NOW_MS = bindings.EPOCH_MS + 25 * metrics.DAY_MS
 
@@ -101,7 +103,7 @@ def prompt_list(spark: SparkSession, d: str) -> DataFrame:
 
 def recommendations_per_day(spark: SparkSession, d: str) -> DataFrame:
     """Recommendations of the last fourteen days, made on days that are made up."""
-    found = rules.evaluate(written(snapshot.project_snapshots(spark, d), "snapshots"))
+    found = rules.evaluate(snapshot.shared(spark, d))
     made = found.withColumn("created_at", F.lit(NOW_MS) - (F.col("project_id") * 2) * metrics.DAY_MS)
     return coaching.per_day(made, NOW_MS)
 
@@ -150,24 +152,44 @@ def exported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_report(spark: SparkSession, d: str) -> DataFrame:
-    have = written(snapshot.project_snapshots(spark, d), "snapshots")
+    have = snapshot.shared(spark, d)
     return report.markdown(have, rules.rank(rules.evaluate(have), base.NOW_MS, by_project=True))
 
 
 def json_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.as_json(snapshot.project_snapshots(spark, d))
+    return report.as_json(snapshot.shared(spark, d))
+
+
+def provenanced_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Durations and tokens of each project with what they rest on; every tenth session has no duration."""
+    s = _sessions(spark, d).withColumn("duration_ms", F.when(F.col("started_at") % 10 > 0, F.col("duration_ms")))
+    n = s.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.count("duration_ms").alias("timed"), F.sum("duration_ms").alias("total"))
+    r = bindings.model_requests(spark, d).groupBy("project_id").agg(F.count(F.lit(1)).alias("requests"), F.count("cache_read_tokens").alias("cached"), F.sum("cache_read_tokens").alias("cache_tokens"), F.sum("input_tokens").alias("input_tokens"))
+    figures = {"sessions": provenance.figure(F.col("n"), "exact"), "total_ms": provenance.by_coverage(F.col("total"), F.col("timed"), F.col("n"), "sessions"), "cache_read_tokens": provenance.by_coverage(F.col("cache_tokens"), F.col("cached"), F.col("requests"), "requests"), "input_tokens": provenance.figure(F.col("input_tokens"), "reported", confidence=0.9)}
+    each = F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("f")) for k, v in figures.items()))
+    return n.join(r, "project_id", "left").select("project_id", F.explode(each).alias("m")).select("project_id", "m.metric", "m.f.value", "m.f.provenance", "m.f.note", "m.f.confidence")
+
+
+def active_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """Active rows after a run, newest first."""
+    return rules.active(base._merged(spark, d)[0]).select("fingerprint", "rule_id", "project_id", "created_at")
+
+
+def session_hooks(spark: SparkSession, d: str) -> DataFrame:
+    """Stored hook events of user 7, in order of receipt."""
+    return hooks.of_session(spark.read.parquet(hook_queries.drained(spark, d)[1]), "7").select("received_at", "hook_event_name", "payload_hash")
 
 
 def empty_scopes(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot row for every nation as a project: zeros where there is nothing."""
-    out = snapshot.scoped(snapshot.project_snapshots(spark, d), _projects(spark, d))
+    out = snapshot.scoped(snapshot.shared(spark, d), _projects(spark, d))
     return out.select("project_id", *(F.col(c).cast("long").alias(c) for c in ("sessions", "tests", "prompt_count", "retention_days")), "full_local")
 
 
 QUERIES = {
     "project_list": project_list, "project_lookup": project_lookup, "session_search": session_search, "report_windows": report_windows, "session_pages": session_pages, "model_list": model_list, "completion": completion, "verified_rate": verified_rate, "reported_costs": reported_costs,
     "redaction_counts": redaction_counts, "prompt_list": prompt_list, "recommendations_per_day": recommendations_per_day, "formatted_figures": formatted_figures, "pruned": pruned, "purged_project": purged_project, "purged_all": purged_all, "exported": exported, "markdown_report": markdown_report,
-    "json_report": json_report, "empty_scopes": empty_scopes,
+    "json_report": json_report, "empty_scopes": empty_scopes, "provenanced_usage": provenanced_usage, "active_recommendations": active_recommendations, "session_hooks": session_hooks,
 }
 
 _P = "projects AS (SELECT n_nationkey::BIGINT AS project_id, n_name AS display_name, (n_nationkey * 7) % 25 AS last_seen_at FROM nation)"
@@ -229,4 +251,11 @@ ORACLE_SQL = {
   placed AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, rule_id) AS place FROM scored) SELECT project_id, {_REPORT} AS report FROM z""",
     "json_report": f"""{base._SNAPSHOT}, {base._ZEROED} SELECT project_id, '{{' || {_JSON} || ',"privacy_mode":"redacted-content","cost_disclaimer":"{report.DISCLAIMER}"}}' AS report FROM z""",
     "empty_scopes": f"{base._SNAPSHOT}, {base._ZEROED}, {_P} SELECT project_id, coalesce(sessions, 0) AS sessions, coalesce(tests, 0) AS tests, coalesce(prompt_count, 0) AS prompt_count, coalesce(retention_days, 0) AS retention_days, coalesce(full_local, false) AS full_local FROM projects LEFT JOIN z USING (project_id)",
+    "provenanced_usage": f"""{with_tables("activity", "sessions", "model_requests")}, n AS (SELECT project_id, count(*) AS n, count(*) FILTER (started_at % 10 > 0) AS timed, sum(duration_ms) FILTER (started_at % 10 > 0) AS total FROM sessions GROUP BY 1),
+  r AS (SELECT project_id, count(*) AS requests, count(cache_read_tokens) AS cached, sum(cache_read_tokens) AS cache_tokens, sum(input_tokens) AS input_tokens FROM model_requests GROUP BY 1), j AS (SELECT * FROM n LEFT JOIN r USING (project_id))
+  SELECT project_id, 'sessions' AS metric, n::DOUBLE AS value, 'exact' AS provenance, NULL::VARCHAR AS note, NULL::DOUBLE AS confidence FROM j UNION ALL SELECT project_id, 'input_tokens', input_tokens::DOUBLE, CASE WHEN input_tokens IS NULL THEN 'unknown' ELSE 'reported' END, NULL, 0.9::DOUBLE FROM j
+  UNION ALL SELECT project_id, 'total_ms', total::DOUBLE, CASE WHEN timed = 0 THEN 'unknown' WHEN timed < n THEN 'inferred' ELSE 'exact' END, CASE WHEN timed > 0 AND timed < n THEN timed || ' of ' || n || ' sessions' END, NULL FROM j
+  UNION ALL SELECT project_id, 'cache_read_tokens', cache_tokens::DOUBLE, CASE WHEN coalesce(cached, 0) = 0 THEN 'unknown' WHEN cached < requests THEN 'inferred' ELSE 'exact' END, CASE WHEN cached > 0 AND cached < requests THEN cached || ' of ' || requests || ' requests' END, NULL FROM j""",
+    "active_recommendations": f"{base._MERGED} SELECT fingerprint, rule_id, project_id, CASE action WHEN 'inserted' THEN 2 ELSE 1 END::BIGINT AS created_at FROM merged WHERE status = 'active'",
+    "session_hooks": f"{hook_queries._KEPT} SELECT '2024-01-01T' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':00:00Z' AS received_at, hook_event_name, payload_hash FROM stored WHERE event_id % 8 > 1 AND source_session_id = '7'",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tracemill.functions import text
 
@@ -90,13 +91,18 @@ def insert_new(batch: DataFrame, table_path: str) -> None:
     fresh.withColumn("prefix", _prefix()).write.mode("append").partitionBy("prefix").parquet(table_path)
 
 
-def ingest(stream: DataFrame, table_path: str, checkpoint: str) -> None:
-    """Run what is there of stream (columns payload_hash, ...) into a Parquet table, once for each hash.
+def ingest(stream: DataFrame, table_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Run stream (columns payload_hash, ...) into a Parquet table, once for each hash: what is there, or, with every ("2 seconds"), on and on.
 
     There is no state but the table: the anti join with it leaves out what was
     stored, a batch that runs again included, however late it or its copy is.
     """
-    stream.writeStream.foreachBatch(lambda batch, _: insert_new(batch, table_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.foreachBatch(lambda batch, _: insert_new(batch, table_path)).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def spooled(lines: DataFrame) -> DataFrame:
@@ -120,10 +126,10 @@ def backlog(spark: SparkSession, path: str, drained: DataFrame, glob: str = "[!.
     return files.join(drained.select("file").distinct(), "file", "left_anti").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode: str = "redacted-content") -> None:
+def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode: str = "redacted-content", every: str | None = None) -> StreamingQuery:
     """The spool into the table, in order of receipt within a batch; the checkpoint tells which files are done, so that a failed batch is tried again."""
     events = redact(parse(spooled(read_spool(spark, path, stream=True))), mode)
-    ingest(events, table_path, checkpoint)
+    return ingest(events, table_path, checkpoint, every)
 
 
 def counters(received: DataFrame, valid: DataFrame, table: DataFrame) -> DataFrame:
@@ -138,6 +144,11 @@ def recent(table: DataFrame, most: int = 50) -> DataFrame:
     return table.orderBy(F.desc("received_at"), "payload_hash").limit(min(200, max(1, most)))
 
 
+def of_session(table: DataFrame, source_session_id: str) -> DataFrame:
+    """A session's events in order of receipt."""
+    return table.where(F.col("source_session_id") == source_session_id).orderBy("received_at", "payload_hash")
+
+
 def by_kind(table: DataFrame) -> DataFrame:
     return table.groupBy("hook_event_name").agg(F.count(F.lit(1)).alias("events"))
 
