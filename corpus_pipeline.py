@@ -12,12 +12,12 @@ from tracemill.llm.common import fresh_path, materialise, table, text_hash
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps, with all their columns; odd rows are judged as in cotraining.score(), repeated ones alike."""
     return cotraining.passes(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the boosted trees."""
+    """Documents that pass the base rules and the boosted trees, with all their columns; null, empty and blank texts fail, repeated rows are judged alike."""
     return quality_rules.passes(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 

@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -316,15 +315,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     ranked = pieces.join(per_task.select("length", "part", before.alias("before")).hint("merge"), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, places = starts.value
         for b in batches:
-            n, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
+            n, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             row = places[np.searchsorted(keys, n << 48 | rank, side="right") - 1]
-            b["sequence_id"], b["offset"] = row[:, 3] + rank - row[:, 1], row[:, 4]
-            yield b.drop(columns="rank")
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, table, text_hash
+from tracemill.llm.common import materialise, sliced, table, text_hash
 from tracemill.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -37,13 +37,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and th (hash of the text), a row for each row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64) if len(b) else np.zeros(0, np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": fps})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "th", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, th long, fp long")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 
 #: The six pairs of the four blocks of two bytes, and the byte positions of each as a mask.
