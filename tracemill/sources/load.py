@@ -86,7 +86,7 @@ def scan(spark: SparkSession, root: str, store: str, excluded: list[str] = (), f
     if retention_days > 0 and now_ms is not None:
         merged = retention.prune(merged, now_ms, retention_days)
     for name in TABLES:
-        merged[name].write.parquet(f"{store}/v{version}/{name}")
+        merged[name].write.mode("overwrite").parquet(f"{store}/v{version}/{name}")  # a scan that was broken off may have left a part
     notes = spark.read.parquet(f"{store}/v{version}/diagnostics").groupBy("session_id").agg(F.count(F.lit(1)).alias("diagnostics"))
     return decided.select("uri", "session_id", "reason", "action").join(notes, "session_id", "left").na.fill(0, ["diagnostics"])
 
