@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import cotraining, html_text, packing, pieces, preferences, quality_rules, simhash, spotsigs, substring_dedup, warc
+from tracemill.llm import cotraining, html_text, merkle, packing, pieces, preferences, quality_rules, simhash, spotsigs, substring_dedup, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_preferences": preferences.op8_preferences,
     "op9_warc": warc.op9_warc,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "op11_merkle": merkle.op11_merkle,
     "preference_pairs": preferences.preference_pairs,
 }
 
@@ -20,5 +21,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op8_preferences": preferences.SQL,
     "op9_warc": warc.SQL,
+    "op11_merkle": merkle.SQL,
     "preference_pairs": preferences.PAIRS_SQL,
 }
