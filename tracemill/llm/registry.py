@@ -1,6 +1,6 @@
 """Queries of this subpackage for the driver: a name, its function, its SQL."""
 
-from tracemill.llm import cotraining, html_text, merkle, packing, pieces, preferences, quality_rules, simhash, spotsigs, substring_dedup, warc
+from tracemill.llm import cotraining, html_text, lexical, merkle, packing, pieces, preferences, quality_rules, simhash, spotsigs, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_spotsigs": spotsigs.op10_spotsigs,
     "op11_merkle": merkle.op11_merkle,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_lexical": lexical.op13_lexical,
     "preference_pairs": preferences.preference_pairs,
 }
 
@@ -22,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_preferences": preferences.SQL,
     "op9_warc": warc.SQL,
     "op11_merkle": merkle.SQL,
+    "op13_lexical": lexical.SQL,
     "preference_pairs": preferences.PAIRS_SQL,
 }
