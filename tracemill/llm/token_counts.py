@@ -65,7 +65,7 @@ class Counter:
 
     def marks(self, data: bytes, start: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Of data, which begins at byte start of its text and may begin and end within a character: places in the text, tokens before each, tokens in all."""
-        lead = next((i for i, x in enumerate(data[:3]) if x & 0xC0 != 0x80), 0)
+        lead = next((i for i, x in enumerate(data[:3]) if x & 0xC0 != 0x80), min(len(data), 3))
         text = data[lead:].decode("utf-8", "ignore")
         encoding = self.exact.encode(text, add_special_tokens=False)
         if not len(encoding):
