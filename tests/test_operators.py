@@ -120,6 +120,22 @@ def test_medians_are_exact(spark):
     assert {r["k"]: r["median"] for r in medians.medians(df, ["k"], "x", upper=True).collect()} == {k: statistics.median_high(v) for k, v in groups.items() if v}
 
 
+def test_medians_beside_outliers(spark):
+    """One value of 1e15 among 10^6 leaves few rows to put in order, and so do values of any other shape."""
+    n = 1_000_000
+    for shape in ("if(id = 7, 1e15, cast(id % 65521 as double))", "cast(id as double)", "exp(id % 700)", "cast(pmod(xxhash64(id), 3) as double)"):
+        df = spark.range(0, n, 1, 4).selectExpr("cast(null as string) as k", f"{shape} as value").cache()
+        assert medians.bracketed(df, ["k"]).count() < 0.01 * n
+        assert medians.medians(df, ["k"], "value").first()["median"] == df.selectExpr("percentile(value, 0.5)").first()[0]
+        df.unpersist()
+
+
+def test_attached_medians_count_rows_of_no_group_once(spark):
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 3, None), (None, 10, 7.0), ("b", 4, 9.0)], "k string, x int, y double")
+    groups = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    assert {tuple(r) for r in medians.attach(groups, rows, "k", mx="x", my="y").collect()} == {("a", 2.0, 5.0), ("b", 4.0, 9.0), (None, 3.5, 7.0)}
+
+
 def test_baselines_and_comparison(spark):
     base = {d: 0.0 for d in baselines.DIMENSIONS}
     values = [(1, 100.0, 0.0), (1, 200.0, 0.0), (1, 300.0, 3.0), (2, 1000.0, 0.0)]

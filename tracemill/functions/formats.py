@@ -18,6 +18,12 @@ def number(value: Column) -> Column:
     return _or_dash(value, F.regexp_replace(F.format_number(value.cast("double"), 2), r"\.?0+$", ""))
 
 
+def json_number(value: Column) -> Column:
+    """As JSON text: six places at most, none for a whole number; null if not known."""
+    plain = F.regexp_replace(value.cast("decimal(30,6)").cast("string"), r"\.?0+$", "")
+    return F.when(value.isNull() | F.isnan(value.cast("double")), "null").otherwise(plain)
+
+
 def duration(ms: Column) -> Column:
     """Milliseconds as "12 ms", "3.4 s" or "5m 6s"."""
     s = ms / 1000

@@ -66,9 +66,11 @@ def cost_by_model(requests: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def cost_total(requests: DataFrame, prices: DataFrame) -> DataFrame:
-    """USD over all models, the strongest method, and confidence: models with a cost over requests."""
+    """USD over all models, the strongest method of any (reported, registry, unknown), and confidence: models with a cost over requests."""
     by = cost_by_model(requests, prices)
-    return by.agg(F.sum("usd").alias("usd"), F.when(F.count("usd") > 0, "registry").otherwise("unknown").alias("methodology"), F.round(F.count("usd") / F.sum("requests"), 9).alias("confidence"))
+    any_of = lambda method: F.count_if(F.col("provenance") == method) > 0
+    method = F.when(any_of("reported"), "reported").when(any_of("registry"), "registry").otherwise("unknown")
+    return by.agg(F.sum("usd").alias("usd"), method.alias("methodology"), F.round(F.count("usd") / F.sum("requests"), 9).alias("confidence"))
 
 
 def model_distribution(requests: DataFrame) -> DataFrame:

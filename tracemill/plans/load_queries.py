@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators import coaching, metrics, privacy, summaries
-from tracemill.sources import load
-from tracemill.sources.scratch import fresh_path
+from tracemill.sources import load, scratch
 
 LAYOUT, GLOB = r"/projects/project=([^/]+)/session=([^/]+)/", "part-*"
 BASE_MS = 1_704_067_200_000
 TOOLS = ("Read", "Edit", "Bash", "Bash", "Grep", "Task")
-_stores: dict[tuple[str, str], tuple[str, str]] = {}
+_stores: dict[tuple[str, str], tuple[str, str, str]] = {}
 
 
 def transcript_lines(turns: DataFrame) -> DataFrame:
@@ -24,7 +23,8 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
     a summary, a broken line, another record, or a record of no time.
     """
     c, turn = F.col("conv_id"), F.col("turn")
-    stamp = lambda sub: F.concat(F.lit("2024-01-01T"), F.lpad(F.pmod(c, F.lit(24)).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(turn, F.lit(60)).cast("string"), 2, "0"), F.lit(f":0{sub}Z"))
+    minute = F.when(F.pmod(c, F.lit(7)) == 4, 59 - F.pmod(turn, F.lit(60))).otherwise(F.pmod(turn, F.lit(60)))  # some clocks run backwards
+    stamp = lambda sub: F.concat(F.lit("2024-01-01T"), F.lpad(F.pmod(c, F.lit(24)).cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(f":0{sub}Z"))
     k = F.pmod(c + turn, F.lit(6))
     folder = F.concat(F.lit("/home/u/p"), F.pmod(c, F.lit(5)).cast("string"))
     path = F.concat(folder, F.lit("/src/f"), F.pmod(turn, F.lit(3)).cast("string"), F.lit(".py"))
@@ -57,16 +57,26 @@ def transcript_lines(turns: DataFrame) -> DataFrame:
     return turns.select(F.concat(F.lit("-home-u-p"), F.pmod(c, F.lit(5)).cast("string")).alias("project"), c.alias("session"), "turn", F.explode(lines).alias("l")).select("project", "session", "turn", "l.sub", "l.value")
 
 
+def write_transcripts(turns: DataFrame, root: str) -> None:
+    """A file for each conversation below root; those of conversations that have one already are replaced."""
+    lines = transcript_lines(turns).repartition("session").sortWithinPartitions("project", "session", "turn", "sub")
+    lines.select("project", "session", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "session").text(f"{root}/projects")
+
+
+def conversations(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/conversations.parquet")
+
+
 def store(spark: SparkSession, d: str) -> tuple[str, str]:
-    """Root of the transcripts of d, and the store that they were scanned into; made once for a session of Spark."""
+    """Root of the transcripts of d, and the store that they were scanned into; made once for as long as the table's files and the store stay."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _stores:
-        root, tables = fresh_path(spark, "transcripts"), fresh_path(spark, "store")
-        lines = transcript_lines(spark.read.parquet(f"{d}/conversations.parquet"))
-        lines.repartition("session").sortWithinPartitions("project", "session", "turn", "sub").select("project", "session", "value").write.partitionBy("project", "session").text(f"{root}/projects")
-        load.scan(spark, root, tables, excluded=["/home/u/p9"], layout=LAYOUT, glob=GLOB).count()
-        _stores[key] = (root, tables)
-    return _stores[key]
+    state = scratch.state_of(spark, f"{d}/conversations.parquet")
+    if key not in _stores or _stores[key][2] != state or not scratch.exists(spark, _stores[key][1]):
+        root, tables = scratch.fresh_path(spark, "transcripts"), scratch.fresh_path(spark, "store")
+        write_transcripts(conversations(spark, d), root)
+        load.scan(spark, root, tables, excluded=["/home/u/p9"], layout=LAYOUT, glob=GLOB)
+        _stores[key] = (root, tables, state)
+    return _stores[key][:2]
 
 
 def loaded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -112,12 +122,43 @@ def loaded_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    """A scan after the first one: nothing has changed; and one that is forced, which loads everything afresh."""
+    """A scan after the first one: nothing has changed, and nothing is opened; one that is forced, which loads everything afresh; and a dry one."""
     root, tables = store(spark, d)
     again = load.summary(load.scan(spark, root, tables, layout=LAYOUT, glob=GLOB)).withColumn("run", F.lit("again"))
-    forced = load.summary(load.scan(spark, root, fresh_path(spark, "store"), force=True, layout=LAYOUT, glob=GLOB)).withColumn("run", F.lit("forced"))
-    dry = load.decide(spark, root, tables, excluded=["/home/u/p1"], layout=LAYOUT, glob=GLOB).agg(F.count(F.lit(1)).alias("discovered"), F.count_if(F.col("action") != "skip").alias("imported"), F.count_if(F.col("action") == "skip").alias("skipped"), F.lit(None).cast("long").alias("diagnostics"), F.lit("dry, a project excluded").alias("run"))
-    return again.unionByName(forced).unionByName(dry)
+    forced = load.summary(load.scan(spark, root, scratch.fresh_path(spark, "store"), force=True, layout=LAYOUT, glob=GLOB)).withColumn("run", F.lit("forced"))
+    dry = load.decide(spark, root, tables, excluded=["/home/u/p1"], layout=LAYOUT, glob=GLOB).withColumns({"diagnostics": F.lit(0).cast("long"), "pruned": F.lit(0).cast("long")})
+    return again.unionByName(forced).unionByName(load.summary(dry).withColumn("run", F.lit("dry, a project excluded")))
+
+
+def store_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan rewrites after the sessions of one project grew by their last turn: of each table the buckets that hold rows, those written and those left alone."""
+    turns, root, path = conversations(spark, d), scratch.fresh_path(spark, "transcripts"), scratch.fresh_path(spark, "store")
+    grows = F.pmod("conv_id", F.lit(5)) == 3
+    last = turns.where(grows).groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    write_transcripts(turns.join(last, ["conv_id", "turn"], "left_anti"), root)
+    load.scan(spark, root, path, layout=LAYOUT, glob=GLOB)
+    write_transcripts(turns.where(grows), root)
+    load.scan(spark, root, path, layout=LAYOUT, glob=GLOB)
+    return load.open_store(spark, path).rewritten()
+
+
+#: Of scan_range: the hours of the day whose rows are kept, the hour before which sessions have expired, and a project that is purged.
+HOURS, EXPIRED_HOUR, PURGED = (6, 18), 9, 2
+
+
+def scan_range(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each table after a scan of a range of time with retention, and how many of them a purge of one project's sessions takes."""
+    root, path, hour = store(spark, d)[0], scratch.fresh_path(spark, "store"), 3_600_000
+    scanned = load.scan(spark, root, path, layout=LAYOUT, glob=GLOB, since_ms=BASE_MS + HOURS[0] * hour, until_ms=BASE_MS + HOURS[1] * hour, now_ms=BASE_MS + EXPIRED_HOUR * hour + 86_400_000, retention_days=1)
+    counts = None
+    for name, df in load.read(spark, path).items():
+        row = df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"))
+        counts = row if counts is None else counts.unionByName(row)
+    counts = scratch.written(counts, "counts")
+    gone = load.read(spark, path)["sessions"].where(F.pmod(F.col("session_id").cast("long"), F.lit(5)) == PURGED).select("session_id")
+    purged = load.purge(spark, path, scratch.written(gone, "gone")).select("table", "gone")
+    pruned = load.summary(scanned).select(F.lit("pruned sessions").alias("table"), F.col("pruned").alias("rows"), F.lit(0).cast("long").alias("gone"))
+    return counts.join(purged, "table", "left").na.fill(0, ["gone"]).unionByName(pruned)
 
 
 def completeness(spark: SparkSession, d: str) -> DataFrame:
@@ -156,5 +197,5 @@ def metadata_only(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "loaded_prompts": loaded_prompts, "loaded_requests": loaded_requests, "loaded_calls": loaded_calls, "loaded_files": loaded_files, "loaded_commands": loaded_commands, "loaded_verifications": loaded_verifications, "loaded_sessions": loaded_sessions,
-    "loaded_diagnostics": loaded_diagnostics, "scan_summary": scan_summary, "completeness": completeness, "scan_provenance": scan_provenance, "session_timeline": session_timeline, "prompt_comparison": prompt_comparison, "metadata_only": metadata_only,
+    "loaded_diagnostics": loaded_diagnostics, "scan_summary": scan_summary, "store_rewrites": store_rewrites, "scan_range": scan_range, "completeness": completeness, "scan_provenance": scan_provenance, "session_timeline": session_timeline, "prompt_comparison": prompt_comparison, "metadata_only": metadata_only,
 }

@@ -2,9 +2,10 @@
 
 from tracemill.functions import text
 from tracemill.plans import queries as base
+from tracemill.sources import load, store
 
 _REDACTED = base.redacted_sql("content")
-TURNS = """turns AS (SELECT *, CAST(conv_id AS VARCHAR) AS s, conv_id AS c, (conv_id + turn) % 6 AS k, 1704067200000 + (conv_id % 24) * 3600000 + (turn % 60) * 60000 AS base, '/home/u/p' || (conv_id % 5) || '/src/f' || (turn % 3) || '.py' AS path FROM conversations),
+TURNS = """turns AS (SELECT *, CAST(conv_id AS VARCHAR) AS s, conv_id AS c, (conv_id + turn) % 6 AS k, 1704067200000 + (conv_id % 24) * 3600000 + CASE WHEN conv_id % 7 = 4 THEN 59 - turn % 60 ELSE turn % 60 END * 60000 AS base, '/home/u/p' || (conv_id % 5) || '/src/f' || (turn % 3) || '.py' AS path FROM conversations),
 lines AS (SELECT s, turn, -1 AS sub, 'summary' AS what, NULL::BIGINT AS ts FROM turns WHERE turn = 0 AND c % 8 = 0
   UNION ALL SELECT s, turn, 0, role, base FROM turns WHERE role IN ('user', 'system') UNION ALL SELECT s, turn, 1, 'assistant', base + 1000 FROM turns WHERE role = 'assistant' UNION ALL SELECT s, turn, 2, 'assistant', base + 1000 FROM turns WHERE role = 'assistant'
   UNION ALL SELECT s, turn, 3, 'user', base + 3000 FROM turns WHERE role = 'assistant' AND turn % 7 <> 3
@@ -25,7 +26,7 @@ commands AS (SELECT call_id || ':cmd' AS id, session_id, call_id, ts, split_part
   CASE WHEN command <> 'npm test' THEN substr(command, 17) END AS commit_id FROM tool_calls WHERE command IS NOT NULL),
 verifications AS (SELECT call_id || ':verify' AS id, session_id, call_id, ts, 'unit-test' AS kind, success FROM commands WHERE classification = 'test'),
 compactions AS (SELECT s AS session_id, base AS ts, 'compact_boundary' AS label FROM turns WHERE role = 'system'),
-ends AS (SELECT s, min(ts) AS started_at, max(ts) AS ended_at FROM lines WHERE what NOT IN ('broken', 'array', 'untimed', 'summary') GROUP BY 1),
+ends AS (SELECT s, arg_min(ts, line_no) AS started_at, arg_max(ts, line_no) AS ended_at FROM numbered WHERE what NOT IN ('broken', 'array', 'untimed', 'summary') GROUP BY 1),
 sums AS (SELECT s, any_value(c) AS c, arg_max(turn, turn) FILTER (role = 'assistant') AS last_turn, count(*) FILTER (role = 'user') AS prompts, count(*) FILTER (role = 'assistant') AS asked, count(*) FILTER (role = 'system') AS compactions, count(*) FILTER (role = 'assistant' AND k = 5) AS subagent_calls FROM turns GROUP BY 1),
 sessions AS (SELECT s AS session_id, started_at, ended_at, ended_at - started_at AS duration_ms, CASE WHEN last_turn % 4 = 1 THEN 'completed' ELSE 'interrupted' END AS completion, 'unknown' AS entry_point, CASE WHEN prompts > 0 THEN '/home/u/p' || (c % 5) END AS cwd, prompts, asked AS model_requests, asked AS tool_calls, compactions, subagent_calls,
   coalesce(nullif(array_to_string(list_filter([CASE WHEN last_turn % 4 = 1 THEN NULL ELSE 'tail-missing' END, CASE WHEN asked > 0 AND c % 10 = 7 THEN 'metrics-missing' END, CASE WHEN prompts = 0 THEN 'prompts-missing' END], lambda x: x IS NOT NULL), ','), ''), 'complete') AS completeness FROM sums JOIN ends USING (s)),
@@ -50,6 +51,10 @@ _GOOD = [("begins with what to do", "imperatives > 0"), ("names its target", "fi
 _VAGUE = [("vague references", "vague > 0"), ("no target", "file_refs = 0 AND length > 0"), ("no criteria", "NOT criteria"), ("no check", "NOT asks_verification"), ("several tasks", "multi_task"), ("no bounds", "NOT scoped")]
 _OUTCOME = "coalesce(nullif(array_to_string(list_filter([CASE WHEN later_corrections > 0 THEN later_corrections || ' corrective prompts followed' END, CASE WHEN later_reversals > 0 THEN later_reversals || ' reversals followed' END, CASE WHEN ran THEN 'a check ran in the session' END], lambda x: x IS NOT NULL), '; '), ''), 'nothing of note followed')"
 
+_HOUR = lambda h: 1_704_067_200_000 + h * 3_600_000
+_TABLES = {"prompts": "prompts", "model_requests": "requests", "tool_calls": "tool_calls", "file_activity": "files", "command_runs": "commands", "verification_runs": "verifications", "compactions": "compactions"}
+_HOLD = "hold AS (" + " UNION ALL ".join([f"SELECT '{t}' AS \"table\", session_id, ts FROM {s}" for t, s in _TABLES.items()] + ["SELECT 'diagnostics', session_id, NULL FROM diagnostics", "SELECT 'sessions', session_id, NULL FROM sessions", "SELECT DISTINCT 'scan_state', CAST(conv_id AS VARCHAR), NULL::BIGINT FROM conversations"]) + ")"
+
 ORACLE_SQL = {
     "loaded_prompts": f"{WITH} SELECT session_id, sequence, ts, sha256({_REDACTED}) AS content_sha256, sha256(content) AS content_hash, length(content) AS character_count, CAST(ceil(length(content) / 4) AS BIGINT) AS approximate_tokens FROM prompts",
     "loaded_requests": f"{WITH} SELECT * FROM requests",
@@ -60,7 +65,12 @@ ORACLE_SQL = {
     "loaded_sessions": f"{WITH} SELECT * FROM sessions",
     "loaded_diagnostics": f"{WITH} SELECT * FROM diagnostics",
     "scan_summary": f"""{WITH}, d AS (SELECT count(*) AS n FROM diagnostics), c AS (SELECT {_N} AS n, count(DISTINCT conv_id) FILTER (conv_id % 5 <> 1) AS rest FROM conversations)
-  SELECT c.n AS discovered, 0::BIGINT AS imported, c.n AS skipped, CAST(d.n AS BIGINT) AS diagnostics, 'again' AS run FROM c, d UNION ALL SELECT c.n, c.n, 0, d.n, 'forced' FROM c, d UNION ALL SELECT rest, 0, rest, NULL, 'dry, a project excluded' FROM c""",
+  SELECT c.n AS discovered, 0::BIGINT AS imported, c.n AS skipped, 0::BIGINT AS diagnostics, 0::BIGINT AS pruned, 'again' AS run FROM c UNION ALL SELECT c.n, c.n, 0, CAST(d.n AS BIGINT), 0, 'forced' FROM c, d UNION ALL SELECT rest, 0, rest, 0, 0, 'dry, a project excluded' FROM c""",
+    "store_rewrites": f"""{WITH}, {_HOLD}, b AS (SELECT DISTINCT "table", ('0x' || substr(md5(session_id), 1, 8))::BIGINT % {store.BUCKETS} AS b FROM hold), grown AS (SELECT DISTINCT ('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 8))::BIGINT % {store.BUCKETS} AS b FROM conversations WHERE conv_id % 5 = 3)
+  SELECT "table", CAST(count(*) AS INTEGER) AS buckets, CAST(count(*) FILTER (b IN (SELECT b FROM grown)) AS INTEGER) AS rewritten, CAST(count(*) FILTER (b NOT IN (SELECT b FROM grown)) AS INTEGER) AS kept FROM b GROUP BY 1""",
+    "scan_range": f"""{WITH}, {_HOLD}, gone AS (SELECT session_id FROM sessions WHERE ended_at < {_HOUR(9)}), left_over AS (SELECT * FROM hold WHERE "table" = 'scan_state' OR session_id NOT IN (SELECT session_id FROM gone) AND (ts IS NULL OR ts BETWEEN {_HOUR(6)} AND {_HOUR(18)}))
+  SELECT t."table", count(l.session_id) AS rows, count(l.session_id) FILTER (l."table" <> 'scan_state' AND CAST(l.session_id AS BIGINT) % 5 = 2 AND l.session_id IN (SELECT session_id FROM sessions)) AS gone FROM (VALUES {", ".join(f"('{t}')" for t in load.TABLES)}) t("table") LEFT JOIN left_over l ON l."table" = t."table" GROUP BY 1
+  UNION ALL SELECT 'pruned sessions', count(*), 0 FROM gone""",
     "completeness": f"{WITH} SELECT count(*) FILTER (completeness = 'complete') AS complete, count(*) FILTER (completeness LIKE '%tail-missing%') AS tail_missing, count(*) FILTER (completeness LIKE '%metrics-missing%') AS metrics_missing, count(*) FILTER (completeness LIKE '%prompts-missing%') AS prompts_missing FROM sessions",
     "scan_provenance": f"{WITH} SELECT 's' || min(CAST(session_id AS BIGINT) % 2) AS source_id, CASE min(CAST(session_id AS BIGINT) % 2) WHEN 0 THEN '1.2' ELSE '1.3' END AS adapter_version, 1 AS parser_version, count(*) AS imported FROM sessions",
     "session_timeline": f"{WITH}, t AS ({_TIMELINE}) SELECT session_id, ts, kind, label, row_number() OVER (PARTITION BY session_id ORDER BY ts, rank, kind, label) AS position FROM t",

@@ -81,13 +81,25 @@ def verified_rate(spark: SparkSession, d: str) -> DataFrame:
     return summaries.verified_rate(metrics.workflow(a), metrics.usage(bindings.sessions(a)))
 
 
+def _reported(spark: SparkSession, d: str) -> DataFrame:
+    return bindings.model_requests(spark, d).withColumn("reported_usd", F.when(F.col("session_id") % 5 == 0, F.col("request_no").cast("double") / 4).when(F.col("session_id") % 5 == 1, float("nan")))
+
+
 def reported_costs(spark: SparkSession, d: str) -> DataFrame:
     """Costs where some requests state their own."""
-    r = bindings.model_requests(spark, d).withColumn("reported_usd", F.when(F.col("session_id") % 5 == 0, F.col("request_no").cast("double") / 4).when(F.col("session_id") % 5 == 1, float("nan")))
-    out = costs.cost_by_model(r, costs.price_list(spark))
+    out = costs.cost_by_model(_reported(spark, d), costs.price_list(spark))
     return out.withColumn("usd", F.round(F.col("usd").cast("double"), 4))
 
 
+def reported_total(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of sessions whose costs are reported, whose reports are no numbers, of the rest, of the rest under a name without a price, and of all."""
+    r, out = _reported(spark, d), None
+    for name, rows in {"reported": r.where("session_id % 5 = 0"), "not a number": r.where("session_id % 5 = 1"), "from the list": r.where("session_id % 5 > 1"), "all": r, "without a price": r.where("session_id % 5 > 1").withColumn("model_id", F.lit("nameless"))}.items():
+        one = costs.cost_total(rows, costs.price_list(spark)).select(F.lit(name).alias("part"), F.round(F.col("usd").cast("double"), 4).alias("usd"), "methodology", "confidence")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def redaction_counts(spark: SparkSession, d: str) -> DataFrame:
     """Redactions of each category over all documents, counted as they are made, with a custom pattern and one that doesn't compile."""
     docs = text.redaction_counts(bindings.texts(spark, d), "text", emails=True, custom=[("marker", r"\blorem[0-9]+\b"), ("broken", "(")])
@@ -187,7 +199,7 @@ def empty_scopes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "project_list": project_list, "project_lookup": project_lookup, "session_search": session_search, "report_windows": report_windows, "session_pages": session_pages, "model_list": model_list, "completion": completion, "verified_rate": verified_rate, "reported_costs": reported_costs,
+    "project_list": project_list, "project_lookup": project_lookup, "session_search": session_search, "report_windows": report_windows, "session_pages": session_pages, "model_list": model_list, "completion": completion, "verified_rate": verified_rate, "reported_costs": reported_costs, "reported_total": reported_total,
     "redaction_counts": redaction_counts, "prompt_list": prompt_list, "recommendations_per_day": recommendations_per_day, "formatted_figures": formatted_figures, "pruned": pruned, "purged_project": purged_project, "purged_all": purged_all, "exported": exported, "markdown_report": markdown_report,
     "json_report": json_report, "empty_scopes": empty_scopes, "provenanced_usage": provenanced_usage, "active_recommendations": active_recommendations, "session_hooks": session_hooks,
 }
@@ -220,7 +232,7 @@ _REPORT = " || ".join(
     + [x for title in ("Usage", "Most important findings", "Verification quality", "Tool efficiency", "Data completeness", "Top recommendations") for x in (_HEAD(title), _FIGURES(title) if title in report.SECTIONS else _LISTED(5 if title.startswith("Most") else 20))]
     + [_HEAD("Privacy mode"), "'`redacted-content`'", _HEAD("Scan provenance"), f"'| events | ' || {_NUMBER('sessions')} || ' |'"]
 )
-_JSON = " || ',' || ".join("'\"" + title.lower().replace(" ", "_") + "\":{' || " + " || ',' || ".join(f"'\"{c}\":' || CAST(CAST(trunc({c}) AS BIGINT) AS VARCHAR)" for c, _ in names) + " || '}'" for title, names in report.SECTIONS.items())
+_JSON = " || ',' || ".join("'\"" + title.lower().replace(" ", "_") + "\":{' || " + " || ',' || ".join(f"'\"{c}\":' || coalesce(regexp_replace(CAST(CAST({c} AS DECIMAL(30, 6)) AS VARCHAR), '\\.?0+$', ''), 'null')" for c, _ in names) + " || '}'" for title, names in report.SECTIONS.items())
 
 ORACLE_SQL = {
     "project_list": f"{base.SESSIONS}, {_P} SELECT p.project_id, display_name, count(session_id) AS sessions FROM projects p LEFT JOIN sessions s USING (project_id) GROUP BY 1, 2",
@@ -232,6 +244,10 @@ ORACLE_SQL = {
     "model_list": f"{base.REQUESTS} SELECT DISTINCT model_id FROM model_requests",
     "completion": f"{base.SESSIONS} SELECT count(*) FILTER (completion = 'completed') AS completed, count(*) FILTER (completion = 'interrupted') AS interrupted, count(*) FILTER (completion = 'failed') AS failed, 0::BIGINT AS unknown FROM sessions",
     "verified_rate": f"{base.FLOW} SELECT project_id, round(count(*) FILTER (verifications > 0 AND last_success AND last_event = 'purchase') / count(*), 6) AS verified_rate FROM f GROUP BY ROLLUP (project_id)",
+    "reported_total": f"""{base.COSTED}, own AS (SELECT *, CASE WHEN session_id % 5 = 0 THEN request_no * 250000::DECIMAL(18,0) END AS said FROM costed),
+  p AS (SELECT 'all' AS part, session_id, model_id, said, micro FROM own UNION ALL SELECT CASE session_id % 5 WHEN 0 THEN 'reported' WHEN 1 THEN 'not a number' ELSE 'from the list' END, session_id, model_id, said, micro FROM own UNION ALL SELECT 'without a price', session_id, 'nameless', said, NULL FROM own WHERE session_id % 5 > 1),
+  m AS (SELECT part, model_id, count(*) AS requests, CAST(CAST(sum(coalesce(said, micro)) AS DECIMAL(38,4)) / 1000000 AS DECIMAL(30,6)) AS usd, count(said) AS said, count(micro) AS priced FROM p GROUP BY 1, 2)
+  SELECT part, round(sum(usd)::DOUBLE, 4) AS usd, CASE WHEN sum(said) > 0 THEN 'reported' WHEN sum(priced) > 0 THEN 'registry' ELSE 'unknown' END AS methodology, round(count(usd) / sum(requests), 9) AS confidence FROM m GROUP BY 1""",
     "reported_costs": f"""{base.COSTED}, own AS (SELECT *, CASE WHEN session_id % 5 = 0 THEN request_no * 250000::DECIMAL(18,0) END AS said FROM costed)
   SELECT model_id, count(*) AS requests, count(coalesce(said, micro)) AS costed, round(CAST(CAST(sum(coalesce(said, micro)) AS DECIMAL(38,4)) / 1000000 AS DECIMAL(30,6))::DOUBLE, 4) AS usd, CASE WHEN count(said) > 0 THEN 'reported' WHEN count(micro) > 0 THEN 'registry' ELSE 'unknown' END AS provenance FROM own GROUP BY 1""",
     "redaction_counts": f"WITH r AS (SELECT {base.redacted_sql('text', True)} AS redacted FROM documents), m AS (SELECT unnest(regexp_extract_all(redacted, '\\[REDACTED:([a-z0-9-]+)\\]', 1)) AS label FROM r) SELECT CASE label " + " ".join(f"WHEN '{label}' THEN '{c}'" for label, c in text.CATEGORIES.items()) + " ELSE 'secret' END AS category, count(*) AS redactions FROM m GROUP BY 1",

@@ -6,8 +6,15 @@ Bad lines never stop a scan: they become diagnostics.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracemill.functions import text
 
@@ -20,36 +27,69 @@ HEAD_BYTES, SIGNATURE_CHARS = 65_536, 120
 LAYOUT = r"/projects/([^/]+)/([^/]+)\.jsonl$"
 
 
+def _named(uri: Column, layout: str, group: int) -> Column:
+    """A part of a file's name; Spark's names are encoded as in URLs, but for the plus sign."""
+    return F.url_decode(F.replace(F.regexp_extract(uri, layout, group), F.lit("+"), F.lit("%2B")))
+
+
 def discover(spark: SparkSession, root: str, extra: list[str] = (), excluded: list[str] = (), layout: str = LAYOUT, glob: str = "*.jsonl") -> DataFrame:
-    """Files (uri, project, session_id, size, mtime) below root and extra that the layout fits, but for projects below an excluded path."""
+    """Files (uri, project, session_id, size, mtime) below root and extra that the layout fits, but for projects below an excluded path.
+
+    This is the listing alone: without its content column the source opens no file.
+    Spark lists no files of zero bytes: one that was emptied keeps what it held.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load([root, *extra])
     uri = F.col("_metadata.file_path")
-    files = found.select(uri.alias("uri"), F.regexp_extract(uri, layout, 1).alias("project"), F.regexp_extract(uri, layout, 2).alias("session_id"), F.col("_metadata.file_size").alias("size"), F.unix_millis("_metadata.file_modification_time").alias("mtime"))
+    files = found.select(uri.alias("uri"), _named(uri, layout, 1).alias("project"), _named(uri, layout, 2).alias("session_id"), F.col("_metadata.file_size").alias("size"), F.unix_millis("_metadata.file_modification_time").alias("mtime"))
     path = text.path_of_folder(F.col("project"))
     for prefix in excluded:
         files = files.where(~((path == prefix) | path.startswith(prefix.rstrip("/") + "/")))
     return files.where("session_id <> ''")
 
 
-def read_lines(spark: SparkSession, root: str, extra: list[str] = (), layout: str = LAYOUT, glob: str = "*.jsonl") -> DataFrame:
-    """(uri, session_id, line_no, offset, value) of every line that isn't blank, the unended last one too.
+def read_lines(spark: SparkSession, root: str | list[str], extra: list[str] = (), layout: str = LAYOUT, glob: str = "*.jsonl") -> DataFrame:
+    """(uri, session_id, line_no, offset, value) of every line that isn't blank, the unended last one too, of the files below root (a folder, or paths).
 
     Files are read by Spark's own splits, not whole: lines are put in order by
     the place of their split in the file and their place in it, within the file.
     """
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text([root, *extra])
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text([*([root] if isinstance(root, str) else root), *extra])
     lines = read.select(F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
     order = Window.partitionBy("uri").orderBy("block", "row")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = lines.withColumns({"line_no": F.row_number().over(order), "offset": F.coalesce(F.sum(F.octet_length("value") + 1).over(before), F.lit(0))})
-    return placed.where(F.trim("value") != "").select("uri", F.regexp_extract("uri", layout, 2).alias("session_id"), "line_no", "offset", "value")
+    return placed.where(F.trim("value") != "").select("uri", _named(F.col("uri"), layout, 2).alias("session_id"), "line_no", "offset", "value")
+
 
+def as_path(uri: str) -> str:
+    """A file's name as Spark's readers take it: not encoded, and with nothing in it that they would read as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
 
-def head_hashes(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """files with head_hash: of the first HEAD_BYTES bytes, put together from the lines (blank ones left out) that begin there."""
-    head = lines.where(F.col("offset") < HEAD_BYTES).groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("head"))
-    joined = F.concat_ws("\n", F.transform("head", lambda r: r["value"])).cast("binary")
-    return files.join(head.select("uri", F.sha2(F.substring(joined, 1, HEAD_BYTES), 256).alias("head_hash")), "uri", "left")
+
+def head_hashes(files: DataFrame, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """files (uri and others) with head_hash: of the first head_bytes bytes, null for a file that can't be opened.
+
+    Tasks open each file where it lies and read no more than its head. Stores
+    that Arrow has no file system for are refused.
+    """
+    names = [c for c in files.columns if c != "head_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            hashes = []
+            for uri in b.column("uri").to_pylist():
+                local = uri.startswith("file:")
+                at, path = (fs.LocalFileSystem(), unquote(re.sub("^file:/+", "/", uri))) if local else fs.FileSystem.from_uri(uri)
+                try:
+                    with at.open_input_file(path) as f:
+                        hashes.append(hashlib.sha256(f.read(head_bytes)).hexdigest())
+                except OSError:
+                    hashes.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hashes, pa.string())], [*b.schema.names, "head_hash"])
+
+    return files.select(*names).mapInArrow(run, StructType([*files.select(*names).schema, StructField("head_hash", StringType())]))
 
 
 def import_decisions(files: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
@@ -81,12 +121,12 @@ def parse(lines: DataFrame) -> DataFrame:
     return p.withColumns({t: _get(f"$.message.usage.{t}", "long") for t in TOKENS})
 
 
-def diagnostics(parsed: DataFrame) -> DataFrame:
-    """Lines with something wrong: malformed, no record, unknown kind, nothing to take a time from, a result without its use."""
+def diagnostics(parsed: DataFrame, calls: DataFrame | None = None) -> DataFrame:
+    """Lines with something wrong: malformed, no record, unknown kind, nothing to take a time from, a result without its use. calls: as of tool_calls()."""
     wrong = parsed.where("level is not null").select("session_id", "line_no", "level", "note")
-    placed = _timed(parsed)
-    untimed = placed.where("ts is null").select("session_id", "line_no", F.lit("warn").alias("level"), F.when(_missing_time(), "no timestamp yet").otherwise("invalid timestamp").alias("note"))
-    orphans = tool_calls(place(parsed)).where("state = 'orphan'").select("session_id", "line_no", F.lit("warn").alias("level"), F.lit("result without a use").alias("note"))
+    placed = parsed if "prompt_seq" in parsed.columns else timed(parsed)
+    untimed = placed.where("ts is null and coalesce(level, 'info') = 'info'").select("session_id", "line_no", F.lit("warn").alias("level"), F.when(_missing_time(), "no timestamp yet").otherwise("invalid timestamp").alias("note"))
+    orphans = (tool_calls(place(placed)) if calls is None else calls).where("state = 'orphan'").select("session_id", "line_no", F.lit("warn").alias("level"), F.lit("result without a use").alias("note"))
     return wrong.unionByName(untimed).unionByName(orphans)
 
 
@@ -94,17 +134,20 @@ def _missing_time() -> Column:
     return F.col("raw_ts").isNull() | (F.col("raw_ts") == "")
 
 
-def _timed(parsed: DataFrame) -> DataFrame:
-    got = F.unix_millis(F.expr("try_to_timestamp(raw_ts)"))
-    before = F.last(got, ignorenulls=True).over(Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return parsed.where(F.coalesce("level", F.lit("info")) == "info").withColumn("ts", F.when(_missing_time(), before).otherwise(got))
+def timed(parsed: DataFrame) -> DataFrame:
+    """parsed with ts (of a record: its own, or the last valid one before it; null where there is none), said and prompt_seq (prompts so far): what all tables are made of."""
+    records = F.coalesce("level", F.lit("info")) == "info"
+    got = F.when(records, F.unix_millis(F.expr("try_to_timestamp(raw_ts)")))
+    order = Window.partitionBy("session_id").orderBy("line_no")
+    before = F.last(got, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = parsed.withColumn("ts", F.when(records, F.when(_missing_time(), before).otherwise(got)))
+    rows = rows.withColumn("said", F.when(F.col("ts").isNotNull(), prompt_text()))
+    return rows.withColumn("prompt_seq", F.sum(F.col("said").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def place(parsed: DataFrame) -> DataFrame:
     """Records in time, with the number of prompts so far: a missing timestamp is the last valid one before it, an invalid one drops the record."""
-    placed = _timed(parsed).where("ts is not null").withColumn("said", prompt_text())
-    so_far = Window.partitionBy("session_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("prompt_seq", F.sum(F.col("said").isNotNull().cast("int")).over(so_far))
+    return (parsed if "prompt_seq" in parsed.columns else timed(parsed)).where("ts is not null")
 
 
 def within(rows: DataFrame, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
@@ -208,18 +251,23 @@ def compactions(placed: DataFrame) -> DataFrame:
     return placed.where((F.col("kind") == "system") & F.col("subtype").rlike("(?i)compact")).select("session_id", "line_no", "ts", F.col("subtype").alias("trigger"))
 
 
-def sessions(parsed: DataFrame) -> DataFrame:
+def sessions(parsed: DataFrame, calls: DataFrame | None = None, requests: DataFrame | None = None) -> DataFrame:
     """Start, end, duration, completion, counts and completeness of every session that has a placed record.
 
+    Start and end are the times of the first and the last placed record by their
+    place in the file, so that a clock that was put back gives a duration below 0.
+    calls and requests: as of tool_calls() and model_requests().
+
     Completeness flags: tail-missing without an explicit end, metrics-missing if
     no request states its tokens, prompts-missing; complete where there are none.
     """
     placed = place(parsed)
-    calls, requests = tool_calls(placed).where("state <> 'orphan'"), model_requests(placed)
+    calls = (tool_calls(placed) if calls is None else calls).where("state <> 'orphan'")
+    requests = model_requests(placed) if requests is None else requests
     real = F.col("kind") != "summary"
     last_stop = F.max_by("stop_reason", F.when(F.col("stop_reason").isNotNull(), F.col("line_no")))
     s = placed.groupBy("session_id").agg(
-        F.min("ts").alias("started_at"), F.max("ts").alias("ended_at"), last_stop.alias("stop"), F.count_if(real).alias("records"), F.min_by("cwd", F.when(real & F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"), F.min_by("sidechain", F.when(real, F.col("line_no"))).alias("sidechain"),
+        F.min_by("ts", "line_no").alias("started_at"), F.max_by("ts", "line_no").alias("ended_at"), last_stop.alias("stop"), F.count_if(real).alias("records"), F.min_by("cwd", F.when(real & F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"), F.min_by("sidechain", F.when(real, F.col("line_no"))).alias("sidechain"),
         F.count_if((F.col("kind") == "system") & F.col("subtype").rlike("(?i)compact")).alias("compactions"), F.count("said").alias("prompts"),
     )
     used = calls.groupBy("session_id").agg(F.count_if(F.col("state") != "overwritten").alias("tool_calls"), F.count_if(F.col("state") == "partial").alias("open_calls"), F.count("attribution").alias("subagent_calls"))
