@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.sources.scratch import written
+
 MIN_CONFIDENCE = 0.65
 SEVERITY_WEIGHT = {"critical": 30, "high": 24, "medium": 18, "low": 12, "info": 6}
 MOST_RECOMMENDED = 20
@@ -104,8 +107,11 @@ def chosen(rules: list[Rule], overrides: dict[str, dict]) -> list[Rule]:
     return sorted((r for r in {r.id: r for r in rules}.values() if overrides.get(r.id, {}).get("enabled", True)), key=lambda r: r.id)
 
 
-def evaluate(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[str, dict] | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Candidates of all rules in one pass: project_id, rule_id, version, category, severity, confidence, evidence, remedy, fingerprint.
+def evaluate(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[str, dict] | None = None, min_confidence: float = MIN_CONFIDENCE, scope: tuple[str, ...] = ("project_id",)) -> DataFrame:
+    """Candidates of all rules in one pass: the columns of scope, rule_id, version, category, severity, confidence, evidence, remedy, fingerprint.
+
+    A snapshot's scope is a project, or a session of it, or all, where the columns
+    are null; it is part of the fingerprint.
 
     evidence is an array of (label, value), values with two places; two findings
     of a rule and project have one fingerprint only if it is the same. overrides:
@@ -124,9 +130,10 @@ def evaluate(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[st
         hit = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.version).alias("version"), F.lit(r.category).alias("category"), sql(r.severity_sql).alias("severity"), F.round(sql(f"cast({r.confidence} as double)"), 6).alias("confidence"), metrics.alias("evidence"), F.lit(r.remedy).alias("remedy"))
         found.append(F.when(sql(r.trigger), hit))
     if not found:
-        return snapshots.select("project_id", *(F.lit(None).cast(t).alias(n) for n, t in CANDIDATE.items())).limit(0)
-    rows = snapshots.select("project_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("project_id", "c.*")
-    mark = F.sha2(F.concat_ws("|", "rule_id", F.col("version").cast("string"), F.coalesce(F.col("project_id").cast("string"), F.lit("all")), evidence_text()), 256)
+        return snapshots.select(*scope, *(F.lit(None).cast(t).alias(n) for n, t in CANDIDATE.items())).limit(0)
+    rows = snapshots.select(*scope, F.explode(F.array_compact(F.array(*found))).alias("c")).select(*scope, "c.*")
+    where = F.concat_ws("/", *(F.col(c).cast("string") for c in scope))
+    mark = F.sha2(F.concat_ws("|", "rule_id", F.col("version").cast("string"), F.when(where == "", "all").otherwise(where), evidence_text()), 256)
     return rows.where(F.col("confidence") >= min_confidence).withColumn("fingerprint", mark)
 
 
@@ -143,15 +150,59 @@ def metric(label: str) -> Column:
     return F.get(F.transform(F.filter("evidence", lambda m: m["label"] == label), lambda m: m["value"]), F.lit(0))
 
 
+_judged: dict[tuple[str, str], list[tuple[str, str]]] = {}
+
+
 def _skipped(snapshots: DataFrame, rules: list[Rule], overrides: dict[str, dict]) -> list[tuple[Rule, str]]:
-    columns = snapshots.sparkSession.createDataFrame([], snapshots.schema)  # the same columns, but quick to analyse
+    """Rules that are disabled or can't be analysed, and why; found once for a schema, a list of rules and overrides."""
     out = [(r, "disabled") for r in {r.id: r for r in rules}.values() if not overrides.get(r.id, {}).get("enabled", True)]
-    for r in chosen(rules, overrides):
-        try:
-            columns.select(*(F.expr(r.filled(x)) for x in (r.trigger, r.confidence, r.severity_sql, *r.evidence.values())))
-        except AnalysisException as wrong:
-            out.append((r, wrong.getCondition() or "not valid"))
-    return out
+    rest = chosen(rules, overrides)
+    key = (snapshots.schema.json(), repr((rest, sorted(overrides.items()))))
+    if key not in _judged:
+        columns = snapshots.sparkSession.createDataFrame([], snapshots.schema)  # the same columns, but quick to analyse
+        wrong = lambda some: _analysis(columns, some, overrides)
+        _judged[key] = [] if wrong(rest) is None else [(r.id, why) for r in rest if (why := wrong([r])) is not None]
+    by_id = {r.id: r for r in rest}
+    return out + [(by_id[i], why) for i, why in _judged[key]]
+
+
+def _analysis(columns: DataFrame, rules: list[Rule], overrides: dict[str, dict]) -> str | None:
+    """What is wrong with the expressions of rules, if anything is."""
+    own = lambda r: {k: v for k, v in overrides.get(r.id, {}).items() if k != "enabled"}
+    try:
+        columns.select(*(F.expr(r.filled(x, own(r))) for r in rules for x in (r.trigger, r.confidence, r.severity_sql, *r.evidence.values())))
+    except AnalysisException as wrong:
+        return wrong.getCondition() or "not valid"
+    return None
+
+
+def isolated(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[str, dict] | None = None, min_confidence: float = MIN_CONFIDENCE, scope: tuple[str, ...] = ("project_id",)) -> tuple[DataFrame, DataFrame]:
+    """evaluate() and skipped(), run and written: a rule that fails while it runs is skipped, and the others' candidates stay.
+
+    All rules run in one job. Only if that fails is each tried alone, over the
+    written snapshots, to tell which are at fault.
+    """
+    overrides = overrides or {}
+    held = written(snapshots, "rule-snapshots")
+    try:
+        found, failed = written(evaluate(held, rules, overrides, min_confidence, scope), "rule-candidates"), []
+    except _RUNTIME:
+        failed = [(r.id, why) for r in chosen(rules, overrides) if (why := _failure(held, r, overrides, scope)) is not None]
+        bad = {i for i, _ in failed}
+        found = written(evaluate(held, [r for r in rules if r.id not in bad], overrides, min_confidence, scope), "rule-candidates")
+    rows = [(r.id, why) for r, why in _skipped(held, rules, overrides)] + failed
+    return found, held.sparkSession.createDataFrame(sorted(rows), "rule_id string, why string")
+
+
+_RUNTIME = (PySparkException, Py4JJavaError)
+
+
+def _failure(snapshots: DataFrame, rule: Rule, overrides: dict[str, dict], scope: tuple[str, ...]) -> str | None:
+    try:
+        evaluate(snapshots, [rule], overrides, 0.0, scope).write.format("noop").mode("overwrite").save()
+    except _RUNTIME as wrong:
+        return (wrong.getCondition() if isinstance(wrong, PySparkException) else None) or "failed while running"
+    return None
 
 
 def skipped(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[str, dict] | None = None) -> DataFrame:
@@ -273,6 +324,11 @@ def rank(candidates: DataFrame, now: int, dismissed_rules: DataFrame | None = No
     return scored.select("project_id", "rule_id", "severity", "confidence", "score")
 
 
+def of_session(stored: DataFrame, session_id) -> DataFrame:
+    """A session's recommendations, oldest first."""
+    return stored.where(F.col("session_id") == session_id).orderBy("created_at", "fingerprint")
+
+
 def avoidable(stored: DataFrame) -> DataFrame:
     """The least tokens and USD that active recommendations would save; null where none states a range."""
     return stored.where("status = 'active'").agg(F.sum("impact_tokens_min").alias("tokens"), F.sum("impact_usd_min").alias("usd"))

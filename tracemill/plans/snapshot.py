@@ -77,3 +77,28 @@ def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scoped(snapshots: DataFrame, scopes: DataFrame) -> DataFrame:
     """A row for each of scopes (project_id), with zeros where the snapshots have none: an empty window is a row of zeros."""
     return scopes.select("project_id").distinct().join(snapshots, "project_id", "left").na.fill(0).na.fill(False)
+
+
+def by_scope(activity: DataFrame) -> DataFrame:
+    """Snapshots at two grains in one pass over activity: of each project (session_id null), and of each of its sessions.
+
+    Grouping sets count what was done to each thing at both grains at once; the
+    second aggregation is over those counts alone. Metrics that activity doesn't
+    have are left out, and so are the rules that need them.
+    """
+    things = activity.groupingSets([["project_id", "session_id", "kind", "path_hash"], ["project_id", "kind", "path_hash"]], "project_id", "session_id", "kind", "path_hash").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("failed"), F.max("size").alias("largest"), F.count_if(F.col("event_type") == "error").alias("errors"),
+    )
+    often = F.when(F.col("n") >= metrics.REPEAT_THRESHOLD, F.col("n"))
+    kind = lambda k: F.col("kind") == k
+    tools = things.groupBy("project_id", "session_id", "kind").agg(
+        F.sum("n").alias("calls"), F.sum("failed").alias("failures"), F.max("largest").alias("largest"), F.sum("errors").alias("errors"), F.max("n").alias("top"), F.sum(often).alias("repeated"),
+    )
+    worst = F.max(F.struct("failures", (F.col("failures") / F.col("calls")).alias("rate")))
+    out = tools.groupBy("project_id", "session_id").agg(
+        F.sum("errors").alias("compactions"), F.max("largest").alias("max_output"), F.round(F.sum("failures") / F.sum("calls"), 6).alias("failure_rate"), worst["failures"].alias("worst_tool_failures"), F.round(worst["rate"], 6).alias("worst_tool_rate"),
+        F.max(F.when(kind("read"), F.col("top"))).alias("repeated_read_top"), F.max(F.when(kind("read"), F.col("repeated"))).alias("sum_repeated_reads"), F.max(F.when(kind("prompt"), F.col("top"))).alias("repeated_search_top"),
+        F.max(F.when(kind("prompt"), F.col("repeated"))).alias("sum_repeated_searches"),
+    )
+    sessions = activity.groupBy("project_id").agg(F.count_distinct("session_id").alias("of_project"))
+    return out.join(sessions, "project_id").withColumn("sessions", F.when(F.col("session_id").isNull(), F.col("of_project")).otherwise(1)).drop("of_project").na.fill(0)
