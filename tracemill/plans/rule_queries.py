@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import rules
 from tracemill.plans import snapshot
-from tracemill.sources import bindings
+from tracemill.sources import bindings, scratch
+from tracemill.streaming import analysis
 
 #: What a project has where nothing is found.
 QUIET = {
@@ -95,7 +96,7 @@ _N = len(SIDES)
 _LISTED = "listed(rule_no, rule_id, at_threshold) AS (VALUES " + ", ".join(f"({i}, '{r[0]}', {r[4]}::DOUBLE)" for i, r in enumerate(SIDES)) + ")"
 _SIDED = f"{_LISTED}, sided AS (SELECT c_custkey AS project_id, c_custkey % {_N} AS rule_no, (c_custkey // {_N}) % 3 AS side FROM customer)"
 _PATHS = "things AS (SELECT project_id, session_id, kind, path_hash, count(*) AS n, count(*) FILTER (NOT success) AS failed, max(size) AS largest, count(*) FILTER (event_type = 'error') AS errors FROM both_grains GROUP BY ALL)"
-_SCOPED = f"""WITH {bindings.DUCKDB["activity"]}, both_grains AS (SELECT project_id, session_id, kind, path_hash, success, size, event_type FROM activity UNION ALL SELECT project_id, NULL, kind, path_hash, success, size, event_type FROM activity), {_PATHS},
+_REST = f"""{_PATHS},
 kinds AS (SELECT project_id, session_id, kind, sum(n) AS calls, sum(failed) AS failures, max(largest) AS largest, sum(errors) AS errors, max(n) AS top FROM things GROUP BY ALL),
 snap AS (SELECT project_id, session_id, sum(errors) AS compactions, max(largest) AS max_output, max(failures) AS worst_failures, round((arg_max(failures / calls, (failures, failures / calls))), 6) AS worst_rate, coalesce(max(top) FILTER (kind = 'read'), 0) AS reads, coalesce(max(top) FILTER (kind = 'prompt'), 0) AS searches FROM kinds GROUP BY ALL),
 n AS (SELECT project_id, count(DISTINCT session_id) AS of_project FROM activity GROUP BY 1), s AS (SELECT snap.*, CASE WHEN session_id IS NULL THEN of_project ELSE 1 END AS sessions FROM snap JOIN n USING (project_id)),
@@ -105,9 +106,38 @@ hits AS (SELECT project_id, session_id, 'TOOLS-001' AS rule_id, 'medium' AS seve
   UNION ALL SELECT project_id, session_id, 'TOOLS-008', 'medium', least(0.8, 0.4 + 0.35 * least(1, worst_failures / 4))::DOUBLE, 'worst_tool_failures=' || CAST(worst_failures * 100 AS BIGINT) || ',worst_tool_rate=' || CAST(round(round(worst_rate, 2) * 100) AS BIGINT) FROM s WHERE worst_rate >= 0.5 AND worst_failures >= 2
   UNION ALL SELECT project_id, session_id, 'CONTEXT-001', 'medium', least(0.8, 0.45 + 0.3 * least(1, compactions / sessions))::DOUBLE, 'compactions=' || CAST(compactions * 100 AS BIGINT) || ',sessions=' || sessions * 100 FROM s WHERE compactions >= 2),
 found AS (SELECT project_id, session_id, rule_id, severity, round(confidence, 6) AS confidence, evidence, sha256(rule_id || '|1|' || project_id || coalesce('/' || session_id, '') || '|' || evidence) AS fingerprint FROM hits WHERE round(confidence, 6) >= 0.65)"""
+_SCOPED = f"""WITH {bindings.DUCKDB["activity"]}, both_grains AS (SELECT project_id, session_id, kind, path_hash, success, size, event_type FROM activity UNION ALL SELECT project_id, NULL, kind, path_hash, success, size, event_type FROM activity), {_REST}"""
 ORACLE_SQL = {
     "rule_sides": f"WITH {_SIDED} SELECT rule_id, CAST(side AS INTEGER) AS side, count(*) AS projects, count(*) FILTER (side >= 1) AS fired, max(CASE WHEN side = 1 THEN at_threshold END) AS confidence FROM sided JOIN listed USING (rule_no) GROUP BY 1, 2",
     "rules_isolated": f"WITH {_SIDED} SELECT rule_id, count(*) AS projects, NULL AS why FROM sided JOIN listed USING (rule_no) WHERE side >= 1 GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('TOOLS-900', NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), ('TOOLS-901', NULL, 'DIVIDE_BY_ZERO'), ('TOOLS-902', NULL, 'CAST_INVALID_INPUT'), ('TOOLS-903', NULL, 'disabled'))",
     "scope_candidates": f"{_SCOPED} SELECT * FROM found",
     "session_recommendations": f"""{_SCOPED}, one AS (SELECT session_id FROM found WHERE project_id = 3 AND session_id IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT session_id, rule_id, confidence, CAST(length(rule_id) + project_id % 7 AS BIGINT) AS created_at FROM found WHERE session_id IN (SELECT session_id FROM one)""",
 }
+
+
+#: Of live_analysis: how long a project of the events table has to be quiet.
+QUIET_MINUTES = 90
+
+
+def live_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Each burst of a project's events that is over, with its events and the rules that fire in the day up to its end, from a stream of files in order of time."""
+    stored = scratch.written(bindings.activity(spark, d), "live-activity")
+    folder, out, checkpoint = (scratch.fresh_path(spark, f"live-{n}") for n in ("stream", "runs", "checkpoint"))
+    days = stored.repartitionByRange(4, "ts").sortWithinPartitions("ts").select("project_id", "ts")
+    days.write.parquet(folder)
+    stream = spark.readStream.schema(days.schema).parquet(folder)
+    analysis.observe(stream, lambda _: stored, out, checkpoint, quiet=f"{QUIET_MINUTES} minutes")
+    if not scratch.exists(spark, out):
+        return spark.createDataFrame([], "project_id long, first_ts long, last_ts long, events long, found string, recommendations int")
+    found = spark.read.option("recursiveFileLookup", True).parquet(out)
+    return found.select("project_id", "first_ts", "last_ts", "events", F.array_join("found", ",").alias("found"), "recommendations")
+
+
+QUERIES["live_analysis"] = live_analysis
+_LIVE = f"""WITH {bindings.DUCKDB["activity"].replace("activity AS", "stored AS", 1)}, gaps AS (SELECT project_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY project_id ORDER BY ts) > {QUIET_MINUTES * 60_000} AS begins FROM stored),
+numbered AS (SELECT project_id, ts, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY project_id ORDER BY ts) AS nth FROM gaps),
+closed AS (SELECT project_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM numbered GROUP BY project_id, nth HAVING max(ts) + {QUIET_MINUTES * 60_000} <= (SELECT max(ts) FROM stored)),
+activity AS (SELECT s.* REPLACE (CAST(c.first_ts AS VARCHAR) AS session_id) FROM stored s JOIN closed c ON s.project_id = c.project_id AND s.ts <= c.last_ts AND s.ts > c.last_ts - 86400000),
+both_grains AS (SELECT project_id, session_id, kind, path_hash, success, size, event_type FROM activity), {_REST}"""
+ORACLE_SQL["live_analysis"] = f"""{_LIVE}, r AS (SELECT project_id, CAST(session_id AS BIGINT) AS first_ts, string_agg(rule_id, ',' ORDER BY rule_id) AS found, count(*) AS n FROM found GROUP BY 1, 2)
+  SELECT project_id, first_ts, last_ts, events, coalesce(found, '') AS found, CAST(coalesce(n, 0) AS INTEGER) AS recommendations FROM closed LEFT JOIN r USING (project_id, first_ts)"""
