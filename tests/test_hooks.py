@@ -3,7 +3,9 @@
 import hashlib
 import json
 
-from tracemill.streaming import hooks
+import pytest
+
+from tracemill.streaming import analysis, hooks
 
 
 def stored(spark, raw, mode="redacted-content"):
@@ -51,3 +53,36 @@ def test_a_late_first_delivery_is_stored(spark, tmp_path):
         spark.createDataFrame(batch, "t string, payload_hash string").selectExpr("cast(t as timestamp) as received_at", "payload_hash").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         hooks.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/table", f"{tmp_path}/checkpoint")
     assert sorted(r["payload_hash"] for r in spark.read.parquet(f"{tmp_path}/table").collect()) == ["a", "b", "late"]
+
+
+def test_a_batch_that_fails_is_tried_again(spark, tmp_path, monkeypatch):
+    spool, table, log, dead, archive, checkpoint = (f"{tmp_path}/{n}" for n in ("spool", "table", "log", "dead", "archive", "checkpoint"))
+    (tmp_path / "spool").mkdir()
+    for i, line in enumerate(['{"v":1,"receivedAt":"b","payload":{"x":1}}', '{"v":1,"payload":{"x":1}}', "{ token=abcdefgh", '{"v":3,"payload":{}}', '{"v":1}']):
+        (tmp_path / "spool" / f"{i}.json").write_text(line)
+    drain = lambda: hooks.drain(spark, spool, table, checkpoint, log_path=log, dead_path=dead)
+    whole = hooks.insert_new
+    monkeypatch.setattr(hooks, "insert_new", lambda batch, path: (whole(batch, path), 1 / 0)[0])  # fails after the rows are in
+    with pytest.raises(Exception, match="division"):
+        drain()
+    monkeypatch.setattr(hooks, "insert_new", whole)
+    drain()
+    assert spark.read.parquet(table).count() == 1
+    counts = hooks.drained_counts(hooks.read_log(spark, log)).first()
+    assert (counts["files"], counts["lines"], counts["events"], counts["broken"], counts["inserted"]) == (5, 5, 2, 3, 0)  # the first try had put them in
+    letters = {r["wrong"]: r["line"] for r in spark.read.parquet(dead).collect()}
+    assert set(letters) == {"not JSON", "another version", "no payload"} and "abcdefgh" not in letters["not JSON"]
+    assert hooks.sweep(spark, hooks.read_log(spark, log), archive) == 5 and not list((tmp_path / "spool").glob("*.json")) and len(list((tmp_path / "archive").glob("*.json"))) == 5
+    drain()
+    assert spark.read.parquet(table).count() == 1
+
+
+def test_bursts_are_waited_out(spark, tmp_path):
+    """Two bursts of one project and one of another give a run each once it is quiet; what is still open is left."""
+    rows = [(1, 0), (1, 900), (1, 2000), (2, 100), (1, 60_000), (1, 60_500), (3, 99_000)]
+    events = spark.createDataFrame([(p, f"s{p}", i, t, "read", "view", True, "h", 5) for i, (p, t) in enumerate(rows)], "project_id long, session_id string, event_id long, ts long, kind string, event_type string, success boolean, path_hash string, size long")
+    events.select("project_id", "ts").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("project_id long, ts long").parquet(f"{tmp_path}/in")
+    analysis.observe(stream, lambda _: events, f"{tmp_path}/runs", f"{tmp_path}/checkpoint")
+    found = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/runs").collect()
+    assert sorted((r["project_id"], r["first_ts"], r["events"], tuple(r["found"])) for r in found) == [(1, 0, 3, ("TOOLS-001",)), (1, 60_000, 2, ("TOOLS-001",)), (2, 100, 1, ())]

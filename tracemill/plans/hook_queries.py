@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import correlation
 from tracemill.plans import queries as base
-from tracemill.sources import bindings
+from tracemill.sources import bindings, scratch
 from tracemill.sources.scratch import fresh_path
 from tracemill.streaming import hooks
 
 NAMES = {"signup": "UserPromptSubmit", "view": "PreToolUse", "click": "PostToolUse", "purchase": "SessionEnd", "error": "Stop"}
-_drained: dict[tuple[str, str], tuple[str, str]] = {}
+_drained: dict[tuple[str, str], tuple[str, str, str]] = {}
 
 
 def envelopes(spark: SparkSession, d: str) -> DataFrame:
@@ -38,23 +38,53 @@ def hook_events(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def drained(spark: SparkSession, d: str) -> tuple[str, str]:
-    """The spool of d's envelopes and the table that it was drained into, made once for a session of Spark.
+def spool_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The spool's lines of d's envelopes: every tenth event twice; broken payloads are broken lines, and those that are no object have another version."""
+    e = envelopes(spark, d)
+    received = F.concat(F.lit("2024-01-01T"), F.lpad((F.col("event_id") % 24).cast("string"), 2, "0"), F.lit(":00:00Z"))
+    line = F.concat(F.lit('{"v":'), F.when(F.col("event_id") % 8 == 1, "2").otherwise("1"), F.lit(',"provenance":"hook","receivedAt":"'), received, F.lit('","payload":'), F.when(F.col("event_id") % 8 == 1, F.lit("{}")).otherwise(F.col("body")), F.lit("}"))
+    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return e.select("event_id", line.alias("value"), F.explode(copies).alias("copy"))
+
 
-    Every tenth event is spooled twice; broken payloads are broken spool lines,
-    and those that are no object have another version.
-    """
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _drained:
+def drained(spark: SparkSession, d: str) -> tuple[str, str]:
+    """The spool of d's envelopes and the table that it was drained into, made once for as long as the table's files and the drained table stay."""
+    key, state = (spark.sparkContext.applicationId, d), scratch.state_of(spark, f"{d}/events.parquet")
+    if key not in _drained or _drained[key][2] != state or not scratch.exists(spark, _drained[key][1]):
         spool, table = fresh_path(spark, "spool"), fresh_path(spark, "hooks")
-        e = envelopes(spark, d)
-        received = F.concat(F.lit("2024-01-01T"), F.lpad((F.col("event_id") % 24).cast("string"), 2, "0"), F.lit(":00:00Z"))
-        line = F.concat(F.lit('{"v":'), F.when(F.col("event_id") % 8 == 1, "2").otherwise("1"), F.lit(',"provenance":"hook","receivedAt":"'), received, F.lit('","payload":'), F.when(F.col("event_id") % 8 == 1, F.lit("{}")).otherwise(F.col("body")), F.lit("}"))
-        copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        e.select(line.alias("value"), F.explode(copies).alias("copy")).select("value").repartition(4).write.text(spool)
+        spool_lines(spark, d).select("value").repartition(4).write.text(spool)
         hooks.ingest(hooks.redact(hooks.parse(hooks.spooled(_spool(spark, spool, stream=True)))), table, fresh_path(spark, "hooks-checkpoint"))
-        _drained[key] = (spool, table)
-    return _drained[key]
+        _drained[key] = (spool, table, state)
+    return _drained[key][:2]
+
+
+def spool_drain(spark: SparkSession, d: str) -> DataFrame:
+    """What two drains of one spool count as they go: of the even events, then of all, so that the even ones are known by then. What is left in the spool, archived, and dead."""
+    spool, table, log, dead, archive, checkpoint = (fresh_path(spark, n) for n in ("spool", "hooks", "log", "dead", "archive", "hooks-checkpoint"))
+    lines, out, seen = spool_lines(spark, d), None, 0
+    for run, some in (("even events", lines.where("event_id % 2 = 0")), ("all events", lines)):
+        some.select("value").repartition(4).write.mode("append").text(spool)
+        hooks.drain(spark, spool, table, checkpoint, log_path=log, dead_path=dead, glob="part-*")
+        done = hooks.read_log(spark, log).where(F.col("batch") >= seen)
+        counts = hooks.drained_counts(done)
+        seen = done.agg(F.max("batch")).first()[0] + 1
+        archived = hooks.sweep(spark, done, archive)
+        left = _spool(spark, spool).select("file").distinct().count()
+        row = counts.withColumns({"left": F.lit(left).cast("long"), "archived": F.lit(archived), "run": F.lit(run)})
+        out = scratch.written(row, "drain") if out is None else out.unionByName(row)
+    kinds = spark.read.option("recursiveFileLookup", True).parquet(dead).groupBy("wrong").agg(F.count(F.lit(1)).alias("lines")).withColumnRenamed("wrong", "run")
+    return out.unionByName(kinds, allowMissingColumns=True)
+
+
+def both_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each kind where all envelopes came online as well as by the spool: each is stored once, as the first delivery."""
+    table, folder = fresh_path(spark, "hooks"), fresh_path(spark, "online")
+    bodies = envelopes(spark, d).where("event_id % 8 > 1").select(F.col("body").alias("value"))
+    bodies.write.text(folder)
+    hooks.ingest(hooks.redact(hooks.parse(hooks.online(spark.readStream.text(folder)))), table, fresh_path(spark, "hooks-checkpoint"))
+    spool = drained(spark, d)[0]
+    hooks.drain(spark, spool, table, fresh_path(spark, "hooks-checkpoint"), glob="part-*")
+    return spark.read.parquet(table).groupBy("delivery", "hook_event_name").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _spool(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -100,7 +130,7 @@ def affected_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "hook_events": hook_events, "hook_stream": hook_stream, "hook_counters": hook_counters, "recent_hooks": recent_hooks, "live_status": live_status, "correlated_hooks": correlated_hooks, "affected_sessions": affected_sessions,
+    "hook_events": hook_events, "hook_stream": hook_stream, "hook_counters": hook_counters, "spool_drain": spool_drain, "both_deliveries": both_deliveries, "recent_hooks": recent_hooks, "live_status": live_status, "correlated_hooks": correlated_hooks, "affected_sessions": affected_sessions,
 }
 
 _NAME = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END"
@@ -126,6 +156,11 @@ ORACLE_SQL = {
     "hook_events": f"{_EVENTS} {_STORED('redacted-content')} UNION ALL {_STORED('metadata-only')}",
     "hook_stream": f"{_KEPT} SELECT hook_event_name, count(*) AS events FROM stored WHERE event_id % 8 > 1 GROUP BY 1",
     "hook_counters": "SELECT count(*) + count(*) FILTER (event_id % 10 = 0) AS received, count(*) FILTER (event_id % 8 > 1) AS inserted, count(*) FILTER (event_id % 8 > 1 AND event_id % 10 = 0) AS deduplicated, count(*) FILTER (event_id % 8 < 2) + count(*) FILTER (event_id % 8 < 2 AND event_id % 10 = 0) AS skipped FROM events",
+    "spool_drain": f"""WITH l AS (SELECT event_id, unnest(CASE WHEN event_id % 10 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM events), good AS (SELECT *, event_id % 8 > 1 AS good FROM l)
+  SELECT 'even events' AS run, 4::BIGINT AS files, count(*) AS lines, count(*) FILTER (good) AS events, count(*) FILTER (NOT good) AS broken, count(DISTINCT event_id) FILTER (good) AS inserted, count(*) FILTER (good) - count(DISTINCT event_id) FILTER (good) AS deduplicated, 0::BIGINT AS left, 4 AS archived FROM good WHERE event_id % 2 = 0
+  UNION ALL SELECT 'all events', 4, count(*), count(*) FILTER (good), count(*) FILTER (NOT good), count(DISTINCT event_id) FILTER (good AND event_id % 2 = 1), count(*) FILTER (good) - count(DISTINCT event_id) FILTER (good AND event_id % 2 = 1), 0, 4 FROM good
+  UNION ALL SELECT CASE event_id % 8 WHEN 0 THEN 'not JSON' ELSE 'another version' END, NULL, sum(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END)::BIGINT, NULL, NULL, NULL, NULL, NULL, NULL FROM good WHERE NOT good GROUP BY 1""",
+    "both_deliveries": f"{_KEPT} SELECT 'online' AS delivery, hook_event_name, count(*) AS events FROM stored WHERE event_id % 8 > 1 GROUP BY 2",
     "recent_hooks": f"{_KEPT} SELECT '2024-01-01T' || lpad(CAST(event_id % 24 AS VARCHAR), 2, '0') || ':00:00Z' AS received_at, hook_event_name, payload_hash FROM stored WHERE event_id % 8 > 1 ORDER BY received_at DESC, payload_hash LIMIT 20",
     "live_status": "SELECT (SELECT count(*) FROM events WHERE event_id % 8 > 1) AS hook_events, (SELECT count(*) FROM conversations) AS telemetry_events, 0::BIGINT AS pending",
     "correlated_hooks": base.ORACLE_SQL["correlated_events"].replace("FROM e JOIN sessions s", "FROM e JOIN begun s").replace("FROM sessions GROUP BY 1) s", "FROM begun GROUP BY 1) s").replace(", e AS (", ", begun AS (SELECT * FROM sessions WHERE prompts > 0), e AS (", 1).replace(

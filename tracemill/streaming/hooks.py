@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -82,13 +82,15 @@ def _prefix() -> Column:
     return F.concat(F.lit("h"), F.substring("payload_hash", 1, PREFIX))
 
 
-def insert_new(batch: DataFrame, table_path: str) -> None:
-    """Append the rows of batch whose payload_hash the table lacks, one for each; a batch that runs again adds nothing."""
+def insert_new(batch: DataFrame, table_path: str) -> int:
+    """Append the rows of batch whose payload_hash the table lacks, one for each; a batch that runs again adds nothing. How many went in, counted as they are written."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(["payload_hash"])
     if (known := stored(spark, table_path, fresh)) is not None:
         fresh = fresh.join(known.select("payload_hash"), "payload_hash", "left_anti")
-    fresh.withColumn("prefix", _prefix()).write.mode("append").partitionBy("prefix").parquet(table_path)
+    seen = Observation()
+    fresh.withColumn("prefix", _prefix()).observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append").partitionBy("prefix").parquet(table_path)
+    return seen.get["inserted"]
 
 
 def ingest(stream: DataFrame, table_path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -105,12 +107,24 @@ def ingest(stream: DataFrame, table_path: str, checkpoint: str, every: str | Non
     return query
 
 
-def spooled(lines: DataFrame) -> DataFrame:
-    """Events of spool envelopes (column value, JSON): body, received_at and delivery. Envelopes of another version or without a payload, and what isn't JSON, give nothing."""
+def opened(lines: DataFrame) -> DataFrame:
+    """lines (value, JSON) with what an envelope holds: body, received_at, delivery and wrong, which is null for an envelope that can be read."""
     v = lines.withColumn("v", F.expr("try_parse_json(value)"))
     get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
     body = F.to_json(get("payload", "variant"))
-    return v.where((get("v", "int") == 1) & (body != "null")).select(*[c for c in lines.columns if c != "value"], body.alias("body"), get("receivedAt", "string").alias("received_at"), F.lit("spool").alias("delivery"))
+    wrong = F.when(F.col("v").isNull(), "not JSON").when(~F.coalesce(get("v", "int") == 1, F.lit(False)), "another version").when(body.isNull() | (body == "null"), "no payload")
+    return v.withColumns({"body": body, "received_at": get("receivedAt", "string"), "delivery": F.lit("spool"), "wrong": wrong}).drop("v")
+
+
+def spooled(lines: DataFrame) -> DataFrame:
+    """Events of spool envelopes (column value, JSON): body, received_at and delivery. Envelopes of another version or without a payload, and what isn't JSON, give nothing: see opened()."""
+    return opened(lines).where("wrong is null").drop("value", "wrong")
+
+
+def online(bodies: DataFrame, body: str = "value") -> DataFrame:
+    """Events of payloads as they are delivered (a stream of any source, say a topic): body, received_at (when Spark took it) and delivery. ingest() stores each once, however it came."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return bodies.select(F.col(body).cast("string").alias("body"), now.alias("received_at"), F.lit("online").alias("delivery"))
 
 
 def read_spool(spark: SparkSession, path: str, stream: bool = False, glob: str = "[!.]*.json*") -> DataFrame:
@@ -126,10 +140,57 @@ def backlog(spark: SparkSession, path: str, drained: DataFrame, glob: str = "[!.
     return files.join(drained.select("file").distinct(), "file", "left_anti").agg(F.count(F.lit(1)).alias("pending"))
 
 
-def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode: str = "redacted-content", every: str | None = None) -> StreamingQuery:
-    """The spool into the table, in order of receipt within a batch; the checkpoint tells which files are done, so that a failed batch is tried again."""
-    events = redact(parse(spooled(read_spool(spark, path, stream=True))), mode)
-    return ingest(events, table_path, checkpoint, every)
+def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode: str = "redacted-content", every: str | None = None, log_path: str | None = None, dead_path: str | None = None, glob: str = "[!.]*.json*") -> StreamingQuery:
+    """The spool into the table; the checkpoint tells which files are done, so that a failed batch is tried again.
+
+    With log_path each batch leaves a row for each file: lines, events, broken;
+    and with them what the batch inserted. With dead_path broken lines are kept,
+    redacted, with what is wrong. Both are folders by batch, which a batch that
+    is tried again replaces.
+    """
+    def run(batch: DataFrame, number: int) -> None:
+        held = opened(batch).persist()
+        inserted = insert_new(redact(parse(held.where("wrong is null").drop("value", "wrong")), mode), table_path)
+        if dead_path:
+            dead = held.where("wrong is not null").select("file", "wrong", text.redact(F.col("value")).alias("line"))
+            dead.write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
+        if log_path:
+            files = held.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("wrong").isNull()).alias("events"), F.count("wrong").alias("broken"))
+            files.withColumns({"batch": F.lit(number).cast("long"), "inserted": F.lit(inserted).cast("long")}).write.mode("overwrite").parquet(f"{log_path}/batch-{number}")
+        held.unpersist()
+
+    writer = read_spool(spark, path, stream=True, glob=glob).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if every:
+        return writer.trigger(processingTime=every).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).parquet(log_path)
+
+
+def drained_counts(log: DataFrame) -> DataFrame:
+    """Files, lines, events, broken lines, and events inserted and deduplicated, of a log of drain(); no count of the table is made for it."""
+    batches = log.groupBy("batch").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines"), F.sum("events").alias("events"), F.sum("broken").alias("broken"), F.max("inserted").alias("inserted"))
+    names = ("files", "lines", "events", "broken", "inserted")
+    return batches.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).withColumn("deduplicated", F.col("events") - F.col("inserted"))
+
+
+def sweep(spark: SparkSession, log: DataFrame, archive: str | None = None) -> int:
+    """Remove the spool's files that a log of drain() names, into the folder archive if given; how many. Call it when the query has ended: its checkpoint then knows them."""
+    jvm, gone = spark._jvm, 0
+    for r in log.select("file").distinct().toLocalIterator():
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"]))
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if archive is None:
+            gone += fs.delete(at, False)
+        else:
+            to = jvm.org.apache.hadoop.fs.Path(archive)
+            fs.mkdirs(to)
+            gone += fs.rename(at, jvm.org.apache.hadoop.fs.Path(to, at.getName()))
+    return gone
 
 
 def counters(received: DataFrame, valid: DataFrame, table: DataFrame) -> DataFrame:
