@@ -163,3 +163,29 @@ def secret_markers(texts: list[DataFrame]) -> DataFrame:
         rows = rows.unionByName(t.select("session_id", "text"))
     found = rows.select("session_id", F.explode(text.markers(F.col("text"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("session_id").alias("sessions"))
     return found.select("label", text.category(F.col("label")).alias("category"), "findings", "sessions").orderBy(F.desc("findings"), "label")
+
+
+#: Tools whose calls are searches.
+SEARCHES = ("Grep", "Glob", "WebSearch", "WebFetch")
+
+
+def tool_behaviour(calls: DataFrame) -> DataFrame:
+    """Calls, failures, mean duration and largest input and output of each tool, and of all (tool null), from tool calls as they are loaded; most calls first."""
+    failed = F.count_if(~F.col("success"))
+    out = calls.rollup("tool").agg(
+        F.count(F.lit(1)).alias("calls"), failed.alias("failures"), F.round(failed / F.count(F.lit(1)), 6).alias("failure_rate"), F.round(F.avg("duration_ms"), 4).alias("mean_duration_ms"),
+        F.max("input_bytes").alias("largest_input"), F.max("output_bytes").alias("largest_output"), F.count("attribution").alias("subagent_calls"),
+    )
+    return out.orderBy(F.desc("calls"), "tool")
+
+
+def repeated_searches(calls: DataFrame, key: str, threshold: int = REPEAT_THRESHOLD) -> DataFrame:
+    """Searches with the same tool and input that a scope (key) makes threshold times or more, and in how many sessions."""
+    found = calls.where(F.col("tool").isin(*SEARCHES)).groupBy(key, "tool", "input_hash").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("session_id").alias("sessions"))
+    return found.where(F.col("occurrences") >= threshold)
+
+
+def top(rows: DataFrame, name: str, most: int) -> DataFrame:
+    """The most frequent values of a column, ties by name: place, name, n (a top-k)."""
+    best = rows.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name"))).select("place", "name", "n")  # over most rows

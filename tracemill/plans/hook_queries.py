@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import correlation
 from tracemill.plans import queries as base
-from tracemill.sources import bindings, scratch
+from tracemill.sources import bindings, otlp, scratch
 from tracemill.sources.scratch import fresh_path
 from tracemill.streaming import hooks
 
@@ -129,7 +129,35 @@ def affected_sessions(spark: SparkSession, d: str) -> DataFrame:
     return hooks.analyse_affected(a.where("event_type = 'purchase' and user_id = 7"), s).groupBy("project_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
+def telemetry_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, body): each event as a body of metrics, logs or spans by its number; every tenth comes twice, every eleventh is empty, every thirteenth has a record that is none."""
+    a = bindings.activity(spark, d)
+    kind = F.element_at(F.array(F.lit("metric"), F.lit("log"), F.lit("trace")), (F.col("event_id") % 3 + 1).cast("int"))
+    lists = F.create_map(*(F.lit(x) for k, v in otlp.LISTS.items() for x in (k, ",".join(v))))[kind]
+    part = lambda i: F.split(lists, ",")[i]
+    time = F.when(kind == "trace", "startTimeUnixNano").otherwise("timeUnixNano")
+    record = F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit(',"'), time, F.lit('":"'), F.col("ts").cast("string"), F.lit('000000"'), F.when(F.col("event_type") != "view", F.concat(F.lit(',"name":"'), F.col("event_type"), F.lit('"'))).otherwise(""), F.lit("}"), F.when(F.col("event_id") % 13 == 0, ",7").otherwise(""))
+    body = F.concat(F.lit('{"'), part(0), F.lit('":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"x"}},{"key":"session_id","value":{"intValue":'), F.col("user_id").cast("string"), F.lit('}},{"key":"session.id","value":{"stringValue":"later"}}]},"'), part(1), F.lit('":[{"'), part(2), F.lit('":['), record, F.lit("]}]}]}"))
+    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return a.select(kind.alias("kind"), F.when(F.col("event_id") % 11 == 0, "{}").otherwise(body).alias("body"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def telemetry_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each kind and name after a stream of bodies was stored, and what the stream counted as it went."""
+    folder, table, log = (fresh_path(spark, n) for n in ("bodies", "telemetry", "log"))
+    bodies = telemetry_bodies(spark, d)
+    bodies.write.parquet(folder)
+    otlp.ingest(spark.readStream.schema(bodies.schema).parquet(folder), table, fresh_path(spark, "telemetry-checkpoint"), log)
+    rows = spark.read.parquet(table).groupBy("kind", "name").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("session_id").alias("sessions"), F.min("ts").alias("first_ts"))
+    counts = spark.read.option("recursiveFileLookup", True).parquet(log)
+    names = ("bodies", "empty", "records", "skipped", "inserted")
+    each = F.array(*(F.struct(F.lit(n).alias("name"), F.sum(n).alias("records")) for n in names))
+    seen = counts.agg(each.alias("c")).select(F.explode("c").alias("c")).select(F.lit("counted").alias("kind"), "c.name", "c.records", F.lit(None).cast("long").alias("sessions"), F.lit(None).cast("long").alias("first_ts"))
+    return rows.unionByName(seen)
+
+
 QUERIES = {
+    "telemetry_ingest": telemetry_ingest,
     "hook_events": hook_events, "hook_stream": hook_stream, "hook_counters": hook_counters, "spool_drain": spool_drain, "both_deliveries": both_deliveries, "recent_hooks": recent_hooks, "live_status": live_status, "correlated_hooks": correlated_hooks, "affected_sessions": affected_sessions,
 }
 
@@ -153,6 +181,10 @@ _STORED = lambda mode: f"""SELECT '{mode}' AS mode, event_id, CASE WHEN object T
 _KEPT = f"{_EVENTS}, stored AS ({_STORED('redacted-content')})"
 
 ORACLE_SQL = {
+    "telemetry_ingest": f"""{base.ACTIVITY}, b AS (SELECT * REPLACE (['metric', 'log', 'trace'][event_id % 3 + 1] AS kind), CASE WHEN event_id % 10 = 0 THEN 2 ELSE 1 END AS copies, event_id % 11 = 0 AS hollow FROM activity),
+  r AS (SELECT *, CASE WHEN event_type <> 'view' THEN event_type WHEN kind = 'log' THEN 'log' END AS name FROM b WHERE NOT hollow)
+  SELECT kind, name, count(*) AS records, count(DISTINCT user_id) AS sessions, min(ts) AS first_ts FROM r GROUP BY 1, 2 UNION ALL SELECT 'counted', 'bodies', sum(copies)::BIGINT, NULL, NULL FROM b UNION ALL SELECT 'counted', 'empty', sum(copies) FILTER (hollow)::BIGINT, NULL, NULL FROM b
+  UNION ALL SELECT 'counted', 'records', sum(copies)::BIGINT, NULL, NULL FROM r UNION ALL SELECT 'counted', 'skipped', coalesce(sum(copies) FILTER (event_id % 13 = 0), 0)::BIGINT, NULL, NULL FROM r UNION ALL SELECT 'counted', 'inserted', count(*), NULL, NULL FROM r""",
     "hook_events": f"{_EVENTS} {_STORED('redacted-content')} UNION ALL {_STORED('metadata-only')}",
     "hook_stream": f"{_KEPT} SELECT hook_event_name, count(*) AS events FROM stored WHERE event_id % 8 > 1 GROUP BY 1",
     "hook_counters": "SELECT count(*) + count(*) FILTER (event_id % 10 = 0) AS received, count(*) FILTER (event_id % 8 > 1) AS inserted, count(*) FILTER (event_id % 8 > 1 AND event_id % 10 = 0) AS deduplicated, count(*) FILTER (event_id % 8 < 2) + count(*) FILTER (event_id % 8 < 2 AND event_id % 10 = 0) AS skipped FROM events",

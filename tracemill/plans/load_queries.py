@@ -195,7 +195,34 @@ def metadata_only(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def tool_behaviour(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.tool_behaviour(loaded(spark, d)["tool_calls"])
+
+
+def _of_project(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("project", F.pmod(F.col("session_id").cast("long"), F.lit(5)))
+
+
+def repeated_tool_searches(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.repeated_searches(_of_project(loaded(spark, d)["tool_calls"]), "project")
+
+
+def overview_tops(spark: SparkSession, d: str) -> DataFrame:
+    """The six tools and the five kinds of commands that are used most."""
+    t = loaded(spark, d)
+    kinds = t["command_runs"].withColumn("name", F.concat_ws(" ", "executable", "classification"))
+    lists = {"tools": metrics.top(t["tool_calls"], "tool", 6), "commands": metrics.top(kinds, "name", 5)}
+    return lists["tools"].withColumn("list", F.lit("tools")).unionByName(lists["commands"].withColumn("list", F.lit("commands")))
+
+
+def loaded_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions, compactions, calls of subagents and of all, of each project and of all."""
+    sums = (F.sum(c).cast("long").alias(c) for c in ("compactions", "subagent_calls", "tool_calls"))
+    return _of_project(loaded(spark, d)["sessions"]).rollup("project").agg(F.count(F.lit(1)).alias("sessions"), *sums)
+
+
 QUERIES = {
+    "tool_behaviour": tool_behaviour, "repeated_tool_searches": repeated_tool_searches, "overview_tops": overview_tops, "loaded_usage": loaded_usage,
     "loaded_prompts": loaded_prompts, "loaded_requests": loaded_requests, "loaded_calls": loaded_calls, "loaded_files": loaded_files, "loaded_commands": loaded_commands, "loaded_verifications": loaded_verifications, "loaded_sessions": loaded_sessions,
     "loaded_diagnostics": loaded_diagnostics, "scan_summary": scan_summary, "store_rewrites": store_rewrites, "scan_range": scan_range, "completeness": completeness, "scan_provenance": scan_provenance, "session_timeline": session_timeline, "prompt_comparison": prompt_comparison, "metadata_only": metadata_only,
 }

@@ -16,7 +16,7 @@ calls AS (SELECT t.*, 't' || turn || '-' || c AS call_id, ['Read', 'Edit', 'Bash
 prompts AS (SELECT s AS session_id, row_number() OVER (PARTITION BY c ORDER BY turn) AS sequence, base AS ts, CASE WHEN turn % 5 = 4 THEN trim(text) ELSE text END AS content FROM turns WHERE role = 'user'),
 requests AS (SELECT s AS session_id, 'm' || turn AS message_id, base + 1000 AS ts, CASE WHEN before > 0 THEN s || ':p:' || before END AS prompt_id, CASE c % 3 WHEN 0 THEN 'north-large' WHEN 2 THEN 'delta-mid' END AS model_id,
   CASE WHEN c % 10 <> 7 THEN length(text) END AS input_tokens, CASE WHEN c % 10 <> 7 THEN turn + 2 END AS output_tokens, CASE WHEN c % 10 <> 7 AND c % 2 = 0 THEN turn * 10 END AS cache_read_input_tokens, NULL::BIGINT AS cache_creation_input_tokens FROM calls),
-tool_calls AS (SELECT s AS session_id, call_id, base + 1000 AS ts, CASE WHEN before > 0 THEN s || ':p:' || before END AS prompt_id, CASE WHEN k = 5 THEN 'subagent' END AS attribution, tool, CASE WHEN answered THEN 'matched' ELSE 'partial' END AS state, answered AND NOT failed AS success,
+tool_calls AS (SELECT s AS session_id, call_id, base + 1000 AS ts, CASE WHEN before > 0 THEN s || ':p:' || before END AS prompt_id, CASE WHEN k = 5 THEN 'subagent' END AS attribution, tool, sha256(CASE k WHEN 0 THEN '{"file_path":"' || path || '"}' WHEN 1 THEN '{"content":"héé","file_path":"' || path || '"}' WHEN 4 THEN '{"pattern":"x"}' WHEN 5 THEN '{}' ELSE '{"command":"' || command || '"}' END) AS input_hash, CASE WHEN answered THEN 'matched' ELSE 'partial' END AS state, answered AND NOT failed AS success,
   CASE WHEN NOT answered THEN 'unknown' WHEN failed THEN 'error' END AS failure_type,
   CASE k WHEN 0 THEN 16 + length(path) WHEN 1 THEN 34 + length(path) WHEN 2 THEN 22 WHEN 3 THEN 14 + length(command) WHEN 4 THEN 15 ELSE 2 END AS input_bytes,
   CASE WHEN answered THEN CASE WHEN failed THEN octet_length(encode(chr(10) || '  line ' || turn || ' failed' || chr(10) || 'more')) ELSE 4 END END AS output_bytes, CASE WHEN answered THEN 2000 END AS duration_ms, CASE k WHEN 0 THEN 'read' WHEN 1 THEN 'edit' WHEN 4 THEN 'search' END AS operation, file AS path,
@@ -71,6 +71,11 @@ ORACLE_SQL = {
     "scan_range": f"""{WITH}, {_HOLD}, gone AS (SELECT session_id FROM sessions WHERE ended_at < {_HOUR(9)}), left_over AS (SELECT * FROM hold WHERE "table" = 'scan_state' OR session_id NOT IN (SELECT session_id FROM gone) AND (ts IS NULL OR ts BETWEEN {_HOUR(6)} AND {_HOUR(18)}))
   SELECT t."table", count(l.session_id) AS rows, count(l.session_id) FILTER (l."table" <> 'scan_state' AND CAST(l.session_id AS BIGINT) % 5 = 2 AND l.session_id IN (SELECT session_id FROM sessions)) AS gone FROM (VALUES {", ".join(f"('{t}')" for t in load.TABLES)}) t("table") LEFT JOIN left_over l ON l."table" = t."table" GROUP BY 1
   UNION ALL SELECT 'pruned sessions', count(*), 0 FROM gone""",
+    "tool_behaviour": f"""{WITH} SELECT tool, count(*) AS calls, count(*) FILTER (NOT success) AS failures, round(count(*) FILTER (NOT success) / count(*), 6) AS failure_rate, round(avg(duration_ms), 4) AS mean_duration_ms, max(input_bytes) AS largest_input, max(output_bytes) AS largest_output, count(attribution) AS subagent_calls FROM tool_calls GROUP BY ROLLUP (tool)""",
+    "repeated_tool_searches": f"""{WITH} SELECT project, tool, input_hash, count(*) AS occurrences, count(DISTINCT session_id) AS sessions FROM (SELECT *, CAST(session_id AS BIGINT) % 5 AS project FROM tool_calls) WHERE tool IN ('Grep', 'Glob', 'WebSearch', 'WebFetch') GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
+    "overview_tops": f"""{WITH}, t AS (SELECT tool AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tool) AS place FROM tool_calls GROUP BY 1), c AS (SELECT executable || ' ' || classification AS name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, executable || ' ' || classification) AS place FROM commands GROUP BY 1)
+  SELECT 'tools' AS list, CAST(place AS INTEGER) AS place, name, n FROM t WHERE place <= 6 UNION ALL SELECT 'commands', CAST(place AS INTEGER), name, n FROM c WHERE place <= 5""",
+    "loaded_usage": f"""{WITH} SELECT CAST(session_id AS BIGINT) % 5 AS project, count(*) AS sessions, CAST(sum(compactions) AS BIGINT) AS compactions, CAST(sum(subagent_calls) AS BIGINT) AS subagent_calls, CAST(sum(tool_calls) AS BIGINT) AS tool_calls FROM sessions GROUP BY ROLLUP (1)""",
     "completeness": f"{WITH} SELECT count(*) FILTER (completeness = 'complete') AS complete, count(*) FILTER (completeness LIKE '%tail-missing%') AS tail_missing, count(*) FILTER (completeness LIKE '%metrics-missing%') AS metrics_missing, count(*) FILTER (completeness LIKE '%prompts-missing%') AS prompts_missing FROM sessions",
     "scan_provenance": f"{WITH} SELECT 's' || min(CAST(session_id AS BIGINT) % 2) AS source_id, CASE min(CAST(session_id AS BIGINT) % 2) WHEN 0 THEN '1.2' ELSE '1.3' END AS adapter_version, 1 AS parser_version, count(*) AS imported FROM sessions",
     "session_timeline": f"{WITH}, t AS ({_TIMELINE}) SELECT session_id, ts, kind, label, row_number() OVER (PARTITION BY session_id ORDER BY ts, rank, kind, label) AS position FROM t",

@@ -216,7 +216,7 @@ def tool_calls(placed: DataFrame) -> DataFrame:
     matched = F.col("state") == "matched"
     success = F.when(matched, ~F.col("next_error")).when(F.col("state") == "orphan", None).otherwise(False)
     return rows.select(
-        "session_id", "line_no", "call_id", "ts", prompt_id(), F.when(F.col("sidechain"), "subagent").alias("attribution"), "tool", "state", success.alias("success"), F.when(~success, F.when(matched, "error").otherwise("unknown")).alias("failure_type"),
+        "session_id", "line_no", "call_id", "ts", prompt_id(), F.when(F.col("sidechain"), "subagent").alias("attribution"), "tool", F.sha2(F.to_json("input").cast("binary"), 256).alias("input_hash"), "state", success.alias("success"), F.when(~success, F.when(matched, "error").otherwise("unknown")).alias("failure_type"),
         F.octet_length(F.to_json("input")).cast("long").alias("input_bytes"), F.when(matched, F.col("next_out_bytes")).alias("output_bytes"), F.when(matched, F.col("next_ts") - F.col("ts")).alias("duration_ms"), operation.alias("operation"), F.when(operation.isNotNull(), path).alias("path"),
         F.when(operation.isNotNull(), F.octet_length(_get("$.content", of="input"))).cast("long").alias("content_bytes"), F.when(F.col("tool") == "Bash", _get("$.command", of="input")).alias("command"), F.when(matched & F.col("next_error"), failure_signature(F.col("next_out_text"))).alias("failure_signature"),
     )
