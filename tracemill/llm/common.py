@@ -57,6 +57,11 @@ def sliced(batches: Iterator[pa.RecordBatch], mb: int = 16, rows: int = 10_000)
             yield b.slice(at, step)
 
 
+def readable(col: str) -> F.Column:
+    """A column as text that Python can read: bytes that are no UTF-8, as crawled files hold them, become replacement characters."""
+    return F.make_valid_utf8(F.col(col).cast("string"))
+
+
 def text_hash(col: str = "text"):
     """Tells apart rows that repeat an id; null texts hash to the seed."""
     return F.xxhash64(F.col(col))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm import samples, textstats
-from tracemill.llm.common import materialise, sliced, table, text_hash
+from tracemill.llm.common import materialise, readable, sliced, table, text_hash
 
 #: Most labelled rows that the views are fitted on; a quarter of them are held out.
 FIT_ROWS, HELD_OUT = 10_000, 0.25
@@ -220,7 +220,8 @@ def features(docs: DataFrame) -> DataFrame:
 def _inputs(docs: DataFrame) -> list:
     """text and the metadata columns; one that docs lacks is null."""
     kinds = {"text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+    there = lambda c, t: readable(c) if t == "string" else F.col(c).cast(t)
+    return [(there(c, t) if c in docs.columns else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()]
 
 
 def _matrices(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:

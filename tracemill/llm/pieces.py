@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import sliced, table
+from tracemill.llm.common import readable, sliced, table
 
 SPACE = "▁"
 #: What a character that no piece covers costs below the worst piece.
@@ -222,7 +222,7 @@ def tables(path: str | None = None) -> tuple[Vocabulary, DoubleArray]:
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, n_ids and round_trip (decoding gives the text back) of every row of docs (doc_id, text).
 
-    A null or empty text has no ids. The marker character itself in a text is
+    A null or empty text has no ids; bytes that are no UTF-8 are read as replacement characters. The marker character itself in a text is
     read as a space, which is the one way that a text isn't given back. Repeated
     rows each get a row, a null doc_id stays null, other columns are ignored, an
     empty table gives no rows. The tables broadcast are as large as the
@@ -241,7 +241,7 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), column, pa.array(np.diff(ends).astype(np.int64)), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import samples, textstats
 from tracemill.llm.boosting import Trees, fit
-from tracemill.llm.common import materialise, sliced, table, text_hash
+from tracemill.llm.common import materialise, readable, sliced, table, text_hash
 
 #: Most labelled rows that the trees are fitted on.
 FIT_ROWS = 20_000
@@ -31,7 +31,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", fit_rows:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "order"])
 
     known = materialise(samples.labels(labels, target), "rules-labels")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", text_hash()).alias("order"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text"), F.xxhash64("doc_id", text_hash()).alias("order"))
     taken = rows.join(samples.some(known, fit_rows), "doc_id").select("text", "y", "order").mapInArrow(run, "x array<double>, y int, order long")
     got = samples.bounded(taken, fit_rows).collect()
     found = np.array([r["x"] for r in got], np.float64).reshape(-1, len(textstats.FEATURES))
@@ -65,7 +65,7 @@ def judge(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFr
             columns = [b.column(0), *(pa.array(base[:, i]) for i in range(5)), pa.array(failed), pa.array(kept), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *textstats.BASE, "base_failed", "kept", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text")).mapInArrow(run, COLUMNS)
 
 
 def passes(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
@@ -76,7 +76,7 @@ def passes(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataF
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series(verdicts(list(texts), model.value, threshold)[2])
 
-    return docs.where(kept(F.col("text").cast("string")))
+    return docs.where(kept(readable("text")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

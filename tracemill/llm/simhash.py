@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, sliced, table, text_hash
+from tracemill.llm.common import materialise, readable, sliced, table, text_hash
 from tracemill.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "th", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), readable("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, th long, fp long")
 
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, sliced, table, text_hash
+from tracemill.llm.common import materialise, readable, sliced, table, text_hash
 
 #: Common words of four languages; chains start at them.
 ANCHORS = frozenset(
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, anchors: Collection[str] = ANCHORS, chain: int
             values = [np.sort(np.fromiter(s, np.uint64, len(s)).view(np.int64)) for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fingerprint, sets), pa.string()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "fingerprint", "signatures"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, signatures array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), readable("text").alias("text")).mapInArrow(run, "doc_id long, fingerprint string, signatures array<long>")
 
 
 def _compared(doc_id: int | None, text: str, mine: frozenset[int], after: str, theirs: frozenset[int], anchors: Collection[str], chain: int) -> tuple:
@@ -121,7 +121,7 @@ def edited_fingerprints(docs: DataFrame, anchors: Collection[str] = ANCHORS, cha
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("th"), F.coalesce(readable("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(MOST_RANGES, max(1, math.ceil(total / range_bytes)))
     order = [F.desc("key"), F.asc("th")]

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import materialise, sliced, table, text_hash
+from tracemill.llm.common import materialise, readable, sliced, table, text_hash
 
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 #: In production shorter lines stay: they come again by chance, or as set phrases, in documents that share nothing else.
@@ -200,13 +200,15 @@ def dedup(docs: DataFrame, unit: str = "line", min_words: int = 1, passage_words
     documents, and within one, that of the least doc_id (then text hash, then
     place) stays. Places that only white space parts are one. All rows and
     columns stay; a text of which all is cut is empty, a null text null, with
-    nothing removed. Rows that repeat both doc_id and text are one document and
+    nothing removed; bytes that are no UTF-8 come back as replacement characters.
+    Rows that repeat both doc_id and text are one document and
     are cut alike. A null doc_id ranks last. An empty table gives no rows. A
     column of docs named removed is replaced; any other name may be there.
 
     With passage_words, every run of so many words that an earlier place of the
     original texts has goes as well, wherever lines end.
     """
+    docs = docs.withColumn("text", readable("text"))
     rows = docs.drop("removed").select(F.struct("*").alias("row"), _rank(), text_hash().alias("th"))
     inner = docs.select("doc_id", "text")
     gone = materialise(repeats(materialise(units(inner, unit, min_words), "dedup-units")), "dedup-gone")
