@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators import rules
+from tracemill.plans import queries as base
 from tracemill.plans import snapshot
 from tracemill.sources import bindings, scratch
 from tracemill.streaming import analysis
@@ -90,7 +91,13 @@ def session_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return stored.join(of, "session_id", "left_semi").orderBy("created_at", "fingerprint").select("session_id", "rule_id", "confidence", "created_at")
 
 
-QUERIES = {"rule_sides": rule_sides, "rules_isolated": rules_isolated, "scope_candidates": scope_candidates, "session_recommendations": session_recommendations}
+def consolidated(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of two runs, one of all and one of the sure ones, as one for each fingerprint, and how many there were."""
+    found = rules.evaluate(snapshot.shared(spark, d), min_confidence=0.0)
+    return rules.consolidate(found.unionByName(found.where(F.col("confidence") >= rules.MIN_CONFIDENCE))).select("project_id", "rule_id", "confidence", "fingerprint", "copies")
+
+
+QUERIES = {"consolidated": consolidated, "rule_sides": rule_sides, "rules_isolated": rules_isolated, "scope_candidates": scope_candidates, "session_recommendations": session_recommendations}
 
 _N = len(SIDES)
 _LISTED = "listed(rule_no, rule_id, at_threshold) AS (VALUES " + ", ".join(f"({i}, '{r[0]}', {r[4]}::DOUBLE)" for i, r in enumerate(SIDES)) + ")"
@@ -108,6 +115,7 @@ hits AS (SELECT project_id, session_id, 'TOOLS-001' AS rule_id, 'medium' AS seve
 found AS (SELECT project_id, session_id, rule_id, severity, round(confidence, 6) AS confidence, evidence, sha256(rule_id || '|1|' || project_id || coalesce('/' || session_id, '') || '|' || evidence) AS fingerprint FROM hits WHERE round(confidence, 6) >= 0.65)"""
 _SCOPED = f"""WITH {bindings.DUCKDB["activity"]}, both_grains AS (SELECT project_id, session_id, kind, path_hash, success, size, event_type FROM activity UNION ALL SELECT project_id, NULL, kind, path_hash, success, size, event_type FROM activity), {_REST}"""
 ORACLE_SQL = {
+    "consolidated": f"{base.CANDIDATES} SELECT project_id, rule_id, confidence, fingerprint, CASE WHEN confidence >= {rules.MIN_CONFIDENCE} THEN 2 ELSE 1 END::BIGINT AS copies FROM candidates",
     "rule_sides": f"WITH {_SIDED} SELECT rule_id, CAST(side AS INTEGER) AS side, count(*) AS projects, count(*) FILTER (side >= 1) AS fired, max(CASE WHEN side = 1 THEN at_threshold END) AS confidence FROM sided JOIN listed USING (rule_no) GROUP BY 1, 2",
     "rules_isolated": f"WITH {_SIDED} SELECT rule_id, count(*) AS projects, NULL AS why FROM sided JOIN listed USING (rule_no) WHERE side >= 1 GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('TOOLS-900', NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), ('TOOLS-901', NULL, 'DIVIDE_BY_ZERO'), ('TOOLS-902', NULL, 'CAST_INVALID_INPUT'), ('TOOLS-903', NULL, 'disabled'))",
     "scope_candidates": f"{_SCOPED} SELECT * FROM found",

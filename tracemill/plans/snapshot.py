@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import text
 from tracemill.operators import audit, costs, metrics
 from tracemill.sources import bindings
-from tracemill.sources.scratch import written
+from tracemill.sources.scratch import exists, state_of, written
 
 #: Columns that are flags; the others are numbers.
 FLAGS = ("full_local", "beyond_loopback", "external_provider")
@@ -63,15 +63,17 @@ def project_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.na.fill(0).na.fill(False)
 
 
-_made: dict[tuple[str, str], DataFrame] = {}
+_made: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+TABLES = "events lineitem orders conversations part pages documents customer".split()
 
 
 def shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project_snapshots(), written, and made once for a session of Spark: rules, reports and lists all read it."""
+    """project_snapshots(), written once: rules, reports and lists all read it, for as long as the files of the tables it is made of, and its own, stay as they are."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _made:
-        _made[key] = written(project_snapshots(spark, sf_dir), "snapshots")
-    return _made[key]
+    state = "|".join(state_of(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)
+    if key not in _made or _made[key][0] != state or not all(exists(spark, f) for f in _made[key][1].inputFiles()):
+        _made[key] = (state, written(project_snapshots(spark, sf_dir), "snapshots"))
+    return _made[key][1]
 
 
 def scoped(snapshots: DataFrame, scopes: DataFrame) -> DataFrame:

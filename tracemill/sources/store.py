@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Buckets of a new store. A change rewrites whole buckets: take more of them for larger stores. So many folders Spark still lists without a job.
 BUCKETS = 32
+#: Tables that a commit writes at a time.
+WRITERS = 4
 MANIFEST = "table string, bucket int, version int, buckets int, schema string"
 
 
@@ -78,9 +82,14 @@ class Store:
         task, since one session may hold most rows.
         """
         version = (self.versions or [0])[-1] + 1
-        for name, df in tables.items():
-            dealt = df.withColumn("bucket", bucket(F.col(self.keys[name]), self.buckets)).hint("rebalance", "bucket")
+
+        def write(name: str) -> None:
+            dealt = tables[name].withColumn("bucket", bucket(F.col(self.keys[name]), self.buckets)).hint("rebalance", "bucket")
             dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/v={version}")  # a commit that was broken off may have left a part
+
+        with ThreadPoolExecutor(WRITERS) as pool:  # tables are jobs of their own: the small ones fill what the large ones leave idle
+            list(pool.map(inheritable_thread_target(self.spark)(write), tables))
+        for name, df in tables.items():
             self.schemas[name] = df.schema
             stay = {} if touched is None else {b: v for b, v in self.held.get(name, {}).items() if b not in set(touched)}
             self.held[name] = stay | {b: version for b in self._written(name, version)}
