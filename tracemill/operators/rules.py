@@ -42,6 +42,11 @@ class Rule:
     def category(self) -> str:
         return CATEGORIES[self.id.split("-")[0]]
 
+    @property
+    def kind(self) -> str:
+        """What sort of evidence the metrics are."""
+        return KINDS.get(self.id, "metrics")
+
     @property
     def severity_sql(self) -> str:
         return self.severity if " " in self.severity else f"'{self.severity}'"
@@ -51,6 +56,26 @@ class Rule:
         return {label: sql or label for label, _, sql in (m.partition("=") for m in self.metrics.split())}
 
 
+# The kind of each rule's evidence, and what the metrics rest on that aren't exact counts.
+KINDS = {
+    "TOOLS-001": "repeated-read", "TOOLS-002": "repeated-command", "TOOLS-003": "repeated-failed-command", "TOOLS-004": "broad-test-runs", "TOOLS-005": "oversized-output", "TOOLS-006": "exploration-to-change", "TOOLS-007": "repeated-search", "TOOLS-008": "failing-tool",
+    "VERIFY-001": "changes-without-verification", "VERIFY-002": "changes-after-verification", "VERIFY-003": "failed-verification-at-end", "VERIFY-004": "narrow-verification", "VERIFY-005": "no-tests-with-changes", "VERIFY-006": "no-build-with-changes",
+    "WORKFLOW-001": "corrective-turns", "WORKFLOW-002": "long-session", "WORKFLOW-003": "large-changes-no-verification", "WORKFLOW-004": "repeated-manual-validation",
+    "CONTEXT-001": "frequent-compaction", "CONTEXT-002": "large-repeated-output", "CONTEXT-003": "stale-context", "CONTEXT-004": "verbose-exploration",
+    "PROMPT-001": "missing-acceptance-criteria", "PROMPT-002": "missing-verification-request", "PROMPT-003": "multi-task-prompts", "PROMPT-004": "vague-references", "PROMPT-005": "repeated-corrections",
+    "MODEL-001": "high-cost-light-work", "MODEL-002": "low-capability-struggling", "MODEL-003": "stale-context-premium", "SECURITY-001": "sensitive-path-access", "SECURITY-002": "redacted-secret", "CONFIG-001": "configuration-state", "CONFIG-002": "local-first-boundary",
+}
+PROVENANCE = {
+    "inferred": "files_per_session prompts_per_session tools_per_session median_ms changed_unverified changed_after_verification ended_failed narrow_only corrective_prompts correction_prompts dominant_cost_tier dominant_capability failure_rate".split(),
+    "reported": "max_output input_tokens cache_read_tokens".split(),
+    "heuristic": "criteria_prompts verify_prompts multi_prompts vague_refs broad_exclusions".split(),
+}
+
+
+def provenance_of(label: str) -> str:
+    return next((kind for kind, labels in PROVENANCE.items() if label in labels), "exact")
+
+
 CATEGORIES = {"TOOLS": "tools", "VERIFY": "verification", "WORKFLOW": "workflow", "CONTEXT": "context", "PROMPT": "prompt", "MODEL": "model", "SECURITY": "security", "CONFIG": "configuration"}
 
 
@@ -108,13 +133,14 @@ def chosen(rules: list[Rule], overrides: dict[str, dict]) -> list[Rule]:
 
 
 def evaluate(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[str, dict] | None = None, min_confidence: float = MIN_CONFIDENCE, scope: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """Candidates of all rules in one pass: the columns of scope, rule_id, version, category, severity, confidence, evidence, remedy, fingerprint.
+    """Candidates of all rules in one pass: the columns of scope, rule_id, version, category, severity, confidence, kind, evidence, remedy, fingerprint.
 
     A snapshot's scope is a project, or a session of it, or all, where the columns
     are null; it is part of the fingerprint.
 
-    evidence is an array of (label, value), values with two places; two findings
-    of a rule and project have one fingerprint only if it is the same. overrides:
+    evidence is an array of (label, value, provenance), values with two places;
+    two findings of a rule and scope have one fingerprint only if it and its kind
+    are the same. overrides:
     by rule id, "enabled" and thresholds. Rules whose columns the snapshots lack
     are left out; skipped() names them.
     """
@@ -126,18 +152,18 @@ def evaluate(snapshots: DataFrame, rules: list[Rule] = RULES, overrides: dict[st
             continue
         own = {k: v for k, v in overrides.get(r.id, {}).items() if k != "enabled"}
         sql = lambda text: F.expr(r.filled(text, own))  # noqa: B023, E731
-        metrics = F.array(*(F.struct(F.lit(label).alias("label"), F.round(sql(f"cast({text} as double)"), 2).alias("value")) for label, text in r.evidence.items()))
-        hit = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.version).alias("version"), F.lit(r.category).alias("category"), sql(r.severity_sql).alias("severity"), F.round(sql(f"cast({r.confidence} as double)"), 6).alias("confidence"), metrics.alias("evidence"), F.lit(r.remedy).alias("remedy"))
+        metrics = F.array(*(F.struct(F.lit(label).alias("label"), F.round(sql(f"cast({text} as double)"), 2).alias("value"), F.lit(provenance_of(label)).alias("provenance")) for label, text in r.evidence.items()))
+        hit = F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.version).alias("version"), F.lit(r.category).alias("category"), sql(r.severity_sql).alias("severity"), F.round(sql(f"cast({r.confidence} as double)"), 6).alias("confidence"), F.lit(r.kind).alias("kind"), metrics.alias("evidence"), F.lit(r.remedy).alias("remedy"))
         found.append(F.when(sql(r.trigger), hit))
     if not found:
         return snapshots.select(*scope, *(F.lit(None).cast(t).alias(n) for n, t in CANDIDATE.items())).limit(0)
     rows = snapshots.select(*scope, F.explode(F.array_compact(F.array(*found))).alias("c")).select(*scope, "c.*")
     where = F.concat_ws("/", *(F.col(c).cast("string") for c in scope))
-    mark = F.sha2(F.concat_ws("|", "rule_id", F.col("version").cast("string"), F.when(where == "", "all").otherwise(where), evidence_text()), 256)
+    mark = F.sha2(F.concat_ws("|", "rule_id", F.col("version").cast("string"), F.when(where == "", "all").otherwise(where), "kind", evidence_text()), 256)
     return rows.where(F.col("confidence") >= min_confidence).withColumn("fingerprint", mark)
 
 
-CANDIDATE = {"rule_id": "string", "version": "int", "category": "string", "severity": "string", "confidence": "double", "evidence": "array<struct<label:string,value:double>>", "remedy": "string", "fingerprint": "string"}
+CANDIDATE = {"rule_id": "string", "version": "int", "category": "string", "severity": "string", "confidence": "double", "kind": "string", "evidence": "array<struct<label:string,value:double,provenance:string>>", "remedy": "string", "fingerprint": "string"}
 
 
 def evidence_text() -> Column:
@@ -145,6 +171,23 @@ def evidence_text() -> Column:
     return F.array_join(F.transform("evidence", lambda m: F.concat(m["label"], F.lit("="), F.coalesce(F.round(m["value"] * 100).cast("long").cast("string"), F.lit("-")))), ",")
 
 
+def explained(candidates: DataFrame, references: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """candidates with what a reader is shown: description (kind and metrics in words), references, and remediation, an instruction that is never applied by itself.
+
+    references (project_id, reference): sessions or files that a finding is about,
+    at most so many of a project, the first by name (a top-k of what is shown).
+    """
+    shown = F.array_join(F.transform("evidence", lambda m: F.concat(m["label"], F.lit(" "), F.coalesce(F.regexp_replace(m["value"].cast("decimal(30,2)").cast("string"), r"\.?0+$", ""), F.lit("unknown")))), ", ")
+    out = candidates.withColumns({
+        "description": F.concat(F.regexp_replace("kind", "-", " "), F.lit(": "), shown), "remediation": F.struct(F.lit("instruction").alias("type"), F.col("remedy").alias("preview"), F.lit(False).alias("automatic")),
+    })
+    if references is None:
+        return out.withColumn("references", F.array().cast("array<string>"))
+    first = references.select("project_id", F.col("reference").cast("string").alias("reference")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("reference"))).where(F.col("place") <= most)
+    named = first.groupBy("project_id").agg(F.array_sort(F.collect_list("reference")).alias("references"))
+    return out.join(named, "project_id", "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>")))
+
+
 def metric(label: str) -> Column:
     """A metric of the column evidence, null if it isn't there."""
     return F.get(F.transform(F.filter("evidence", lambda m: m["label"] == label), lambda m: m["value"]), F.lit(0))

@@ -374,10 +374,10 @@ _METRIC = lambda label, sql: f"'{label}=' || coalesce(CAST(CAST(round(round(CAST
 def candidates_sql(name: str, source: str) -> str:
     """CTE of what all rules find in source, with evidence and fingerprint."""
     found = " UNION ALL ".join(
-        f"SELECT project_id, '{r.id}' AS rule_id, '{r.category}' AS category, {r.severity_sql} AS severity, round(CAST({r.filled(r.confidence)} AS DOUBLE), 6) AS confidence, {' || chr(44) || '.join(_METRIC(label, sql) for label, sql in r.evidence.items())} AS evidence, {r.filled(r.evidence['occurrences']) if 'occurrences' in r.evidence else 0} AS occurrences FROM {source} WHERE {r.filled(r.trigger)}"
+        f"SELECT project_id, '{r.id}' AS rule_id, '{r.category}' AS category, {r.severity_sql} AS severity, round(CAST({r.filled(r.confidence)} AS DOUBLE), 6) AS confidence, '{r.kind}' AS kind, {' || chr(44) || '.join(_METRIC(label, sql) for label, sql in r.evidence.items())} AS evidence, {r.filled(r.evidence['occurrences']) if 'occurrences' in r.evidence else 0} AS occurrences FROM {source} WHERE {r.filled(r.trigger)}"
         for r in rules.RULES
     )
-    return f"{name} AS (SELECT *, sha256(rule_id || '|1|' || project_id || '|' || evidence) AS fingerprint FROM ({found}))"
+    return f"{name} AS (SELECT *, sha256(rule_id || '|1|' || project_id || '|' || kind || '|' || evidence) AS fingerprint FROM ({found}))"
 
 
 CANDIDATES = f"{_SNAPSHOT}, {_ZEROED}, {candidates_sql('candidates', 'z')}"

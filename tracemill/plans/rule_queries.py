@@ -97,7 +97,16 @@ def consolidated(spark: SparkSession, d: str) -> DataFrame:
     return rules.consolidate(found.unionByName(found.where(F.col("confidence") >= rules.MIN_CONFIDENCE))).select("project_id", "rule_id", "confidence", "fingerprint", "copies")
 
 
-QUERIES = {"consolidated": consolidated, "rule_sides": rule_sides, "rules_isolated": rules_isolated, "scope_candidates": scope_candidates, "session_recommendations": session_recommendations}
+def explained_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """Recommendations with what a reader is shown of them, and the first five sessions of their project."""
+    found = rules.evaluate(snapshot.shared(spark, d), min_confidence=0.0)
+    sessions = bindings.activity(spark, d).select("project_id", F.col("session_id").alias("reference"))
+    out = rules.explained(found, sessions, 5)
+    rests = F.array_join(F.transform("evidence", lambda m: m["provenance"]), ",")
+    return out.select("project_id", "rule_id", "kind", "description", rests.alias("provenance"), F.array_join("references", ",").alias("references"), F.col("remediation.type").alias("remediation"), F.col("remediation.automatic").alias("automatic"))
+
+
+QUERIES = {"explained_recommendations": explained_recommendations, "consolidated": consolidated, "rule_sides": rule_sides, "rules_isolated": rules_isolated, "scope_candidates": scope_candidates, "session_recommendations": session_recommendations}
 
 _N = len(SIDES)
 _LISTED = "listed(rule_no, rule_id, at_threshold) AS (VALUES " + ", ".join(f"({i}, '{r[0]}', {r[4]}::DOUBLE)" for i, r in enumerate(SIDES)) + ")"
@@ -112,9 +121,14 @@ hits AS (SELECT project_id, session_id, 'TOOLS-001' AS rule_id, 'medium' AS seve
   UNION ALL SELECT project_id, session_id, 'TOOLS-007', 'low', least(0.8, 0.45 + 0.07 * searches)::DOUBLE, 'occurrences=' || CAST(searches * 100 AS BIGINT) FROM s WHERE searches >= 3
   UNION ALL SELECT project_id, session_id, 'TOOLS-008', 'medium', least(0.8, 0.4 + 0.35 * least(1, worst_failures / 4))::DOUBLE, 'worst_tool_failures=' || CAST(worst_failures * 100 AS BIGINT) || ',worst_tool_rate=' || CAST(round(round(worst_rate, 2) * 100) AS BIGINT) FROM s WHERE worst_rate >= 0.5 AND worst_failures >= 2
   UNION ALL SELECT project_id, session_id, 'CONTEXT-001', 'medium', least(0.8, 0.45 + 0.3 * least(1, compactions / sessions))::DOUBLE, 'compactions=' || CAST(compactions * 100 AS BIGINT) || ',sessions=' || sessions * 100 FROM s WHERE compactions >= 2),
-found AS (SELECT project_id, session_id, rule_id, severity, round(confidence, 6) AS confidence, evidence, sha256(rule_id || '|1|' || project_id || coalesce('/' || session_id, '') || '|' || evidence) AS fingerprint FROM hits WHERE round(confidence, 6) >= 0.65)"""
+found AS (SELECT project_id, session_id, rule_id, severity, round(confidence, 6) AS confidence, evidence, sha256(rule_id || '|1|' || project_id || coalesce('/' || session_id, '') || '|' || CASE rule_id WHEN 'TOOLS-001' THEN 'repeated-read' WHEN 'TOOLS-005' THEN 'oversized-output' WHEN 'TOOLS-007' THEN 'repeated-search' WHEN 'TOOLS-008' THEN 'failing-tool' ELSE 'frequent-compaction' END || '|' || evidence) AS fingerprint FROM hits WHERE round(confidence, 6) >= 0.65)"""
 _SCOPED = f"""WITH {bindings.DUCKDB["activity"]}, both_grains AS (SELECT project_id, session_id, kind, path_hash, success, size, event_type FROM activity UNION ALL SELECT project_id, NULL, kind, path_hash, success, size, event_type FROM activity), {_REST}"""
+_RESTS = ", ".join(f"('{r.id}', '{','.join(rules.provenance_of(x) for x in r.evidence)}')" for r in rules.RULES)
 ORACLE_SQL = {
+    "explained_recommendations": f"""{base.CANDIDATES}, rests(rule_id, provenance) AS (VALUES {_RESTS}), named AS (SELECT project_id, session_id, row_number() OVER (PARTITION BY project_id ORDER BY session_id) AS place FROM (SELECT DISTINCT project_id, session_id FROM activity)),
+  refs AS (SELECT project_id, string_agg(session_id, ',' ORDER BY session_id) AS refs FROM named WHERE place <= 5 GROUP BY 1)
+  SELECT project_id, rule_id, kind, replace(kind, '-', ' ') || ': ' || array_to_string(list_transform(string_split(evidence, ','), lambda x: split_part(x, '=', 1) || ' ' || regexp_replace(CAST(CAST(CAST(split_part(x, '=', 2) AS BIGINT) AS DECIMAL(30, 2)) / 100 AS DECIMAL(30, 2))::VARCHAR, '\\.?0+$', '')), ', ') AS description,
+    provenance, coalesce(refs, '') AS "references", 'instruction' AS remediation, false AS automatic FROM candidates JOIN rests USING (rule_id) LEFT JOIN refs USING (project_id)""",
     "consolidated": f"{base.CANDIDATES} SELECT project_id, rule_id, confidence, fingerprint, CASE WHEN confidence >= {rules.MIN_CONFIDENCE} THEN 2 ELSE 1 END::BIGINT AS copies FROM candidates",
     "rule_sides": f"WITH {_SIDED} SELECT rule_id, CAST(side AS INTEGER) AS side, count(*) AS projects, count(*) FILTER (side >= 1) AS fired, max(CASE WHEN side = 1 THEN at_threshold END) AS confidence FROM sided JOIN listed USING (rule_no) GROUP BY 1, 2",
     "rules_isolated": f"WITH {_SIDED} SELECT rule_id, count(*) AS projects, NULL AS why FROM sided JOIN listed USING (rule_no) WHERE side >= 1 GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('TOOLS-900', NULL, 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), ('TOOLS-901', NULL, 'DIVIDE_BY_ZERO'), ('TOOLS-902', NULL, 'CAST_INVALID_INPUT'), ('TOOLS-903', NULL, 'disabled'))",
