@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from tracemill.streaming import analysis, hooks
+from tracemill.streaming import analysis, correlating, hooks
 
 
 def stored(spark, raw, mode="redacted-content"):
@@ -86,3 +86,23 @@ def test_bursts_are_waited_out(spark, tmp_path):
     analysis.observe(stream, lambda _: events, f"{tmp_path}/runs", f"{tmp_path}/checkpoint")
     found = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/runs").collect()
     assert sorted((r["project_id"], r["first_ts"], r["events"], tuple(r["found"])) for r in found) == [(1, 0, 3, ("TOOLS-001",)), (1, 60_000, 2, ("TOOLS-001",)), (2, 100, 1, ())]
+
+
+def test_events_before_with_and_after_their_session(spark, tmp_path):
+    """Three runs: events come, then the sessions they are of, then more events; what was there is not read again."""
+    hour = 3_600_000
+    kinds = {"events": "event_id long, project_id long, source_session_id string, ts long", "sessions": "session_id string, project_id long, started_at long"}
+    runs = [
+        {"events": [(1, 7, "s1", hour), (2, 7, None, hour), (3, 8, None, hour), (4, None, "s9", hour)]},
+        {"sessions": [("s1", 7, hour + 5), ("s0", 7, hour // 2)], "events": [(5, 7, None, hour + 1)]},
+        {"events": [(6, 7, None, hour + hour // 2), (7, 7, "s1", 9 * hour), (8, 7, None, 9 * hour)], "sessions": [("s9", 9, 9 * hour)]},
+    ]
+    for name in kinds:
+        (tmp_path / name).mkdir()
+    for run in runs:
+        for name, rows in run.items():
+            spark.createDataFrame(rows, kinds[name]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        streams = [spark.readStream.schema(kinds[n]).parquet(f"{tmp_path}/{n}") for n in ("events", "sessions")]
+        correlating.correlate(*streams, f"{tmp_path}/links", f"{tmp_path}/checkpoint")
+    found = {r["event_id"]: (r["session_id"], r["confidence"]) for r in correlating.best(spark.read.parquet(f"{tmp_path}/links")).collect()}
+    assert found == {1: ("s1", 1.0), 2: ("s0", 0.7), 4: ("s9", 1.0), 5: ("s0", 0.7), 6: ("s0", 0.7), 7: ("s1", 1.0)}

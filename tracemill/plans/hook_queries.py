@@ -9,7 +9,7 @@ from tracemill.operators import correlation
 from tracemill.plans import queries as base
 from tracemill.sources import bindings, otlp, scratch
 from tracemill.sources.scratch import fresh_path
-from tracemill.streaming import hooks
+from tracemill.streaming import correlating, hooks
 
 NAMES = {"signup": "UserPromptSubmit", "view": "PreToolUse", "click": "PostToolUse", "purchase": "SessionEnd", "error": "Stop"}
 _drained: dict[tuple[str, str], tuple[str, str, str]] = {}
@@ -122,6 +122,20 @@ def correlated_hooks(spark: SparkSession, d: str) -> DataFrame:
     return correlation.write_back(events, correlation.correlate(events, some)).select("event_id", "event_type", "correlated_session_id", "correlation_confidence")
 
 
+def stream_correlated(spark: SparkSession, d: str) -> DataFrame:
+    """Events and sessions as two streams of files that are joined as they come; the best link of each event."""
+    a = bindings.activity(spark, d)
+    stated = F.when(F.col("event_id") % 4 == 0, F.col("session_id"))
+    sides = {"events": a.select("event_id", F.when(F.col("event_id") % 4 < 3, F.col("project_id")).alias("project_id"), stated.alias("source_session_id"), "ts"), "sessions": bindings.sessions(a).select("session_id", "project_id", "started_at")}
+    folders = {name: fresh_path(spark, name) for name in sides}
+    for name, rows in sides.items():
+        rows.write.parquet(folders[name])
+    streams = {name: spark.readStream.schema(rows.schema).parquet(folders[name]) for name, rows in sides.items()}
+    found = fresh_path(spark, "links")
+    correlating.correlate(streams["events"], streams["sessions"], found, fresh_path(spark, "links-checkpoint"))
+    return correlating.best(spark.read.schema("event_id long, tier int, started_at long, session_id string").parquet(found))
+
+
 def affected_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of the projects that a batch (the purchases of user 7) touches: what is analysed again."""
     a = bindings.activity(spark, d)
@@ -158,7 +172,7 @@ def telemetry_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "telemetry_ingest": telemetry_ingest,
-    "hook_events": hook_events, "hook_stream": hook_stream, "hook_counters": hook_counters, "spool_drain": spool_drain, "both_deliveries": both_deliveries, "recent_hooks": recent_hooks, "live_status": live_status, "correlated_hooks": correlated_hooks, "affected_sessions": affected_sessions,
+    "hook_events": hook_events, "hook_stream": hook_stream, "hook_counters": hook_counters, "spool_drain": spool_drain, "both_deliveries": both_deliveries, "recent_hooks": recent_hooks, "live_status": live_status, "correlated_hooks": correlated_hooks, "affected_sessions": affected_sessions, "stream_correlated": stream_correlated,
 }
 
 _NAME = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END"
@@ -198,5 +212,8 @@ ORACLE_SQL = {
     "correlated_hooks": base.ORACLE_SQL["correlated_events"].replace("FROM e JOIN sessions s", "FROM e JOIN begun s").replace("FROM sessions GROUP BY 1) s", "FROM begun GROUP BY 1) s").replace(", e AS (", ", begun AS (SELECT * FROM sessions WHERE prompts > 0), e AS (", 1).replace(
         "SELECT event_id, arg_min(session_id, (tier, started_at, session_id)) AS session_id, [1.0", ", b AS (SELECT event_id, arg_min(session_id, (tier, started_at, session_id)) AS correlated_session_id, [1.0"
     ).replace("AS confidence FROM c GROUP BY 1", "AS correlation_confidence FROM c GROUP BY 1) SELECT event_id, event_type, correlated_session_id, correlation_confidence FROM activity LEFT JOIN b USING (event_id)"),
+    "stream_correlated": f"""{base.SESSIONS}, e AS (SELECT event_id, CASE WHEN event_id % 4 < 3 THEN project_id END AS project_id, CASE WHEN event_id % 4 = 0 THEN session_id END AS stated, ts FROM activity),
+  l AS (SELECT event_id, 1 AS tier, started_at, s.session_id FROM e JOIN sessions s ON e.stated = s.session_id WHERE abs(started_at - ts) <= 604800000 UNION ALL SELECT event_id, 2, started_at, s.session_id FROM e JOIN sessions s ON e.project_id = s.project_id AND abs(started_at - ts) <= 3600000)
+  SELECT event_id, arg_min(session_id, (tier, started_at, session_id)) AS session_id, CASE min(tier) WHEN 1 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence FROM l GROUP BY 1""",
     "affected_sessions": f"{base.SESSIONS} SELECT project_id, count(*) AS sessions FROM sessions WHERE project_id IN (SELECT project_id FROM activity WHERE event_type = 'purchase' AND user_id = 7) GROUP BY 1",
 }
