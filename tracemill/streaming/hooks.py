@@ -89,7 +89,8 @@ def insert_new(batch: DataFrame, table_path: str) -> int:
     if (known := stored(spark, table_path, fresh)) is not None:
         fresh = fresh.join(known.select("payload_hash"), "payload_hash", "left_anti")
     seen = Observation()
-    fresh.withColumn("prefix", _prefix()).observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append").partitionBy("prefix").parquet(table_path)
+    dealt = fresh.withColumn("prefix", _prefix()).repartition("prefix")  # a file for each folder, not one from every task
+    dealt.observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append").partitionBy("prefix").parquet(table_path)
     return seen.get["inserted"]
 
 
