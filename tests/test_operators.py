@@ -222,3 +222,11 @@ def test_export(spark, tmp_path):
     got = report.export({"a": spark.range(3), "b": spark.range(1)}, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "a")).count() == 3
     assert {r["table"]: r["rows"] for r in got.collect()} == {"a": 3, "b": 1}
+
+
+def test_ratios_and_scores_are_rounded_as_in_sql(spark):
+    """323 / 80 is 4.0375 in digits, yet SQL's round takes the double times 1000, which lies just below the half."""
+    found = spark.createDataFrame([(1, "s", 0, *(323.0 for _ in baselines.DIMENSIONS))], "project_id int, session_id string, started_at long, " + ", ".join(f"{d} double" for d in baselines.DIMENSIONS))
+    base = spark.createDataFrame([("personal", None, "prompts", 80.0, 80.0), ("recent", None, "prompts", 0.0, 0.0)], "scope string, scope_key int, dimension string, median double, mad double")
+    got = {r["scope"]: (r["ratio"], r["score"]) for r in baselines.compare(found, base).collect()}
+    assert got == {"personal": (4.037, 3.038), "recent": (float("inf"), 1.0)}

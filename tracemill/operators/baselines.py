@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.medians import medians
@@ -64,6 +64,11 @@ def baselines(found: DataFrame, most: int = RECENT_SESSIONS) -> DataFrame:
     return met.select(*key, "median", "mad", "n", F.when(F.col("n") == 1, "reported").otherwise("inferred").alias("provenance"))
 
 
+def _round3(x: Column) -> Column:
+    """Three places as SQL's round takes them: a whole number of thousandths of the double itself, not of its decimal digits."""
+    return F.round(x * 1000) / 1000
+
+
 def compare(found: DataFrame, base: DataFrame, deviant: float = DEVIANT) -> DataFrame:
     """Ratio, score and direction of every session and dimension against each baseline that has the dimension.
 
@@ -74,10 +79,10 @@ def compare(found: DataFrame, base: DataFrame, deviant: float = DEVIANT) -> Data
     met = rows.join(b, (F.col("dimension") == F.col("b_dimension")) & ((F.col("scope") != "project") | (F.col("scope_key") == F.col("project_id"))))
     value, away = F.col("value"), F.abs(F.col("value") - F.col("median"))
     score = F.when(value.isNull(), 0.0).when(F.col("mad") > 0, away / F.col("mad")).when(away == 0, 0.0).otherwise(1.0)
-    ratio = F.when(F.col("median") != 0, F.round(value / F.col("median"), 3)).when(value > 0, float("inf")).when(value.isNotNull(), 0.0)
+    ratio = F.when(F.col("median") != 0, _round3(value / F.col("median"))).when(value > 0, float("inf")).when(value.isNotNull(), 0.0)
     out = met.withColumns({"score": score, "ratio": ratio})
     direction = F.when(value.isNull(), "unknown").when(F.col("score") < deviant, "typical").when(value > F.col("median"), "higher").otherwise("lower")
-    return out.select("session_id", "scope", "dimension", "value", "median", "mad", "ratio", F.round("score", 3).alias("score"), direction.alias("direction"))
+    return out.select("session_id", "scope", "dimension", "value", "median", "mad", "ratio", _round3(F.col("score")).alias("score"), direction.alias("direction"))
 
 
 def model_distribution(requests: DataFrame, found: DataFrame, most: int = RECENT_SESSIONS) -> DataFrame:
