@@ -38,6 +38,16 @@ def test_counts_by_category(spark):
     assert got[0][1] == {"cloud-credential": 1, "api-key": 1, "password": 2} and got[1] == ("plain", {}) and got[2][0] is None
 
 
+def test_counts_are_planned_in_bounded_size_and_long_words_take_linear_time(spark):
+    secret = "a@b.c_d@e.f x@y password=abcdef lorem12 " + "AKIA" + "A1" * 8
+    df = spark.createDataFrame([(secret,), ("a" * 400_000 + " @",), (None,)], "t string")
+    found = text.redaction_counts(df, "t", emails=True, custom=[("marker", r"\blorem[0-9]+\b")])
+    exploded = found.select(F.explode("redactions").alias("category", "n")).groupBy("category").agg(F.sum("n"))
+    assert len(exploded._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+    assert {tuple(r) for r in exploded.collect()} == {("email", 2), ("password", 1), ("secret", 1), ("cloud-credential", 1)}
+    assert found.where("t like '%REDACTED%'").first()["t"] == "[REDACTED:email][REDACTED:email] x@y [REDACTED:password] [REDACTED:marker] [REDACTED:aws-access-key]"
+
+
 def test_guard_never_hides_a_secret(spark):
     for _, _, pattern in [*text.DETECTORS, text.EMAIL]:
         assert pattern
