@@ -230,3 +230,20 @@ def test_ratios_and_scores_are_rounded_as_in_sql(spark):
     base = spark.createDataFrame([("personal", None, "prompts", 80.0, 80.0), ("recent", None, "prompts", 0.0, 0.0)], "scope string, scope_key int, dimension string, median double, mad double")
     got = {r["scope"]: (r["ratio"], r["score"]) for r in baselines.compare(found, base).collect()}
     assert got == {"personal": (4.037, 3.038), "recent": (float("inf"), 1.0)}
+
+
+def test_costs_are_summed_before_they_meet_prices(spark):
+    """Requests are not dealt by their model, of which there are few; sums give what single costs do."""
+    rows = [(f"{m}{i % 2 or ''}", i * 7, None if i % 3 else i, i, None, [None, 0.25, float("nan")][i % 3 if m == "north" else 0]) for m in ("north", "north-large", "unheard", "delta-mid") for i in range(30)]
+    requests = spark.createDataFrame([*rows, (None, 1, 1, 1, 1, 0.5)], "model_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, reported_usd double")
+    prices = costs.price_list(spark)
+    for asked in (requests, requests.drop("reported_usd")):
+        got = costs.cost_by_model(asked, prices)
+        single = costs.with_cost(asked, prices).groupBy("model_id").agg(F.count(F.lit(1)), F.count("cost_micro"), (F.sum("cost_micro") / 1_000_000).cast("decimal(30,6)"), F.min(F.when(F.col("cost_provenance") == "reported", "0reported").when(F.col("cost_provenance") == "registry", "1registry").otherwise("2unknown")))
+        assert {tuple(r) for r in got.collect()} == {(*r[:4], r[4][1:]) for r in single.collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in costs.cost_by_model(requests, prices)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
