@@ -125,3 +125,29 @@ def test_broken_commits_count_for_nothing(spark, tmp_path):
     held = Store(spark, path, keys)
     held.commit({"t": rows("a", "a")}, held.touched(spark.createDataFrame([("a",)], "k string"), "k"))
     assert held.buckets == 4 and {"a", "z"} & {r["k"] for r in Store(spark, path, keys).read("t").collect()} == {"a"}
+
+
+def test_chosen_files_are_read_as_spark_reads_them_and_not_listed_again(spark, corpus):
+    root, _, folder = corpus
+    (folder / "bom.jsonl").write_bytes(b"\xef\xbb\xbf{}\r\n\n  \n" + "é".encode() * 700_000 + b"\nlast")
+    files = tr.discover(spark, root)
+    assert files.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    names = ["uri", "session_id", "line_no", "value"]
+    got = tr.read_lines(spark, tr.Chosen(files.select("uri", "size")))
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, tr.read_lines(spark, root).select(names).collect()))
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString().replace("FileScan binaryFile", "")
+    raw = (folder / "bom.jsonl").read_bytes()
+    assert [raw[r["offset"] :].lstrip(b"\xef\xbb\xbf").startswith(r["value"].encode()) for r in got.where("session_id = 'bom'").collect()] == [True] * 3
+
+
+def test_transcripts_are_files_of_one_folder_for_each_project(spark, sf, tmp_path):
+    from tracemill.plans import load_queries
+
+    turns, root = load_queries.conversations(spark, sf), str(tmp_path)
+    for _ in range(2):  # again: files are replaced
+        load_queries.write_transcripts(turns, root)
+    assert {p.name for p in (tmp_path / "projects").iterdir()} == {f"-home-u-p{i}" for i in range(5)}
+    assert {int(p.stem) for p in (tmp_path / "projects").glob("*/*") if p.name[0] != "."} == {r[0] for r in turns.select("conv_id").distinct().collect()}
+    assert not list((tmp_path / "projects").glob("*/.[!.]*[!c]"))  # no unfinished file is left
+    lines = load_queries.transcript_lines(turns)
+    assert sorted(r[0] for r in tr.read_lines(spark, root).select("value").collect()) == sorted(r[0] for r in lines.select("value").collect())
