@@ -123,3 +123,24 @@ def test_an_event_among_many_sessions_has_one_link(spark, tmp_path):
     first = {i: min(s for s, _, t in sessions[:100] if abs(t - (100 * hour + i * hour // 4)) <= hour) for i in range(1, 9)}
     assert sorted((r for r in rows if r[1]), key=str) == sorted([*first.items(), (100, "far"), (101, "far")], key=str)
     assert {e for e, s in rows if s is None} == {0, 99}
+
+
+def test_a_line_is_opened_once_and_what_came_is_not_stored(spark, tmp_path):
+    """One parse of a line and none of its payload, before any filter; the raw body, with its secret, stays out of the table."""
+    (tmp_path / "spool").mkdir()
+    (tmp_path / "spool" / "a.json").write_text('{"v":1,"payload":{"hook_event_name":"Stop","prompt":"password=abcdefgh","n":1.50}}\n{"v":1,"payload":[1]}\n')
+    plan = hooks.redact(hooks.parse(hooks.spooled(hooks.read_spool(spark, f"{tmp_path}/spool")), sent="sent"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(value") == 1 and "parseJson(body" not in plan
+    hooks.drain(spark, f"{tmp_path}/spool", f"{tmp_path}/table", f"{tmp_path}/checkpoint")
+    table = spark.read.parquet(f"{tmp_path}/table")
+    assert "body" not in table.columns and "abcdefgh" not in str(table.collect())
+    spark.createDataFrame([('{"hook_event_name":"Stop","prompt":"password=abcdefgh","n":1.50}',)], "value string").coalesce(1).write.text(f"{tmp_path}/online")
+    hooks.ingest(hooks.redact(hooks.parse(hooks.online(spark.readStream.text(f"{tmp_path}/online")))), f"{tmp_path}/table", f"{tmp_path}/other")
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 2
+
+
+def test_lines_are_counted_in_one_scan(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"v":1,"payload":{"x":1}}\n{"v":1,"payload":{"x":1}}\n{"v":1,"payload":null}\n{\n')
+    out = hooks.counters(hooks.opened(hooks.read_spool(spark, str(tmp_path))), spark.range(1))
+    assert tuple(out.first()) == (4, 1, 1, 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1

@@ -12,7 +12,8 @@ from tracemill.sources.scratch import fresh_path
 from tracemill.streaming import correlating, hooks
 
 NAMES = {"signup": "UserPromptSubmit", "view": "PreToolUse", "click": "PostToolUse", "purchase": "SessionEnd", "error": "Stop"}
-_drained: dict[tuple[str, str], tuple[str, str, str]] = {}
+_spools: dict[tuple[str, str], tuple[str, str]] = {}
+_drained: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def envelopes(spark: SparkSession, d: str) -> DataFrame:
@@ -47,29 +48,38 @@ def spool_lines(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", line.alias("value"), F.explode(copies).alias("copy"))
 
 
-def drained(spark: SparkSession, d: str) -> tuple[str, str]:
-    """The spool of d's envelopes and the table that it was drained into, made once for as long as the table's files and the drained table stay."""
+def spool(spark: SparkSession, d: str) -> str:
+    """The spool of d's envelopes, written once for as long as the table's files and the spool stay: each task writes its own file."""
     key, state = (spark.sparkContext.applicationId, d), scratch.state_of(spark, f"{d}/events.parquet")
-    if key not in _drained or _drained[key][2] != state or not scratch.exists(spark, _drained[key][1]):
-        spool, table = fresh_path(spark, "spool"), fresh_path(spark, "hooks")
-        spool_lines(spark, d).select("value").repartition(4).write.text(spool)
-        hooks.ingest(hooks.redact(hooks.parse(hooks.spooled(_spool(spark, spool, stream=True)))), table, fresh_path(spark, "hooks-checkpoint"))
-        _drained[key] = (spool, table, state)
-    return _drained[key][:2]
+    if key not in _spools or _spools[key][1] != state or not scratch.exists(spark, _spools[key][0]):
+        path = fresh_path(spark, "spool")
+        spool_lines(spark, d).select("value").write.text(path)
+        _spools[key] = (path, state)
+    return _spools[key][0]
+
+
+def drained(spark: SparkSession, d: str) -> tuple[str, str]:
+    """The spool of d's envelopes and the table that it was drained into, made once for as long as the spool and the drained table stay."""
+    key, path = (spark.sparkContext.applicationId, d), spool(spark, d)
+    if key not in _drained or _drained[key][0] != path or not scratch.exists(spark, _drained[key][1]):
+        table = fresh_path(spark, "hooks")
+        hooks.ingest(hooks.redact(hooks.parse(hooks.spooled(_spool(spark, path, stream=True)), sent="sent")), table, fresh_path(spark, "hooks-checkpoint"))
+        _drained[key] = (path, table)
+    return _drained[key]
 
 
 def spool_drain(spark: SparkSession, d: str) -> DataFrame:
     """What two drains of one spool count as they go: of the even events, then of all, so that the even ones are known by then. What is left in the spool, archived, and dead."""
-    spool, table, log, dead, archive, checkpoint = (fresh_path(spark, n) for n in ("spool", "hooks", "log", "dead", "archive", "hooks-checkpoint"))
+    inbox, table, log, dead, archive, checkpoint = (fresh_path(spark, n) for n in ("spool", "hooks", "log", "dead", "archive", "hooks-checkpoint"))
     lines, out, seen = spool_lines(spark, d), None, 0
     for run, some in (("even events", lines.where("event_id % 2 = 0")), ("all events", lines)):
-        some.select("value").repartition(4).write.mode("append").text(spool)
-        hooks.drain(spark, spool, table, checkpoint, log_path=log, dead_path=dead, glob="part-*")
+        some.select("value").repartition(4).write.mode("append").text(inbox)
+        hooks.drain(spark, inbox, table, checkpoint, log_path=log, dead_path=dead, glob="part-*")
         done = hooks.read_log(spark, log).where(F.col("batch") >= seen)
         counts = hooks.drained_counts(done)
         seen = done.agg(F.max("batch")).first()[0] + 1
         archived = hooks.sweep(spark, done, archive)
-        left = _spool(spark, spool).select("file").distinct().count()
+        left = _spool(spark, inbox).select("file").distinct().count()
         row = counts.withColumns({"left": F.lit(left).cast("long"), "archived": F.lit(archived), "run": F.lit(run)})
         out = scratch.written(row, "drain") if out is None else out.unionByName(row)
     kinds = spark.read.option("recursiveFileLookup", True).parquet(dead).groupBy("wrong").agg(F.count(F.lit(1)).alias("lines")).withColumnRenamed("wrong", "run")
@@ -82,8 +92,7 @@ def both_deliveries(spark: SparkSession, d: str) -> DataFrame:
     bodies = envelopes(spark, d).where("event_id % 8 > 1").select(F.col("body").alias("value"))
     bodies.write.text(folder)
     hooks.ingest(hooks.redact(hooks.parse(hooks.online(spark.readStream.text(folder)))), table, fresh_path(spark, "hooks-checkpoint"))
-    spool = drained(spark, d)[0]
-    hooks.drain(spark, spool, table, fresh_path(spark, "hooks-checkpoint"), glob="part-*")
+    hooks.drain(spark, drained(spark, d)[0], table, fresh_path(spark, "hooks-checkpoint"), glob="part-*")
     return spark.read.parquet(table).groupBy("delivery", "hook_event_name").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -97,9 +106,8 @@ def hook_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hook_counters(spark: SparkSession, d: str) -> DataFrame:
-    spool, table = drained(spark, d)
-    lines = _spool(spark, spool)
-    return hooks.counters(lines, hooks.spooled(lines), spark.read.parquet(table))
+    path, table = drained(spark, d)
+    return hooks.counters(hooks.opened(_spool(spark, path)), spark.read.parquet(table))
 
 
 def recent_hooks(spark: SparkSession, d: str) -> DataFrame:
@@ -108,9 +116,9 @@ def recent_hooks(spark: SparkSession, d: str) -> DataFrame:
 
 def live_status(spark: SparkSession, d: str) -> DataFrame:
     """Stored events, telemetry records of the conversations, and files that no stored event came from."""
-    spool, table = drained(spark, d)
+    path, table = drained(spark, d)
     stored = spark.read.parquet(table)
-    return hooks.live_status(stored, spark.read.parquet(f"{d}/conversations.parquet"), hooks.backlog(spark, spool, stored, glob="part-*"))
+    return hooks.live_status(stored, spark.read.parquet(f"{d}/conversations.parquet"), hooks.backlog(spark, path, stored, glob="part-*"))
 
 
 def correlated_hooks(spark: SparkSession, d: str) -> DataFrame:

@@ -22,48 +22,52 @@ HOME = "/home/u"
 PREFIX = 2
 
 
-def parse(events: DataFrame, body: str = "body") -> DataFrame:
+def parse(events: DataFrame, body: str = "body", sent: str | None = None) -> DataFrame:
     """events with their payload parsed: payload (variant), hook_event_name, known, the columns of FIELDS, diagnostic.
 
     What isn't a JSON object becomes an event called unknown that holds the first
     MALFORMED_CHARS characters; an event of another name keeps it. Fields of
-    another type than text count as absent.
+    another type than text count as absent. sent: the column that has the body
+    as variant already, as spooled() gives it; it goes.
     """
-    parsed = F.expr(f"try_parse_json({body})")
-    isobject = F.coalesce(F.schema_of_variant(parsed).like("OBJECT%"), F.lit(False))
+    out = events.withColumn("_parsed", F.expr(f"try_parse_json({body})") if sent is None else F.col(sent))
+    out = out.withColumn("_object", F.coalesce(F.schema_of_variant("_parsed").like("OBJECT%"), F.lit(False)))
     opaque = F.parse_json(F.to_json(F.struct(F.substring(body, 1, MALFORMED_CHARS).alias("_malformed"), F.lit("unknown").alias("hook_event_name"))))
-    out = events.withColumn("payload", F.when(isobject, parsed).otherwise(opaque))
+    out = out.withColumn("payload", F.when(F.col("_object"), F.col("_parsed")).otherwise(opaque))
     said = lambda path: F.expr(f"case when schema_of_variant(try_variant_get(payload, '$.{path}', 'variant')) = 'STRING' then try_variant_get(payload, '$.{path}', 'string') end")
-    name = said("hook_event_name")
-    broken = F.when(parsed.isNull(), "hook payload is not valid JSON").when(~isobject, "hook payload is not a JSON object")
-    out = out.withColumns({"hook_event_name": F.coalesce(name, F.lit("unknown")), "diagnostic": broken} | {c: said(p) for c, p in FIELDS.items()})
-    known = F.col("hook_event_name").isin(KNOWN_EVENTS)
+    broken = F.when(F.col("_parsed").isNull(), "hook payload is not valid JSON").when(~F.col("_object"), "hook payload is not a JSON object")
+    out = out.withColumns({"_name": said("hook_event_name"), "diagnostic": broken} | {c: said(p) for c, p in FIELDS.items()})
+    name, known = F.col("_name"), F.col("hook_event_name").isin(KNOWN_EVENTS)
     unnamed = F.when(name.isNull(), "missing hook_event_name").when(~known, F.concat(F.lit('unknown hook event "'), name, F.lit('"')))
-    return out.withColumns({"known": known, "diagnostic": F.coalesce("diagnostic", unnamed)})
+    out = out.withColumn("hook_event_name", F.coalesce(name, F.lit("unknown")))
+    return out.withColumns({"known": known, "diagnostic": F.coalesce("diagnostic", unnamed)}).drop("_parsed", "_object", "_name", *([sent] if sent else []))
 
 
 def stable_json(payload: Column, mode: str = "redacted-content") -> Column:
     """A payload as JSON with keys in order; metadata-only states how long content is instead of it."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    fields = payload.cast("map<string, variant>")
     length = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.concat(F.lit('"[metadata-only: '), F.length(F.try_variant_get(v, "$", "string")).cast("string"), F.lit(' chars]"'))).otherwise(F.lit('"[metadata-only]"'))
-    shown = lambda k: F.when(k.isin(*CONTENT_FIELDS) & F.lit(mode == "metadata-only"), length(fields[k])).otherwise(F.coalesce(F.to_json(fields[k]), F.lit("null")))
-    key = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"^\[(.*)\]$", 1)
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(key(k), F.lit(":"), shown(k))), ","), F.lit("}"))
+    shown = lambda fields, k: F.when(k.isin(*CONTENT_FIELDS) & F.lit(mode == "metadata-only"), length(fields[k])).otherwise(F.coalesce(F.to_json(fields[k]), F.lit("null")))
+    key = lambda k: F.btrim(F.to_json(F.array(k)), F.lit("[]"))
+    members = lambda fields: F.transform(F.array_sort(F.map_keys(fields)), lambda k: F.concat(key(k), F.lit(":"), shown(fields, k)))
+    return F.concat(F.lit("{"), F.array_join(text.let(payload.cast("map<string, variant>"), members), ","), F.lit("}"))
 
 
-def redact(parsed: DataFrame, mode: str = "redacted-content", home: str = HOME, emails: bool = False) -> DataFrame:
+def redact(parsed: DataFrame, mode: str = "redacted-content", home: str = HOME, emails: bool = False, body: str = "body") -> DataFrame:
     """parsed() events ready to be stored: payload_json without secrets and folders, payload_hash, cwd_path and cwd_hash; what holds content otherwise is dropped.
 
     The hash is over the redacted payload, so that when an event was received is
     no part of it. Text that is no JSON after redaction is kept within {redacted}.
+    The body as it came goes too. What several expressions name is a column
+    first, so that it is made once; the detectors are one function of a text,
+    since as code of a whole stage they are a method too large to be compiled.
     """
-    clean = text.redact(stable_json(F.col("payload"), mode), emails, home=home)
-    shown, hashed = text.redact_path(F.col("cwd"), home)
-    kept = parsed.withColumn("redacted", clean).withColumns({"payload_hash": F.sha2("redacted", 256), "cwd_path": shown, "cwd_hash": hashed})
-    valid = F.when(F.expr("try_parse_json(redacted)").isNotNull(), F.col("redacted")).otherwise(F.to_json(F.struct("redacted")))
-    return kept.withColumn("payload_json", valid).drop("payload", "redacted", "prompt", "transcript_path", "cwd")
+    made = parsed.withColumn("_json", stable_json(F.col("payload"), mode)).withColumn("_full", text.clean_path(F.col("cwd")))
+    clean = text.let(F.col("_json"), lambda t: text.let(F.lower(t), lambda lowered: text.redact(t, emails, home=home, lowered=lowered)))
+    kept = made.withColumns({"redacted": clean, "cwd_path": text.shown_path(F.col("_full"), home), "cwd_hash": F.sha2(F.concat(F.lit("path:"), "_full"), 256)}).withColumn("payload_hash", F.sha2("redacted", 256))
+    valid = F.when(~F.col("redacted").contains("[REDACTED:") | F.expr("try_parse_json(redacted)").isNotNull(), F.col("redacted")).otherwise(F.to_json(F.struct("redacted")))  # only what a detector replaces can break it
+    return kept.withColumn("payload_json", valid).drop("payload", "_json", "_full", "redacted", "prompt", "transcript_path", "cwd", body)
 
 
 def stored(spark: SparkSession, table_path: str, hashes: DataFrame | None = None) -> DataFrame | None:
@@ -109,16 +113,15 @@ def ingest(stream: DataFrame, table_path: str, checkpoint: str, every: str | Non
 
 
 def opened(lines: DataFrame) -> DataFrame:
-    """lines (value, JSON) with what an envelope holds: body, received_at, delivery and wrong, which is null for an envelope that can be read."""
-    v = lines.withColumn("v", F.expr("try_parse_json(value)"))
+    """lines (value, JSON) with what an envelope holds: body, the same as variant (sent), received_at, delivery and wrong, which is null for an envelope that can be read."""
     get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
-    body = F.to_json(get("payload", "variant"))
-    wrong = F.when(F.col("v").isNull(), "not JSON").when(~F.coalesce(get("v", "int") == 1, F.lit(False)), "another version").when(body.isNull() | (body == "null"), "no payload")
-    return v.withColumns({"body": body, "received_at": get("receivedAt", "string"), "delivery": F.lit("spool"), "wrong": wrong}).drop("v")
+    v = text.once(text.once(lines, v=F.expr("try_parse_json(value)")), sent=get("payload", "variant"))
+    wrong = F.when(F.col("v").isNull(), "not JSON").when(~F.coalesce(get("v", "int") == 1, F.lit(False)), "another version").when(F.col("sent").isNull() | F.is_variant_null("sent"), "no payload")
+    return v.withColumns({"body": F.to_json("sent"), "received_at": get("receivedAt", "string"), "delivery": F.lit("spool"), "wrong": wrong}).drop("v")
 
 
 def spooled(lines: DataFrame) -> DataFrame:
-    """Events of spool envelopes (column value, JSON): body, received_at and delivery. Envelopes of another version or without a payload, and what isn't JSON, give nothing: see opened()."""
+    """Events of spool envelopes (column value, JSON): body, sent, received_at and delivery. Envelopes of another version or without a payload, and what isn't JSON, give nothing: see opened()."""
     return opened(lines).where("wrong is null").drop("value", "wrong")
 
 
@@ -151,7 +154,7 @@ def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode
     """
     def run(batch: DataFrame, number: int) -> None:
         held = opened(batch).persist()
-        inserted = insert_new(redact(parse(held.where("wrong is null").drop("value", "wrong")), mode), table_path)
+        inserted = insert_new(redact(parse(held.where("wrong is null").drop("value", "wrong"), sent="sent"), mode), table_path)
         if dead_path:
             dead = held.where("wrong is not null").select("file", "wrong", text.redact(F.col("value")).alias("line"))
             dead.write.mode("overwrite").parquet(f"{dead_path}/batch={number}")
@@ -194,10 +197,9 @@ def sweep(spark: SparkSession, log: DataFrame, archive: str | None = None) -> in
     return gone
 
 
-def counters(received: DataFrame, valid: DataFrame, table: DataFrame) -> DataFrame:
-    """Deliveries received, inserted, deduplicated and skipped."""
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
-    out = n(received, "received").join(n(valid, "valid"), "one").join(n(table, "inserted"), "one")
+def counters(received: DataFrame, table: DataFrame) -> DataFrame:
+    """Deliveries received, inserted, deduplicated and skipped, of the lines of opened() and the table they went into: each is read once."""
+    out = received.agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("wrong").isNull()).alias("valid")).join(table.agg(F.count(F.lit(1)).alias("inserted")))
     return out.select("received", "inserted", (F.col("valid") - F.col("inserted")).alias("deduplicated"), (F.col("received") - F.col("valid")).alias("skipped"))
 
 
