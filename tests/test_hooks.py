@@ -144,3 +144,15 @@ def test_lines_are_counted_in_one_scan(spark, tmp_path):
     out = hooks.counters(hooks.opened(hooks.read_spool(spark, str(tmp_path))), spark.range(1))
     assert tuple(out.first()) == (4, 1, 1, 2)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
+
+
+def test_a_large_batch_is_made_once_to_be_inserted(spark, tmp_path, monkeypatch):
+    """A batch of many rows meets the whole table; one of few reads only the folders of its own hashes."""
+    rows = lambda *ns: spark.createDataFrame([(f"{n:064x}",) for n in ns], "payload_hash string")
+    far = lambda *ns: spark.createDataFrame([(f"{n:02x}" + "0" * 62,) for n in ns], "payload_hash string")
+    table = f"{tmp_path}/table"
+    assert hooks.insert_new(far(*range(20)), table) == 20
+    assert hooks.stored(spark, table, far(3, 4)).count() == 2
+    monkeypatch.setattr(hooks, "MANY", 5)
+    assert hooks.stored(spark, table, far(*range(5))).count() == 20
+    assert hooks.insert_new(far(*range(10, 30)), table) == 10 and hooks.insert_new(rows(1, 2, 1), table) == 2

@@ -92,7 +92,7 @@ def both_deliveries(spark: SparkSession, d: str) -> DataFrame:
     bodies = envelopes(spark, d).where("event_id % 8 > 1").select(F.col("body").alias("value"))
     bodies.write.text(folder)
     hooks.ingest(hooks.redact(hooks.parse(hooks.online(spark.readStream.text(folder)))), table, fresh_path(spark, "hooks-checkpoint"))
-    hooks.drain(spark, drained(spark, d)[0], table, fresh_path(spark, "hooks-checkpoint"), glob="part-*")
+    hooks.drain(spark, spool(spark, d), table, fresh_path(spark, "hooks-checkpoint"), glob="part-*")
     return spark.read.parquet(table).groupBy("delivery", "hook_event_name").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -20,6 +20,8 @@ MODES = ("metadata-only", "redacted-content", "full-local")
 HOME = "/home/u"
 #: Stored rows lie in folders by the first digits of their payload hash, so that a batch reads only those of its own.
 PREFIX = 2
+#: So many rows touch nearly every folder (of 256, all but 0.1 on average): the table is then read whole, and the batch is not made a second time to tell which.
+MANY = 2_048
 
 
 def parse(events: DataFrame, body: str = "body", sent: str | None = None) -> DataFrame:
@@ -77,8 +79,9 @@ def stored(spark: SparkSession, table_path: str, hashes: DataFrame | None = None
         return None
     table = spark.read.parquet(table_path)
     if hashes is not None:
-        prefixes = [r[0] for r in hashes.select(_prefix()).distinct().collect()]  # 256 at most
-        table = table.where(F.col("prefix").isin(prefixes))
+        prefixes = [r[0] for r in hashes.select(_prefix()).limit(MANY).collect()]
+        if len(prefixes) < MANY:
+            table = table.where(F.col("prefix").isin(sorted(set(prefixes))))
     return table
 
 
@@ -90,7 +93,7 @@ def insert_new(batch: DataFrame, table_path: str) -> int:
     """Append the rows of batch whose payload_hash the table lacks, one for each; a batch that runs again adds nothing. How many went in, counted as they are written."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(["payload_hash"])
-    if (known := stored(spark, table_path, fresh)) is not None:
+    if (known := stored(spark, table_path, batch)) is not None:
         fresh = fresh.join(known.select("payload_hash"), "payload_hash", "left_anti")
     seen = Observation()
     dealt = fresh.withColumn("prefix", _prefix()).repartition("prefix")  # a file for each folder, not one from every task
@@ -153,7 +156,9 @@ def drain(spark: SparkSession, path: str, table_path: str, checkpoint: str, mode
     is tried again replaces.
     """
     def run(batch: DataFrame, number: int) -> None:
-        held = opened(batch).persist()
+        held = opened(batch)
+        if dead_path or log_path:  # else it is read once
+            held.persist()
         inserted = insert_new(redact(parse(held.where("wrong is null").drop("value", "wrong"), sent="sent"), mode), table_path)
         if dead_path:
             dead = held.where("wrong is not null").select("file", "wrong", text.redact(F.col("value")).alias("line"))
