@@ -247,3 +247,21 @@ def test_costs_are_summed_before_they_meet_prices(spark):
         assert "SortMergeJoin" not in costs.cost_by_model(requests, prices)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_settings_are_parsed_once_for_each_family(spark):
+    """Not again for a filter on what was found, nor for each effect; what is no array, no text or blank gives no rule."""
+    body = '{"permissions":{"allow":[" a ",7,""],"deny":{"x":1},"ask":["b"],"defaultMode":"m"},"hooks":{"E":[{"hooks":[{"command":"c"}]}]}}'
+    settings = spark.createDataFrame([(1, "user", "p", body), (2, "user", "p", "{"), (3, "user", "p", '{"permissions":3}')], "project_id long, scope string, path string, body string")
+    for found in (audit.settings_permissions(settings), audit.settings_hooks(settings), audit.settings_plugins(settings)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson(body") == 1
+    assert sorted((r["project_id"], r["effect"], r["rule"]) for r in audit.settings_permissions(settings).collect()) == [(1, "allow", "a"), (1, "ask", "b"), (1, "mode", "m")]
+    assert [(r["event"], r["matcher"], r["command"]) for r in audit.settings_hooks(settings).collect()] == [("E", "*", "c")]
+
+
+def test_frontmatter_pairs_are_made_once(spark):
+    """Pairs are a column before the search for a key's last one, which made them anew for each."""
+    docs = spark.createDataFrame([("---\na: 1\nb: 'x'\na: 2\n---\nc: 3",), ("---\na: 1",), (None,)], "body string").coalesce(1)
+    found = audit.frontmatter(docs)
+    assert [(r["valid"], r["fields"]) for r in found.collect()] == [(True, {"b": "x", "a": "2"}), (False, {"a": "1"}), (False, {})]
+    assert found.select("fields")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -26,7 +26,8 @@ def _pick(values: list[str], shift: int = 0) -> F.Column:
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:
     scope = F.when(F.col("c_custkey") % 2 == 0, "user").otherwise("project")
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("c"), F.col("c_custkey").alias("project_id"), scope.alias("scope"))
+    dealt = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # a narrow file of many customers is few tasks, of which each has their documents to make
+    return dealt.select(F.col("c_custkey").alias("c"), F.col("c_custkey").alias("project_id"), scope.alias("scope"))
 
 
 def settings(spark: SparkSession, d: str) -> DataFrame:
