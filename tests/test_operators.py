@@ -265,3 +265,56 @@ def test_frontmatter_pairs_are_made_once(spark):
     found = audit.frontmatter(docs)
     assert [(r["valid"], r["fields"]) for r in found.collect()] == [(True, {"b": "x", "a": "2"}), (False, {"a": "1"}), (False, {})]
     assert found.select("fields")._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_sessions_are_summed_in_one_shuffle(spark):
+    random.seed(7)
+    kinds = {"signup": "prompt", "view": "read", "click": "edit", "purchase": "verify", "error": "verify"}
+    rows = [(f"s{random.randrange(6)}", t // 2, t, kinds[e], e, e != "error", random.choice(["a", "b", "c", None])) for t in range(200) for e in [random.choice(list(kinds))]] + [("alone", 5, 900, "prompt", "signup", True, None)]
+    rows = [(s, 1 if s == "alone" else int(s[1]) % 3, *rest) for s, *rest in rows]
+    df = spark.createDataFrame(rows, "session_id string, project_id int, ts long, event_id long, kind string, event_type string, success boolean, path_hash string").repartition(5)
+    out = metrics.session_workflow(df)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Expand" not in plan
+    got = {r["session_id"]: r for r in out.collect()}
+    assert len(got) == len({r[0] for r in rows})
+    for s, r in got.items():
+        own = sorted((x for x in rows if x[0] == s), key=lambda x: (x[2], x[3]))
+        edits, checks = [x for x in own if x[4] == "edit"], [x for x in own if x[4] == "verify"]
+        last, failure = max((x[2] for x in edits), default=None), min((x[2] for x in checks if not x[6]), default=None)
+        assert (r["started_at"], r["ended_at"], r["last_event"]) == (own[0][2], own[-1][2], own[-1][5])
+        assert (r["written"], r["writes"], r["last_write"]) == (len({x[7] for x in edits} - {None}), len(edits), last)
+        assert (r["verifications"], r["verify_kinds"], r["last_success"]) == (len(checks), len({x[5] for x in checks}), checks[-1][6] if checks else None)
+        assert r["next_verify"] == min((x[2] for x in checks if last is not None and x[2] > last), default=None)
+        assert r["corrective_prompts"] == sum(x[4] == "prompt" and failure is not None and x[2] > failure for x in own)
+        assert (r["prompts"], r["tool_calls"], r["compactions"]) == (sum(x[4] == "prompt" for x in own), sum(x[4] != "prompt" for x in own), sum(x[5] == "error" for x in own))
+
+
+def test_requests_are_read_once_for_a_snapshot(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = [(1, "north-large", 100, None), (1, "north-large-2", 50, 7), (1, "north-large", 1, 2), (2, "z", 5, 5), (None, "z", 9, 9)]
+    schema = "project_id int, model_id string, input_tokens long, cache_read_tokens long"
+    got = {r["project_id"]: tuple(r)[1:] for r in snapshot.models(spark, spark.createDataFrame(rows, schema).mapInPandas(counted, schema)).where("project_id is not null").select("project_id", "requests", "dominant_cost_tier", "dominant_capability", "input_tokens", "cache_read_tokens").collect()}
+    assert got == {1: (3, 5, 5, 151, 9), 2: (1, 0, 0, 5, 5)} and seen.value == len(rows)
+
+
+def test_commands_are_counted_before_they_are_classified(spark):
+    rows = [(1, "npm test", True)] * 3 + [(1, "NPM  test", False)] * 2 + [(1, "npm run build", True), (2, "pytest test --all", False), (2, "ls", True)]
+    df = spark.createDataFrame(rows, "project_id int, command string, success boolean")
+    got = {r["project_id"]: (r["tests"], r["builds"], r["broad_tests"], r["repeated_command_top"], r["repeated_failed_top"]) for r in snapshot.commands(df).collect()}
+    assert got == {1: (5, 1, 0, 5, 2), 2: (1, 0, 1, 1, 1)}
+
+
+def test_things_of_all_kinds_are_counted_in_one_pass(spark):
+    rows = [(1, "read", "a", True, 5)] * 3 + [(1, "read", "b", False, 9)] * 2 + [(1, "prompt", "a", True, 1)] * 4 + [(2, "verify", None, False, 2)] * 2
+    got = {r["project_id"]: r.asDict() for r in snapshot.tools(spark.createDataFrame(rows, "project_id int, kind string, path_hash string, success boolean, size long")).collect()}
+    one, two = got[1], got[2]
+    assert (one["max_output"], one["failure_rate"], one["worst_tool_failures"], one["worst_tool_rate"]) == (9, 0.222222, 2, 0.4)
+    assert (one["repeated_read_top"], one["sum_repeated_reads"], one["repeated_search_top"], one["sum_repeated_searches"]) == (3, 3, 4, 4)
+    assert (two["worst_tool_failures"], two["worst_tool_rate"], two["repeated_read_top"]) == (2, 1.0, None)
