@@ -94,3 +94,11 @@ def test_prompt_features_and_quality(spark):
 
 def test_template_key(spark):
     assert one(spark, text.template_key(F.col("t")), t=" - Fix  `a.py`\n now!! ") == "fix <ref> now"
+
+
+def test_texts_that_no_detector_can_fit_are_told_by_few_characters(spark):
+    held = lambda t: one(spark, text.may_hold_secret(F.col("t"), emails=True), t=t)
+    assert not held("a secret token, a cookie and the password of a bearer")
+    assert not held("private-key without a sign") and not held("api_key alone")
+    for t in ("password\n:\nhunter22", "TOKEN = abcdefgh", "Cookie: abcdef", "gcp_api_key='abcdefgh'", "bearer=" + "a" * 20, "redis://h", "pk_live_" + "a" * 24, "gho_" + "a" * 24, "sk-ant-" + "a" * 20, "-----BEGIN PRIVATE KEY-----\n-----END PRIVATE KEY-----", "a@b.c"):
+        assert held(t) and one(spark, text.redact(F.col("t"), emails=True), t=t) != t
